@@ -1,9 +1,7 @@
-"""Text expressions: strip, decode, readability, tokens and n-grams."""
+"""Text expressions: strip, decode, readability."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,25 +45,3 @@ def char_count(text: Column) -> Column:
 
 def preview(text: Column, chars: int = fixed.PREVIEW_CHARS) -> Column:
     return F.substring(text, 1, chars)
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN_PATTERN), F.lit(0))
-
-
-def without_stop_words(words: Column, stop_words: Sequence[str]) -> Column:
-    """Drop stop words and keep repeats of the others (``isin`` becomes one hash-set probe)."""
-    listed = list(stop_words)
-    return F.filter(words, lambda word: ~word.isin(listed)) if listed else words
-
-
-def ngrams(words: Column, longest: int = fixed.MAX_NGRAM) -> Column:
-    """All 1..longest-grams of the word array, space-joined, shortest first."""
-    parts = [words]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*parts)

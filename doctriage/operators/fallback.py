@@ -17,12 +17,14 @@ Responder = Callable[[list[str]], list[str | None]]
 ANSWER_ORDER = (*fixed.LABELS, fixed.UNKNOWN)
 
 
-def prompt(text: Column, labels: Sequence[str] = ANSWER_ORDER) -> Column:
+PROMPT_HEAD = f"Which kind of document is this? Answer with one of: {', '.join(ANSWER_ORDER)}.\n\n"
+PROMPT_TAIL = "\n\nYour answer, one word:"
+
+
+def prompt(text: Column) -> Column:
     """The question for one document, with the start of its text."""
     return F.concat(
-        F.lit(f"Which kind of document is this? Answer with one of: {', '.join(labels)}.\n\n"),
-        F.substring(text, 1, fixed.PROMPT_CHARS),
-        F.lit("\n\nYour answer, one word:"),
+        F.lit(PROMPT_HEAD), F.substring(text, 1, fixed.PROMPT_CHARS), F.lit(PROMPT_TAIL)
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctriage import fixed
-from doctriage.functions.text import ngrams, tokens, without_stop_words
 from doctriage.session import stage
 
 PRUNING_WORDS = 20_000
@@ -22,15 +22,37 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def terms(text: Column, stop_words: Sequence[str], longest: int = fixed.MAX_NGRAM) -> Column:
-    """All 1..longest-grams of the text's tokens, stop words removed first."""
-    return ngrams(without_stop_words(tokens(text), stop_words), longest)
+def word_stages(stop_words: Sequence[str], text: str = "text") -> list:
+    """``words``: lower-cased runs of two or more word characters without the stop words."""
+    return [
+        SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS filled FROM __THIS__"),
+        RegexTokenizer(
+            inputCol="filled", outputCol="tokens", gaps=False, pattern=fixed.TOKEN_PATTERN, toLowercase=True
+        ),
+        StopWordsRemover(
+            inputCol="tokens", outputCol="words", stopWords=list(stop_words), caseSensitive=True
+        ),
+    ]
 
 
-def document_terms(docs: DataFrame, stop_words: Sequence[str], text: str = "text") -> DataFrame:
-    """One row per term occurrence, with the remaining columns of ``docs``."""
-    words = docs.withColumn("_words", without_stop_words(tokens(F.col(text)), stop_words)).drop(text)
-    return words.withColumn("term", F.explode(ngrams(F.col("_words")))).drop("_words")
+def gram_stages(words: str = "words") -> list:
+    """``grams``: all 1..3-grams of the word array, space-joined, shortest first."""
+    longer = range(2, fixed.MAX_NGRAM + 1)
+    joined = ", ".join([words, *[f"grams{n}" for n in longer]])
+    return [
+        *[NGram(n=n, inputCol=words, outputCol=f"grams{n}") for n in longer],
+        SQLTransformer(statement=f"SELECT *, concat({joined}) AS grams FROM __THIS__"),
+    ]
+
+
+def with_words(docs: DataFrame, stop_words: Sequence[str], text: str = "text") -> DataFrame:
+    columns = docs.columns
+    return PipelineModel(word_stages(stop_words, text)).transform(docs).select(*columns, "words")
+
+
+def with_grams(docs: DataFrame, words: str = "words") -> DataFrame:
+    columns = docs.columns
+    return PipelineModel(gram_stages(words)).transform(docs).select(*columns, "grams")
 
 
 def term_counts(
@@ -47,30 +69,35 @@ def term_counts(
     are dropped before the shuffle.  Without this, the shuffle would carry nearly every 2- and
     3-gram of the corpus.  When too many words reach the floor all n-grams are counted.
     """
-    words = docs.select(without_stop_words(tokens(F.col(text)), stop_words).alias("_words"))
+    words = with_words(docs.select(F.col(text).alias("text")), stop_words).select("words")
     counts = stage(
-        words.select(F.explode("_words").alias("term")).groupBy("term").agg(F.count("*").alias("n")),
+        _each("words", words).groupBy("term").agg(F.count("*").alias("n")),
         "word-counts",
     )
     top = counts.orderBy(F.desc("n"), "term").limit(size)
     floor = top.agg(F.count("*").alias("found"), F.min("n").alias("floor")).first()
-    frequent = None
     if floor["found"] == size and floor["floor"] > 1:
-        rows = counts.filter(F.col("n") >= floor["floor"]).limit(pruning_words + 1).collect()
-        if len(rows) <= pruning_words:
-            frequent = [row["term"] for row in rows]
-    grams = words.select(F.explode(_frequent_ngrams("_words", frequent)).alias("term"))
+        frequent = counts.filter(F.col("n") >= floor["floor"]).limit(pruning_words + 1).collect()
+        if len(frequent) <= pruning_words:
+            words = words.select(_blank_others("words", [row["term"] for row in frequent]).alias("words"))
+    # A blanked word leaves an empty gram or a leading, trailing or doubled blank.
+    term = F.col("term")
+    grams = _each("grams", with_grams(words)).filter(
+        (term != "") & ~term.startswith(" ") & ~term.endswith(" ") & ~term.contains("  ")
+    )
     return grams.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size)
 
 
-def _frequent_ngrams(words: str, frequent: list[str] | None) -> Column:
-    if frequent is None:
-        return ngrams(F.col(words))
-    # A blank stands for a rare word: tokens hold no blanks, so a gram with a rare word is the
-    # one whose text is empty or has a leading, trailing or doubled blank.
-    listed = ", ".join(f"'{word}'" for word in frequent)
-    marked = F.expr(f"transform({words}, word -> if(word IN ({listed}), word, ''))")
-    return F.filter(ngrams(marked), lambda gram: (gram != "") & ~gram.rlike("^ | $|  "))
+def _each(array: str, rows: DataFrame, name: str = "term") -> DataFrame:
+    """One row per element.  A plain explode would make the optimizer add a size filter below it,
+    and that filter would run the whole tokenizer a second time."""
+    return rows.select(F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def _blank_others(words: str, kept: Sequence[str]) -> Column:
+    """The word array with every word outside ``kept`` emptied (one hash-set probe per word)."""
+    listed = ", ".join(f"'{word}'" for word in kept)
+    return F.expr(f"transform({words}, word -> if(word IN ({listed}), word, ''))")
 
 
 def fit_vocabulary(
@@ -85,23 +112,10 @@ def count_stages(vocabulary: Sequence[str], stop_words: Sequence[str]) -> list:
 
     Every stage works row by row in the JVM, so counting needs no shuffle.
     """
-    model = CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol="grams", outputCol="counts")
-    stages = [
-        SQLTransformer(statement="SELECT *, coalesce(text, '') AS filled FROM __THIS__"),
-        RegexTokenizer(
-            inputCol="filled", outputCol="tokens", gaps=False, pattern=fixed.TOKEN_PATTERN, toLowercase=True
-        ),
-        StopWordsRemover(
-            inputCol="tokens", outputCol="words", stopWords=list(stop_words), caseSensitive=True
-        ),
-    ]
-    grams = ["words"]
-    for n in range(2, fixed.MAX_NGRAM + 1):
-        stages.append(NGram(n=n, inputCol="words", outputCol=f"grams{n}"))
-        grams.append(f"grams{n}")
-    stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS grams FROM __THIS__"))
-    stages.append(model)
-    return stages
+    counter = CountVectorizerModel.from_vocabulary(
+        list(vocabulary), inputCol="grams", outputCol="counts"
+    )
+    return [*word_stages(stop_words), *gram_stages(), counter]
 
 
 def with_counts(docs: DataFrame, vectorizer: PipelineModel, text: str = "text") -> DataFrame:
@@ -139,39 +153,57 @@ def smoothed_idf(documents: Column, frequency: Column) -> Column:
 
 def document_frequencies(counted: DataFrame) -> DataFrame:
     """``term_id, df`` from rows with ``term_ids``."""
-    return (
-        counted.select(F.explode("term_ids").alias("term_id"))
-        .groupBy("term_id")
-        .agg(F.count("*").alias("df"))
-    )
+    return _each("term_ids", counted, "term_id").groupBy("term_id").agg(F.count("*").alias("df"))
 
 
-def tfidf(
-    docs: DataFrame,
-    stop_words: Sequence[str],
-    size: int = fixed.MAX_FEATURES,
-    key: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """Fit on ``docs`` and return its long TF-IDF table ``key, term, tf, idf, weight``."""
+@dataclass
+class Vectorizer:
+    """Fitted counting stages, their vocabulary and its IDF."""
+
+    stages: PipelineModel
+    vocabulary: list[str]
+    idf: list[float]
+
+
+def fit_vectorizer(
+    docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
+) -> Vectorizer:
     vocabulary = fit_vocabulary(docs, stop_words, size, text)
-    vectorizer = PipelineModel(count_stages(vocabulary, stop_words))
-    counted = with_counts(docs.select(key, F.col(text).alias("text")), vectorizer).drop("text")
-    idf = fit_idf(counted, len(vocabulary))
+    stages = PipelineModel(count_stages(vocabulary, stop_words))
+    counted = with_counts(docs.select(F.col(text).alias("text")), stages).drop("text")
+    return Vectorizer(stages, vocabulary, fit_idf(counted, len(vocabulary)))
+
+
+def long_weights(
+    vectorizer: Vectorizer, docs: DataFrame, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """TF-IDF table ``key, term, tf, idf, weight`` of any documents; unknown terms are dropped."""
+    counted = with_counts(docs.select(key, F.col(text).alias("text")), vectorizer.stages).drop("text")
     weighted = counted.withColumn(
-        "_weights", tfidf_weights(F.col("term_ids"), F.col("term_counts"), idf)
+        "_weights", tfidf_weights(F.col("term_ids"), F.col("term_counts"), vectorizer.idf)
     ).withColumn("_norm", unit_length(F.col("_weights")))
-    names = F.from_json(F.lit(json.dumps(vocabulary)), "array<string>")
-    cells = F.explode(F.arrays_zip("term_ids", "term_counts", "_weights")).alias("cell")
-    return weighted.select(key, "_norm", cells).select(
+    names = F.from_json(F.lit(json.dumps(vectorizer.vocabulary)), "array<string>")
+    cells = F.explode_outer(F.arrays_zip("term_ids", "term_counts", "_weights")).alias("cell")
+    return weighted.select(key, "_norm", cells).filter(F.col("cell.term_ids").isNotNull()).select(
         key,
         F.get(names, F.col("cell.term_ids")).alias("term"),
         F.col("cell.term_counts").cast("long").alias("tf"),
-        F.get(number_array(idf), F.col("cell.term_ids")).alias("idf"),
+        F.get(number_array(vectorizer.idf), F.col("cell.term_ids")).alias("idf"),
         (F.col("cell._weights") / F.col("_norm")).alias("weight"),
     )
 
 
+def tfidf(
+    docs: DataFrame,
+    stop_words: Sequence[str],
+    size: int = fixed.MAX_FEATURES,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Fit on ``docs`` and return their own TF-IDF table."""
+    return long_weights(fit_vectorizer(docs, stop_words, size, text), docs, key, text)
+
+
 def fit_idf(counted: DataFrame, size: int) -> list[float]:
     """Smoothed IDF per term id; the collected table has at most ``size`` rows."""
     documents = counted.count()

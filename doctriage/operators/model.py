@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from doctriage import fixed
 from doctriage.functions.numbers import round_half_even
 from doctriage.operators import features
-from doctriage.session import shared_folder
+from doctriage.session import path_exists, shared_folder
 
 
 @dataclass
@@ -108,12 +108,10 @@ def fit(
     """
     spark = samples.sparkSession
     words = list(features.default_stop_words() if stop_words is None else stop_words)
-    vocabulary = features.fit_vocabulary(samples, words, size)
-    stages = features.count_stages(vocabulary, words)
+    vectorizer = features.fit_vectorizer(samples, words, size)
     labels = sorted(row["label"] for row in samples.select("label").distinct().collect())
-    counted = features.with_counts(samples.select("label", "text"), PipelineModel(stages)).drop("text")
-    idf = features.fit_idf(counted, len(vocabulary))
-    train = _sparse_vectors(spark, counted, idf, labels)
+    counted = features.with_counts(samples.select("label", "text"), vectorizer.stages).drop("text")
+    train = _sparse_vectors(spark, counted, vectorizer.idf, labels)
     rows = train.count()
     solver = LogisticRegression(
         family="multinomial",
@@ -129,8 +127,8 @@ def fit(
         [fitted, IndexToString(inputCol="prediction", outputCol="ml_label", labels=labels)]
     )
     return TextModel(
-        vectorizer=PipelineModel(stages),
-        idf=idf,
+        vectorizer=vectorizer.stages,
+        idf=vectorizer.idf,
         labels=labels,
         coefficients=[[float(x) for x in row] for row in matrix],
         intercepts=[float(x) for x in fitted.interceptVector],
@@ -165,7 +163,7 @@ def save(model: TextModel, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> TextModel | None:
     """The saved model, or None when any of its parts is missing."""
-    if not all(_exists(spark, f"{path}/{part}") for part in ("vectorizer", "classifier", "idf")):
+    if not all(path_exists(spark, f"{path}/{part}") for part in ("vectorizer", "classifier", "idf")):
         return None
     vectorizer = PipelineModel.load(f"{path}/vectorizer")
     classifier = PipelineModel.load(f"{path}/classifier")
@@ -179,8 +177,3 @@ def load(spark: SparkSession, path: str) -> TextModel | None:
         intercepts=[float(x) for x in regression.interceptVector],
         classifier=classifier,
     )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -101,11 +101,12 @@ def dashboard_rows(recent: DataFrame) -> DataFrame:
     )
 
 
-def result_card(records: DataFrame) -> DataFrame:
+def result_card(records: DataFrame, *keys: str) -> DataFrame:
     """Cells of the single-result card; here confidence 0 shows as ``0%``."""
     dash = F.lit("—")
     shown = display_type(F.col("document_type"), F.col("status"))
     return records.select(
+        *keys,
         shown.alias("type"),
         F.concat(F.lit("badge badge-"), shown).alias("badge"),
         F.concat(number_text_js(F.coalesce("confidence", F.lit(0.0))), F.lit("%")).alias("confidence"),

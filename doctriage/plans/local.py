@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from doctriage import fixed
 from doctriage.operators import fallback as second
@@ -19,12 +20,14 @@ from doctriage.operators.validation import check_file, is_confident, is_non_docu
 from doctriage.session import stage
 from doctriage.sources.files import arrival_order, read_folder, with_names
 
-RESULT_COLUMNS = (
-    "arrival_seq", "path", "file_name", "file_ext", "length", "md5", "check_status", "outcome",
-    "status", "document_type", "confidence", "method", "destination", "final_name", "name_number",
-    "registered",
-    "report_type", "report_duplicate", "report_readable", "report_destination", "report_status",
-)
+RESULT_SCHEMA = StructType()
+for _name in (
+    "arrival_seq:long", "path", "file_name", "file_ext", "length:long", "md5", "check_status",
+    "outcome", "status", "document_type", "confidence:double", "method", "destination",
+    "final_name", "name_number:long", "registered:boolean", "report_type", "report_duplicate",
+    "report_readable", "report_destination", "report_status",
+):
+    RESULT_SCHEMA.add(*(_name if ":" in _name else f"{_name}:string").split(":"))
 
 
 @dataclass
@@ -123,7 +126,7 @@ def triage(
     registry: DataFrame | None = None,
     occupied: DataFrame | None = None,
 ) -> DataFrame:
-    """Results of a set of files with ``text``, one row per file (``RESULT_COLUMNS``).
+    """Results of a set of files with ``text``, one row per file (``RESULT_SCHEMA``).
 
     The files are scanned once.  Their facts are staged, then only narrow rows are shuffled: by
     fingerprint, and by destination and name.
@@ -134,7 +137,7 @@ def triage(
     facts = stage(facts, "facts")
     decided = decide(facts, settings, registry).drop("prompt", "_answer", "ml_label", "ml_confidence")
     named = assign_names(stage(decided, "decisions"), occupied)
-    return named.select(*RESULT_COLUMNS)
+    return named.select(*RESULT_SCHEMA.names)
 
 
 def read_texts(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:

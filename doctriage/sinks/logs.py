@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.operators.reports import log_lines
+from doctriage.session import path_exists
 
 
 def append_log(report: DataFrame, path: str) -> None:
@@ -23,8 +24,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
     The entries stay rows: one string over the whole log would have to fit in one task.
     """
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if not path_exists(spark, path):
         return log_or_notice(spark.createDataFrame([], "seq long, entry string"))
     return log_or_notice(log_lines(spark.read.parquet(path)))
 

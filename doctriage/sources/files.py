@@ -13,7 +13,6 @@ from doctriage.functions.paths import base_name, file_ext
 from doctriage.session import shared_folder
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-LISTING_SCHEMA = "path string, modificationTime timestamp, length long"
 LISTING_CHUNK = 50_000
 
 
@@ -53,15 +52,17 @@ def list_folder(spark: SparkSession, folder: str) -> DataFrame:
         while remote.hasNext():
             status = remote.next()
             if status.isFile():
-                moment = pd.Timestamp(status.getModificationTime(), unit="ms", tz="UTC")
-                yield status.getPath().toString(), moment, status.getLen()
+                yield status.getPath().toString(), status.getModificationTime(), status.getLen()
 
     path = f"{shared_folder(spark)}/stages/listing-{uuid.uuid4().hex}"
-    spark.createDataFrame([], LISTING_SCHEMA).write.parquet(path)
+    fields = "path string, millis long, length long"
+    spark.createDataFrame([], fields).write.parquet(path)
     remaining = entries()
     while chunk := list(islice(remaining, LISTING_CHUNK)):
-        spark.createDataFrame(chunk, LISTING_SCHEMA).write.mode("append").parquet(path)
-    return spark.read.schema(LISTING_SCHEMA).parquet(path)
+        spark.createDataFrame(chunk, fields).write.mode("append").parquet(path)
+    return spark.read.schema(fields).parquet(path).select(
+        "path", F.timestamp_millis("millis").alias("modificationTime"), "length"
+    )
 
 
 def fetch(listed: DataFrame) -> DataFrame:

@@ -3,33 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctriage import fixed
-from doctriage.functions.numbers import lookup
-from doctriage.functions.paths import base_name
 from doctriage.functions.text import py_strip
 from doctriage.operators.validation import is_sample
+from doctriage.session import path_exists
 
 
 def read_samples(
     spark: SparkSession, folder: str, labels: Mapping[str, str] = fixed.CORPUS_LABELS
 ) -> DataFrame:
     """``text, label`` from one file per label, one sample per line; missing files are skipped."""
-    jvm = spark._jvm
-    present = []
-    for name in labels:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            present.append(f"{folder}/{name}")
-    if not present:
+    corpora = [
+        spark.read.text(f"{folder}/{name}").select("value", F.lit(label).alias("label"))
+        for name, label in labels.items()
+        if path_exists(spark, f"{folder}/{name}")
+    ]
+    if not corpora:
         return spark.createDataFrame([], "text string, label string")
-    lines = spark.read.text(present).select(
-        F.col("value"), lookup(base_name(F.col("_metadata.file_path")), labels, "").alias("label")
-    )
-    return clean_samples(lines, "value")
+    return clean_samples(reduce(DataFrame.unionByName, corpora), "value")
 
 
 def clean_samples(lines: DataFrame, text: str = "text") -> DataFrame:
