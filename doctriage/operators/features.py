@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctriage import fixed
-from doctriage.session import stage
+from doctriage.session import spread, stage
 
 PRUNING_WORDS = 20_000
 
@@ -168,9 +168,10 @@ class Vectorizer:
 def fit_vectorizer(
     docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
 ) -> Vectorizer:
-    vocabulary = fit_vocabulary(docs, stop_words, size, text)
+    texts = spread(docs.select(F.col(text).alias("text")))
+    vocabulary = fit_vocabulary(texts, stop_words, size)
     stages = PipelineModel(count_stages(vocabulary, stop_words))
-    counted = with_counts(docs.select(F.col(text).alias("text")), stages).drop("text")
+    counted = with_counts(texts, stages).drop("text")
     return Vectorizer(stages, vocabulary, fit_idf(counted, len(vocabulary)))
 
 

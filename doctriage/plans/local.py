@@ -17,7 +17,7 @@ from doctriage.operators.model import TextModel, reported_confidence
 from doctriage.operators.naming import assign_names
 from doctriage.operators.routing import outcome, registerable, verify_arrival, with_outcome_columns
 from doctriage.operators.validation import check_file, is_confident, is_non_document
-from doctriage.session import stage
+from doctriage.session import spread, stage
 from doctriage.sources.files import arrival_order, read_folder, with_names
 
 RESULT_SCHEMA = StructType()
@@ -131,7 +131,7 @@ def triage(
     The files are scanned once.  Their facts are staged, then only narrow rows are shuffled: by
     fingerprint, and by destination and name.
     """
-    facts = file_facts(files, settings)
+    facts = file_facts(spread(files), settings)
     if "arrival_seq" not in facts.columns:
         facts = arrival_order(stage(facts, "unordered-facts"))
     facts = stage(facts, "facts")

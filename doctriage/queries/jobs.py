@@ -365,8 +365,8 @@ SELECT arrival_seq, file_name, status FROM results ORDER BY arrival_seq DESC LIM
 )
 def stream_recent(spark, folder) -> DataFrame:
     path = streamed(spark, folder, local.Settings())
-    results = arrivals.read_results(spark, path).withColumn("ts", F.timestamp_seconds("arrival_seq"))
-    return reports.recent_results(results, "arrival_seq", "ts").select("arrival_seq", "file_name", "status")
+    latest = arrivals.latest_results(spark, path, F.timestamp_seconds("arrival_seq"))
+    return latest.select("arrival_seq", "file_name", "status")
 
 
 @query(

@@ -13,7 +13,7 @@ from doctriage.operators import evaluation, fallback, features, model, routing
 from doctriage.operators.validation import is_confident
 from doctriage.plans import training
 from doctriage.queries.registry import pick, query, sql_list, sql_round, sql_strip, table
-from doctriage.session import shared_folder
+from doctriage.session import shared_folder, spread
 
 # A short list shared with the SQL side; jobs default to Spark's English list.
 STOP_WORDS = (
@@ -52,7 +52,7 @@ WEIGHTS_SQL = f"""
 
 
 def documents(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, array_to_string(w, ' ') AS words, CAST(len(w) AS BIGINT) AS n FROM words")

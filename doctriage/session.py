@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **settings) -> SparkSession:
@@ -48,6 +49,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input that is small for the number of cores, before work that is heavy per row.
+
+    Below one usual row group per core, the scan's splits are finer than the row groups and most
+    tasks read nothing.  Larger inputs are returned as they are, so no large text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 

@@ -7,7 +7,7 @@ the batches before it, never from its own folder.  Both reads touch two narrow c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -75,6 +75,7 @@ def stream_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RESULT_SCHEMA).parquet(f"{path}/batch_id=*")
 
 
-def latest_results(spark: SparkSession, path: str, moment: str) -> DataFrame:
-    """The newest results over all batches."""
-    return recent_results(read_results(spark, path), "arrival_seq", moment)
+def latest_results(spark: SparkSession, path: str, moment: Column) -> DataFrame:
+    """The newest results over all batches with the clock time of ``moment``."""
+    results = read_results(spark, path).withColumn("moment", moment)
+    return recent_results(results, "arrival_seq", "moment").drop("moment")
