@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from doctriage import fixed
 
 # Fixed value: the characters str.strip() removes. Java's \s covers only the ASCII ones.
-_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+# A blank run is tried at its first character only and never given back, so a long run inside a
+# text costs one pass.
+_ENDS = rf"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++\z"
 
 
 def py_strip(text: Column) -> Column:
     """Strip Unicode white space at both ends; ``trim`` alone removes only spaces."""
-    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def is_blank(text: Column) -> Column:
@@ -34,9 +37,14 @@ def decode_text_file(content: Column) -> Column:
     return py_strip(universal_newlines(decode_utf8(content)))
 
 
-def is_readable(text: Column, min_chars: int = fixed.MIN_READABLE_CHARS) -> Column:
-    """True when the stripped text has at least ``min_chars`` code points; null text is False."""
-    return F.coalesce(F.length(py_strip(text)) >= min_chars, F.lit(False))
+def is_readable(text: Column) -> Column:
+    """True when the stripped text is long enough; null text is False."""
+    return is_long_enough(py_strip(text))
+
+
+def is_long_enough(stripped: Column, min_chars: int = fixed.MIN_READABLE_CHARS) -> Column:
+    """The same test on text that is stripped already, in code points."""
+    return F.coalesce(F.length(stripped) >= min_chars, F.lit(False))
 
 
 def char_count(text: Column) -> Column:

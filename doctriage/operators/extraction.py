@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.functions.paths import is_supported
-from doctriage.functions.text import decode_text_file, decode_utf8, is_blank, is_readable, py_strip
+from doctriage.functions.text import decode_text_file, decode_utf8, is_blank, is_long_enough, py_strip
 
 # One parsed piece of a file: page, paragraph, cell, shape or OCR string.  ``kind`` is the type
 # of the value before it became text: str, num or bool.
@@ -105,7 +105,7 @@ def extract_text(
         raw = plain
     return (
         files.withColumn("_raw", F.when(is_supported(ext, types), raw))
-        .withColumn("text", F.when(is_readable(F.col("_raw")), F.col("_raw")))
+        .withColumn("text", F.when(is_long_enough(F.col("_raw")), F.col("_raw")))
         .drop("_raw", "_fragments")
     )
 

@@ -56,23 +56,18 @@ def with_grams(docs: DataFrame, words: str = "words") -> DataFrame:
 
 
 def term_counts(
-    docs: DataFrame,
-    stop_words: Sequence[str],
-    size: int = fixed.MAX_FEATURES,
-    text: str = "text",
-    pruning_words: int = PRUNING_WORDS,
+    words: DataFrame, size: int = fixed.MAX_FEATURES, pruning_words: int = PRUNING_WORDS
 ) -> DataFrame:
-    """The ``size`` most frequent terms as ``term, n``, most frequent first, then by term.
+    """The ``size`` most frequent terms of ``words`` as ``term, n``, by count, then by term.
 
     An n-gram is at most as frequent as each of its words.  So the count of the ``size``-th most
     frequent single word is a floor for every selected term, and n-grams holding a rarer word
     are dropped before the shuffle.  Without this, the shuffle would carry nearly every 2- and
     3-gram of the corpus.  When too many words reach the floor all n-grams are counted.
     """
-    words = with_words(docs.select(F.col(text).alias("text")), stop_words).select("words")
+    words = words.select("words")
     counts = stage(
-        _each("words", words).groupBy("term").agg(F.count("*").alias("n")),
-        "word-counts",
+        _each("words", words).groupBy("term").agg(F.count("*").alias("n")), "word-counts"
     )
     top = counts.orderBy(F.desc("n"), "term").limit(size)
     floor = top.agg(F.count("*").alias("found"), F.min("n").alias("floor")).first()
@@ -100,31 +95,24 @@ def _blank_others(words: str, kept: Sequence[str]) -> Column:
     return F.expr(f"transform({words}, word -> if(word IN ({listed}), word, ''))")
 
 
-def fit_vocabulary(
-    docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
-) -> list[str]:
+def fit_vocabulary(words: DataFrame, size: int = fixed.MAX_FEATURES) -> list[str]:
     """The selected terms on the driver; ``size`` bounds what is collected."""
-    return [row["term"] for row in term_counts(docs, stop_words, size, text).collect()]
+    return [row["term"] for row in term_counts(words, size).collect()]
 
 
-def count_stages(vocabulary: Sequence[str], stop_words: Sequence[str]) -> list:
-    """Fitted Spark ML stages that turn ``text`` into the sparse count vector ``counts``.
+def with_counts(docs: DataFrame, stages: PipelineModel, source: str = "text") -> DataFrame:
+    """Replace ``source`` by ``term_ids array<int>`` and ``term_counts array<double>``.
 
-    Every stage works row by row in the JVM, so counting needs no shuffle.
+    ``stages`` start at ``text`` or at ``words``.  They work row by row in the JVM, so counting
+    needs no shuffle.
     """
-    counter = CountVectorizerModel.from_vocabulary(
-        list(vocabulary), inputCol="grams", outputCol="counts"
-    )
-    return [*word_stages(stop_words), *gram_stages(), counter]
-
-
-def with_counts(docs: DataFrame, vectorizer: PipelineModel, text: str = "text") -> DataFrame:
-    """Add ``term_ids array<int>`` and ``term_counts array<double>`` of the known terms."""
-    columns = docs.columns
-    work = docs.withColumn("_doc", F.struct(*columns)).select("_doc", F.col(text).alias("text"))
-    counted = vectorizer.transform(work).select("_doc", F.unwrap_udt("counts").alias("_counts"))
+    columns = [name for name in docs.columns if name != source]
+    kept = F.struct(*columns) if columns else F.struct(F.lit(0).alias("_none"))
+    start = "words" if source == "words" else "text"
+    work = docs.select(kept.alias("_doc"), F.col(source).alias(start))
+    counted = stages.transform(work).select("_doc", F.unwrap_udt("counts").alias("_counts"))
     return counted.select(
-        "_doc.*",
+        *[F.col(f"_doc.{name}") for name in columns],
         F.col("_counts.indices").alias("term_ids"),
         F.col("_counts.values").alias("term_counts"),
     )
@@ -158,35 +146,55 @@ def document_frequencies(counted: DataFrame) -> DataFrame:
 
 @dataclass
 class Vectorizer:
-    """Fitted counting stages, their vocabulary and its IDF."""
+    """Fitted counting stages, from text and from words, their vocabulary and its IDF."""
 
     stages: PipelineModel
+    word_stages: PipelineModel
     vocabulary: list[str]
     idf: list[float]
 
 
+def staged_words(docs: DataFrame, stop_words: Sequence[str], text: str = "text") -> DataFrame:
+    """``docs`` with ``words`` in place of the text, written once.
+
+    Fitting passes over the words several times; tokenizing is by far its most expensive step.
+    """
+    return stage(with_words(spread(docs), stop_words, text).drop(text), "words")
+
+
 def fit_vectorizer(
     docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
 ) -> Vectorizer:
-    texts = spread(docs.select(F.col(text).alias("text")))
-    vocabulary = fit_vocabulary(texts, stop_words, size)
-    stages = PipelineModel(count_stages(vocabulary, stop_words))
-    counted = with_counts(texts, stages).drop("text")
-    return Vectorizer(stages, vocabulary, fit_idf(counted, len(vocabulary)))
+    words = staged_words(docs.select(F.col(text).alias("text")), stop_words)
+    return fit_on_words(words, stop_words, size)
 
 
-def long_weights(
-    vectorizer: Vectorizer, docs: DataFrame, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """TF-IDF table ``key, term, tf, idf, weight`` of any documents; unknown terms are dropped."""
-    counted = with_counts(docs.select(key, F.col(text).alias("text")), vectorizer.stages).drop("text")
+def fit_on_words(
+    words: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES
+) -> Vectorizer:
+    vocabulary = fit_vocabulary(words, size)
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="counts")
+    from_words = PipelineModel([*gram_stages(), counter])
+    counted = with_counts(words.select("words"), from_words, "words")
+    return Vectorizer(
+        stages=PipelineModel([*word_stages(stop_words), *from_words.stages]),
+        word_stages=from_words,
+        vocabulary=vocabulary,
+        idf=fit_idf(counted, len(vocabulary)),
+    )
+
+
+def long_weights(vectorizer: Vectorizer, counted: DataFrame) -> DataFrame:
+    """Rows ``term, tf, idf, weight`` with the other columns of counted documents."""
+    others = [name for name in counted.columns if name not in ("term_ids", "term_counts")]
     weighted = counted.withColumn(
         "_weights", tfidf_weights(F.col("term_ids"), F.col("term_counts"), vectorizer.idf)
     ).withColumn("_norm", unit_length(F.col("_weights")))
     names = F.from_json(F.lit(json.dumps(vectorizer.vocabulary)), "array<string>")
     cells = F.explode_outer(F.arrays_zip("term_ids", "term_counts", "_weights")).alias("cell")
-    return weighted.select(key, "_norm", cells).filter(F.col("cell.term_ids").isNotNull()).select(
-        key,
+    found = weighted.select(*others, "_norm", cells).filter(F.col("cell.term_ids").isNotNull())
+    return found.select(
+        *others,
         F.get(names, F.col("cell.term_ids")).alias("term"),
         F.col("cell.term_counts").cast("long").alias("tf"),
         F.get(number_array(vectorizer.idf), F.col("cell.term_ids")).alias("idf"),
@@ -195,14 +203,17 @@ def long_weights(
 
 
 def tfidf(
-    docs: DataFrame,
-    stop_words: Sequence[str],
-    size: int = fixed.MAX_FEATURES,
-    key: str = "doc_id",
-    text: str = "text",
+    docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
 ) -> DataFrame:
-    """Fit on ``docs`` and return their own TF-IDF table."""
-    return long_weights(fit_vectorizer(docs, stop_words, size, text), docs, key, text)
+    """Fit on ``docs`` and return their own TF-IDF table; their texts are tokenized once."""
+    words = staged_words(docs, stop_words, text)
+    vectorizer = fit_on_words(words, stop_words, size)
+    return long_weights(vectorizer, with_counts(words, vectorizer.word_stages, "words"))
+
+
+def tfidf_of(vectorizer: Vectorizer, docs: DataFrame, text: str = "text") -> DataFrame:
+    """TF-IDF table of any documents; terms the vectorizer does not know are dropped."""
+    return long_weights(vectorizer, with_counts(docs, vectorizer.stages, text))
 
 
 def fit_idf(counted: DataFrame, size: int) -> list[float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -18,6 +19,10 @@ from doctriage.operators import features
 from doctriage.session import path_exists, shared_folder
 
 
+ROWS_PER_TASK = 20_000
+TOLERANCE = 1e-10
+
+
 @dataclass
 class TextModel:
     """A fitted vectorizer and linear classifier, ready to score.
@@ -39,7 +44,8 @@ class TextModel:
         Row by row in the JVM: documents are neither shuffled nor sent to Python.
         """
         columns = docs.columns
-        counted = features.with_counts(docs, self.vectorizer, text)
+        scored = docs.withColumn("_model_text", F.col(text))
+        counted = features.with_counts(scored, self.vectorizer, "_model_text")
         weighted = counted.withColumn(
             "_weights",
             features.tfidf_weights(F.col("term_ids"), F.col("term_counts"), self.idf),
@@ -108,18 +114,21 @@ def fit(
     """
     spark = samples.sparkSession
     words = list(features.default_stop_words() if stop_words is None else stop_words)
-    vectorizer = features.fit_vectorizer(samples, words, size)
-    labels = sorted(row["label"] for row in samples.select("label").distinct().collect())
-    counted = features.with_counts(samples.select("label", "text"), vectorizer.stages).drop("text")
+    tokenized = features.staged_words(samples.select("label", "text"), words)
+    vectorizer = features.fit_on_words(tokenized, words, size)
+    labels = sorted(row["label"] for row in tokenized.select("label").distinct().collect())
+    counted = features.with_counts(tokenized, vectorizer.word_stages, "words")
     train = _sparse_vectors(spark, counted, vectorizer.idf, labels)
     rows = train.count()
+    # The solver runs one job per step: tasks below this share would cost more than they compute.
+    train = train.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
     solver = LogisticRegression(
         family="multinomial",
         standardization=False,
         elasticNetParam=0.0,
         regParam=1.0 / (inverse_regularisation * rows),
         maxIter=max_iterations,
-        tol=1e-10,
+        tol=TOLERANCE,
     )
     fitted = solver.fit(train)
     matrix = fitted.coefficientMatrix.toArray()

@@ -13,6 +13,7 @@ from doctriage.operators.validation import check_file, is_non_document
 from doctriage.queries.registry import (
     FILES_SQL, SUPPORTED, files_view, files_with_text, query, sql_ext, sql_round, sql_strip, table,
 )
+from doctriage.session import stage
 from doctriage.sources.files import arrival_order, list_folder, read_folder, with_names
 
 # The given texts are far below 50 MiB, so the query lowers the limit to reach the warning.
@@ -108,13 +109,11 @@ first_seen AS (
 
 
 def duplicate_input(spark, folder) -> DataFrame:
+    """The narrow rows the duplicate test needs, written once so that the texts are read once."""
+    readable = F.col("text").isNotNull()
+    registers = routing.registerable(readable, F.col("file_ext"), F.col("length"), True)
     files = files_with_text(spark, folder)
-    return files.select(
-        "arrival_seq", "md5", "length", "file_ext",
-        routing.registerable(F.col("text").isNotNull(), F.col("file_ext"), F.col("length"), True).alias(
-            "registerable"
-        ),
-    )
+    return stage(files.select("arrival_seq", "md5", "length", registers.alias("registerable")), "fingerprints")
 
 
 @query(f"WITH {FILES_SQL}, {DUPLICATES_SQL} SELECT arrival_seq, md5, is_duplicate FROM marked")

@@ -70,7 +70,8 @@ def ngram_lists(spark, folder) -> DataFrame:
 
 @query(f"WITH {VOCABULARY_SQL} SELECT term, n FROM vocabulary")
 def vocabulary(spark, folder) -> DataFrame:
-    return features.term_counts(documents(spark, folder), STOP_WORDS, MAX_TERMS)
+    words = features.staged_words(documents(spark, folder).select("text"), STOP_WORDS)
+    return features.term_counts(words, MAX_TERMS)
 
 
 @query(f"WITH {WEIGHTS_SQL} SELECT doc_id, term, tf, round(idf, 6) AS idf, round(weight, 6) AS weight FROM weights")
@@ -113,7 +114,7 @@ def tfidf_unseen(spark, folder) -> DataFrame:
     """Vocabulary and IDF from the training share, weights of the held-out documents."""
     training_share, test = model.split_samples(documents(spark, folder))
     vectorizer = features.fit_vectorizer(training_share, STOP_WORDS, MAX_TERMS)
-    return features.long_weights(vectorizer, test).select(
+    return features.tfidf_of(vectorizer, test).select(
         "doc_id", "term", F.round("weight", 6).alias("weight")
     )
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.functions.paths import file_ext
-from doctriage.functions.text import is_readable, py_strip
-from doctriage.functions.paths import is_supported
+from doctriage.functions.paths import file_ext, is_supported
+from doctriage.functions.text import is_long_enough, py_strip
+from doctriage.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,8 +44,10 @@ def pick(values: tuple[str, ...], position: Column) -> Column:
 def files_view(spark: SparkSession, folder: str) -> DataFrame:
     """``arrival_seq, path, file_name, file_ext, length, md5, content``."""
     columns = ["doc_id", "content", "arrival_seq"]
-    documents = table(spark, folder, "documents").select(
-        "doc_id", F.col("text").alias("content"), (F.col("doc_id") * 2).alias("arrival_seq")
+    documents = spread(
+        table(spark, folder, "documents").select(
+            "doc_id", F.col("text").alias("content"), (F.col("doc_id") * 2).alias("arrival_seq")
+        )
     )
     empties = (
         table(spark, folder, "labels")
@@ -71,9 +73,9 @@ def files_view(spark: SparkSession, folder: str) -> DataFrame:
 
 def files_with_text(spark: SparkSession, folder: str) -> DataFrame:
     """Files with ``text``: the stripped content where type and length make it readable."""
-    content = F.col("content")
-    readable = is_supported(F.col("file_ext")) & is_readable(content)
-    return files_view(spark, folder).withColumn("text", F.when(readable, py_strip(content)))
+    files = files_view(spark, folder).withColumn("_stripped", py_strip(F.col("content")))
+    readable = is_supported(F.col("file_ext")) & is_long_enough(F.col("_stripped"))
+    return files.withColumn("text", F.when(readable, F.col("_stripped"))).drop("_stripped")
 
 
 # ---- SQL building blocks ----------------------------------------------------------------

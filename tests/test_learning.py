@@ -41,7 +41,8 @@ def test_pruned_vocabulary_is_exact(spark, pruning_words):
             counts.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
     expected = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:20]
     df = spark.createDataFrame([(t,) for t in rows], "text string")
-    got = features.term_counts(df, ["the", "and", "of"], 20, pruning_words=pruning_words).collect()
+    words = features.with_words(df, ["the", "and", "of"])
+    got = features.term_counts(words, 20, pruning_words=pruning_words).collect()
     assert [tuple(r) for r in got] == expected
 
 
@@ -49,15 +50,12 @@ def test_solution_has_no_gradient(spark):
     """At the optimum of mean loss + |w|^2 / (2 C n) all derivatives vanish."""
     train = samples(spark)
     fitted = model.fit(train, stop_words=["the"])
-    rows = features.long_weights(
-        features.Vectorizer(fitted.vectorizer, fitted.vectorizer.stages[-1].vocabulary, fitted.idf),
-        train.withColumn("doc_id", F.monotonically_increasing_id()),
-    ).collect()
-    ids = {term: i for i, term in enumerate(fitted.vectorizer.stages[-1].vocabulary)}
-    labels = {
-        r.doc_id: r.label
-        for r in train.withColumn("doc_id", F.monotonically_increasing_id()).collect()
-    }
+    vocabulary = fitted.vectorizer.stages[-1].vocabulary
+    vectorizer = features.Vectorizer(fitted.vectorizer, None, vocabulary, fitted.idf)
+    numbered = train.withColumn("doc_id", F.monotonically_increasing_id())
+    rows = features.tfidf_of(vectorizer, numbered.select("doc_id", "text")).collect()
+    ids = {term: i for i, term in enumerate(vocabulary)}
+    labels = {r.doc_id: r.label for r in numbered.collect()}
     docs = {doc: i for i, doc in enumerate(sorted(labels))}
     x = np.zeros((len(docs), len(ids)))
     for r in rows:
