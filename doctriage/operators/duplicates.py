@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctriage.operators.skew import join_facts
+from doctriage.operators.skew import join_facts, matching
 
 
 def fingerprint(content: Column) -> Column:
@@ -23,7 +23,8 @@ def mark_duplicates(
     so a plain distinct on the fingerprint would be wrong.
 
     Each content is reduced to its first registered arrival before any row is joined; contents
-    that cannot cause a duplicate are dropped from the lookup.
+    that cannot cause a duplicate are dropped from the lookup.  ``files`` is read several times:
+    pass narrow, staged rows.  A registry that is large against ``files`` is scanned, not shuffled.
     """
     contents = (
         files.filter("length > 0")
@@ -36,8 +37,10 @@ def mark_duplicates(
     if registry is None:
         contents = contents.withColumn("seen", F.lit(False))
     else:
-        known = registry.select("md5").distinct().withColumn("seen", F.lit(True))
-        contents = contents.join(known, "md5", "left").fillna(False, ["seen"])
+        arrived = files.filter("length > 0").select("md5").distinct()
+        known = matching(registry.select("md5"), arrived, "md5", files.count()).distinct()
+        contents = contents.join(known.withColumn("seen", F.lit(True)), "md5", "left")
+        contents = contents.fillna(False, ["seen"])
     causes = contents.filter(
         F.col("seen") | ((F.col("copies") > 1) & F.col("first_registered").isNotNull())
     )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctriage.functions.paths import join_path, numbered_name, raw_ext, stem
-from doctriage.operators.skew import MAX_WINDOW_ROWS, count_before, join_facts
+from doctriage.operators.skew import MAX_WINDOW_ROWS, count_before, join_facts, matching
 from doctriage.session import stage
 
 _NUMBERED = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
@@ -48,9 +48,9 @@ def assign_names(
     """Add ``final_name`` and ``name_number`` to files with ``destination``, ``file_name``, ``order``.
 
     ``occupied`` lists names (``destination, file_name``) that exist already; an optional column
-    ``last`` says that the numbers up to it are taken as well, so the state kept between runs
-    is one row per requested name (``name_state``).  Rows with a null destination are not moved
-    and get nulls.
+    ``last`` says that the numbers up to it are taken as well (``name_state``).  Of a large list
+    only the names this run touches are kept.  Rows with a null destination are not moved and
+    get nulls.
     """
     columns = files.columns
     moved = _keyed(files.filter(F.col("destination").isNotNull()))
@@ -124,13 +124,10 @@ def assign_names(
 def name_state(results: DataFrame) -> DataFrame:
     """What later runs need to know about given names, as ``occupied`` for ``assign_names``.
 
-    One row per requested name however many copies it has: all numbers up to ``last`` are taken.
+    Rows may repeat a name; the largest number counts, and all numbers up to it are taken.
     """
-    return (
-        results.filter(F.col("destination").isNotNull())
-        .groupBy("destination", "file_name")
-        .agg(F.max("name_number").alias("last"))
-    )
+    moved = results.filter(F.col("destination").isNotNull())
+    return moved.select("destination", "file_name", F.col("name_number").alias("last"))
 
 
 def _keyed(names: DataFrame) -> DataFrame:
@@ -153,9 +150,22 @@ def _with_state(requested: DataFrame, occupied: DataFrame) -> DataFrame:
 
     Only state about names this run touches is joined in.
     """
-    last = F.max("last") if "last" in occupied.columns else F.lit(0)
-    state = _with_parent(
-        _keyed(occupied).groupBy("_key", "destination", "file_name").agg(last.cast("long").alias("last"))
+    requested = stage(requested, "requested")
+    count = requested.count()
+    if "last" not in occupied.columns:
+        occupied = occupied.withColumn("last", F.lit(0))
+    known_names = _with_parent(_keyed(occupied.select("destination", "file_name", "last")))
+    keys, parents = requested.select("_key"), requested.filter("k IS NOT NULL").select(
+        F.col("_parent_key").alias("_key")
+    )
+    same = matching(known_names, keys.unionByName(parents).distinct(), "_key", 2 * count)
+    copies = matching(
+        known_names.filter("k IS NOT NULL"), keys.withColumnRenamed("_key", "_parent_key"), "_parent_key", count
+    )
+    state = (
+        same.unionByName(copies)
+        .groupBy("_key", "destination", "file_name", "_parent_key", "k")
+        .agg(F.max("last").cast("long").alias("last"))
     )
     own = state.select("_key", "last", F.lit(True).alias("_exists"))
     givers = state.select(F.col("_key").alias("_parent_key"), F.col("last").alias("_parent_last"))
@@ -170,7 +180,6 @@ def _with_state(requested: DataFrame, occupied: DataFrame) -> DataFrame:
         .fillna(0, ["last"])
         .drop("_exists", "_parent_last")
     )
-    keys = requested.select("_key")
     others = (
         state.join(keys.select(F.col("_key").alias("_parent_key")), "_parent_key", "left_semi")
         .join(keys, "_key", "left_anti")

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 SCATTER = 100_000
 MAX_WINDOW_ROWS = 1_000_000
+BROADCAST_KEYS = 500_000
+
+
+def matching(table: DataFrame, keys: DataFrame, key: str, count: int) -> DataFrame:
+    """Rows of a large ``table`` whose ``key`` is among ``keys``, of which there are at most ``count``.
+
+    Few keys are broadcast, so that the table is only scanned; many are joined by shuffle.
+    """
+    side = F.broadcast(keys) if count <= BROADCAST_KEYS else keys
+    return table.join(side, key, "left_semi")
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:

@@ -254,7 +254,8 @@ def free_names(spark, folder) -> DataFrame:
         "arrival_seq", "file_name",
         F.when(readable, fixed.DEFAULT_ROUTE).otherwise(fixed.UNREADABLE_FOLDER).alias("destination"),
     )
-    return naming.assign_names(placed).select("arrival_seq", "destination", "final_name")
+    named = naming.assign_names(stage(placed, "placed"))
+    return named.select("arrival_seq", "destination", "final_name")
 
 
 @query()
@@ -273,7 +274,7 @@ def free_names_numbered(spark, folder) -> DataFrame:
         F.col("doc_id").alias("arrival_seq"), F.concat_ws("/", "source", "lang").alias("destination"), name.alias("file_name")
     )
     existing = requests.select("destination", F.lit("scan_2.pdf").alias("file_name")).distinct()
-    return naming.assign_names(requests, existing)
+    return naming.assign_names(stage(requests, "placed"), existing)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from doctriage.operators import extraction, metrics, routing
 from doctriage.queries.registry import (
     FILE_TYPES, FILES_SQL, SUPPORTED, files_view, pick, query, sql_ext, sql_list, sql_strip, table,
 )
+from doctriage.session import shared_folder
 from doctriage.sources.events import parse_events
-from doctriage.sources.samples import clean_samples
+from doctriage.sources.samples import clean_samples, read_samples
 
 
 @query(
@@ -142,20 +145,16 @@ def ocr_lines(spark, folder) -> DataFrame:
 
 
 def stored_objects(spark, folder) -> DataFrame:
-    """Conversations as stored objects of all types; content is the whole first turn."""
-    first = table(spark, folder, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("first"))
+    """Conversations as stored objects of all types; the content is all their turns."""
     ext = pick(FILE_TYPES, F.col("conv_id") % len(FILE_TYPES))
-    return (
-        conversation_blocks(spark, folder)
-        .join(first, "conv_id", "left")
-        .select(
-            F.lit("intake").alias("bucket"),
-            F.concat(F.lit("in/c"), F.col("conv_id").cast("string"), ext).alias("key"),
-            F.lower(ext).alias("file_ext"),
-            F.encode("first", "UTF-8").alias("content"),
-            "blocks",
-            "conv_id",
-        )
+    whole = F.array_join(F.transform("blocks", lambda block: block["Text"]), "\n")
+    return conversation_blocks(spark, folder).select(
+        F.lit("intake").alias("bucket"),
+        F.concat(F.lit("in/c"), F.col("conv_id").cast("string"), ext).alias("key"),
+        F.lower(ext).alias("file_ext"),
+        F.encode(whole, "UTF-8").alias("content"),
+        "blocks",
+        "conv_id",
     )
 
 
@@ -163,11 +162,13 @@ OBJECTS_SQL = f"""
 {LINES_SQL}, objects AS (
     SELECT c.conv_id, 'in/c' || c.conv_id || ([{sql_list(FILE_TYPES)}])[c.conv_id % {len(FILE_TYPES)} + 1] AS key,
            lower(([{sql_list(FILE_TYPES)}])[c.conv_id % {len(FILE_TYPES)} + 1]) AS file_ext,
-           f.text AS first, c.text AS lines
-    FROM line_texts c LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) f USING (conv_id)
+           f.whole, c.text AS lines
+    FROM line_texts c JOIN (
+        SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id
+    ) f USING (conv_id)
 ), object_texts AS (
     SELECT conv_id, key, file_ext,
-           CASE WHEN file_ext = '.txt' THEN first
+           CASE WHEN file_ext = '.txt' THEN whole
                 WHEN file_ext IN ('.pdf', '.jpg', '.jpeg', '.png') THEN lines END AS text
     FROM objects
 )"""
@@ -282,10 +283,6 @@ def samples_per_label(spark, folder) -> DataFrame:
 @query(f"WITH {CORPUS_SQL} SELECT label, text FROM samples")
 def sample_files(spark, folder) -> DataFrame:
     """The labelled lines written as one text dataset per label and read back."""
-    from doctriage.session import shared_folder
-    from doctriage.sources.samples import read_samples
-    import uuid
-
     root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     lines = corpus_lines(spark, folder)
     for name, label in zip(CORPUS_FILES, ("Resume", "Invoice", "Paystub", "Contract")):
