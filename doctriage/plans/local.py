@@ -16,9 +16,10 @@ from doctriage.operators.extraction import Parser, extract_text
 from doctriage.operators.model import TextModel, reported_confidence
 from doctriage.operators.naming import assign_names
 from doctriage.operators.routing import outcome, registerable, verify_arrival, with_outcome_columns
+from doctriage.operators.skew import join_facts
 from doctriage.operators.validation import check_file, is_confident, is_non_document
 from doctriage.session import stage
-from doctriage.sources.files import arrival_order, read_folder, with_names
+from doctriage.sources.files import arrival_order, fetch, read_folder, with_names
 
 RESULT_SCHEMA = StructType()
 for _name in (
@@ -39,6 +40,33 @@ class Settings:
     parsers: Mapping[str, Parser] = field(default_factory=dict)
     routes: Mapping[str, str] = field(default_factory=lambda: dict(fixed.ROUTES))
     threshold: float = fixed.CONFIDENCE_THRESHOLD
+    parse_contents_once: bool = False
+
+
+def content_facts(files: DataFrame, settings: Settings) -> DataFrame:
+    """Replace ``text`` by what follows from it: readable, label, confidence, prompt.
+
+    Row by row, no shuffle.  Uncertain documents keep the prompt for the second opinion, a string
+    of bounded length.
+    """
+    readable = F.col("text").isNotNull()
+    classifiable = readable & ~is_non_document(F.col("file_ext"))
+    facts = files.withColumn("readable", readable)
+    if settings.model is None:
+        nothing = {"prompt": "string", "ml_label": "string", "ml_confidence": "double"}
+        facts = facts.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
+        return facts.drop("text", "content")
+    scored = settings.model.score(
+        facts.withColumn("_scored", F.when(classifiable, F.col("text"))), "_scored"
+    )
+    unsure = classifiable & ~is_confident(F.col("ml_confidence"), settings.threshold)
+    return scored.withColumns(
+        {
+            "prompt": F.when(unsure, second.prompt(F.col("text"))),
+            "ml_label": F.when(classifiable, F.col("ml_label")),
+            "ml_confidence": F.when(classifiable, F.col("ml_confidence")),
+        }
+    ).drop("probabilities", "_scored", "text", "content")
 
 
 def file_facts(files: DataFrame, settings: Settings) -> DataFrame:
@@ -47,37 +75,18 @@ def file_facts(files: DataFrame, settings: Settings) -> DataFrame:
     ``files`` has ``path, file_name, file_ext, length, md5, text`` (text null if unreadable) and
     ``arrival_seq`` or ``modificationTime``.  Classification depends on the text alone, so it
     runs in the same pass: scoring a few copies twice costs less than shuffling all texts to
-    leave them out.  Uncertain documents keep the prompt for the second opinion, a bounded string.
+    leave them out.
     """
-    has_model = settings.model is not None
-    readable = F.col("text").isNotNull()
-    classifiable = readable & ~is_non_document(F.col("file_ext"))
-    facts = files.withColumn("readable", readable)
-    if has_model:
-        facts = settings.model.score(
-            facts.withColumn("_scored", F.when(classifiable, F.col("text"))), "_scored"
-        )
-        unsure = classifiable & ~is_confident(F.col("ml_confidence"), settings.threshold)
-        facts = (
-            facts.withColumn("prompt", F.when(unsure, second.prompt(F.col("text"))))
-            .withColumn("ml_label", F.when(classifiable, F.col("ml_label")))
-            .withColumn("ml_confidence", F.when(classifiable, F.col("ml_confidence")))
-            .drop("probabilities", "_scored")
-        )
-    else:
-        empty = F.lit(None)
-        facts = (
-            facts.withColumn("prompt", empty.cast("string"))
-            .withColumn("ml_label", empty.cast("string"))
-            .withColumn("ml_confidence", empty.cast("double"))
-        )
-    return (
-        facts.withColumn("check_status", check_file(F.col("length"))["status"])
-        .withColumn(
-            "registerable",
-            registerable(F.col("readable"), F.col("file_ext"), F.col("length"), has_model),
-        )
-        .drop("text", "content")
+    return with_checks(content_facts(files, settings), settings)
+
+
+def with_checks(facts: DataFrame, settings: Settings) -> DataFrame:
+    """What each single file adds: the size check and whether it may register its content."""
+    may_register = registerable(
+        F.col("readable"), F.col("file_ext"), F.col("length"), settings.model is not None
+    )
+    return facts.withColumns(
+        {"check_status": check_file(F.col("length"))["status"], "registerable": may_register}
     )
 
 
@@ -131,7 +140,12 @@ def triage(
     The files are scanned once.  Their facts are staged, then only narrow rows are shuffled: by
     fingerprint, and by destination and name.
     """
-    facts = file_facts(files, settings)
+    return triage_facts(file_facts(files, settings), settings, registry, occupied)
+
+
+def triage_facts(
+    facts: DataFrame, settings: Settings, registry: DataFrame | None, occupied: DataFrame | None
+) -> DataFrame:
     if "arrival_seq" not in facts.columns:
         facts = arrival_order(stage(facts, "unordered-facts"))
     facts = stage(facts, "facts")
@@ -155,9 +169,36 @@ def triage_folder(
     listing: DataFrame | None = None,
 ) -> DataFrame:
     """Triage of every regular file directly in a folder; empty for an empty folder."""
-    return triage(
-        read_texts(read_folder(spark, folder, listing), settings.parsers), settings, registry, occupied
+    files = read_folder(spark, folder, listing)
+    if settings.parse_contents_once:
+        facts = facts_per_content(files, settings)
+    else:
+        facts = file_facts(read_texts(files, settings.parsers), settings)
+    return triage_facts(facts, settings, registry, occupied)
+
+
+def facts_per_content(files: DataFrame, settings: Settings) -> DataFrame:
+    """The facts of ``path, modificationTime, length, content`` with each content parsed once.
+
+    For parsers that cost more than reading.  A first pass fingerprints all files; then one file
+    per content and type is read again by path, on the executors, and parsed and scored; all
+    copies look the outcome up.  No bytes are shuffled.
+    """
+    named = with_names(files).withColumn("md5", fingerprint(F.col("content"))).drop("content")
+    named = stage(named.withColumn("_content", F.concat("md5", "file_ext")), "fingerprints")
+    contents = stage(
+        named.filter("length > 0")
+        .groupBy("_content")
+        .agg(F.min(F.struct("path", "modificationTime", "length")).alias("first"), F.count("*").alias("copies")),
+        "contents",
+    )
+    texts = extract_text(with_names(fetch(contents.select("first.*"))), settings.parsers)
+    learned = content_facts(texts.select("path", "file_ext", "text"), settings).drop("file_ext")
+    by_content = contents.select("_content", "copies", F.col("first.path").alias("path")).join(
+        stage(learned, "content-facts"), "path"
     )
+    facts = join_facts(named, by_content.drop("path"), "_content", "copies").drop("_content")
+    return with_checks(facts.fillna(False, ["readable"]), settings)
 
 
 def verified(results: DataFrame, listing: DataFrame) -> DataFrame:

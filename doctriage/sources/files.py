@@ -14,6 +14,7 @@ from doctriage.session import shared_folder
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 LISTING_CHUNK = 50_000
+FETCH_BYTES = 64 * 1024 * 1024
 
 
 def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
@@ -65,27 +66,43 @@ def list_folder(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def fetch(listed: DataFrame) -> DataFrame:
-    """Read the listed files on the executors, by path; a file gone meanwhile has null length."""
+def fetch(listed: DataFrame, chunk_bytes: int = FETCH_BYTES) -> DataFrame:
+    """Read the listed files on the executors, by path; a file gone meanwhile has null length.
 
-    def read(batches):
+    Files are handed on in chunks of about ``chunk_bytes``, so a task holds few contents at once.
+    """
+
+    def load(path):
         from pyarrow import fs
 
+        if not path.startswith("file://") and path.startswith("file:"):
+            path = "file://" + path.removeprefix("file:")
+        try:
+            store, inner = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(inner) as stream:
+                return stream.read()
+        except FileNotFoundError:
+            return None
+
+    def read(batches):
         for batch in batches:
-            contents = []
-            for path in batch["path"]:
-                try:
-                    uri = path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path
-                    store, inner = fs.FileSystem.from_uri(uri)
-                    with store.open_input_stream(inner) as stream:
-                        contents.append(stream.read())
-                except FileNotFoundError:
-                    contents.append(None)
-            batch["content"] = pd.Series(contents, index=batch.index, dtype=object)
-            batch["length"] = [None if c is None else len(c) for c in contents]
-            yield batch
-
-    return listed.select("path", "modificationTime", "length").mapInPandas(read, FILE_SCHEMA)
+            rows, held = [], 0
+            for path, moment in zip(batch["path"], batch["modificationTime"]):
+                content = load(path)
+                size = None if content is None else len(content)
+                rows.append((path, moment, size, content))
+                held += size or 0
+                if held >= chunk_bytes:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
+
+    def frame(rows):
+        made = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+        return made.astype({"length": "Int64"})
+
+    return listed.select("path", "modificationTime").mapInPandas(read, FILE_SCHEMA)
 
 
 def arrival_order(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from doctriage import fixed
 from doctriage.operators.reports import report_rows, report_text, result_records
 from doctriage.plans import local
 from doctriage.sinks.files import copy_files
-from doctriage.sources.files import list_folder, read_folder
+from doctriage.sources.files import fetch, list_folder, read_folder
 
 GOOD = b"A readable text of some length."
 
@@ -45,7 +45,8 @@ def failing(content):
     raise ValueError("corrupt")
 
 
-def test_outcomes(spark, tmp_path):
+@pytest.mark.parametrize("once", [False, True])
+def test_outcomes(spark, tmp_path, once):
     files = [
         ("empty.pdf", b""), ("_hidden.txt", b"hidden files are files too"), (".dot", b"no extension here"),
         ("first.txt", GOOD), ("copy.md.txt", GOOD), ("short.txt", b"  123456789 "), ("short2.txt", b"  123456789 "),
@@ -61,8 +62,11 @@ def test_outcomes(spark, tmp_path):
         ".docx": failing,
     }
     got = by_name(
-        triage(spark, tmp_path / "in", files, parsers=parsers, responder=lambda qs: ["An INVOICE or resume"] * len(qs))
-    )
+        triage(
+            spark, tmp_path / "in", files, parsers=parsers, parse_contents_once=once,
+            responder=lambda qs: ["An INVOICE or resume"] * len(qs),
+        )
+    )
     outcomes = {name: row.outcome for name, row in got.items()}
     assert outcomes == {
         "empty.pdf": "rejected", "_hidden.txt": "classified", ".dot": "unsupported", "first.txt": "classified",
@@ -81,6 +85,23 @@ def test_outcomes(spark, tmp_path):
     assert not got["copy.md.txt"].registered and got["first.txt"].destination == "documents/legal/contracts"
 
 
+def test_costly_parsers_see_each_content_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def parse(content):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text("")
+        return [(0, 0, "str", content.decode())]
+
+    files = [(f"f{i}.pdf", GOOD) for i in range(6)] + [("other.pdf", b"another readable page"), ("e.pdf", b"")]
+    results = triage(spark, tmp_path / "in", files, parsers={".pdf": parse}, parse_contents_once=True)
+    outcomes = sorted(r.outcome for r in results.collect())
+    assert outcomes == ["classified"] * 2 + ["duplicate"] * 5 + ["rejected"]
+    assert len(list(calls.iterdir())) == 2
+
+
 def test_without_model_nothing_moves(spark, tmp_path):
     got = by_name(triage(spark, tmp_path / "in", [("a.txt", GOOD), ("b.txt", GOOD)], model=None))
     for row in got.values():
@@ -118,6 +139,16 @@ def test_listing_sees_every_file(spark, tmp_path):
     }
 
 
+def test_fetch_by_path_in_chunks(spark, tmp_path):
+    folder = write(tmp_path / "in", [(f"{i}.bin", bytes([i]) * 10) for i in range(5)])
+    listed = list_folder(spark, folder).cache()
+    assert listed.count() == 5
+    (tmp_path / "in" / "3.bin").unlink()
+    got = {os.path.basename(r.path): (r.length, r.content) for r in fetch(listed, chunk_bytes=15).collect()}
+    assert got["3.bin"] == (None, None)
+    assert {n: bytes(c) for n, (_, c) in got.items() if c} == {f"{i}.bin": bytes([i]) * 10 for i in (0, 1, 2, 4)}
+
+
 def test_copy_verify_and_report(spark, tmp_path):
     files = [("a.txt", GOOD), ("b.txt", b"another readable text")]
     results = triage(spark, tmp_path / "in", files).cache()
