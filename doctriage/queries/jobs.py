@@ -346,15 +346,11 @@ FROM results GROUP BY 1
 )
 def stream_counters(spark, folder) -> DataFrame:
     """Counters kept by a second stream over the results of the first."""
-    path = streamed(spark, folder, local.Settings())
-    name = f"counters_{uuid.uuid4().hex}"
-    running = (
-        arrivals.counter_stream(arrivals.stream_results(spark, path))
-        .writeStream.outputMode("complete").format("memory").queryName(name)
-        .trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.table(name)
+    results = arrivals.stream_results(spark, streamed(spark, folder, local.Settings()))
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    counted = arrivals.counter_stream(results)
+    arrivals.keep_updates(counted, f"{root}/counters", f"{root}/checkpoint").awaitTermination()
+    return arrivals.read_updates(spark, f"{root}/counters", "counter")
 
 
 @query(
@@ -380,11 +376,7 @@ def stream_latest(spark, folder) -> DataFrame:
     """Latest event per user kept as stream state."""
     schema = table(spark, folder, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    name = f"latest_{uuid.uuid4().hex}"
     latest = arrivals.latest_stream(source.select("user_id", "event_id", "event_type"), "user_id", "event_id")
-    running = (
-        latest.writeStream.outputMode("complete").format("memory").queryName(name)
-        .trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.table(name)
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    arrivals.keep_updates(latest, f"{root}/latest", f"{root}/checkpoint").awaitTermination()
+    return arrivals.read_updates(spark, f"{root}/latest", "user_id")

@@ -17,6 +17,7 @@ from doctriage.operators.naming import name_state
 from doctriage.operators.reports import recent_results
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage
 from doctriage.session import path_exists
+from doctriage.sinks.logs import latest_per_key
 
 
 def stream_folder(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -70,6 +71,24 @@ def latest_stream(items: DataFrame, key: str, order: str) -> DataFrame:
     return items.groupBy(key).agg(newest).select(key, "item.*")
 
 
+def keep_updates(
+    updates: DataFrame, path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Write what changed per micro-batch, so that neither driver nor task holds the whole state."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = updates.writeStream.outputMode("update").foreachBatch(process)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The current state: the last update of each key."""
+    return latest_per_key(spark.read.parquet(path), key, "batch_id").drop("batch_id")
+
+
 def stream_results(spark: SparkSession, path: str) -> DataFrame:
     """The written results as a stream of their own."""
     return spark.readStream.schema(RESULT_SCHEMA).parquet(f"{path}/batch_id=*")

@@ -73,3 +73,15 @@ def test_folder_stream(spark, tmp_path):
     moment = F.lit("2024-01-01 10:00:00").cast("timestamp")
     latest = arrivals.latest_results(spark, f"{tmp_path}/out", moment).collect()
     assert len(latest) == 2 and latest[0].timestamp == "10:00:00"
+
+
+def test_updates_over_several_batches(spark, tmp_path):
+    rows = [("a", 1, "x"), ("b", 2, "y"), ("a", 5, "z"), ("a", 3, "w"), ("c", 9, "v")]
+    schema = "k string, seq long, v string"
+    for part in (rows[:2], rows[2:4], rows[4:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        latest = arrivals.latest_stream(source, "k", "seq")
+        arrivals.keep_updates(latest, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = arrivals.read_updates(spark, f"{tmp_path}/out", "k").select("k", "seq", "v").collect()
+    assert sorted(map(tuple, got)) == [("a", 5, "z"), ("b", 2, "y"), ("c", 9, "v")]
