@@ -24,10 +24,13 @@ def class_report(
         F.col(label).cast("string").alias("truth"), F.col(predicted).cast("string").alias("guess")
     ).agg(F.count("*").alias("n"))
     hit = F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(F.lit(0))
-    sides = F.array(
-        F.struct(F.col("truth").alias("name"), F.col("n").alias("support"), F.lit(0).cast("long").alias("guessed"), hit.cast("long").alias("hits")),
-        F.struct(F.col("guess").alias("name"), F.lit(0).cast("long").alias("support"), F.col("n").alias("guessed"), F.lit(0).cast("long").alias("hits")),
-    )
+    none = F.lit(0).cast("long")
+
+    def side(name, support, guessed, hits):
+        values = (F.col(name), support, guessed, hits.cast("long"))
+        return F.struct(*[v.alias(n) for v, n in zip(values, ("name", "support", "guessed", "hits"))])
+
+    sides = F.array(side("truth", F.col("n"), none, hit), side("guess", none, F.col("n"), none))
     totals = (
         confusion.select(F.explode(sides).alias("s"))
         .groupBy("s.name")

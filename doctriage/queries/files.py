@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from doctriage.functions import numbers, paths, times
 from doctriage.functions.text import char_count, is_readable, preview, py_strip
 from doctriage.operators import duplicates, extraction, naming, routing
 from doctriage.operators.validation import check_file, is_non_document
+from doctriage.plans import local, runs
 from doctriage.queries.registry import (
     FILES_SQL, SUPPORTED, files_view, files_with_text, query, sql_ext, sql_round, sql_strip, table,
 )
-from doctriage.session import stage
+from doctriage.session import shared_folder, stage
 from doctriage.sources.files import arrival_order, list_folder, read_folder, with_names
 
 # The given texts are far below 50 MiB, so the query lowers the limit to reach the warning.
@@ -320,3 +323,11 @@ def folder_scan(spark, folder) -> DataFrame:
         "path", "modificationTime", "file_name", "file_ext", "length", F.md5("content").alias("md5")
     )
     return arrival_order(facts).drop("path", "modificationTime")
+
+
+@query()
+def folder_run(spark, folder) -> DataFrame:
+    """The folder of the given tables sorted as it is: triage, copy, verify, log."""
+    root = f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}"
+    done = runs.run_folder(spark, folder, root, local.Settings())
+    return done.select("file_name", "outcome", "status", "destination", "final_name", "report_status")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

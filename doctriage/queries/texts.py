@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doctriage.functions.text import decode_text_file
 from doctriage.operators import extraction, metrics, routing
 from doctriage.queries.registry import (
-    FILE_TYPES, FILES_SQL, SUPPORTED, files_view, pick, query, sql_ext, sql_list, sql_strip, table,
+    FILE_TYPES, FILES_SQL, files_view, pick, query, sql_ext, sql_list, sql_strip, table,
 )
 from doctriage.session import shared_folder
 from doctriage.sources.events import parse_events

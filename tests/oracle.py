@@ -42,4 +42,5 @@ def compare(df, sql, folder):
     assert len(got) == len(expected), (len(got), len(expected))
     for mine, theirs in zip(got, expected):
         assert mine == theirs, (sorted(names), mine, theirs)
+        assert list(map(type, mine)) == list(map(type, theirs)), (sorted(names), mine, theirs)
     return len(got)
