@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,12 +33,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **setting
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local-mode session without the setting gets a scratch folder of its own.
+    Only a single-process session without the setting, as in tests, gets a scratch folder of its
+    own; ``local-cluster`` and every real cluster must name one.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="doctriage-")
     spark.conf.set(CHECKPOINT_SETTING, folder)
@@ -70,4 +72,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files behind staged tables that nothing reads any more."""
+    for df in staged:
+        path = df.__dict__.get("_staged_at")
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            files = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+            files.delete(target, True)
