@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import neighbours
+from doctriage.llm import near_duplicates, neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op1_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+PAIRWISE_WORDS = near_duplicates.Likeness(words=2)
+
+
+@query()
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), PAIRWISE_WORDS)
