@@ -131,8 +131,9 @@ def learn(documents: DataFrame, labels: DataFrame, how: Voting = Voting()) -> Mo
     )
     frequencies, total = grams.document_frequencies(documents, look, SIZE)
     inverse = grams.inverse_frequencies(frequencies, total)
-    rows = documents.join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
-    rows = rows.select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).drop("doc_id")
+    rows = rows.select("id", "label", "text")
     rows = rows.dropDuplicates(["id"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
