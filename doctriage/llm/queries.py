@@ -1,70 +1,6 @@
 """One query per operator, applied to its whole table, each with its SQL where SQL can express it."""
 
-from __future__ import annotations
+from doctriage.llm import text_queries, web_queries
+from doctriage.llm.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from doctriage.llm import language, near_duplicates, neighbours, quality
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the function under its own name, with its SQL if there is one."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql.strip()
-        return function
-
-    return register
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-@query(
-    """
-WITH usable AS (
-    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, max(list_cosine_similarity(q.v, c.v)) AS score
-    FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
-    GROUP BY ALL
-), ranked AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
-           AS rank FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-"""
-)
-def op1_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings")
-    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
-
-
-PAIRWISE_WORDS = near_duplicates.Likeness(words=2)
-
-
-@query()
-def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, folder, "documents"), PAIRWISE_WORDS)
-
-
-@query()
-def op3_language(spark: SparkSession, folder: str) -> DataFrame:
-    return language.identify(table(spark, folder, "documents"))
-
-
-@query()
-def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+__all__ = ["QUERIES", "SQL", "text_queries", "web_queries"]
