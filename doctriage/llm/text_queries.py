@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import language, near_duplicates, neighbours, quality
+from doctriage.llm import language, near_duplicates, neighbours, quality, templates
 from doctriage.llm.registry import query, table
 
 
@@ -48,3 +48,9 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("print").distinct()
