@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import language, near_duplicates, neighbours, quality, templates
+from doctriage.llm import language, near_duplicates, neighbours, quality, templates, token_counts
 from doctriage.llm.registry import query, table
 
 
@@ -54,3 +54,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("print").distinct()
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_counts.ranked_pieces(VOCABULARY)
+    return token_counts.count_tokens(table(spark, folder, "documents"), pieces)
