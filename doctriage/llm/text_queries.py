@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import language, near_duplicates, neighbours, quality, templates, token_counts
+from doctriage.llm import (
+    language,
+    near_duplicates,
+    neighbours,
+    personal_data,
+    quality,
+    templates,
+    token_counts,
+)
 from doctriage.llm.registry import query, table
 
 
@@ -63,3 +71,68 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     pieces = token_counts.ranked_pieces(VOCABULARY)
     return token_counts.count_tokens(table(spark, folder, "documents"), pieces)
+
+
+def _sql_luhn(digits: str) -> str:
+    return f"""list_sum(list_transform(range(0, length({digits})), lambda j:
+        CASE WHEN j % 2 = 0 THEN CAST(substr({digits}, length({digits}) - j, 1) AS INTEGER)
+             WHEN CAST(substr({digits}, length({digits}) - j, 1) AS INTEGER) > 4
+             THEN CAST(substr({digits}, length({digits}) - j, 1) AS INTEGER) * 2 - 9
+             ELSE CAST(substr({digits}, length({digits}) - j, 1) AS INTEGER) * 2 END)) % 10 = 0"""
+
+
+def _sql_mod97() -> str:
+    turned = "string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), '')"
+    values = f"list_transform({turned}, lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    step = "CASE WHEN v < 10 THEN (r * 10 + v) % 97 ELSE (r * 100 + v) % 97 END"
+    return f"list_reduce(list_prepend(0, {values}), lambda r, v: {step}) = 1"
+
+
+def _sql_personal_data() -> str:
+    """Spans per kind from matches and the pieces between them, scored by their context."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    valid = {
+        "email": "true",
+        "ip": f"regexp_matches(m, '^{personal_data.PART}([.]{personal_data.PART}){{3}}$')",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {_sql_luhn(digits)}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": _sql_mod97(),
+        "ssn": "NOT regexp_matches(m, '^(000|666|9)') AND NOT regexp_matches(m, '-00-|-0000$')",
+    }
+    plain = {
+        "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+",
+        "ip": "[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)",
+        "card": "[0-9]([ -]?[0-9])+",
+    }
+    parts = []
+    for at, kind in enumerate(personal_data.KINDS):
+        pattern = plain.get(kind.name, kind.pattern)
+        parts.append(f"""
+    SELECT doc_id, {at} AS k, '{kind.name}' AS kind, start, start + length(m) AS stop, score FROM (
+        SELECT *, greatest(0, least(100, {kind.score}
+                 + CASE WHEN regexp_matches(context, '{kind.near}') THEN 20 ELSE 0 END
+                 - CASE WHEN regexp_matches(context, '{kind.far}') THEN 20 ELSE 0 END)) AS score FROM (
+            SELECT doc_id, ms[i] AS m, lower(right(ps[i], 40) || ' ' || left(ps[i + 1], 20)) AS context,
+                   CAST(list_sum(list_transform(ps[1:i], lambda x: length(x)))
+                     + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start
+            FROM (SELECT doc_id, ms, string_split_regex(t, '{pattern}') AS ps, unnest(range(1, len(ms) + 1)) AS i
+                  FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms FROM docs)))
+        WHERE {valid[kind.name]}) WHERE {str(kind.base).lower()} OR score >= {personal_data.LEAST_SCORE}""")
+    counts = ", ".join(
+        f"count(*) FILTER (k = {at}) AS n_{kind.name}" for at, kind in enumerate(personal_data.KINDS)
+    )
+    line = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts},
+       sha256(coalesce(string_agg({line}, ',' ORDER BY start, k) FILTER (k < 4), '')) AS base_sha256,
+       coalesce(string_agg({line}, ',' ORDER BY start, k), '') AS spans,
+       coalesce(string_agg({line} || ':' || score, ',' ORDER BY start, k), '') AS scored_spans
+FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query(_sql_personal_data())
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find(table(spark, folder, "documents"))
