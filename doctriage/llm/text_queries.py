@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doctriage.llm import (
     language,
+    mixing,
     near_duplicates,
     neighbours,
     personal_data,
@@ -136,3 +137,76 @@ FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 @query(_sql_personal_data())
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.find(table(spark, folder, "documents"))
+
+
+MIXTURE_SHARE = (3, 5)
+
+
+def mixture() -> mixing.Targets:
+    """Four domains of sources; later domains, English and some sources weigh more."""
+    number = F.regexp_extract("source", "[0-9]+", 0).try_cast("long")
+    domain = F.substring("domain", 2, 9).try_cast("long")
+    lang = F.col("lang")
+    return mixing.Targets(
+        domain=F.concat(F.lit("d"), number % 4),
+        weights=(
+            F.coalesce(domain, F.lit(0)) + 1,
+            F.when(lang == "en", 4).when(lang.isin("de", "fr"), 2).otherwise(1),
+            F.coalesce(number, F.lit(0)) % 3 + 1,
+        ),
+    )
+
+
+
+def _sql_share_out(nodes: str, parent: str, name: str) -> str:
+    """The nodes with what they are given of the budget of their parent."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+    SELECT *, CASE WHEN is_full THEN capacity ELSE CAST(
+        rest * (every - rest_weight + weight) // every - rest * (every - rest_weight) // every AS BIGINT) END AS given
+    FROM (SELECT *, max(CASE WHEN NOT is_full AND rest_weight = every THEN free END) OVER ({by}) AS rest
+    FROM (SELECT *, max(CASE WHEN NOT is_full THEN rest_weight END) OVER ({by}) AS every
+    FROM (SELECT *, capacity::HUGEINT * rest_weight <= free * weight AS is_full
+    FROM (SELECT *, budget::HUGEINT - coalesce(sum(capacity) OVER (
+                 {by} ORDER BY capacity::DOUBLE / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free,
+               sum(weight) OVER ({by} ORDER BY capacity::DOUBLE / weight, {name}
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
+    FROM ({nodes})))))"""
+
+
+_SQL_LANG_WEIGHT = "CASE WHEN lang = 'en' THEN 4 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END"
+
+
+@query(
+    f"""
+WITH rows AS (
+    SELECT doc_id, 'd' || (CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 4) AS domain, lang, source,
+           CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), leaves AS (
+    SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) * 2 AS BIGINT) AS capacity
+    FROM rows GROUP BY ALL
+), top AS ({_sql_share_out('''
+    SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(substr(domain, 2) AS BIGINT) + 1 AS weight,
+           (SELECT CAST(sum(supply) AS BIGINT) * 3 // 5 FROM leaves) AS budget FROM leaves GROUP BY domain''', '', 'domain')}
+), middle AS ({_sql_share_out(f'''
+    SELECT l.domain, lang, CAST(sum(l.capacity) AS BIGINT) AS capacity, {_SQL_LANG_WEIGHT} AS weight, any_value(t.given) AS budget
+    FROM leaves l JOIN top t ON t.domain = l.domain GROUP BY l.domain, lang''', 'domain', 'lang')}
+), bottom AS ({_sql_share_out('''
+    SELECT l.domain, l.lang, l.source, l.supply, l.capacity, CAST(regexp_extract(l.source, '[0-9]+') AS BIGINT) % 3 + 1 AS weight,
+           m.given AS budget FROM leaves l JOIN middle m ON m.domain = l.domain AND m.lang = l.lang''', 'domain, lang', 'source')}
+), planned AS (
+    SELECT *, CAST(given // greatest(supply, 1) AS INTEGER) AS whole, given % greatest(supply, 1) AS part FROM bottom
+), queued AS (
+    SELECT r.*, p.whole, p.part, coalesce(sum(n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source
+             ORDER BY md5('17:' || p.whole || ':' || r.doc_id), n_tokens
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM rows r JOIN planned p ON p.domain = r.domain AND p.lang = r.lang AND p.source = r.source
+)
+SELECT doc_id, whole AS epoch, domain, lang, source, n_tokens FROM queued WHERE ahead < part
+UNION ALL
+SELECT doc_id, CAST(unnest(range(0, whole)) AS INTEGER) AS epoch, domain, lang, source, n_tokens FROM queued
+"""
+)
+def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = mixing.choose(table(spark, folder, "documents"), mixture(), MIXTURE_SHARE)
+    return chosen.drop("key")
