@@ -3,13 +3,15 @@
 1. ``describe``: one pass over the texts gives each document the size and a fingerprint of its
    shingle set, a signature of universal-hash minima and its band keys.
 2. Documents with equal sets are represented by one of them, so exact copies cost nothing further.
-3. Band keys shared by several representatives form buckets.  Every member is paired with the
-   smallest and the largest member of its bucket: linear in the bucket, however large.
+3. Band keys shared by several representatives form buckets.  Every document is paired once, with
+   the smallest document that any of its buckets holds: linear, however large the buckets are.
 4. Pairs whose signatures are too far apart are dropped, the others are confirmed on full sets.
 5. Confirmed links are joined to components (alternating large-star and small-star).
-6. A bucket whose members now lie in several components may still hide a link between them.  Only
-   such buckets are compared in full, in blocks, across components, by their signatures; what
-   remains is confirmed like before.  Links inside a component cannot change it and are skipped.
+6. A bucket whose members lie in several components may still hide a link between them; links
+   inside a component cannot change it and are skipped.  Members of such buckets are paired with
+   the bucket's smallest and largest member where the components differ.  Buckets that are still
+   open are compared in full, in blocks, across components, by their signatures.  What remains is
+   confirmed as before.
 """
 
 from __future__ import annotations
@@ -173,11 +175,10 @@ def _close_signatures(pairs: DataFrame, described: DataFrame, like: Likeness) ->
     return both.select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs similar enough on their full shingle sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(docs: DataFrame, needed: DataFrame, like: Likeness) -> DataFrame:
+    """``id, shingles`` of the documents named in ``needed``, written once."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for name, text in _texts(batch):
@@ -186,22 +187,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
                     {"id": pa.array([name], pa.int64()), "shingles": pa.array([packed], pa.binary())}
                 )
 
+    named = docs.select("id", "text").join(needed.distinct(), "id", "left_semi")
+    return stage(named.mapInArrow(run, "id long, shingles binary"), "shingles")
+
+
+def _alike(own: np.ndarray, others: list[np.ndarray], like: Likeness) -> np.ndarray:
+    """Which of the ``others`` are similar enough to ``own``; all are sorted sets, none is empty."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    common = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+    return 100 * common >= like.percent * (len(own) + sizes - common)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs similar enough on their full shingle sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for own, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-                common = 0
-                # Sets whose sizes differ too much cannot be similar enough.
-                if 100 * min(len(x), len(y)) >= like.percent * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= like.percent * (len(x) + len(y) - common))
+            sides = (batch.column(i).to_pylist() for i in (2, 3))
+            keep = [
+                bool(_alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], like)[0])
+                for x, y in zip(*sides)
+            ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    full = stage(
-        docs.select("id", "text").join(needed, "id", "left_semi").mapInArrow(sets, "id long, shingles binary"),
-        "shingles",
-    )
+    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), like)
+    full = full.filter(F.length("shingles") > 0)
     both = pairs.join(full.toDF("a", "own"), "a").join(full.toDF("b", "other"), "b")
     links = stage(
         both.select("a", "b", "own", "other").mapInArrow(compare, "a long, b long").distinct(), "links"
@@ -210,47 +223,83 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     return links
 
 
-def _across(members: DataFrame, labels: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of close signatures from different components of one bucket.
+def _pairs(linked: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``id`` and ``end``."""
+    ordered = linked.filter("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
+    return ordered.distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, component, size, low, high`` of the members of buckets over several components."""
+    named = members.withColumnRenamed("id", "node").join(labels, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return named.join(mixed.filter("x < y").select("key"), "key")
+
+
+def _to_ends(members: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of close signatures of a document outside an end's component with that end of its
+    bucket."""
+    ends = F.explode(
+        F.array(*[F.struct(F.col(c).alias("end"), F.col(f"{c}_in").alias("end_in")) for c in ("low", "high")])
+    )
+    owner = F.max(F.when(F.col("node") == F.col("low"), F.col("component"))).alias("low_in")
+    other = F.max(F.when(F.col("node") == F.col("high"), F.col("component"))).alias("high_in")
+    owners = members.groupBy("key").agg(owner, other)
+    linked = members.join(owners, "key").select(F.col("node").alias("id"), "component", ends.alias("at"))
+    across = linked.filter("component <> at.end_in").select("id", "at.end")
+    return _close_signatures(_pairs(across), described, like)
+
+
+def _across(members: DataFrame, described: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Links between different components of one bucket, one for each two that are linked.
 
     Buckets are cut into blocks of about ``BLOCK_MEMBERS``; each pair of blocks is a group of its
-    own, so a bucket of any size is spread over many tasks.
+    own, so a bucket of any size is spread over many tasks.  Pairs of close signatures are compared
+    there on their full sets, so what leaves a group does not grow with its pairs.
     """
-    known = (
-        members.filter(F.col("size") > SMALL_BUCKET)
-        .select("key", F.col("id").alias("node"), "size")
-        .join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = mixed.filter("x < y").select("key")
+    known = members.filter(F.col("size") > SMALL_BUCKET)
     parts = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = (
-        known.join(mixed, "key")
-        .withColumn("parts", parts)
+        known.withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", other)
         .withColumn("i", F.least("part", "other"))
         .withColumn("j", F.greatest("part", "other"))
+        .select("key", "i", "j", "node", "component")
     )
-    signatures = described.filter("signature IS NOT NULL").select(F.col("id").alias("node"), "signature")
-    tiles = spread.join(signatures, "node").select("key", "i", "j", "node", "component", "signature")
+    full = _sets(docs, known.select(F.col("node").alias("id")), like)
+    prints = described.filter("signature IS NOT NULL").select("id", "signature")
+    tiles = spread.join(full.toDF("node", "shingles"), "node").join(prints.toDF("node", "signature"), "node")
     least = (like.percent / 100 - like.slack) * like.size
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         nodes, owners = tile["node"].to_numpy(), tile["component"].to_numpy()
         prints = np.frombuffer(b"".join(tile["signature"]), np.uint32).reshape(-1, like.size)
-        found = []
-        for at in range(0, len(nodes), 64):
-            part = slice(at, at + 64)
-            agree = (prints[part, None, :] == prints[None, :, :]).sum(axis=2)
-            close = (agree >= least) & (owners[part, None] != owners) & (nodes[part, None] < nodes)
-            x, y = np.nonzero(close)
-            found.append(np.stack([nodes[part][x], nodes[y]], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+        sets = [np.frombuffer(s, np.uint64) for s in tile["shingles"]]
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for x in range(len(nodes)):
+            apart = np.flatnonzero((owners != owners[x]) & (nodes > nodes[x]))
+            close = apart[(prints[apart] == prints[x]).sum(axis=1) >= least]
+            close = [y for y in close if len(sets[y]) and len(sets[x])]
+            if close:
+                for y in np.array(close)[_alike(sets[x], [sets[y] for y in close], like)]:
+                    ends = min(owners[x], owners[y]), max(owners[x], owners[y])
+                    found.setdefault(ends, (nodes[x], nodes[y]))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
+
+    links = stage(tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct(), "links")
+    discard(full)
+    return links
 
-    return tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further ``links``; both tables are discarded."""
+    known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    again = components(links.unionByName(known))
+    discard(labels, links)
+    return again
 
 
 def classes(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -271,21 +320,18 @@ def classes(docs: DataFrame, like: Likeness) -> DataFrame:
     members = stage(
         banded.select(F.explode("bands").alias("key"), "id").join(buckets, "key"), "members"
     )
-    ends = F.explode(F.array("low", "high")).alias("end")
-    pairs = members.select("id", ends).filter("id <> end")
-    pairs = pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    close = stage(_close_signatures(pairs, described, like), "close")
-    links = _confirmed(close, docs, like)
+    # One link per document first: to the smallest document that any of its buckets holds.
+    lowest = members.groupBy("id").agg(F.min("low").alias("end"))
+    tested = stage(_close_signatures(_pairs(lowest), described, like), "close")
+    links = _confirmed(tested, docs, like)
     labels = components(links)
-    more = stage(_across(members, labels, described, like).join(close, ["a", "b"], "left_anti"), "close")
-    if not more.isEmpty():
-        extra = _confirmed(more, docs, like)
-        again = components(
-            extra.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        )
-        discard(labels, extra)
-        labels = again
-    discard(banded, members, close, more, links)
+    # What is left are buckets over several components: first their two ends, then all across.
+    half = stage(_open(members, labels), "open")
+    ends = stage(_to_ends(half, described, like).join(tested, ["a", "b"], "left_anti"), "close")
+    labels = _joined(labels, _confirmed(ends, docs, like))
+    rest = stage(_open(members, labels), "open")
+    labels = _joined(labels, _across(rest, described, docs, like))
+    discard(banded, members, tested, links, half, ends, rest)
     named = first.join(labels, first["id"] == labels["node"], "left").select(
         "fingerprint", F.coalesce("component", "id").alias("component")
     )
