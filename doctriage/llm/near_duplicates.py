@@ -183,9 +183,10 @@ def _sets(docs: DataFrame, needed: DataFrame, like: Likeness) -> DataFrame:
         for batch in batches:
             for name, text in _texts(batch):
                 packed = shingle_set(text, like.words, memo).tobytes()
-                yield pa.RecordBatch.from_pydict(
-                    {"id": pa.array([name], pa.int64()), "shingles": pa.array([packed], pa.binary())}
-                )
+                if packed:  # versions of a document may have none
+                    yield pa.RecordBatch.from_pydict(
+                        {"id": pa.array([name], pa.int64()), "shingles": pa.array([packed], pa.binary())}
+                    )
 
     named = docs.select("id", "text").join(needed.distinct(), "id", "left_semi")
     return stage(named.mapInArrow(run, "id long, shingles binary"), "shingles")
@@ -201,7 +202,7 @@ def _alike(own: np.ndarray, others: list[np.ndarray], like: Likeness) -> np.ndar
     return 100 * common >= like.percent * (len(own) + sizes - common)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, like: Likeness) -> DataFrame:
     """Pairs similar enough on their full shingle sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,14 +214,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), like)
-    full = full.filter(F.length("shingles") > 0)
     both = pairs.join(full.toDF("a", "own"), "a").join(full.toDF("b", "other"), "b")
-    links = stage(
+    return stage(
         both.select("a", "b", "own", "other").mapInArrow(compare, "a long, b long").distinct(), "links"
     )
-    discard(full)
-    return links
 
 
 def _pairs(linked: DataFrame) -> DataFrame:
@@ -251,7 +248,7 @@ def _to_ends(members: DataFrame, described: DataFrame, like: Likeness) -> DataFr
     return _close_signatures(_pairs(across), described, like)
 
 
-def _across(members: DataFrame, described: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+def _across(members: DataFrame, described: DataFrame, full: DataFrame, like: Likeness) -> DataFrame:
     """Links between different components of one bucket, one for each two that are linked.
 
     Buckets are cut into blocks of about ``BLOCK_MEMBERS``; each pair of blocks is a group of its
@@ -269,7 +266,6 @@ def _across(members: DataFrame, described: DataFrame, docs: DataFrame, like: Lik
         .withColumn("j", F.greatest("part", "other"))
         .select("key", "i", "j", "node", "component")
     )
-    full = _sets(docs, known.select(F.col("node").alias("id")), like)
     prints = described.filter("signature IS NOT NULL").select("id", "signature")
     tiles = spread.join(full.toDF("node", "shingles"), "node").join(prints.toDF("node", "signature"), "node")
     least = (like.percent / 100 - like.slack) * like.size
@@ -282,16 +278,13 @@ def _across(members: DataFrame, described: DataFrame, docs: DataFrame, like: Lik
         for x in range(len(nodes)):
             apart = np.flatnonzero((owners != owners[x]) & (nodes > nodes[x]))
             close = apart[(prints[apart] == prints[x]).sum(axis=1) >= least]
-            close = [y for y in close if len(sets[y]) and len(sets[x])]
-            if close:
-                for y in np.array(close)[_alike(sets[x], [sets[y] for y in close], like)]:
+            if len(close):
+                for y in close[_alike(sets[x], [sets[y] for y in close], like)]:
                     ends = min(owners[x], owners[y]), max(owners[x], owners[y])
                     found.setdefault(ends, (nodes[x], nodes[y]))
         return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
 
-    links = stage(tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct(), "links")
-    discard(full)
-    return links
+    return stage(tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct(), "links")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -323,15 +316,16 @@ def classes(docs: DataFrame, like: Likeness) -> DataFrame:
     # One link per document first: to the smallest document that any of its buckets holds.
     lowest = members.groupBy("id").agg(F.min("low").alias("end"))
     tested = stage(_close_signatures(_pairs(lowest), described, like), "close")
-    links = _confirmed(tested, docs, like)
+    full = _sets(docs, members.select("id"), like)
+    links = _confirmed(tested, full, like)
     labels = components(links)
     # What is left are buckets over several components: first their two ends, then all across.
     half = stage(_open(members, labels), "open")
     ends = stage(_to_ends(half, described, like).join(tested, ["a", "b"], "left_anti"), "close")
-    labels = _joined(labels, _confirmed(ends, docs, like))
+    labels = _joined(labels, _confirmed(ends, full, like))
     rest = stage(_open(members, labels), "open")
-    labels = _joined(labels, _across(rest, described, docs, like))
-    discard(banded, members, tested, links, half, ends, rest)
+    labels = _joined(labels, _across(rest, described, full, like))
+    discard(banded, members, full, tested, links, half, ends, rest)
     named = first.join(labels, first["id"] == labels["node"], "left").select(
         "fingerprint", F.coalesce("component", "id").alias("component")
     )
