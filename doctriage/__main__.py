@@ -42,7 +42,10 @@ def main(arguments: list[str] | None = None) -> None:
     elif given.job in ("triage", "watch"):
         settings = local.Settings(model=model.load(spark, given.model) if given.model else None)
         if given.job == "triage":
-            runs.run_folder(spark, given.uploads, given.root, settings).show(20, truncate=False)
+            done = runs.run_folder(spark, given.uploads, given.root, settings)
+            columns = ("file_name", "status", "document_type", "destination", "final_name")
+            for row in done.orderBy("arrival_seq").select(*columns).toLocalIterator():
+                print(*("-" if value is None else value for value in row), sep="\t")
         else:
             arrivals.start(
                 arrivals.stream_folder(spark, given.uploads),
@@ -56,7 +59,9 @@ def main(arguments: list[str] | None = None) -> None:
         for table in runs.summary(spark, given.root):
             table.show()
     else:
-        runs.log(spark, given.root).orderBy("seq").show(20, truncate=False)
+        # The whole log, one partition at a time.
+        for row in runs.log(spark, given.root).orderBy("seq").toLocalIterator():
+            print(row["entry"])
 
 
 if __name__ == "__main__":

@@ -26,26 +26,26 @@ def matching(table: DataFrame, keys: DataFrame, key: str, count: int) -> DataFra
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
     """Left-join ``facts`` (one row per string key, ``copies`` = how often it occurs) to ``rows``.
 
-    The ``HOT_KEYS`` most frequent keys are broadcast, a bound that does not grow with the data.
-    Their rows then carry a scattered second join key, so the shuffle join that serves all other
-    keys receives no large group.  Every row is answered by exactly one of the two joins.
-
-    ``facts`` is used twice; both uses read the same columns, so its shuffle is shared.
+    The ``HOT_KEYS`` keys most frequent among ``rows`` are broadcast, with their facts if they have
+    any: a bound that does not grow with the data.  Their rows, and rows without a key, then carry a
+    scattered second join key, so the shuffle join that serves all other keys receives no large
+    group.  Every row is answered by exactly one of the two joins.
     """
     values = [name for name in facts.columns if name not in (key, copies)]
     known = facts.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_known"), F.col(copies).alias("_copies"), F.struct(*values).alias("_values")
     )
-    hot = known.orderBy(F.desc("_copies"), "_known").limit(HOT_KEYS)
-    hot = hot.select(F.col("_known").alias("_hot_key"), F.col("_values").alias("_hot"))
+    frequent = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).count()
+    frequent = frequent.orderBy(F.desc("count"), "_hot_key").limit(HOT_KEYS).select("_hot_key")
+    hot = frequent.join(known, frequent["_hot_key"] == known["_known"], "left")
+    hot = hot.select("_hot_key", F.col("_values").alias("_hot"))
     # The coalesce keeps the key non-null for the optimizer, which would otherwise push a null
     # filter below the aggregation and so keep the two uses from sharing it.
     own = F.coalesce(F.concat(F.lit("k"), "_known"), F.lit(""))
     cold = known.filter("_copies > 0").select(own.alias("_at"), F.col("_values").alias("_cold"))
     scattered = F.pmod(F.xxhash64(*rows.columns), F.lit(SCATTER)).cast("string")
-    at = F.when(F.col("_hot").isNull(), F.concat(F.lit("k"), key)).otherwise(
-        F.concat(F.lit("h"), scattered)
-    )
+    own_key = F.col("_hot_key").isNull() & F.col(key).isNotNull()
+    at = F.when(own_key, F.concat(F.lit("k"), key)).otherwise(F.concat(F.lit("h"), scattered))
     joined = (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_at", at)

@@ -40,7 +40,8 @@ class Settings:
     parsers: Mapping[str, Parser] = field(default_factory=dict)
     routes: Mapping[str, str] = field(default_factory=lambda: dict(fixed.ROUTES))
     threshold: float = fixed.CONFIDENCE_THRESHOLD
-    parse_contents_once: bool = False
+    # Whether copies of a content share one parse; by default where there are parsers.
+    parse_contents_once: bool | None = None
 
 
 def content_facts(files: DataFrame, settings: Settings) -> DataFrame:
@@ -167,10 +168,16 @@ def triage_folder(
     registry: DataFrame | None = None,
     occupied: DataFrame | None = None,
     listing: DataFrame | None = None,
+    handled: DataFrame | None = None,
 ) -> DataFrame:
-    """Triage of every regular file directly in a folder; empty for an empty folder."""
+    """Triage of every regular file directly in a folder; empty for an empty folder.
+
+    Files listed in ``handled`` (``path, modificationTime, length``) are left out."""
     files = read_folder(spark, folder, listing)
-    if settings.parse_contents_once:
+    if handled is not None:
+        files = files.join(handled, ["path", "modificationTime", "length"], "left_anti")
+    once = settings.parse_contents_once
+    if bool(settings.parsers) if once is None else once:
         facts = facts_per_content(files, settings)
     else:
         facts = file_facts(read_texts(files, settings.parsers), settings)

@@ -18,8 +18,9 @@ from doctriage.operators.naming import name_state
 from doctriage.operators.reports import report_rows
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage_folder, verified
 from doctriage.session import path_exists, stage
-from doctriage.sinks.files import copy_files
+from doctriage.sinks.files import copy_files, sink_listing
 from doctriage.sinks.logs import append_log, read_log
+from doctriage.sources.files import list_folder
 
 
 def results(spark: SparkSession, root: str) -> DataFrame:
@@ -29,6 +30,14 @@ def results(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).parquet(f"{root}/results")
 
 
+def handled_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, modificationTime, length`` of all files that earlier runs have triaged."""
+    fields = "path string, modificationTime timestamp, length long"
+    if not path_exists(spark, f"{root}/handled"):
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).parquet(f"{root}/handled")
+
+
 def run_folder(
     spark: SparkSession,
     folder: str,
@@ -39,18 +48,32 @@ def run_folder(
     """Triage a folder, copy its files to their places, verify, log; returns the new results.
 
     The sources stay where they are: removing them is left to the owner of the folder, after the
-    results show what arrived.
+    results show what arrived.  A file that an earlier run handled (same path, time and length) is
+    left out.  Names that the destinations hold already are not given again, whoever put them
+    there; what arrived is read from the destinations, by name and length.
     """
     started = time.time()
     past = results(spark, root)
     registry = past.filter("registered").select("md5")
+    before = stage(sink_listing(spark, root), "sink").select(
+        "destination", F.col("final_name").alias("file_name"), F.lit(0).cast("long").alias("last")
+    )
+    occupied = name_state(past).select("destination", "file_name", F.col("last").cast("long").alias("last"))
+    occupied = occupied.unionByName(before).groupBy("destination", "file_name").agg(F.max("last").alias("last"))
+    handled = handled_files(spark, root)
+    listed = stage(list_folder(spark, folder) if listing is None else listing, "listing")
     planned = stage(
-        triage_folder(spark, folder, settings, registry, name_state(past), listing), "planned"
+        triage_folder(spark, folder, settings, registry, occupied, listed, handled), "planned"
     )
     copied = stage(copy_files(planned, root), "manifest").filter("copied")
+    there = sink_listing(spark, root)
+    whole = planned.select("path", "length").join(copied, "path")
+    arrived = whole.join(there, ["destination", "final_name", "length"]).select("destination", "final_name")
     path = f"{root}/results/run={uuid.uuid4().hex}"
-    verified(planned, copied).select(*RESULT_SCHEMA.names).write.parquet(path)
+    verified(planned, arrived).select(*RESULT_SCHEMA.names).write.parquet(path)
     done = spark.read.schema(RESULT_SCHEMA).parquet(path)
+    new = listed.select("path", "modificationTime", "length").join(done.select("path"), "path", "left_semi")
+    new.write.mode("append").parquet(f"{root}/handled")
     seconds = F.lit(round(time.time() - started, 2))
     append_log(report_rows(done, seconds, F.current_timestamp()), f"{root}/log")
     return done

@@ -19,15 +19,15 @@ from doctriage.sources.samples import clean_samples, read_samples
 
 @query(
     f"""
-SELECT doc_id, CASE WHEN lang = 'en' THEN {sql_strip('text')} END AS text FROM documents
+SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN {sql_strip('text')} END AS text FROM documents
 """
 )
 def decoded_texts(spark, folder) -> DataFrame:
-    """Text files with Windows line ends; the non-English ones end in a byte that is no UTF-8."""
+    """Text files with Windows line ends; every fifth ends in a byte that is no UTF-8."""
     documents = table(spark, folder, "documents")
     content = F.concat(
         F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8"),
-        F.when(F.col("lang") == "en", F.lit(b"")).otherwise(F.lit(b"\xff")),
+        F.when(F.col("doc_id") % 5 != 0, F.lit(b"")).otherwise(F.lit(b"\xff")),
     )
     return documents.select("doc_id", decode_text_file(content).alias("text"))
 

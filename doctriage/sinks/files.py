@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from doctriage.operators.routing import destination_key
 from doctriage.sinks.logs import latest_per_key
+from doctriage.sources.files import list_folder
+from doctriage.sources.store import open_store
 
 MANIFEST_SCHEMA = "path string, destination string, final_name string, copied boolean"
 
@@ -16,33 +18,51 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
     """Copy each planned file to ``root/destination/final_name`` and report what was copied.
 
     ``plan`` has ``path, destination, final_name``.  Executors stream the bytes from store to
-    store, so no content passes through a shuffle.  Final names are unique, so a repeated task
-    writes the same bytes to the same place.
+    store, so no content passes through a shuffle.  Nothing at the target is replaced: a file with
+    the same bytes counts as copied, which makes a repeated task harmless, and any other file leaves
+    the row uncopied.  Bytes are written under a name of their own and then moved, so a file that is
+    there is whole.  What cannot be read or written fails its row, not the run.
     """
 
     def copy(batches):
         import shutil
+        import uuid
 
         from pyarrow import fs
 
-        def locate(path):
-            if "://" not in path:
-                path = "file://" + path.removeprefix("file:")
-            return fs.FileSystem.from_uri(path)
+        sink, base = open_store(root)
+        made = set()
+
+        def same(source, inner, target):
+            with source.open_input_stream(inner) as left, sink.open_input_stream(target) as right:
+                while True:
+                    own, other = left.read(1 << 20), right.read(1 << 20)
+                    if own != other:
+                        return False
+                    if not own:
+                        return True
+
+        def one(path, folder, name):
+            target = f"{base}/{folder}/{name}"
+            try:
+                source, inner = open_store(path)
+                if folder not in made:
+                    sink.create_dir(f"{base}/{folder}", recursive=True)
+                    made.add(folder)
+                if sink.get_file_info(target).type != fs.FileType.NotFound:
+                    return same(source, inner, target)
+                partial = f"{base}/{folder}/.{uuid.uuid4().hex}.part"
+                with source.open_input_stream(inner) as reader:
+                    with sink.open_output_stream(partial) as writer:
+                        shutil.copyfileobj(reader, writer, 1 << 20)
+                sink.move(partial, target)
+                return True
+            except (OSError, ValueError):
+                return False
 
         for batch in batches:
-            done = []
-            for path, folder, name in zip(batch["path"], batch["destination"], batch["final_name"]):
-                try:
-                    source, inner = locate(path)
-                    sink, base = locate(root)
-                    sink.create_dir(f"{base}/{folder}", recursive=True)
-                    with source.open_input_stream(inner) as reader:
-                        with sink.open_output_stream(f"{base}/{folder}/{name}") as writer:
-                            shutil.copyfileobj(reader, writer, 1 << 20)
-                    done.append(True)
-                except OSError:
-                    done.append(False)
+            rows = zip(batch["path"], batch["destination"], batch["final_name"])
+            done = [one(*row) for row in rows]
             yield pd.DataFrame(
                 {
                     "path": batch["path"],
@@ -56,6 +76,17 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
     return moved.select("path", "destination", "final_name").mapInPandas(copy, MANIFEST_SCHEMA)
 
 
+def sink_listing(spark: SparkSession, root: str) -> DataFrame:
+    """``destination, final_name, length`` of every file below ``root/documents``."""
+    place = F.regexp_extract("path", r"/(documents(?:/[^/]+)*)/[^/]+$", 1)
+    # The root may itself lie below a folder of that name.
+    inside = F.substr("path", F.locate("/documents/", F.col("path"), len(root.rstrip("/").split(":")[-1])))
+    listed = list_folder(spark, f"{root}/documents", below=True).withColumn("path", inside)
+    return listed.select(
+        place.alias("destination"), F.regexp_extract("path", r"[^/]*$", 0).alias("final_name"), "length"
+    )
+
+
 def write_routed(files: DataFrame, path: str) -> None:
     """Write rows with ``destination`` as one folder per destination."""
     moved = files.filter(F.col("destination").isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from doctriage.functions.paths import base_name, file_ext
 from doctriage.session import shared_folder
+from doctriage.sources.store import open_store
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 LISTING_CHUNK = 50_000
@@ -39,17 +40,21 @@ def with_names(files: DataFrame) -> DataFrame:
     )
 
 
-def list_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Regular files directly in ``folder``, hidden and empty ones included.
+def list_folder(spark: SparkSession, folder: str, below: bool = False) -> DataFrame:
+    """Regular files directly in ``folder`` (or anywhere ``below`` it), hidden and empty ones
+    included; none if there is no such folder.
 
     One folder is listed by one call chain whoever makes it.  The entries are taken in chunks
     and appended to a table in the shared folder, so the driver holds one chunk at a time.
     """
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
-    remote = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(root)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def entries():
+        if not files.exists(root):
+            return
+        remote = files.listFiles(root, True) if below else files.listStatusIterator(root)
         while remote.hasNext():
             status = remote.next()
             if status.isFile():
@@ -73,12 +78,8 @@ def fetch(listed: DataFrame, chunk_bytes: int = FETCH_BYTES) -> DataFrame:
     """
 
     def load(path):
-        from pyarrow import fs
-
-        if not path.startswith("file://") and path.startswith("file:"):
-            path = "file://" + path.removeprefix("file:")
         try:
-            store, inner = fs.FileSystem.from_uri(path)
+            store, inner = open_store(path)
             with store.open_input_stream(inner) as stream:
                 return stream.read()
         except FileNotFoundError:

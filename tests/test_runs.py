@@ -5,6 +5,7 @@ from test_triage import GOOD, FixedModel, by_name, write
 from doctriage.__main__ import main
 from doctriage.operators import model
 from doctriage.plans import local, runs
+from doctriage.sinks.files import copy_files
 
 
 def test_later_run_knows_contents_and_names(spark, tmp_path):
@@ -42,3 +43,35 @@ def test_command_line(spark, tmp_path, capsys):
     main(["log", str(tmp_path / "root")])
     results = runs.results(spark, str(tmp_path / "root")).collect()
     assert [r.status for r in results] == ["success"]
+
+
+def test_names_that_need_care_and_a_foreign_file(spark, tmp_path):
+    settings = local.Settings(model=FixedModel())
+    root = tmp_path / "my documents" / "root"
+    place = root / "documents/miscellaneous/unsupported"
+    place.mkdir(parents=True)
+    (place / "v.mp4").write_bytes(b"someone else's")
+    names = ["a b.mp4", "c%20d.mp4", "e#f.mp4", "ü.mp4", "v.mp4", ".hidden", "_x.mp4"]
+    uploads = write(tmp_path / "in put", [(n, n.encode()) for n in names])
+    got = by_name(runs.run_folder(spark, uploads, str(root), settings))
+    assert (place / "v.mp4").read_bytes() == b"someone else's"
+    assert got["v.mp4"].final_name == "v_1.mp4"
+    assert {p.name: p.read_bytes() for p in place.iterdir() if p.name != "v.mp4"} == {
+        ("v_1.mp4" if n == "v.mp4" else n): n.encode() for n in names
+    }
+    again = runs.run_folder(spark, uploads, str(root), settings)
+    assert again.count() == 0 and len(list(place.iterdir())) == len(names) + 1
+
+
+def test_copying_never_replaces(spark, tmp_path):
+    source, sink = tmp_path / "s", tmp_path / "t" / "documents"
+    source.mkdir(), sink.mkdir(parents=True)
+    for name in ("same", "other", "new"):
+        (source / name).write_bytes(b"x" * 10)
+    (sink / "same").write_bytes(b"x" * 10)
+    (sink / "other").write_bytes(b"y" * 10)
+    rows = [(f"file:{source}/{n}", "documents", n) for n in ("same", "other", "new", "missing")]
+    plan = spark.createDataFrame(rows, "path string, destination string, final_name string")
+    done = {r.final_name: r.copied for r in copy_files(plan, str(tmp_path / "t")).collect()}
+    assert done == {"same": True, "other": False, "new": True, "missing": False}
+    assert (sink / "other").read_bytes() == b"y" * 10 and (sink / "new").exists()
