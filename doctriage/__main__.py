@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 from doctriage.operators import model
 from doctriage.plans import local, runs, training
 from doctriage.sources.samples import read_samples
-from doctriage.streaming import arrivals
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,26 +40,19 @@ def main(arguments: list[str] | None = None) -> None:
         result.report.show(truncate=False)
     elif given.job in ("triage", "watch"):
         settings = local.Settings(model=model.load(spark, given.model) if given.model else None)
-        if given.job == "triage":
+        if given.job == "watch" and not given.once:
+            runs.watch(spark, given.uploads, given.root, settings).awaitTermination()
+        else:
             done = runs.run_folder(spark, given.uploads, given.root, settings)
             columns = ("file_name", "status", "document_type", "destination", "final_name")
             for row in done.orderBy("arrival_seq").select(*columns).toLocalIterator():
                 print(*("-" if value is None else value for value in row), sep="\t")
-        else:
-            arrivals.start(
-                arrivals.stream_folder(spark, given.uploads),
-                settings,
-                f"{given.root}/stream",
-                f"{given.root}/checkpoint",
-                prepare=local.read_texts,
-                available_now=given.once,
-            ).awaitTermination()
     elif given.job == "summary":
         for table in runs.summary(spark, given.root):
             table.show()
     else:
         # The whole log, one partition at a time.
-        for row in runs.log(spark, given.root).orderBy("seq").toLocalIterator():
+        for row in runs.log(spark, given.root).toLocalIterator():
             print(row["entry"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctriage import fixed
-from doctriage.session import spread, stage
+from doctriage.session import stage
 
 PRUNING_WORDS = 20_000
 
@@ -159,7 +159,7 @@ def staged_words(docs: DataFrame, stop_words: Sequence[str], text: str = "text")
 
     Fitting passes over the words several times; tokenizing is by far its most expensive step.
     """
-    return stage(with_words(spread(docs), stop_words, text).drop(text), "words")
+    return stage(with_words(docs, stop_words, text).drop(text), "words")
 
 
 def fit_vectorizer(

@@ -44,9 +44,9 @@ def report_text(report: DataFrame) -> Column:
     return F.array_join(F.array(*lines), "\n")
 
 
-def log_lines(report: DataFrame) -> DataFrame:
-    """``seq, entry``: what the log gains per report."""
-    return report.select("seq", F.concat(report_text(report), F.lit("\n")).alias("entry"))
+def log_lines(report: DataFrame, *keys: str) -> DataFrame:
+    """``seq, entry`` and further ``keys``: what the log gains per report."""
+    return report.select(*keys, "seq", F.concat(report_text(report), F.lit("\n")).alias("entry"))
 
 
 def result_records(results: DataFrame) -> DataFrame:
@@ -71,11 +71,11 @@ def record_json(*columns: str) -> Column:
 
 
 def recent_results(
-    records: DataFrame, order: str, moment: str, limit: int = fixed.RECENT_RESULTS
+    records: DataFrame, order: str | list[str], moment: str, limit: int = fixed.RECENT_RESULTS
 ) -> DataFrame:
-    """The newest records with their clock time."""
+    """The newest records, by one column or by several in turn, with their clock time."""
     return (
-        records.orderBy(F.desc(order))
+        records.orderBy(*[F.desc(name) for name in ([order] if isinstance(order, str) else order)])
         .limit(limit)
         .withColumn("timestamp", clock_time(F.col(moment)))
     )
@@ -108,7 +108,6 @@ def result_card(records: DataFrame, *keys: str) -> DataFrame:
     return records.select(
         *keys,
         shown.alias("type"),
-        F.concat(F.lit("badge badge-"), shown).alias("badge"),
         F.concat(number_text_js(F.coalesce("confidence", F.lit(0.0))), F.lit("%")).alias("confidence"),
         F.coalesce(first_truthy(F.col("method")), dash).alias("method"),
         F.coalesce(first_truthy(F.col("destination"), F.col("status")), dash).alias("destination"),

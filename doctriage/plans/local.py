@@ -19,7 +19,7 @@ from doctriage.operators.routing import outcome, registerable, verify_arrival, w
 from doctriage.operators.skew import join_facts
 from doctriage.operators.validation import check_file, is_confident, is_non_document
 from doctriage.session import stage
-from doctriage.sources.files import arrival_order, fetch, read_folder, with_names
+from doctriage.sources.files import arrival_order, fetch, list_folder, read_folder, with_names
 
 RESULT_SCHEMA = StructType()
 for _name in (
@@ -156,9 +156,13 @@ def triage_facts(
 
 
 def read_texts(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
-    """Name, fingerprint and text of files with ``path, length, content``."""
-    named = with_names(files).withColumn("md5", fingerprint(F.col("content")))
-    return extract_text(named, parsers)
+    """Name, fingerprint and text of files with ``path, length, content`` and maybe ``md5``."""
+    return extract_text(_fingerprinted(files), parsers)
+
+
+def _fingerprinted(files: DataFrame) -> DataFrame:
+    named = with_names(files)
+    return named if "md5" in named.columns else named.withColumn("md5", fingerprint(F.col("content")))
 
 
 def triage_folder(
@@ -173,9 +177,10 @@ def triage_folder(
     """Triage of every regular file directly in a folder; empty for an empty folder.
 
     Files listed in ``handled`` (``path, modificationTime, length``) are left out."""
-    files = read_folder(spark, folder, listing)
+    listed = list_folder(spark, folder) if listing is None else listing
     if handled is not None:
-        files = files.join(handled, ["path", "modificationTime", "length"], "left_anti")
+        listed = listed.join(handled, ["path", "modificationTime", "length"], "left_anti")
+    files = read_folder(spark, folder, listed)
     once = settings.parse_contents_once
     if bool(settings.parsers) if once is None else once:
         facts = facts_per_content(files, settings)
@@ -191,7 +196,7 @@ def facts_per_content(files: DataFrame, settings: Settings) -> DataFrame:
     per content and type is read again by path, on the executors, and parsed and scored; all
     copies look the outcome up.  No bytes are shuffled.
     """
-    named = with_names(files).withColumn("md5", fingerprint(F.col("content"))).drop("content")
+    named = _fingerprinted(files).drop("content")
     named = stage(named.withColumn("_content", F.concat("md5", "file_ext")), "fingerprints")
     contents = stage(
         named.filter("length > 0")

@@ -1,8 +1,9 @@
 """Runs that keep their state under one root folder: results, sorted files and the log.
 
 ``root/results/run=<id>`` holds one row per file and run, ``root/log`` the reports and
-``root/documents`` the copied files.  A run learns from the earlier results which contents were
-registered and which names were given.
+``root/documents`` the copied files.  A run learns from the earlier results which files were
+handled, which contents were registered and which names were given.  Ids of runs start with the
+time, so ``(run, arrival_seq)`` orders all results.
 """
 
 from __future__ import annotations
@@ -12,30 +13,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from doctriage.operators import metrics
 from doctriage.operators.naming import name_state
-from doctriage.operators.reports import report_rows
+from doctriage.operators.reports import log_lines, recent_results, report_rows
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage_folder, verified
-from doctriage.session import path_exists, stage
+from doctriage.session import job_stages, path_exists, stage
 from doctriage.sinks.files import copy_files, sink_listing
 from doctriage.sinks.logs import append_log, read_log
 from doctriage.sources.files import list_folder
 
+HANDLED = "path string, modificationTime timestamp, length long"
+
+
+def _stored(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
+    if not path_exists(spark, f"{root}/results"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/results").select(*spark.createDataFrame([], schema).columns)
+
 
 def results(spark: SparkSession, root: str) -> DataFrame:
     """All results of earlier runs."""
-    if not path_exists(spark, f"{root}/results"):
-        return spark.createDataFrame([], RESULT_SCHEMA)
-    return spark.read.schema(RESULT_SCHEMA).parquet(f"{root}/results")
+    return _stored(spark, root, RESULT_SCHEMA)
 
 
 def handled_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, modificationTime, length`` of all files that earlier runs have triaged."""
-    fields = "path string, modificationTime timestamp, length long"
-    if not path_exists(spark, f"{root}/handled"):
-        return spark.createDataFrame([], fields)
-    return spark.read.schema(fields).parquet(f"{root}/handled")
+    return _stored(spark, root, HANDLED)
 
 
 def run_folder(
@@ -50,35 +56,63 @@ def run_folder(
     The sources stay where they are: removing them is left to the owner of the folder, after the
     results show what arrived.  A file that an earlier run handled (same path, time and length) is
     left out.  Names that the destinations hold already are not given again, whoever put them
-    there; what arrived is read from the destinations, by name and length.
+    there; what arrived is read from the destinations, by name and length.  Only one run at a time
+    may write to a root.
     """
     started = time.time()
+    path = f"{root}/results/run={int(started * 1e6):016d}-{uuid.uuid4().hex}"
     past = results(spark, root)
-    registry = past.filter("registered").select("md5")
-    before = stage(sink_listing(spark, root), "sink").select(
-        "destination", F.col("final_name").alias("file_name"), F.lit(0).cast("long").alias("last")
-    )
-    occupied = name_state(past).select("destination", "file_name", F.col("last").cast("long").alias("last"))
-    occupied = occupied.unionByName(before).groupBy("destination", "file_name").agg(F.max("last").alias("last"))
-    handled = handled_files(spark, root)
-    listed = stage(list_folder(spark, folder) if listing is None else listing, "listing")
-    planned = stage(
-        triage_folder(spark, folder, settings, registry, occupied, listed, handled), "planned"
-    )
-    copied = stage(copy_files(planned, root), "manifest").filter("copied")
-    there = sink_listing(spark, root)
-    whole = planned.select("path", "length").join(copied, "path")
-    arrived = whole.join(there, ["destination", "final_name", "length"]).select("destination", "final_name")
-    path = f"{root}/results/run={uuid.uuid4().hex}"
-    verified(planned, arrived).select(*RESULT_SCHEMA.names).write.parquet(path)
+    with job_stages(spark):
+        listed = list_folder(spark, folder) if listing is None else listing
+        listed = listed.select("path", "modificationTime", "length")
+        handled = handled_files(spark, root)
+        new = stage(listed.join(handled, listed.columns, "left_anti"), "listing")
+        if new.isEmpty():
+            return past.limit(0)
+        registry = past.filter("registered").select("md5")
+        there = stage(sink_listing(spark, root), "sink").select(
+            "destination", F.col("final_name").alias("file_name"), F.lit(0).cast("long").alias("last")
+        )
+        occupied = name_state(past).select("destination", "file_name", F.col("last").cast("long").alias("last"))
+        occupied = occupied.unionByName(there).groupBy("destination", "file_name").agg(F.max("last").alias("last"))
+        planned = stage(triage_folder(spark, folder, settings, registry, occupied, new), "planned")
+        copied = stage(copy_files(planned, root), "manifest").filter("copied")
+        whole = planned.select("path", "length").join(copied, "path")
+        arrived = whole.join(sink_listing(spark, root), ["destination", "final_name", "length"])
+        done = verified(planned, arrived.select("destination", "final_name"))
+        times = new.select("path", "modificationTime")
+        done.select(*RESULT_SCHEMA.names).join(times, "path").write.parquet(path)
     done = spark.read.schema(RESULT_SCHEMA).parquet(path)
-    new = listed.select("path", "modificationTime", "length").join(done.select("path"), "path", "left_semi")
-    new.write.mode("append").parquet(f"{root}/handled")
     seconds = F.lit(round(time.time() - started, 2))
     append_log(report_rows(done, seconds, F.current_timestamp()), f"{root}/log")
     return done
 
 
+def watch(
+    spark: SparkSession, folder: str, root: str, settings: Settings, every: str = "5 seconds"
+) -> StreamingQuery:
+    """Run the folder job again and again, on the files that have come since.
+
+    The stream only keeps time.  What a run must do follows from the listing and the stored
+    results, so empty and hidden files count, and a repeated tick handles no file twice.
+    """
+
+    def sort(tick: DataFrame, batch_id: int) -> None:
+        run_folder(tick.sparkSession, folder, root, settings)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(sort).option("checkpointLocation", f"{root}/checkpoint")
+    return writer.trigger(processingTime=every).start()
+
+
+def recent(spark: SparkSession, root: str) -> DataFrame:
+    """The newest results over all runs, with the clock time of their run."""
+    schema = StructType([*RESULT_SCHEMA.fields, StructField("run", StringType())])
+    began = F.timestamp_micros(F.substring("run", 1, 16).cast("long"))
+    stored = _stored(spark, root, schema).withColumn("moment", began)
+    return recent_results(stored, ["run", "arrival_seq"], "moment").drop("moment")
+
+
 def summary(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Counters and batch totals over all runs."""
     everything = results(spark, root)
@@ -86,4 +120,8 @@ def summary(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def log(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/log")
+    """The reports of all runs, in order of the runs and of the arrivals in each."""
+    if not path_exists(spark, f"{root}/log"):
+        return read_log(spark, f"{root}/log")
+    lines = log_lines(spark.read.parquet(f"{root}/log"), "reported_at")
+    return lines.orderBy("reported_at", "seq").select("seq", "entry")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doctriage.operators import evaluation, model
 from doctriage.operators.validation import require_samples
+from doctriage.session import stage
 
 
 @dataclass
@@ -28,7 +29,7 @@ def train(samples: DataFrame, path: str | None = None, **settings) -> Training:
     require_samples(samples.count())
     training, test = model.split_samples(samples)
     fitted = model.fit(training, **settings)
-    predictions = predict(fitted, test)
+    predictions = stage(predict(fitted, test), "predictions")
     if path:
         model.save(fitted, path)
     accuracy = evaluation.accuracy(predictions).first()["accuracy"]

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.functions import numbers, paths, times
+from doctriage.functions.paths import base_name
 from doctriage.functions.text import char_count, is_readable, preview, py_strip
 from doctriage.operators import duplicates, extraction, naming, routing
 from doctriage.operators.validation import check_file, is_non_document
 from doctriage.plans import local, runs
 from doctriage.queries.registry import (
-    FILES_SQL, SUPPORTED, files_view, files_with_text, query, sql_ext, sql_round, sql_strip, table,
+    FILES_SQL, SUPPORTED, files_view, files_with_text, pick, query, sql_ext, sql_list, sql_round, sql_strip, table,
 )
 from doctriage.session import shared_folder, stage
-from doctriage.sources.files import arrival_order, list_folder, read_folder, with_names
+from doctriage.sources.files import fetch, list_folder, read_folder, with_names
+from doctriage.sources.store import open_store
 
 # The given texts are far below 50 MiB, so the query lowers the limit to reach the warning.
 LARGE = 4096
@@ -315,19 +317,87 @@ def elapsed_times(spark, folder) -> DataFrame:
     )
 
 
-@query()
-def folder_scan(spark, folder) -> DataFrame:
-    """Every file in the folder of the given tables, with its fingerprint and arrival order."""
-    files = with_names(read_folder(spark, folder, list_folder(spark, folder)))
-    facts = files.select(
-        "path", "modificationTime", "file_name", "file_ext", "length", F.md5("content").alias("md5")
+# The documents as real files, under names that need care.  Types without a parser and without a
+# model leave the outcome to name and length, so it does not depend on the order of arrival.
+CARE = ("a b", "c%20d", "e#f", "ü", "_g", ".h", "i+j", "k&l=m")
+CARE_TYPES = (".mp4", ".pdf", ".txt", "", ".JPG")
+
+EXPORTED_SQL = f"""
+exported AS (
+    SELECT ([{sql_list(CARE)}])[doc_id % {len(CARE)} + 1] || ' ' || doc_id
+           || ([{sql_list(CARE_TYPES)}])[doc_id % {len(CARE_TYPES)} + 1] AS file_name,
+           CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS content
+    FROM documents
+), scanned AS (
+    SELECT file_name, lower({sql_ext('file_name')}) AS file_ext, CAST(strlen(content) AS BIGINT) AS length,
+           md5(content) AS md5, {sql_strip('content')} AS stripped
+    FROM exported
+)"""
+
+
+def exported(spark, folder) -> str:
+    """Write every document as a file of its own, on the executors; returns the folder."""
+    place = f"{shared_folder(spark)}/exports/{uuid.uuid4().hex}"
+    number = F.col("doc_id")
+    name = F.concat(
+        pick(CARE, number % len(CARE)), F.lit(" "), number.cast("string"),
+        pick(CARE_TYPES, number % len(CARE_TYPES)),
+    )
+    files = table(spark, folder, "documents").select(
+        name.alias("name"), F.when(number % 11 == 0, "").otherwise(F.col("text")).alias("content")
     )
-    return arrival_order(facts).drop("path", "modificationTime")
 
+    def write(batches):
+        store, base = open_store(place)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for file_name, content in zip(batch["name"], batch["content"]):
+                with store.open_output_stream(f"{base}/{file_name}") as stream:
+                    stream.write((content or "").encode("utf-8"))
+            yield batch[["name"]]
 
-@query()
+    files.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return place
+
+
+@query(f"WITH {EXPORTED_SQL} SELECT file_name, file_ext, length, md5 FROM scanned")
+def folder_scan(spark, folder) -> DataFrame:
+    """Every exported file, empty and hidden ones included, with its fingerprint."""
+    files = with_names(read_folder(spark, exported(spark, folder)))
+    return files.select("file_name", "file_ext", "length", "md5")
+
+
+@query(
+    f"""
+WITH {EXPORTED_SQL}, outcomes AS (
+    SELECT *, CASE WHEN length = 0 THEN 'rejected'
+                   WHEN file_ext NOT IN ({SUPPORTED}) THEN 'unsupported'
+                   WHEN file_ext <> '.txt' OR length(stripped) < 10 THEN 'unreadable'
+                   ELSE 'error' END AS outcome
+    FROM scanned
+), placed AS (
+    SELECT *, CASE outcome WHEN 'unsupported' THEN '{fixed.UNSUPPORTED_FOLDER}'
+                           WHEN 'error' THEN NULL ELSE '{fixed.UNREADABLE_FOLDER}' END AS destination
+    FROM outcomes
+)
+SELECT file_name, outcome, outcome AS status, destination,
+       CASE WHEN destination IS NOT NULL THEN file_name END AS final_name,
+       CASE WHEN destination IS NOT NULL THEN md5 END AS sink_md5, CAST(0 AS BIGINT) AS handled_again
+FROM placed
+"""
+)
 def folder_run(spark, folder) -> DataFrame:
-    """The folder of the given tables sorted as it is: triage, copy, verify, log."""
+    """The exported files sorted: triage, copy, verify, log; then once more, which handles none.
+
+    ``sink_md5`` is taken from the bytes at the destination.
+    """
     root = f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}"
-    done = runs.run_folder(spark, folder, root, local.Settings())
-    return done.select("file_name", "outcome", "status", "destination", "final_name", "report_status")
+    uploads = exported(spark, folder)
+    done = runs.run_folder(spark, uploads, root, local.Settings())
+    again = runs.run_folder(spark, uploads, root, local.Settings()).count()
+    listed = list_folder(spark, f"{root}/documents", below=True)
+    sunk = fetch(listed).select(base_name(F.col("path")).alias("final_name"), F.col("md5").alias("sink_md5"))
+    return done.join(sunk, "final_name", "left").select(
+        "file_name", "outcome", "status", "destination", "final_name", "sink_md5",
+        F.lit(again).cast("long").alias("handled_again"),
+    )

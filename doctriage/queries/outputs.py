@@ -118,7 +118,7 @@ def dashboard_table(spark, folder) -> DataFrame:
 @query(
     f"""
 WITH {RECORDS_SQL}
-SELECT event_id, {TYPE_SQL} AS type, 'badge badge-' || {TYPE_SQL} AS badge,
+SELECT event_id, {TYPE_SQL} AS type,
        regexp_replace(coalesce(confidence, 0)::VARCHAR, '\\.0$', '') || '%' AS confidence,
        coalesce(method, '—') AS method, coalesce(destination, status) AS destination, status
 FROM records

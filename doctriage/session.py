@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-ROW_GROUP_BYTES = 128 * 1024 * 1024
+_JOB_FOLDER: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **settings) -> SparkSession:
@@ -51,15 +54,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input that is small for the number of cores, before work that is heavy per row.
+def stages_folder(spark: SparkSession) -> str:
+    return _JOB_FOLDER.get() or f"{shared_folder(spark)}/stages"
 
-    Below one usual row group per core, the scan's splits are finer than the row groups and most
-    tasks read nothing.  Larger inputs are returned as they are, so no large text is shuffled.
+
+@contextmanager
+def job_stages(spark: SparkSession) -> Iterator[None]:
+    """Give a job a folder of its own for its stages and delete it when the job ends.
+
+    What the job returns must not be read from its stages.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df
+    folder = f"{stages_folder(spark)}/job-{uuid.uuid4().hex}"
+    token = _JOB_FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _JOB_FOLDER.reset(token)
+        delete_path(spark, folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +85,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lineage ends at durable files, and a lost executor re-reads them instead of the raw content.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{stages_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     staged = spark.read.schema(schema).parquet(path)
@@ -82,6 +98,4 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         path = df.__dict__.get("_staged_at")
         if path:
-            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            files = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-            files.delete(target, True)
+            delete_path(df.sparkSession, path)

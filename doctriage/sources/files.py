@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from itertools import islice
 
@@ -10,27 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctriage.functions.paths import base_name, file_ext
-from doctriage.session import shared_folder
+from doctriage.session import stages_folder
 from doctriage.sources.store import open_store
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary, md5 string"
 LISTING_CHUNK = 50_000
 FETCH_BYTES = 64 * 1024 * 1024
+# A row cannot hold a file of any size; above this only the fingerprint is taken.
+CONTENT_BYTES = 1024 * 1024 * 1024
+TASK_BYTES = 128 * 1024 * 1024
 
 
 def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
-    """Every regular file directly in ``folder`` with its bytes.
+    """Every regular file directly in ``folder`` with its bytes, as ``fetch`` returns them.
 
-    Spark's file source leaves out empty files and names starting with ``_`` or ``.``.  Those are
-    taken from ``listing`` (``path, modificationTime, length``; for instance a storage inventory)
-    or, without one, from a listing of the folder.
+    Empty files and names starting with ``_`` or ``.`` count too, which Spark's file source leaves
+    out, so the files are read by a ``listing`` (``path, modificationTime, length``; for instance a
+    storage inventory) or, without one, by a listing of the folder.  Only the narrow listing is
+    dealt out, about ``TASK_BYTES`` of content a task.  Files gone meanwhile are left out.
     """
-    files = spark.read.format("binaryFile").load(folder)
     listed = list_folder(spark, folder) if listing is None else listing
-    hidden = base_name(F.col("path")).rlike("^[_.]")
-    empty = listed.filter("length = 0").withColumn("content", F.lit(b"").cast("binary"))
-    skipped = fetch(listed.filter(hidden & (F.col("length") > 0)))
-    return files.unionByName(empty).unionByName(skipped)
+    files, size = listed.agg(F.count("*"), F.sum("length")).first()
+    tasks = max(1, math.ceil((size or 0) / TASK_BYTES), min(files, spark.sparkContext.defaultParallelism))
+    return fetch(listed.repartition(tasks, "path")).filter(F.col("length").isNotNull())
 
 
 def with_names(files: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def list_folder(spark: SparkSession, folder: str, below: bool = False) -> DataFr
             if status.isFile():
                 yield status.getPath().toString(), status.getModificationTime(), status.getLen()
 
-    path = f"{shared_folder(spark)}/stages/listing-{uuid.uuid4().hex}"
+    path = f"{stages_folder(spark)}/listing-{uuid.uuid4().hex}"
     fields = "path string, millis long, length long"
     spark.createDataFrame([], fields).write.parquet(path)
     remaining = entries()
@@ -71,28 +74,40 @@ def list_folder(spark: SparkSession, folder: str, below: bool = False) -> DataFr
     )
 
 
-def fetch(listed: DataFrame, chunk_bytes: int = FETCH_BYTES) -> DataFrame:
+def fetch(
+    listed: DataFrame, chunk_bytes: int = FETCH_BYTES, content_bytes: int = CONTENT_BYTES
+) -> DataFrame:
     """Read the listed files on the executors, by path; a file gone meanwhile has null length.
 
     Files are handed on in chunks of about ``chunk_bytes``, so a task holds few contents at once.
+    A file above ``content_bytes`` has null content: it is fingerprinted piece by piece, counts as
+    unreadable where its type could be read, and is copied like any other.
     """
 
     def load(path):
+        import hashlib
+
         try:
             store, inner = open_store(path)
             with store.open_input_stream(inner) as stream:
-                return stream.read()
+                content = stream.read(content_bytes + 1)
+                digest, size = hashlib.md5(content), len(content)
+                if size > content_bytes:
+                    content = None
+                    while piece := stream.read(1 << 20):
+                        digest.update(piece)
+                        size += len(piece)
+                return size, content, digest.hexdigest()
         except FileNotFoundError:
-            return None
+            return None, None, None
 
     def read(batches):
         for batch in batches:
             rows, held = [], 0
             for path, moment in zip(batch["path"], batch["modificationTime"]):
-                content = load(path)
-                size = None if content is None else len(content)
-                rows.append((path, moment, size, content))
-                held += size or 0
+                size, content, digest = load(path)
+                rows.append((path, moment, size, content, digest))
+                held += len(content or b"")
                 if held >= chunk_bytes:
                     yield frame(rows)
                     rows, held = [], 0
@@ -100,7 +115,7 @@ def fetch(listed: DataFrame, chunk_bytes: int = FETCH_BYTES) -> DataFrame:
                 yield frame(rows)
 
     def frame(rows):
-        made = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+        made = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content", "md5"])
         return made.astype({"length": "Int64"})
 
     return listed.select("path", "modificationTime").mapInPandas(read, FILE_SCHEMA)

@@ -16,12 +16,13 @@ from doctriage.operators.metrics import counter_bucket
 from doctriage.operators.naming import name_state
 from doctriage.operators.reports import recent_results
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage
-from doctriage.session import path_exists
+from doctriage.session import job_stages, path_exists
 from doctriage.sinks.logs import latest_per_key
 
 
 def stream_folder(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Files as they appear in a folder.  The file source does not report empty files."""
+    """Files as they appear in a folder.  The file source does not report empty files and hidden
+    names; ``plans.runs.watch`` sorts a folder with all its files."""
     reader = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length long, content binary"
     )
@@ -51,8 +52,9 @@ def start(
     def process(batch: DataFrame, batch_id: int) -> None:
         past = read_results(batch.sparkSession, results_path).filter(F.col("batch_id") < batch_id)
         registry = past.filter("registered").select("md5")
-        results = triage(prepare(batch), settings, registry, name_state(past))
-        results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+        with job_stages(batch.sparkSession):
+            results = triage(prepare(batch), settings, registry, name_state(past))
+            results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -97,4 +99,4 @@ def stream_results(spark: SparkSession, path: str) -> DataFrame:
 def latest_results(spark: SparkSession, path: str, moment: Column) -> DataFrame:
     """The newest results over all batches with the clock time of ``moment``."""
     results = read_results(spark, path).withColumn("moment", moment)
-    return recent_results(results, "arrival_seq", "moment").drop("moment")
+    return recent_results(results, ["batch_id", "arrival_seq"], "moment").drop("moment")

@@ -1,11 +1,16 @@
 """Runs with state under a root folder, and the command line."""
 
+import hashlib
+import time
+
 from test_triage import GOOD, FixedModel, by_name, write
 
 from doctriage.__main__ import main
 from doctriage.operators import model
 from doctriage.plans import local, runs
+from doctriage.session import job_stages, path_exists, stage
 from doctriage.sinks.files import copy_files
+from doctriage.sources.files import fetch, list_folder
 
 
 def test_later_run_knows_contents_and_names(spark, tmp_path):
@@ -75,3 +80,50 @@ def test_copying_never_replaces(spark, tmp_path):
     done = {r.final_name: r.copied for r in copy_files(plan, str(tmp_path / "t")).collect()}
     assert done == {"same": True, "other": False, "new": True, "missing": False}
     assert (sink / "other").read_bytes() == b"y" * 10 and (sink / "new").exists()
+
+
+def test_newest_first_and_log_in_order_over_runs(spark, tmp_path):
+    settings = local.Settings(model=FixedModel())
+    root = str(tmp_path / "root")
+    uploads = write(tmp_path / "in", [(f"old{i}.mp4", b"x%d" % i) for i in range(3)])
+    runs.run_folder(spark, uploads, root, settings)
+    write(tmp_path / "in", [("new.mp4", b"later")])
+    runs.run_folder(spark, uploads, root, settings)
+    assert [r.file_name for r in runs.recent(spark, root).collect()][0] == "new.mp4"
+    assert "new.mp4" in runs.log(spark, root).collect()[-1].entry
+    left = tmp_path / "root/results"
+    assert len(list(left.glob("run=*"))) == 2
+
+
+def test_watcher_does_the_whole_job(spark, tmp_path):
+    root = tmp_path / "root"
+    uploads = write(tmp_path / "in", [("a.mp4", b"x"), ("empty.txt", b""), (".hidden", b"y")])
+    query = runs.watch(spark, uploads, str(root), local.Settings(), every="1 second")
+    try:
+        until = time.time() + 120
+        while time.time() < until and runs.results(spark, str(root)).count() < 3:
+            time.sleep(1)
+        write(tmp_path / "in", [("b.mp4", b"z")])
+        while time.time() < until and runs.results(spark, str(root)).count() < 4:
+            time.sleep(1)
+    finally:
+        query.stop()
+    got = by_name(runs.results(spark, str(root)))
+    assert {n: r.status for n, r in got.items()} == {
+        "a.mp4": "unsupported", "b.mp4": "unsupported", "empty.txt": "rejected", ".hidden": "unsupported"
+    }
+    assert (root / "documents/miscellaneous/unsupported/b.mp4").read_bytes() == b"z"
+    assert runs.summary(spark, str(root))[1].first().total == 4
+    assert [r.file_name for r in runs.recent(spark, str(root)).collect()][0] == "b.mp4"
+
+
+def test_large_file_is_fingerprinted_and_jobs_leave_no_stages(spark, tmp_path):
+    write(tmp_path / "in", [("big.txt", b"x" * 5000), ("small.txt", b"y")])
+    listed = list_folder(spark, str(tmp_path / "in"))
+    got = {r.path.rsplit("/", 1)[1]: r for r in fetch(listed, content_bytes=1000).collect()}
+    assert got["big.txt"].content is None and got["big.txt"].length == 5000
+    assert got["big.txt"].md5 == hashlib.md5(b"x" * 5000).hexdigest()
+    with job_stages(spark):
+        path = stage(spark.range(3), "kept")._staged_at
+        assert path_exists(spark, path)
+    assert not path_exists(spark, path)
