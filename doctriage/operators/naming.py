@@ -10,14 +10,19 @@ Nothing here walks a group of files one by one:
 * the position of each file among those asking for the same name is a running count;
 * a numbered name ``P_k`` is *lost* when ``P`` has handed out number ``k`` before ``P_k`` first
   arrives.  With ``g`` names handed out by then and ``c`` numbers below ``k`` kept by their own
-  files, that is ``g >= k - c``.  Losing depends only on smaller numbers and shorter names, so
-  repeating the test on whole tables until nothing changes gives the one solution;
+  files, that is ``g >= k - c``.  Losing depends only on smaller numbers and shorter names, so one
+  pass in order of ``k`` settles the numbered names (not the files) of each nesting depth;
 * copy number ``g`` of a name gets ``g`` plus the count of kept numbers it has to skip, again a
   running count.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,7 @@ from doctriage.operators.skew import MAX_WINDOW_ROWS, count_before, join_facts,
 from doctriage.session import stage
 
 _NUMBERED = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
+_SUFFIXES = r"(?:_[1-9][0-9]{0,17})+$"
 
 
 def _parent(file_name: Column) -> Column:
@@ -141,6 +147,7 @@ def _with_parent(names: DataFrame) -> DataFrame:
         .withColumn("_parent_key", join_path(F.col("destination"), F.col("_p.name")))
         .withColumn("k", F.col("_p.k"))
         .withColumn("_parent_key", F.when(F.col("k").isNotNull(), F.col("_parent_key")))
+        .withColumn("_depth", F.regexp_count(F.regexp_extract(stem(F.col("file_name")), _SUFFIXES, 0), F.lit("_")))
         .drop("_p")
     )
 
@@ -164,7 +171,7 @@ def _with_state(requested: DataFrame, occupied: DataFrame) -> DataFrame:
     )
     state = (
         same.unionByName(copies)
-        .groupBy("_key", "destination", "file_name", "_parent_key", "k")
+        .groupBy("_key", "destination", "file_name", "_parent_key", "k", "_depth")
         .agg(F.max("last").cast("long").alias("last"))
     )
     own = state.select("_key", "last", F.lit(True).alias("_exists"))
@@ -207,33 +214,83 @@ def _children(names: DataFrame) -> DataFrame:
         .filter("_parent_copies > 1 OR _parent_occupied OR _parent_numbered")
         .withColumn("k", F.col("k") - F.col("_parent_last"))
         .filter("k > 0")
-        .select("_key", "_parent_key", "_parent_occupied", "k", "first", "occupied")
+        .select("_key", "_parent_key", "_parent_occupied", "k", "first", "occupied", "_depth")
     )
 
 
 def _settle(children: DataFrame, max_window_rows: int) -> DataFrame:
-    """Decide for every child whether its name is given away before it arrives."""
-    current = stage(children.withColumn("_lost", F.lit(False)), "children")
-    while True:
-        counted = count_before(
-            current.withColumn("_kept", ~F.col("_lost")), ["_parent_key"], "k", "_kept", "_below",
-            max_window_rows,
-        )
-        lost_parents = current.filter("_lost OR occupied").select(
-            F.col("_key").alias("_parent_key"), F.lit(True).alias("_parent_lost")
-        )
+    """Decide for every child whether its name is given away before it arrives.
+
+    Adds ``_lost`` and ``_below``, the numbers below ``k`` that their own files keep.  In order of
+    ``k`` each child depends only on how many before it were kept, so one ordered pass settles
+    the children of all parents, with one count as state.  A parent is settled before its
+    children: there is one pass per nesting depth of names.  Where a parent has more children
+    than ``max_window_rows``, ``k`` is cut into slices, and the counts are carried from one
+    slice to the next.
+    """
+    children = stage(children, "reached")
+    depths = sorted(row[0] for row in children.select("_depth").distinct().collect())
+    total = children.count()
+    cuts = []
+    if total > max_window_rows:
+        largest = children.groupBy("_parent_key").count().agg(F.max("count")).first()[0]
+        pieces = math.ceil(largest / max_window_rows)
+        shares = [i / pieces for i in range(1, pieces)]
+        found = children.agg(F.percentile_approx("k", shares, 10_000)).first()[0] if shares else []
+        cuts = sorted(set(found))
+    settled = []
+    for depth in depths:
+        level = children.filter(F.col("_depth") == depth)
+        if settled:
+            gone = reduce(DataFrame.unionByName, settled).filter("_lost OR occupied")
+            gone = gone.select(F.col("_key").alias("_parent_key"), F.lit(True).alias("_parent_lost"))
+            level = level.join(gone, "_parent_key", "left")
+        else:
+            level = level.withColumn("_parent_lost", F.lit(False))
         first_kept = ~(F.col("_parent_occupied") | F.coalesce("_parent_lost", F.lit(False)))
         given = F.greatest(F.col("_earlier") - first_kept.cast("long"), F.lit(0))
-        following = stage(
-            counted.join(lost_parents, "_parent_key", "left")
-            .withColumn("_was_lost", F.col("_lost"))
-            .withColumn("_lost", ~F.col("occupied") & (given >= F.col("k") - F.col("_below")))
-            .drop("_parent_lost", "_kept"),
-            "children",
-        )
-        if following.filter("_lost <> _was_lost").isEmpty():
-            return following.drop("_was_lost")
-        current = following.drop("_was_lost", "_below")
+        level = level.withColumn("_free_below", F.when(~F.col("occupied"), F.col("k") - given))
+        carried = None
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            part = level
+            if low is not None:
+                part = part.filter(F.col("k") > low)
+            if high is not None:
+                part = part.filter(F.col("k") <= high)
+            part = part.withColumn("_start", F.lit(0).cast("long"))
+            if carried is not None:
+                part = part.drop("_start").join(carried, "_parent_key", "left").fillna(0, ["_start"])
+            walked = (
+                part.select("_key", "_parent_key", "k", "occupied", "_free_below", "_start")
+                .repartition("_parent_key")
+                .sortWithinPartitions("_parent_key", "k")
+                .mapInPandas(_walk, _SETTLED)
+            )
+            settled.append(stage(walked, "children"))
+            after = settled[-1].withColumn("_start", F.col("_below") + (~F.col("_lost")).cast("long"))
+            after = after.select("_parent_key", "_start")
+            after = after if carried is None else after.unionByName(carried)
+            carried = after.groupBy("_parent_key").agg(F.max("_start").alias("_start"))
+    return reduce(DataFrame.unionByName, settled)
+
+
+_SETTLED = "_key string, _parent_key string, k long, occupied boolean, _lost boolean, _below long"
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Children sorted by parent and ``k``: a name is lost when at least as many numbers below it
+    are kept as were free there.  The state is one count."""
+    parent, kept = None, 0
+    for batch in batches:
+        lost, below = [], []
+        for name, free, start in zip(batch["_parent_key"], batch["_free_below"], batch["_start"]):
+            if name != parent:
+                parent, kept = name, start
+            below.append(kept)
+            lost.append(not pd.isna(free) and kept >= free)
+            kept += not lost[-1]
+        shown = batch[["_key", "_parent_key", "k", "occupied"]]
+        yield shown.assign(_lost=lost, _below=below)
 
 
 def _with_numbers(ranked: DataFrame, exceptions: DataFrame, has_exceptions: bool) -> DataFrame:

@@ -263,13 +263,35 @@ def free_names(spark, folder) -> DataFrame:
     return named.select("arrival_seq", "destination", "final_name")
 
 
-@query()
-def free_names_numbered(spark, folder) -> DataFrame:
-    """Requested names that look numbered themselves, against existing names.
-
-    First-free numbering then depends on the order of all earlier names; the tests compare it
-    with a file-by-file model.
+@query(
     """
+WITH RECURSIVE requests AS (
+    SELECT doc_id AS arrival_seq, source || '/' || lang AS destination,
+           'scan' || CASE WHEN doc_id % 5 > 0 THEN '_' || (doc_id % 5) ELSE '' END AS base,
+           row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n
+    FROM documents
+), walk AS (
+    SELECT DISTINCT destination, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS arrival_seq, CAST(NULL AS VARCHAR) AS base,
+           CAST(0 AS BIGINT) AS number, ['scan_2'] AS taken
+    FROM requests
+    UNION ALL
+    SELECT destination, n, arrival_seq, base, number,
+           list_append(taken, base || CASE WHEN number > 0 THEN '_' || number ELSE '' END)
+    FROM (
+        SELECT w.destination, r.n, r.arrival_seq, r.base, w.taken,
+               list_filter(range(0, len(w.taken) + 1), lambda i:
+                   NOT list_contains(w.taken, r.base || CASE WHEN i > 0 THEN '_' || i ELSE '' END))[1] AS number
+        FROM walk w JOIN requests r ON r.destination = w.destination AND r.n = w.n + 1
+    )
+)
+SELECT arrival_seq, destination, base || '.pdf' AS file_name,
+       base || CASE WHEN number > 0 THEN '_' || number ELSE '' END || '.pdf' AS final_name, number AS name_number
+FROM walk WHERE n > 0
+"""
+)
+def free_names_numbered(spark, folder) -> DataFrame:
+    """Requested names that look numbered themselves, against existing names: first-free numbering
+    then depends on the order of all earlier names."""
     documents = table(spark, folder, "documents").select("doc_id", "source", "lang")
     number = F.col("doc_id") % 5
     name = F.concat(

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from doctriage.operators import naming
 from doctriage.operators.naming import assign_names, name_state
 
 POOL = ["a.txt", "a_1.txt", "a_2.txt", "a_1_1.txt", "a_01.txt", "a_1", "a", "b.pdf", "b_3.pdf",
@@ -67,3 +68,24 @@ def test_simple_clashes_and_unmoved(spark):
     rows = [("d", "a.txt", 1), ("d", "a.txt", 2), ("d", "a_1.txt", 3), (None, "a.txt", 4)]
     got = names_of(assign_names(spark.createDataFrame(rows, SCHEMA)))
     assert got == {1: "a.txt", 2: "a_1.txt", 3: "a_1_1.txt", 4: None}
+
+
+def test_alternating_names_settle_in_one_pass(spark, monkeypatch):
+    """Copies of scan.pdf and scan_1.pdf, scan_2.pdf, ... arriving in turn."""
+    rows = [("d", "scan.pdf")]
+    for k in range(1, 201):
+        rows += [("d", "scan.pdf"), ("d", f"scan_{k}.pdf")]
+    passes = []
+    staged = naming.stage
+    monkeypatch.setattr(naming, "stage", lambda df, name: (passes.append(name), staged(df, name))[1])
+    data = [(i, *row) for i, row in enumerate(rows)]
+    files = spark.createDataFrame(data, "arrival_seq long, destination string, file_name string")
+    got = [r.final_name for r in naming.assign_names(files).orderBy("arrival_seq").collect()]
+    taken = set()
+    for (_, name), final in zip(rows, got):
+        base, number = name[:-4], 0
+        while (f"{base}_{number}" if number else base) in taken:
+            number += 1
+        taken.add(f"{base}_{number}" if number else base)
+        assert final == (f"{base}_{number}" if number else base) + ".pdf"
+    assert passes.count("children") <= 3
