@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.functions.text import is_readable
 from doctriage.operators.extraction import cloud_text
 from doctriage.operators.model import TextModel, reported_confidence
+from doctriage.operators.reports import cloud_log_rows
 from doctriage.operators.routing import destination_key
 from doctriage.operators.skew import join_facts
+from doctriage.session import job_stages, stage
+from doctriage.sinks.files import move_objects
+from doctriage.sinks.logs import put_items
+from doctriage.sources.files import fetch, with_names
 
 
 def object_facts(objects: DataFrame, model: TextModel | None) -> DataFrame:
@@ -74,3 +81,49 @@ def response_body(results: DataFrame) -> DataFrame:
     )
     plain = F.lit("file moved to unsupported folder")
     return results.withColumn("body", F.when(F.col("status") == "success", body).otherwise(plain))
+
+
+def run_events(
+    spark: SparkSession,
+    events: DataFrame,
+    store: str,
+    root: str,
+    model: TextModel | None = None,
+    blocks: DataFrame | None = None,
+) -> DataFrame:
+    """Handle object events (``seq, bucket, key, filename``) with the objects they name.
+
+    Objects are read on the executors from ``store/<bucket>/<key>``; ``blocks`` (``bucket, key,
+    blocks``) holds OCR responses for images.  They are moved to ``root/organised/<dest_key>`` and
+    logged in ``root/log``.  The results, kept in ``root/results``, gain ``moved`` and ``body``.
+    An object that could not be moved stays where it is and has no ``dest_key``; it is logged as a
+    success at ``unknown`` all the same.
+    """
+    started = time.time()
+    path = f"{root}/results/run={int(started * 1e6):016d}"
+    with job_stages(spark):
+        source = F.concat_ws("/", F.lit(store.rstrip("/")), "bucket", "key")
+        events = stage(events.withColumn("path", source), "events")
+        named = events.select("path", "bucket", "key", F.lit(None).cast("timestamp").alias("modificationTime")).distinct()
+        read = fetch(named).filter(F.col("length").isNotNull()).select("path", "content")
+        objects = with_names(read).withColumn("_inner", F.substr("path", F.lit(len(store.rstrip("/")) + 2)))
+        objects = objects.select(
+            F.substring_index("_inner", "/", 1).alias("bucket"),
+            F.regexp_replace("_inner", "^[^/]*/", "").alias("key"),
+            "file_ext",
+            "content",
+        )
+        if blocks is None:
+            nothing = F.lit(None).cast("array<struct<BlockType:string,Text:string>>")
+            objects = objects.withColumn("blocks", nothing)
+        else:
+            objects = objects.join(blocks, ["bucket", "key"], "left")
+        results = stage(handle_events(events, stage(object_facts(objects, model), "object-facts")), "handled")
+        moved = move_objects(results.filter(F.col("dest_key").isNotNull()), f"{root}/organised")
+        results = results.join(moved, "seq", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+        results = results.withColumn("dest_key", F.when(F.col("moved"), F.col("dest_key"))).drop("path")
+        response_body(results).write.parquet(path)
+    done = spark.read.parquet(path)
+    seconds = F.lit(round(time.time() - started, 2))
+    put_items(cloud_log_rows(done, seconds, F.current_timestamp()), f"{root}/log")
+    return done

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctriage import fixed
+from doctriage.functions.paths import base_name
 from doctriage.operators import metrics, reports, routing
 from doctriage.plans import cloud, local
 from doctriage.queries.learning import CLASSIFIED_SQL, ROUTE_SQL, SCORES_SQL, digest_model, responder_by_length
@@ -15,7 +16,8 @@ from doctriage.queries.registry import FILES_SQL, SUPPORTED, files_with_text, qu
 from doctriage.queries.texts import OBJECTS_SQL, stored_objects
 from doctriage.session import shared_folder, stage
 from doctriage.sinks import logs
-from doctriage.sources.files import with_names
+from doctriage.sources.files import fetch, list_folder, with_names
+from doctriage.sources.store import open_store
 from doctriage.streaming import arrivals
 
 
@@ -304,6 +306,78 @@ def cloud_results(spark, folder) -> DataFrame:
     return cloud.handle_events(events, facts).withColumn("confidence", F.round("confidence", 6))
 
 
+# ---- cloud job: real objects, some of which cannot be moved -----------------------------
+
+OBJECT_NAMES = 211
+
+CLOUD_JOB_SQL = f"""
+objects AS (
+    SELECT doc_id, 'f' || doc_id % {OBJECT_NAMES} || CASE WHEN lang = 'es' THEN '.docx' ELSE '.txt' END AS filename,
+           lang <> 'es' AND length({sql_strip('text')}) >= 10 AS readable, doc_id % {OBJECT_NAMES} % 7 > 0 AS moved
+    FROM documents
+), handled AS (
+    SELECT doc_id AS seq, filename, CASE WHEN readable THEN 'success' ELSE 'unsupported' END AS status, moved,
+           CASE WHEN moved THEN 'unknown/' || filename END AS dest_key,
+           CASE WHEN NOT readable THEN 'unsupported/' WHEN moved THEN 'unknown/' || filename ELSE 'unknown' END AS logged
+    FROM objects
+)"""
+
+
+@query(
+    f"""
+WITH {CLOUD_JOB_SQL}
+SELECT seq, filename, status, moved, dest_key, NOT moved AS stayed,
+       last(logged) OVER (PARTITION BY filename ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS logged,
+       CASE WHEN moved THEN last(md5(text)) OVER (PARTITION BY filename ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS sink_md5
+FROM handled JOIN documents ON doc_id = seq
+"""
+)
+def cloud_job(spark, folder) -> DataFrame:
+    """Documents stored as objects, read, moved and logged as their events say.
+
+    Every seventh name is taken by a folder at the destination, so its objects cannot be moved.
+    """
+    base = f"{shared_folder(spark)}/buckets/{uuid.uuid4().hex}"
+    number = F.col("doc_id") % OBJECT_NAMES
+    ext = F.when(F.col("lang") == "es", ".docx").otherwise(".txt")
+    objects = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("seq"),
+        F.lit("intake").alias("bucket"),
+        F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit("/f"), number.cast("string"), ext).alias("key"),
+        F.concat(F.lit("f"), number.cast("string"), ext).alias("filename"),
+        (number % 7 == 0).alias("blocked"),
+        "text",
+    )
+
+    def write(batches):
+        store, place = open_store(base)
+        for batch in batches:
+            for bucket, key, name, blocked, text in batch.drop(columns="seq").itertuples(index=False):
+                store.create_dir(f"{place}/store/{bucket}/{key}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{place}/store/{bucket}/{key}") as stream:
+                    stream.write((text or "").encode("utf-8"))
+                if blocked:
+                    store.create_dir(f"{place}/organised/unknown/{name}", recursive=True)
+            yield batch[["seq"]]
+
+    objects.mapInPandas(write, "seq long").write.format("noop").mode("overwrite").save()
+    events = objects.select("seq", "bucket", "key", "filename")
+    done = cloud.run_events(spark, events, f"{base}/store", base)
+    left = list_folder(spark, f"{base}/store", below=True).select(
+        F.regexp_extract("path", "/in/([0-9]+)/", 1).cast("long").alias("seq"), F.lit(True).alias("_stayed")
+    )
+    sunk = fetch(list_folder(spark, f"{base}/organised", below=True)).select(
+        F.concat(F.lit("unknown/"), base_name(F.col("path"))).alias("dest_key"), F.col("md5").alias("sink_md5")
+    )
+    logged = logs.read_items(spark, f"{base}/log").select("filename", F.col("destination").alias("logged"))
+    joined = done.join(left, "seq", "left").join(sunk, "dest_key", "left").join(logged, "filename")
+    return joined.select(
+        "seq", "filename", "status", "moved", "dest_key", F.coalesce("_stayed", F.lit(False)).alias("stayed"),
+        "logged", "sink_md5",
+    )
+
+
 # ---- streams ----------------------------------------------------------------------------
 
 BATCHES = 4

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctriage.operators.routing import destination_key
+from doctriage.session import stage
 from doctriage.sinks.logs import latest_per_key
 from doctriage.sources.files import list_folder
 from doctriage.sources.store import open_store
@@ -76,6 +77,65 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
     return moved.select("path", "destination", "final_name").mapInPandas(copy, MANIFEST_SCHEMA)
 
 
+def move_objects(plan: DataFrame, root: str) -> DataFrame:
+    """Move ``path`` to ``root/dest_key``; returns ``seq, moved`` for each row of ``plan``.
+
+    Later rows (by ``seq``) replace earlier ones of the same key, so only the last is copied.  The
+    sources of a key are removed once its copy is known to be whole; where it failed, they stay.
+    Both steps may be repeated by a lost task.
+    """
+
+    def copied(sources, targets):
+        import shutil
+        import uuid
+
+        sink, base = open_store(root)
+        for source_path, key in zip(sources, targets):
+            target = f"{base}/{key}"
+            folder = target.rpartition("/")[0]
+            partial = f"{folder}/.{uuid.uuid4().hex}.part"
+            try:
+                source, inner = open_store(source_path)
+                sink.create_dir(folder, recursive=True)
+                with source.open_input_stream(inner) as reader:
+                    with sink.open_output_stream(partial) as writer:
+                        shutil.copyfileobj(reader, writer, 1 << 20)
+                sink.move(partial, target)
+                yield True
+            except OSError:
+                try:
+                    sink.delete_file(partial)
+                except OSError:
+                    pass
+                yield False
+
+    def removed(sources):
+        for source_path in sources:
+            try:
+                source, inner = open_store(source_path)
+                source.delete_file(inner)
+                yield True
+            except FileNotFoundError:
+                yield True  # another event named the same object, or the task is repeated
+            except OSError:
+                yield False
+
+    def copy(batches):
+        for batch in batches:
+            done = list(copied(batch["path"], batch["dest_key"]))
+            yield pd.DataFrame({"dest_key": batch["dest_key"], "copied": done})
+
+    def remove(batches):
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "removed": list(removed(batch["path"]))})
+
+    last = plan.groupBy("dest_key").agg(F.max_by("path", "seq").alias("path"))
+    there = stage(last.mapInPandas(copy, "dest_key string, copied boolean"), "copied").filter("copied")
+    whole = plan.join(there, "dest_key").select("seq", "path")
+    gone = stage(whole.select("path").distinct().mapInPandas(remove, "path string, removed boolean"), "removed")
+    return whole.join(gone, "path").select("seq", F.col("removed").alias("moved"))
+
+
 def sink_listing(spark: SparkSession, root: str) -> DataFrame:
     """``destination, final_name, length`` of every file below ``root/documents``."""
     place = F.regexp_extract("path", r"/(documents(?:/[^/]+)*)/[^/]+$", 1)
