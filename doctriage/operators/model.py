@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from doctriage import fixed
 from doctriage.functions.numbers import round_half_even
 from doctriage.operators import features
-from doctriage.session import path_exists, shared_folder
+from doctriage.session import path_bytes, path_exists, stages_folder
 
-
-ROWS_PER_TASK = 20_000
-TOLERANCE = 1e-10
+VECTOR_BYTES_PER_TASK = 16 * 1024 * 1024
 
 
 @dataclass
@@ -106,11 +104,13 @@ def fit(
     size: int = fixed.MAX_FEATURES,
     inverse_regularisation: float = fixed.INVERSE_REGULARISATION,
     max_iterations: int = fixed.MAX_ITERATIONS,
+    tolerance: float = 1e-6,
 ) -> TextModel:
     """Fit TF-IDF and multinomial logistic regression on ``text, label``.
 
     The TF-IDF rows are written once as sparse vectors to the shared folder, since the solver
-    passes over them many times.  Penalty: mean loss + |w|^2 / (2 C n), intercepts free.
+    passes over them many times.  Penalty: mean loss + |w|^2 / (2 C n), intercepts free.  The
+    solver stops when a step improves the loss by less than ``tolerance`` of it.
     """
     spark = samples.sparkSession
     words = list(features.default_stop_words() if stop_words is None else stop_words)
@@ -120,15 +120,13 @@ def fit(
     counted = features.with_counts(tokenized, vectorizer.word_stages, "words")
     train = _sparse_vectors(spark, counted, vectorizer.idf, labels)
     rows = train.count()
-    # The solver runs one job per step: tasks below this share would cost more than they compute.
-    train = train.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
     solver = LogisticRegression(
         family="multinomial",
         standardization=False,
         elasticNetParam=0.0,
         regParam=1.0 / (inverse_regularisation * rows),
         maxIter=max_iterations,
-        tol=TOLERANCE,
+        tol=tolerance,
     )
     fitted = solver.fit(train)
     matrix = fitted.coefficientMatrix.toArray()
@@ -156,9 +154,11 @@ def _sparse_vectors(
         "term_ids", "_weights", lambda i, w: F.concat_ws(":", (i + 1).cast("string"), (w / F.col("_norm")).cast("string"))
     )
     position = F.array_position(F.array(*[F.lit(name) for name in labels]), F.col("label")) - 1
-    path = f"{shared_folder(spark)}/stages/vectors-{uuid.uuid4().hex}"
+    path = f"{stages_folder(spark)}/vectors-{uuid.uuid4().hex}"
     weighted.select(F.concat_ws(" ", position.cast("string"), F.array_join(cells, " "))).write.text(path)
-    return spark.read.format("libsvm").option("numFeatures", str(len(idf))).load(path)
+    # The solver runs one job per step: tasks below this share would cost more than they compute.
+    tasks = math.ceil(path_bytes(spark, path) / VECTOR_BYTES_PER_TASK)
+    return spark.read.format("libsvm").option("numFeatures", str(len(idf))).load(path).coalesce(max(1, tasks))
 
 
 def save(model: TextModel, path: str) -> None:

@@ -325,6 +325,29 @@ def trained_predictions(spark, folder) -> DataFrame:
     )
 
 
+@query(
+    f"""
+WITH {SPLIT_SQL}
+SELECT CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label, count(*) AS held_out, count(*) AS support,
+       TRUE AS sums_to_one, TRUE AS same_after_load
+FROM split s JOIN labels USING (doc_id) WHERE s.is_test GROUP BY quality
+"""
+)
+def training_checks(spark, folder) -> DataFrame:
+    """Per label what was held out and reported, and whether the loaded model predicts the same."""
+    path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+    trained = training.train(labelled_documents(spark, folder), path, stop_words=STOP_WORDS)
+    held_out = trained.predictions.select("doc_id", "text", "label", F.col("predicted").alias("before"))
+    again = training.predict(model.load(spark, path), held_out)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda acc, x: acc + x)
+    per_label = again.groupBy("label").agg(
+        F.count("*").alias("held_out"),
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.bool_and(F.col("predicted") == F.col("before")).alias("same_after_load"),
+    )
+    return per_label.join(trained.report.select(F.col("name").alias("label"), "support"), "label")
+
+
 @query()
 def training_report(spark, folder) -> DataFrame:
     """Held-out report of the trained classifier."""

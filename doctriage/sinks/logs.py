@@ -38,7 +38,7 @@ def log_or_notice(entries: DataFrame) -> DataFrame:
 
 def latest_per_key(items: DataFrame, key: str | list[str], order: str | Column) -> DataFrame:
     """Last write wins.  A partial aggregate keeps one candidate per key and task, so a key
-    with many writes costs no large sort."""
+    with many writes sends few rows through the shuffle; each task sorts its own rows by key."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [name for name in items.columns if name not in keys]
     newest = F.max_by(F.struct(*rest), order if isinstance(order, Column) else F.col(order))

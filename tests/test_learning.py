@@ -49,7 +49,7 @@ def test_pruned_vocabulary_is_exact(spark, pruning_words):
 def test_solution_has_no_gradient(spark):
     """At the optimum of mean loss + |w|^2 / (2 C n) all derivatives vanish."""
     train = samples(spark)
-    fitted = model.fit(train, stop_words=["the"])
+    fitted = model.fit(train, stop_words=["the"], tolerance=1e-10)
     vocabulary = fitted.vectorizer.stages[-1].vocabulary
     vectorizer = features.Vectorizer(fitted.vectorizer, None, vocabulary, fitted.idf)
     numbered = train.withColumn("doc_id", F.monotonically_increasing_id())
@@ -105,6 +105,6 @@ def test_class_report_without_cases(spark):
 
 
 def test_empty_text_scores_intercepts(spark):
-    fitted = model.fit(samples(spark), stop_words=[])
+    fitted = model.fit(samples(spark), stop_words=[], tolerance=1e-10)
     row = fitted.score(spark.createDataFrame([("",), ("!!",)], "text string")).collect()
     assert row[0].probabilities == row[1].probabilities
