@@ -102,15 +102,18 @@ def dashboard_rows(recent: DataFrame) -> DataFrame:
 
 
 def result_card(records: DataFrame, *keys: str) -> DataFrame:
-    """Cells of the single-result card; here confidence 0 shows as ``0%``."""
+    """Cells of the single-result card; here confidence 0 shows as ``0%``, but a time of 0 as absent."""
     dash = F.lit("—")
+    seconds = F.when(F.col("time_taken") != 0, number_text_js(F.col("time_taken")))
     shown = display_type(F.col("document_type"), F.col("status"))
     return records.select(
         *keys,
+        F.col("file_name").alias("file"),
         shown.alias("type"),
         F.concat(number_text_js(F.coalesce("confidence", F.lit(0.0))), F.lit("%")).alias("confidence"),
         F.coalesce(first_truthy(F.col("method")), dash).alias("method"),
         F.coalesce(first_truthy(F.col("destination"), F.col("status")), dash).alias("destination"),
+        F.concat(F.coalesce(seconds, dash), F.lit("s")).alias("time"),
         F.coalesce(first_truthy(F.col("status")), dash).alias("status"),
     )
 

@@ -25,6 +25,7 @@ records AS (
            CASE WHEN event_type = 'view' THEN {sql_round('value', 1)} END AS confidence,
            CASE WHEN event_type = 'view' THEN 'ML Model' END AS method,
            'user' || user_id || '.txt' AS file_name,
+           CASE event_type WHEN 'view' THEN {sql_round('value / 7', 2)} WHEN 'click' THEN 0.0::DOUBLE END AS time_taken,
            CASE WHEN event_type <> 'error' THEN 'documents/' || event_type END AS destination
     FROM events
 )"""
@@ -39,6 +40,8 @@ def records(spark, folder) -> DataFrame:
         F.when(seen, reports.round_half_even(F.col("value"), 1)).alias("confidence"),
         F.when(seen, "ML Model").alias("method"),
         F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".txt")).alias("file_name"),
+        F.when(seen, reports.round_half_even(F.col("value") / 7, 2)).when(F.col("event_type") == "click", 0.0)
+        .alias("time_taken"),
         F.when(F.col("event_type") != "error", F.concat(F.lit("documents/"), "event_type")).alias("destination"),
     )
 
@@ -118,9 +121,10 @@ def dashboard_table(spark, folder) -> DataFrame:
 @query(
     f"""
 WITH {RECORDS_SQL}
-SELECT event_id, {TYPE_SQL} AS type,
+SELECT event_id, file_name AS file, {TYPE_SQL} AS type,
        regexp_replace(coalesce(confidence, 0)::VARCHAR, '\\.0$', '') || '%' AS confidence,
-       coalesce(method, '—') AS method, coalesce(destination, status) AS destination, status
+       coalesce(method, '—') AS method, coalesce(destination, status) AS destination, status,
+       CASE WHEN time_taken <> 0 THEN regexp_replace(time_taken::VARCHAR, '\\.0$', '') ELSE '—' END || 's' AS time
 FROM records
 """
 )
