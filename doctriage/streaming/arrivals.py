@@ -2,7 +2,8 @@
 
 Results are written per batch to ``batch_id=<n>`` with overwrite, so a replayed batch replaces
 its own rows.  What a batch must know of the past (registered contents, given names) is read from
-the batches before it, never from its own folder.  Both reads touch two narrow columns.
+the batches before it, never from its own folder: from the last snapshot of both tables and the
+few batches since.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from doctriage.plans.local import RESULT_SCHEMA, Settings, triage
 from doctriage.session import job_stages, path_exists
 from doctriage.sinks.logs import latest_per_key
 
+SNAPSHOT_EVERY = 20
+
 
 def stream_folder(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Files as they appear in a folder.  The file source does not report empty files and hidden
@@ -39,6 +42,47 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def state_before(
+    spark: SparkSession, path: str, batch_id: int, every: int = SNAPSHOT_EVERY
+) -> tuple[DataFrame, DataFrame]:
+    """Registered contents (``md5``) and given names (``name_state``) of all batches before one.
+
+    The first batch of each ``every`` merges the last snapshot with the batches since into a new
+    one.  A snapshot depends only on finished batches, so a replay may write it again; where none
+    is whole, all earlier results are read.
+    """
+    cut = batch_id // every * every
+    if cut and not _whole(spark, path, cut):
+        registry, names = _merged(spark, path, cut - every, cut)
+        registry.distinct().write.mode("overwrite").parquet(f"{_snapshot(path, cut)}/registry")
+        last = names.groupBy("destination", "file_name").agg(F.max("last").alias("last"))
+        last.write.mode("overwrite").parquet(f"{_snapshot(path, cut)}/names")
+    return _merged(spark, path, cut, batch_id)
+
+
+def _snapshot(path: str, cut: int) -> str:
+    return f"{path}_state/before={cut}"
+
+
+def _whole(spark: SparkSession, path: str, cut: int) -> bool:
+    """The names are written last."""
+    return path_exists(spark, f"{_snapshot(path, cut)}/names/_SUCCESS")
+
+
+def _merged(spark: SparkSession, path: str, cut: int, end: int) -> tuple[DataFrame, DataFrame]:
+    if not (cut and _whole(spark, path, cut)):
+        past = read_results(spark, path).filter(F.col("batch_id") < end)
+        return past.filter("registered").select("md5"), name_state(past)
+    folders = [f"{path}/batch_id={number}" for number in range(cut, end)]
+    folders = [folder for folder in folders if path_exists(spark, folder)]
+    recent = spark.read.schema(RESULT_SCHEMA).parquet(*folders) if folders else None
+    if recent is None:
+        recent = spark.createDataFrame([], RESULT_SCHEMA)
+    registry = spark.read.parquet(f"{_snapshot(path, cut)}/registry")
+    names = spark.read.parquet(f"{_snapshot(path, cut)}/names")
+    return registry.unionByName(recent.filter("registered").select("md5")), names.unionByName(name_state(recent))
+
+
 def start(
     files: DataFrame,
     settings: Settings,
@@ -46,14 +90,14 @@ def start(
     checkpoint: str,
     prepare=lambda batch: batch,
     available_now: bool = True,
+    snapshot_every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
     """Start the stream.  ``prepare`` turns a micro-batch into the input of ``triage``."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        past = read_results(batch.sparkSession, results_path).filter(F.col("batch_id") < batch_id)
-        registry = past.filter("registered").select("md5")
+        registry, names = state_before(batch.sparkSession, results_path, batch_id, snapshot_every)
         with job_stages(batch.sparkSession):
-            results = triage(prepare(batch), settings, registry, name_state(past))
+            results = triage(prepare(batch), settings, registry, names)
             results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -21,12 +21,12 @@ def files(count=120):
     return rows
 
 
-def run(spark, root, batches):
+def run(spark, root, batches, **settings):
     """Each batch arrives and is handled by a stream restarted from the same checkpoint."""
     for batch in batches:
         spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
-        arrivals.start(source, local.Settings(), f"{root}/out", f"{root}/check").awaitTermination()
+        arrivals.start(source, local.Settings(), f"{root}/out", f"{root}/check", **settings).awaitTermination()
     return arrivals.read_results(spark, f"{root}/out")
 
 
@@ -85,3 +85,14 @@ def test_updates_over_several_batches(spark, tmp_path):
         arrivals.keep_updates(latest, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = arrivals.read_updates(spark, f"{tmp_path}/out", "k").select("k", "seq", "v").collect()
     assert sorted(map(tuple, got)) == [("a", 5, "z"), ("b", 2, "y"), ("c", 9, "v")]
+
+
+def test_snapshots_stand_for_all_earlier_batches(spark, tmp_path):
+    rows = files(90)
+    expected = shown(local.triage(spark.createDataFrame(rows, SCHEMA), local.Settings()))
+    parts = [rows[at : at + 18] for at in range(0, 90, 18)]
+    assert shown(run(spark, tmp_path, parts, snapshot_every=2)) == expected
+    kept = sorted(p.name for p in (tmp_path / "out_state").iterdir())
+    assert kept == ["before=2", "before=4"]
+    registry, names = arrivals.state_before(spark, f"{tmp_path}/out", 5, 2)
+    assert not any("batch_id=0" in f or "batch_id=3" in f for f in registry.inputFiles() + names.inputFiles())
