@@ -23,7 +23,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a benchmark item."""
-    return templates.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return templates.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), templates.WHOLE)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ placeholders, all else is lower-cased without surrounding punctuation.  Windows
 are hashed; documents and benchmark items meet on equal hashes.  Matches on one alignment of a
 document and an item are put together: the values in the placeholders must correspond one to one,
 so a question asked again with other numbers or names is caught, while a passage that merely has
-the same shape is not.
+the same shape is not.  Windows of equal words may match too, however few of them are literal.
 """
 
 from __future__ import annotations
@@ -46,16 +46,22 @@ OUT_ROWS = 5000
 class Rules:
     """Windows have ``width`` tokens, of which at least five in eight are literal.  A document holds
     an item if matching windows on one alignment cover ``covered`` of its tokens, or all of a
-    shorter item.  Items of fewer than ``shortest`` tokens are not looked for."""
+    shorter item.  Items of fewer than ``shortest`` tokens are not looked for.  If ``verbatim``,
+    windows of equal words, whatever their case, match with any number of literal tokens."""
 
     width: int = 8
     covered: int = 13
     shortest: int = 4
+    verbatim: bool = False
 
     def literal(self, width: int) -> int:
         return -(-width * 5 // 8)
 
 
+# What the registered query and the pipeline look for.
+WHOLE = Rules(verbatim=True)
+
+
 def token(word: str) -> tuple[int, str]:
     """Kind and value of one word, without its neighbours (so never a name)."""
     core = word.strip(EDGES).lower()
@@ -83,6 +89,7 @@ class Lexicon(dict):
         super().__init__()
         self.values: list[str] = []
         self.hashes = np.zeros(1 << 12, np.uint64)
+        self.words = np.zeros(1 << 12, np.uint64)
         self.kinds = np.zeros(1 << 12, np.int8)
         self.capital = np.zeros(1 << 12, bool)
         self.ends = np.zeros(1 << 12, bool)
@@ -92,13 +99,14 @@ class Lexicon(dict):
 
         at = self[word] = len(self.values)
         if at == len(self.kinds):
-            for name in ("hashes", "kinds", "capital", "ends"):
+            for name in ("hashes", "words", "kinds", "capital", "ends"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         kind, value = token(word)
         self.values.append(value)
         self.kinds[at] = kind
         self.hashes[at] = xxhash.xxh3_64_intdigest(value if kind == LITERAL else b"\0%d" % kind)
+        self.words[at] = xxhash.xxh3_64_intdigest("\1" + value.casefold())
         self.capital[at] = kind == LITERAL and is_capitalised(word)
         self.ends[at] = word.rstrip("\"')]}»”’").endswith(SENTENCE_END)
         return at
@@ -109,6 +117,19 @@ class Lexicon(dict):
             self.values.clear()
 
 
+def _window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    count = len(hashes) - width + 1
+    with np.errstate(over="ignore"):
+        total = np.full(count, width, np.uint64)
+        for at in range(width):
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            total += hashes[at : at + count]
+        total ^= total >> np.uint64(32)
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        total ^= total >> np.uint64(32)
+    return total
+
+
 class Template:
     """The template of one text.  A capitalised word is a name unless it starts a sentence; the
     text itself starts one if ``starts``."""
@@ -136,22 +157,21 @@ class Template:
         count = len(self) - width + 1
         if count <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            total = np.full(count, width, np.uint64)
-            for at in range(width):
-                total *= np.uint64(0x9E3779B97F4A7C15)
-                total += self.hashes[at : at + count]
-            total ^= total >> np.uint64(32)
-            total *= np.uint64(0xD6E8FEB86659FD93)
-            total ^= total >> np.uint64(32)
+        total = _window_hashes(self.hashes, width)
         literal = self.literal[width:] - self.literal[:count]
         at = np.flatnonzero(literal >= rules.literal(width))
         return at, total[at]
 
+    def verbatim(self, width: int) -> np.ndarray:
+        """Hashes of all windows by their words, whatever their case."""
+        if len(self) < width:
+            return np.zeros(0, np.uint64)
+        return _window_hashes(self.lexicon.words[self.codes], width)
+
     def slots(self, at: int, width: int) -> list[str]:
         part = slice(at, at + width)
         return [
-            self.lexicon.values[code]
+            self.lexicon.values[code].casefold()
             for code, kind in zip(self.codes[part], self.kinds[part])
             if kind != LITERAL
         ]
@@ -175,7 +195,11 @@ def benchmark_windows(items: DataFrame, rules: Rules) -> DataFrame:
                     if len(template) < rules.shortest:
                         continue
                     width = min(rules.width, len(template))
-                    for at, window in zip(*(x.tolist() for x in template.windows(width, rules))):
+                    places, hashes = (x.tolist() for x in template.windows(width, rules))
+                    if rules.verbatim:
+                        same = template.verbatim(width).tolist()
+                        places, hashes = places + list(range(len(same))), hashes + same
+                    for at, window in zip(places, hashes):
                         if (at, window) not in seen:
                             seen.add((at, window))
                             rows.append((window, item, at, width, len(template), template.slots(at, width)))
@@ -187,7 +211,8 @@ def benchmark_windows(items: DataFrame, rules: Rules) -> DataFrame:
 def document_windows(
     docs: DataFrame, widths: list[int], filter_bits: np.ndarray, rules: Rules
 ) -> DataFrame:
-    """The windows of ``docs`` (``doc_id, print, text``) that pass the filter."""
+    """The windows of ``docs`` (``doc_id, print, text``) that pass the filter.  Verbatim ones have
+    null for their slots, as they have the values of the item."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
     shift = np.uint64(64 - FILTER_BITS)
 
@@ -207,6 +232,15 @@ def document_windows(
                         if len(rows) >= OUT_ROWS:
                             yield _batch(rows, FOUND_FIELDS)
                             rows.clear()
+                    if not rules.verbatim:
+                        continue
+                    hashes = template.verbatim(width)
+                    at = np.flatnonzero(bits[hashes >> shift])
+                    for place, window in zip(at.tolist(), hashes[at].tolist()):
+                        rows.append((window, doc, print_, place, width, None))
+                        if len(rows) >= OUT_ROWS:
+                            yield _batch(rows, FOUND_FIELDS)
+                            rows.clear()
         if rows:
             yield _batch(rows, FOUND_FIELDS)
 
@@ -265,7 +299,8 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
         F.col("doc_id").cast("long").alias("doc_id"), text_print(F.col("text")).alias("print"), "text"
     ).filter("text IS NOT NULL")
     found = document_windows(docs, widths, bits, rules).distinct()
-    pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc"))
+    doc_slots = F.coalesce("doc_slots", "item_slots")
+    pairs = F.arrays_zip(F.col("item_slots").alias("item"), doc_slots.alias("doc"))
     matched = found.join(windows, ["window", "width"]).withColumn("pairs", pairs)
     # A group is no larger than its item.
     aligned = matched.groupBy(

@@ -61,7 +61,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), templates.WHOLE)
     return found.drop("print").distinct()
 
 

@@ -143,3 +143,25 @@ def test_lexicon_grows_and_is_trimmed(monkeypatch):
     monkeypatch.setattr(templates, "MEMO_WORDS", 100)
     lexicon.trim()
     assert not lexicon and templates.Template("a 5 kg", lexicon).kinds.tolist() == [0, 1, 3]
+
+
+SUMS = "What is 12 + 35 * 4 - 18 / 6 ?"
+COINS = (
+    "Anna has 12 coins, Ben has 15 coins, Carla has 20 coins and David has 33 coins; Anna gives Ben 4, "
+    "Carla gives David 7, who has most ?"
+)
+CAPITALS = "Paris Rome Berlin Madrid Vienna Warsaw Prague Lisbon Athens Dublin Oslo Helsinki Stockholm"
+DENSE = [(1, SUMS), (2, COINS), (3, CAPITALS), (4, "Wie Viele Große Häuser Und Kleine Gärten Hat Die Alte Stadt ?")]
+
+
+def test_copies_with_few_literals(spark):
+    rows = [
+        (10 * i + at, f"They asked: {change(text)} And so on.")
+        for i, text in DENSE
+        for at, change in enumerate((str, str.lower, str.upper))
+    ]
+    rows += [(91, "What is 12 + 36 * 4 - 18 / 6 ?"), (92, "Paris Rome Berlin and others")]
+    found = templates.leaks(docs(spark, rows), items(spark, DENSE), templates.WHOLE).collect()
+    whole = {i: len(tokens(text)) for i, text in DENSE}
+    expected = [(10 * i + at, i, 0, whole[i]) for i, _ in DENSE for at in range(3)]
+    assert sorted((r.doc_id, r.item_id, r.changed, r.covered) for r in found) == expected
