@@ -11,6 +11,7 @@ the same shape is not.  Windows of equal words may match too, however few of the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,19 +48,22 @@ class Rules:
     """Windows have ``width`` tokens, of which at least five in eight are literal.  A document holds
     an item if matching windows on one alignment cover ``covered`` of its tokens, or all of a
     shorter item.  Items of fewer than ``shortest`` tokens are not looked for.  If ``verbatim``,
-    windows of equal words, whatever their case, match with any number of literal tokens."""
+    windows of equal words, whatever their case, match with any number of literal tokens.  Values
+    must correspond one to one over the whole alignment or, if ``stretches``, over windows that
+    follow each other on it and cover as much."""
 
     width: int = 8
     covered: int = 13
     shortest: int = 4
     verbatim: bool = False
+    stretches: bool = False
 
     def literal(self, width: int) -> int:
         return -(-width * 5 // 8)
 
 
 # What the registered query and the pipeline look for.
-WHOLE = Rules(verbatim=True)
+WHOLE = Rules(verbatim=True, stretches=True)
 
 
 def token(word: str) -> tuple[int, str]:
@@ -258,6 +262,11 @@ FOUND_FIELDS = (
     ("window", pa.uint64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("doc_at", pa.int32()),
     ("width", pa.int32()), ("doc_slots", STRINGS),
 )
+HELD = "doc_id long, print long, item_id long, covered int, changed int, slots int"
+HELD_FIELDS = (
+    ("doc_id", pa.int64()), ("print", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()),
+    ("changed", pa.int32()), ("slots", pa.int32()),
+)
 
 
 def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
@@ -275,6 +284,62 @@ def one_to_one(pairs: Column) -> Column:
     return (F.size(of_item) == F.size(pairs)) & (F.size(of_doc) == F.size(pairs))
 
 
+def longest_stretch(places: list[tuple[int, int, list[tuple[str, str]]]]) -> tuple[int, int, int]:
+    """``covered, kept, slots`` of the best stretch of windows ``item_at, width, pairs`` of one
+    alignment whose values determine each other; ``kept`` is minus the number of changed values.
+
+    A stretch ends where a value clashes, and the next one starts as early as it can without it."""
+    places = sorted(places, key=lambda p: p[:2])
+    best, start, covered, end = (0, 0, 0), 0, 0, 0
+    counts: Counter[tuple[str, str]] = Counter()
+    of_item: dict[str, str] = {}
+    of_doc: dict[str, str] = {}
+    for at, (place, width, pairs) in enumerate(places):
+        own = set(pairs)
+        if len({i for i, _ in own}) < len(own) or len({d for _, d in own}) < len(own):
+            # The window clashes with itself.
+            start, covered, end = at + 1, 0, 0
+            counts.clear(), of_item.clear(), of_doc.clear()
+            continue
+        while any(of_item.get(i, d) != d or of_doc.get(d, i) != i for i, d in own):
+            first, size, gone = places[start]
+            start += 1
+            covered -= min(first + size, places[start][0] if start < at else first + size) - first
+            for pair in set(gone):
+                counts[pair] -= 1
+                if not counts[pair]:
+                    del counts[pair], of_item[pair[0]], of_doc[pair[1]]
+        if start == at:
+            covered, end = 0, 0
+        for pair in own:
+            counts[pair] += 1
+            of_item[pair[0]], of_doc[pair[1]] = pair[1], pair[0]
+        covered += max(0, place + width - max(place, end))
+        end = max(end, place + width)
+        best = max(best, (covered, -sum(i != d for i, d in counts), len(counts)))
+    return best
+
+
+def best_stretches(aligned: DataFrame, rules: Rules) -> DataFrame:
+    """``doc_id, print, item_id, covered, changed, slots`` of alignments with a long enough stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                windows = [
+                    (w["item_at"], w["width"], [(p["item"], p["doc"]) for p in w["pairs"]])
+                    for w in row["windows"]
+                ]
+                covered, kept, slots = longest_stretch(windows)
+                if covered >= min(rules.covered, row["item_tokens"]):
+                    rows.append((row["doc_id"], row["print"], row["item_id"], covered, -kept, slots))
+            yield _batch(rows, HELD_FIELDS)
+
+    narrow = aligned.select("doc_id", "print", "item_id", "item_tokens", "windows")
+    return narrow.mapInArrow(run, HELD)
+
+
 def text_print(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -306,19 +371,24 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
     aligned = matched.groupBy(
         "doc_id", "print", "item_id", "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("shift")
     ).agg(
-        F.collect_set(F.struct("item_at", "width")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.collect_set(F.struct("item_at", "width", "pairs")).alias("windows")
     )
     tokens = F.flatten(
-        F.transform("places", lambda p: F.sequence(p["item_at"], p["item_at"] + p["width"] - 1))
+        F.transform("windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))
     )
-    held = (
-        aligned.withColumn("covered", F.size(F.array_distinct(tokens)))
-        .withColumn("changed", F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])))
-        .filter(F.col("covered") >= F.least(F.lit(rules.covered), F.col("item_tokens")))
-        .filter(one_to_one(F.col("pairs")))
+    aligned = aligned.withColumn("covered", F.size(F.array_distinct(tokens))).filter(
+        F.col("covered") >= F.least(F.lit(rules.covered), F.col("item_tokens"))
     )
-    best = F.max(F.struct("covered", (-F.col("changed")).alias("kept"), F.size("pairs").alias("slots")))
+    if rules.stretches:
+        held = best_stretches(aligned, rules)
+    else:
+        held = (
+            aligned.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
+            .withColumn("changed", F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])))
+            .filter(one_to_one(F.col("pairs")))
+            .withColumn("slots", F.size("pairs"))
+        )
+    best = F.max(F.struct("covered", (-F.col("changed")).alias("kept"), "slots"))
     return (
         held.groupBy("doc_id", "print", "item_id")
         .agg(best.alias("best"))

@@ -165,3 +165,35 @@ def test_copies_with_few_literals(spark):
     whole = {i: len(tokens(text)) for i, text in DENSE}
     expected = [(10 * i + at, i, 0, whole[i]) for i, _ in DENSE for at in range(3)]
     assert sorted((r.doc_id, r.item_id, r.changed, r.covered) for r in found) == expected
+
+
+def test_longest_stretch_against_all_stretches():
+    rng = random.Random(3)
+    for _ in range(400):
+        own, other = ([rng.choice("abcdef") for _ in range(16)] for _ in range(2))
+        other = [o if rng.random() < 0.4 else x for o, x in zip(other, own)]
+        places = [(i, 3, list(zip(own[i : i + 3 : 2], other[i : i + 3 : 2]))) for i in range(14) if rng.random() < 0.8]
+        best = (0, 0, 0)
+        for a in range(len(places)):
+            for b in range(a + 1, len(places) + 1):
+                pairs = {p for w in places[a:b] for p in w[2]}
+                if len({p[0] for p in pairs}) == len(pairs) == len({p[1] for p in pairs}):
+                    covered = len({t for w in places[a:b] for t in range(w[0], w[0] + 3)})
+                    best = max(best, (covered, -sum(x != y for x, y in pairs), len(pairs)))
+        assert templates.longest_stretch(rng.sample(places, len(places))) == best
+
+
+def test_one_clash_leaves_the_rest(spark):
+    sums = "Tom buys 5 red apples and 3 green pears at the market on the way and pays 5 coins for all of the fruit"
+    rows = [
+        (1, QUESTION.replace("180", "360")),
+        (2, sums.replace("pays 5", "pays 3")),  # 5 stands for 5 and for 3
+        (3, sums.replace("5 red", "8 red").replace("pays 5", "pays 9")),
+        (4, "Tom buys 5 red apples and 3 green"),
+        (5, QUESTION.replace("Boston at 9 with 40", "Boston at 9 with 9").replace("after 3 hours", "after 9 days")),
+    ]
+    found = templates.leaks(docs(spark, rows), items(spark, [(1, QUESTION), (2, sums)]), templates.WHOLE)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 2), (5, 1)}
+    short = [(1, "All 7 of us ate 8 eggs as we sat by the sea then")]  # every long enough stretch clashes
+    bench = [(8, "All 5 of us ate 5 eggs as we sat by the sea then")]
+    assert templates.leaks(docs(spark, short), items(spark, bench), templates.WHOLE).count() == 0
