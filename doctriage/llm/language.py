@@ -22,6 +22,7 @@ from doctriage.llm import grams
 UNKNOWN = "und"
 ORDERS, BUCKETS = 3, 1 << 15
 BLANK = 32
+KNOWN_IN = 0.01  # of a language's sampled documents, one at least: where its n-grams are known from
 DAMP = np.positive  # plain counts: the language of most of a mixed text wins
 
 
@@ -48,10 +49,17 @@ class Model:
     weights: np.ndarray  # terms x labels
     bias: np.ndarray
     temperature: float
+    known: np.ndarray  # labels x terms
 
-    def scores(self, text: str) -> np.ndarray:
+    def judge(self, text: str) -> tuple[str, float, float]:
+        """Language of a text with a letter, its score, and the weighted share of the text's n-grams
+        that are known in this language."""
         terms, values = grams.weights(letter_grams(text), self.inverse, DAMP)
-        return values @ self.weights[terms] + self.bias
+        scores = values @ self.weights[terms] + self.bias
+        likely = softmax(scores.astype(np.float64) / self.temperature)
+        best = int(likely.argmax())
+        known = float(values[self.known[best, terms]].sum() / values.sum())
+        return self.labels[best], float(likely[best]), known
 
 
 def letter_grams(text: str) -> np.ndarray:
@@ -170,15 +178,23 @@ def learn(documents: DataFrame, how: Training = Training()) -> Model | None:
         weights, bias = fit_leader(rest, BUCKETS, len(labels), how)
         scores = np.array([v @ weights[t] + bias for t, v, _ in apart]).reshape(-1, len(labels))
         heat = fit_temperature(scores, np.array([y for _, _, y in apart], int))
+        counts = np.zeros((len(labels), BUCKETS), np.int32)
+        for terms, _, label in ready:
+            counts[label, terms] += 1
+        sizes = np.bincount([y for _, _, y in ready], minlength=len(labels))
+        known = np.packbits(counts >= np.maximum(1, KNOWN_IN * sizes)[:, None])
         return pd.DataFrame(
-            {"weights": [weights.tobytes()], "bias": [bias.tobytes()], "heat": [heat], "n": [len(ready)]}
-        )
+            {
+                "weights": [weights.tobytes()], "bias": [bias.tobytes()], "heat": [heat],
+                "known": [known.tobytes()], "n": [len(ready)],
+            }
+        )
 
     fitted = (
         rows.mapInArrow(vectors, "id long, label string, draw long, terms binary, vals binary")
         .withColumn("whole", F.lit(0))
         .groupBy("whole")  # the bounded sample
-        .applyInPandas(train, "weights binary, bias binary, heat double, n long")
+        .applyInPandas(train, "weights binary, bias binary, heat double, known binary, n long")
         .collect()
     )
     if not fitted or not fitted[0]["n"]:
@@ -189,33 +205,35 @@ def learn(documents: DataFrame, how: Training = Training()) -> Model | None:
         np.frombuffer(fitted[0]["weights"], np.float32).reshape(BUCKETS, len(labels)),
         np.frombuffer(fitted[0]["bias"], np.float32),
         fitted[0]["heat"],
+        np.unpackbits(np.frombuffer(fitted[0]["known"], np.uint8)).reshape(len(labels), BUCKETS).astype(bool),
     )
 
 
+def _judged(documents: DataFrame, model: Model | None) -> DataFrame:
+    """``documents`` with a struct ``_language`` of ``lang_pred, score, known``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, known double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        model, out = shared.value, []
+        for text in texts:
+            if model is None or text is None or not has_letter(text):
+                out.append((UNKNOWN, 0.0, 0.0))
+            else:
+                out.append(model.judge(text))
+        return pd.DataFrame(out, columns=["lang_pred", "score", "known"])
+
+    return documents.withColumn("_language", run(F.col("text")))
+
+
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     """``documents`` with ``lang_pred, score``, from the whole text alone.
 
     Texts that are null or hold no letter, and all texts without a model, get ``und`` and 0.
     Columns of these names that ``documents`` has are replaced.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        known, out = shared.value, []
-        for text in texts:
-            if known is None or text is None or not has_letter(text):
-                out.append((UNKNOWN, 0.0))
-                continue
-            likely = softmax(known.scores(text).astype(np.float64) / known.temperature)
-            best = int(likely.argmax())
-            out.append((known.labels[best], float(likely[best])))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
-
     rest = documents.drop("lang_pred", "score")
-    named = rest.withColumn("_language", run(F.col("text")))
-    return named.select(*rest.columns, "_language.lang_pred", "_language.score")
+    return _judged(rest, model).select(*rest.columns, "_language.lang_pred", "_language.score")
 
 
 def identify(documents: DataFrame, how: Training = Training()) -> DataFrame:
@@ -233,11 +251,24 @@ def identify(documents: DataFrame, how: Training = Training()) -> DataFrame:
 
 
 def keep_identified(
-    documents: DataFrame, least_score: float = 0.25, how: Training = Training()
+    documents: DataFrame,
+    least_score: float = 0.25,
+    how: Training = Training(),
+    least_known: float = 0.5,
 ) -> DataFrame:
-    """``documents`` without those rejected: no language found, or a score below ``least_score``."""
+    """``documents`` without those rejected: no language found, a score below ``least_score``, or
+    less than ``least_known`` of the text's weighted n-grams known in the language found.
+
+    The largest of a few scores is large whatever the text, so with up to ``1 / least_score``
+    languages only the known share tells gibberish and languages that were not learned.
+    """
     fold = grams.fold(F.col("doc_id"))
     model = learn(documents.filter(fold != 0), how)
-    found = predict(documents.select(F.struct("*").alias("_row"), "text"), model)
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    found = _judged(documents.select(F.struct("*").alias("_row"), "text"), model)
+    found = found.select("_row", "_language.*")
+    kept = found.filter(
+        (F.col("lang_pred") != UNKNOWN)
+        & (F.col("score") >= least_score)
+        & (F.col("known") >= least_known)
+    )
     return kept.select("_row.*")

@@ -127,3 +127,21 @@ def test_quality_edge_rows(spark):
     assert quality.score(table(spark, []), marks).count() == 0
     none = quality.score(table(spark, rows), marks.filter("doc_id < 0")).collect()
     assert {r.score for r in none} == {0.5}
+
+
+def test_only_learned_languages_are_kept(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    given = [r.text for r in docs.filter("doc_id < 40").orderBy("doc_id").collect()]
+    short = [" ".join(t.split()[3:7]) for t in given if len(t.split()) > 10]
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由在尊严和权利上一律平等",
+        "xqzv wkjq pfgh zzxk qwrt vbnm lkjh gfds xcvb qzqz",
+    ]
+    added = [(10**9 + i, t, None) for i, t in enumerate(short)] + [(2 * 10**9 + i, t, None) for i, t in enumerate(other)]
+    rows = docs.unionByName(spark.createDataFrame(added, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in language.keep_identified(rows).select("doc_id").collect()}
+    assert len(short) > 20
+    assert kept == {r.doc_id for r in rows.filter("doc_id < 2000000000").collect()}
