@@ -126,6 +126,15 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def drawn_texts(usable: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, label, draw, text`` of the few drawn ``ids`` (``id, label, draw``), one row of those of
+    ``usable`` that repeat an id and a label, however many they are."""
+    same = (F.col("id") == F.col("doc_id")) & (F.col("label") == F.col("lang"))
+    one = F.min(F.struct(F.xxhash64("text").alias("print"), "text")).alias("one")
+    drawn = usable.join(F.broadcast(ids), same).groupBy("id", "label", "draw").agg(one)
+    return drawn.select("id", "label", "draw", "one.text")
+
+
 def learn(documents: DataFrame, how: Training = Training()) -> Model | None:
     """Fit on ``documents`` (``doc_id, text, lang``); None without a document that has both a
     language and a letter.  Which documents are sampled depends on a hash of their id only."""
@@ -150,8 +159,7 @@ def learn(documents: DataFrame, how: Training = Training()) -> Model | None:
         .distinct()
     )
     # ``ids`` has how.sample rows at most, or one per language.
-    same = (F.col("id") == F.col("doc_id")) & (F.col("label") == F.col("lang"))
-    rows = usable.join(F.broadcast(ids), same).select("id", "label", "draw", "text")
+    rows = drawn_texts(usable, ids)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

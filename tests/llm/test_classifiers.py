@@ -145,3 +145,13 @@ def test_only_learned_languages_are_kept(spark):
     kept = {r.doc_id for r in language.keep_identified(rows).select("doc_id").collect()}
     assert len(short) > 20
     assert kept == {r.doc_id for r in rows.filter("doc_id < 2000000000").collect()}
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    rows = [(i, f"un deux {'trois ' * i}", "fr") for i in range(10)]
+    rows += [(100, f"one two {'three ' * (i % 7)}", "en") for i in range(300)] + [(100, "un deux", "fr")]
+    usable = table(spark, rows).repartition(4).select("doc_id", "text", "lang")
+    ids = spark.createDataFrame([(100, "en", 1), (100, "fr", 1), (3, "fr", 2)], "id long, label string, draw long")
+    found = language.drawn_texts(usable, ids).collect()
+    assert sorted((r.id, r.label, r.draw) for r in found) == [(3, "fr", 2), (100, "en", 1), (100, "fr", 1)]
+    assert {(r.id, r.text, r.label) for r in found} <= set(rows)
