@@ -13,6 +13,7 @@ from doctriage.llm import (
     neighbours,
     personal_data,
     quality,
+    repeats,
     templates,
     token_counts,
 )
@@ -240,3 +241,35 @@ QUALIFY rank <= 3
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+@query(
+    """
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+    SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM texts)
+), again AS (
+    SELECT r, p FROM strings JOIN (SELECT m FROM strings GROUP BY m HAVING count(*) > 1) USING (m)
+), numbered AS (
+    SELECT r, p, sum(CASE WHEN p <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run
+    FROM (SELECT *, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM again)
+), runs AS (
+    SELECT r, min(p) AS start, max(p) + 200 AS stop FROM numbered GROUP BY r, run
+), pieces AS (
+    SELECT r, start, substr(h, 2 * coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) + 1,
+           2 * (start - coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0))) AS piece
+    FROM runs JOIN texts USING (r)
+), found AS (
+    SELECT r, count(*) AS n_spans, CAST(sum(stop - start) AS BIGINT) AS n_removed, max(stop) AS last FROM runs GROUP BY r
+), kept AS (
+    SELECT r, string_agg(piece, '' ORDER BY start) AS front FROM pieces GROUP BY r
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN found USING (r) LEFT JOIN kept USING (r)
+"""
+)
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
