@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctriage.llm import (
+    conversations,
     hard_negatives,
     language,
     mixing,
@@ -273,3 +274,9 @@ FROM texts LEFT JOIN found USING (r) LEFT JOIN kept USING (r)
 def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversations.repair(conversations.damaged(turns), turns.select("conv_id"))
