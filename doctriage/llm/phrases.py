@@ -161,11 +161,11 @@ def parse_order(ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _same(data: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
     """Whether the strings of ``length`` bytes at paired places are equal, byte by byte."""
-    found = np.arange(len(left))
-    for at in range(0, length, 16):
-        step = np.arange(at, min(at + 16, length))
-        equal = (data[left[found, None] + step] == data[right[found, None] + step]).all(axis=1)
-        found = found[equal]
+    found, width = np.arange(len(left)), min(8, length)
+    # Eight bytes from each place on as one number.
+    words = np.ndarray(len(data) - width + 1, "<u8" if width == 8 else f"V{width}", data, strides=(1,))
+    for at in [*range(0, length - width, width), length - width]:
+        found = found[words[left[found] + at] == words[right[found] + at]]
     out = np.zeros(len(left), bool)
     out[found] = True
     return out

@@ -254,27 +254,33 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts, found = batch.column(1), batch.column(2).to_pylist()
+            first, size, made = 0, 0, []
             for one in range(batch.num_rows):
-                raw, found = texts[one].as_py(), batch.column(2)[one].as_py() or []
-                runs: list[list[int]] = []
-                for x in found:
+                raw = texts[one].as_py()
+                runs: list[tuple[int, int]] = []
+                for x in found[one] or ():
                     if runs and x["start"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x["stop"])
+                        runs[-1] = (runs[-1][0], max(runs[-1][1], x["stop"]))
                     else:
-                        runs.append([x["start"], x["stop"]])
+                        runs.append((x["start"], x["stop"]))
                 edges = [0, *(edge for run in runs for edge in run), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                made.append((len(raw), runs, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))))
+                size += len(raw)
+                if size < PIECE_BYTES and one + 1 < batch.num_rows:
+                    continue
+                sizes, spans, kept = zip(*made)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": ids.slice(one, 1),
-                        "n_bytes": pa.array([len(raw)], pa.int64()),
-                        "n_removed": pa.array([len(raw) - len(kept)], pa.int64()),
-                        "n_spans": pa.array([len(runs)], pa.int64()),
-                        "spans": pa.array([[{"start": a, "stop": b} for a, b in runs]], span),
-                        "kept": pa.array([kept], pa.binary()),
+                        "doc_id": batch.column(0).slice(first, len(made)),
+                        "n_bytes": pa.array(sizes, pa.int64()),
+                        "n_removed": pa.array([n - len(k) for n, k in zip(sizes, kept)], pa.int64()),
+                        "n_spans": pa.array(list(map(len, spans)), pa.int64()),
+                        "spans": pa.array([[{"start": a, "stop": b} for a, b in r] for r in spans], span),
+                        "kept": pa.array(kept, pa.binary()),
                     }
                 )
+                first, size, made = one + 1, 0, []
 
     joined = rows.join(by_row, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, REMOVED.format(id=kind))
