@@ -167,8 +167,8 @@ def running(values: Column, start: int, merge: Callable[[Column, Column], Column
 
 
 def spans_of(text: Column, kind: Kind, order: int) -> Column:
-    """Confirmed spans of one kind: ``start, end, kind_order, score`` in code points, end exclusive."""
-    nothing = F.array().cast("array<struct<start:int,end:int,kind:int,score:int>>")
+    """Confirmed spans of one kind: ``start, kind, end, score`` in code points, end exclusive."""
+    nothing = F.array().cast("array<struct<start:int,kind:int,end:int,score:int>>")
 
     def score(before: Column, after: Column) -> Column:
         context = F.lower(F.concat(before, F.lit(" "), after))
@@ -205,7 +205,7 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
     def confirmed(matches: Column) -> Column:
         found = let(F.split(text, kind.pattern, -1), lambda pieces: located(pieces, matches))
         keeps = lambda s: s["valid"] & (F.lit(kind.base) | (s["score"] >= LEAST_SCORE))
-        bare = lambda s: F.struct(s["start"], s["end"], s["kind"], s["score"])
+        bare = lambda s: F.struct(s["start"], s["kind"], s["end"], s["score"])
         return F.when(F.size(matches) > 0, F.transform(F.filter(found, keeps), bare)).otherwise(nothing)
 
     quick = F.contains(text, F.lit("@")) if kind.quick == "@" else text.rlike(kind.quick)
@@ -214,7 +214,7 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
 
 
 def all_spans(text: Column) -> Column:
-    """Confirmed spans of all kinds by start, then kind."""
+    """Confirmed spans of all kinds by start, then kind as listed; spans of one kind never overlap."""
     return F.array_sort(F.concat(*[spans_of(text, kind, at) for at, kind in enumerate(KINDS)]))
 
 
@@ -250,7 +250,8 @@ def find(documents: DataFrame) -> DataFrame:
 
 
 def blank_out(text: Column, spans: Column) -> Column:
-    """``text`` with each span (or run of overlapping spans) replaced by the kind it starts with.
+    """``text`` with each span (or run of overlapping spans) replaced by its first kind: of
+    spans that start together, the one listed first.
 
     The gaps are cut from segments of the text that cover a block of spans each.
     """
