@@ -2,11 +2,12 @@
 
 1. ``describe``: one pass over the texts gives each document the size and a fingerprint of its
    shingle set, a signature of universal-hash minima and its band keys.
-2. Documents with equal sets are represented by one of them, so exact copies cost nothing further.
+2. Documents with equal sets are one text, a node of the graph, so exact copies cost nothing further.
 3. Band keys shared by several representatives form buckets.  Every document is paired once, with
    the smallest document that any of its buckets holds: linear, however large the buckets are.
 4. Pairs whose signatures are too far apart are dropped, the others are confirmed on full sets.
 5. Confirmed links are joined to components (alternating large-star and small-star).
+   The smallest id of its members names a component; an id that several texts repeat joins theirs.
 6. A bucket whose members lie in several components may still hide a link between them; links
    inside a component cannot change it and are skipped.  Members of such buckets are paired with
    the bucket's smallest and largest member where the components differ.  Buckets that are still
@@ -105,16 +106,22 @@ def _minima(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-    ids = batch.column(0).to_pylist()
-    return zip(ids, (t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()))
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The narrow columns of each row, then its text."""
+    *narrow, texts = batch.columns
+    return zip(*(c.to_pylist() for c in narrow), (t or b"" for t in texts.cast(pa.large_binary()).to_pylist()))
 
 
-DESCRIBED = "id long, n_shingles long, fingerprint binary, signature binary, bands array<long>"
+def _versions(docs: DataFrame) -> DataFrame:
+    """``id, version, text``: a hash of the text tells versions of one id apart."""
+    return docs.select("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"), "text")
+
+
+DESCRIBED = "id long, version long, n_shingles long, fingerprint binary, signature binary, bands array<long>"
 
 
 def describe(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``id, n_shingles, fingerprint, signature, bands`` of whole texts (``id, text``)."""
+    """``id, version, n_shingles, fingerprint, signature, bands`` of whole texts (``id, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,17 +134,18 @@ def describe(docs: DataFrame, like: Likeness) -> DataFrame:
             made = pa.RecordBatch.from_pydict(
                 {
                     "id": pa.array([r[0] for r in rows], pa.int64()),
-                    "n_shingles": pa.array([r[1] for r in rows], pa.int64()),
-                    "fingerprint": pa.array([r[2] for r in rows], pa.binary()),
-                    "signature": pa.array([r[3] for r in rows], pa.binary()),
-                    "bands": pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                    "version": pa.array([r[1] for r in rows], pa.int64()),
+                    "n_shingles": pa.array([r[2] for r in rows], pa.int64()),
+                    "fingerprint": pa.array([r[3] for r in rows], pa.binary()),
+                    "signature": pa.array([r[4] for r in rows], pa.binary()),
+                    "bands": pa.array([r[5] for r in rows], pa.list_(pa.int64())),
                 }
             )
             rows.clear()
             return made
 
         for batch in batches:
-            for name, text in _texts(batch):
+            for name, version, text in _texts(batch):
                 shingles = shingle_set(text, like.words, memo)
                 if len(shingles):
                     with np.errstate(over="ignore"):
@@ -145,20 +153,20 @@ def describe(docs: DataFrame, like: Likeness) -> DataFrame:
                         keyed = (minima.reshape(like.bands, like.rows) + np.uint64(1)) * places
                         bands = _mix(keyed.sum(axis=1, dtype=np.uint64)).view(np.int64)
                     print_ = xxhash.xxh3_128_digest(shingles.tobytes())
-                    rows.append((name, len(shingles), print_, minima.tobytes(), bands))
+                    rows.append((name, version, len(shingles), print_, minima.tobytes(), bands))
                 else:
-                    rows.append((name, 0, None, None, []))
+                    rows.append((name, version, 0, None, None, []))
                 if len(rows) >= OUT_ROWS:
                     yield frame()
         if rows:
             yield frame()
 
-    return docs.select("id", "text").mapInArrow(run, DESCRIBED)
+    return _versions(docs).mapInArrow(run, DESCRIBED)
 
 
-def _close_signatures(pairs: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
+def _close_signatures(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Pairs whose signatures agree in nearly as many places as the similarity demands."""
-    signatures = described.filter("signature IS NOT NULL").select("id", "signature")
+    signatures = texts.select("node", "signature")
     least = like.percent / 100 - like.slack
     both = pairs.join(signatures.toDF("a", "own"), "a").join(signatures.toDF("b", "other"), "b")
 
@@ -175,21 +183,24 @@ def _close_signatures(pairs: DataFrame, described: DataFrame, like: Likeness) ->
     return both.select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, like: Likeness) -> DataFrame:
-    """``id, shingles`` of the documents named in ``needed``, written once."""
+def _sets(docs: DataFrame, needed: DataFrame, single: bool, like: Likeness) -> DataFrame:
+    """``node, shingles`` of the texts in ``needed`` (``node, id, version``), written once.
+
+    Unless every id and version is ``single``, only one of the rows that repeat them is used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for name, text in _texts(batch):
                 packed = shingle_set(text, like.words, memo).tobytes()
-                if packed:  # versions of a document may have none
-                    yield pa.RecordBatch.from_pydict(
-                        {"id": pa.array([name], pa.int64()), "shingles": pa.array([packed], pa.binary())}
-                    )
+                yield pa.RecordBatch.from_pydict(
+                    {"node": pa.array([name], pa.int64()), "shingles": pa.array([packed], pa.binary())}
+                )
 
-    named = docs.select("id", "text").join(needed.distinct(), "id", "left_semi")
-    return stage(named.mapInArrow(run, "id long, shingles binary"), "shingles")
+    named = _versions(docs).join(needed, ["id", "version"]).select("node", "text")
+    if not single:
+        named = named.groupBy("node").agg(F.first("text").alias("text"))  # all of them are equal
+    return stage(named.mapInArrow(run, "node long, shingles binary"), "shingles")
 
 
 def _alike(own: np.ndarray, others: list[np.ndarray], like: Likeness) -> np.ndarray:
@@ -234,7 +245,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.filter("x < y").select("key"), "key")
 
 
-def _to_ends(members: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
+def _to_ends(members: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Pairs of close signatures of a document outside an end's component with that end of its
     bucket."""
     ends = F.explode(
@@ -245,10 +256,10 @@ def _to_ends(members: DataFrame, described: DataFrame, like: Likeness) -> DataFr
     owners = members.groupBy("key").agg(owner, other)
     linked = members.join(owners, "key").select(F.col("node").alias("id"), "component", ends.alias("at"))
     across = linked.filter("component <> at.end_in").select("id", "at.end")
-    return _close_signatures(_pairs(across), described, like)
+    return _close_signatures(_pairs(across), texts, like)
 
 
-def _across(members: DataFrame, described: DataFrame, full: DataFrame, like: Likeness) -> DataFrame:
+def _across(members: DataFrame, texts: DataFrame, full: DataFrame, like: Likeness) -> DataFrame:
     """Links between different components of one bucket, one for each two that are linked.
 
     Buckets are cut into blocks of about ``BLOCK_MEMBERS``; each pair of blocks is a group of its
@@ -266,8 +277,7 @@ def _across(members: DataFrame, described: DataFrame, full: DataFrame, like: Lik
         .withColumn("j", F.greatest("part", "other"))
         .select("key", "i", "j", "node", "component")
     )
-    prints = described.filter("signature IS NOT NULL").select("id", "signature")
-    tiles = spread.join(full.toDF("node", "shingles"), "node").join(prints.toDF("node", "signature"), "node")
+    tiles = spread.join(full, "node").join(texts.select("node", "signature"), "node")
     least = (like.percent / 100 - like.slack) * like.size
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
@@ -295,49 +305,62 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return again
 
 
-def classes(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``id, n_shingles, component`` for every row of ``docs`` (``id long, text string``).
+def text_classes(docs: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
+    """``fingerprint, id, version, component`` of every text that has words, staged.
 
-    The component is the smallest id reachable by links, the own id included; a null id has none.
+    Rows with equal shingle sets are one text; ``id`` and ``version`` are the smallest of them.
+    ``component`` is the smallest (id, version) of the texts reachable by links, as a struct.
     """
-    described = stage(describe(docs, like), "described")
-    own = described.filter("id IS NOT NULL AND n_shingles > 0").select("fingerprint", "id", "bands")
-    first = own.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    banded = stage(own.join(first, ["fingerprint", "id"]).select("id", "bands"), "bands")
-    exploded = banded.select(F.explode("bands").alias("key"), "id").distinct()
+    own = described.filter("id IS NOT NULL AND n_shingles > 0")
+    first = F.min(F.struct("id", "version")).alias("first")
+    same = [F.first(name).alias(name) for name in ("signature", "bands")]
+    grouped = own.groupBy("fingerprint").agg(first, *same, F.count("*").alias("rows"))
+    # Texts are numbered once they are written, so their numbers stay.
+    numbered = grouped.select("fingerprint", "first.*", "signature", "bands", "rows")
+    texts = stage(numbered.withColumn("node", F.monotonically_increasing_id()), "texts")
+    exploded = texts.select(F.explode("bands").alias("key"), F.col("node").alias("id")).distinct()
     buckets = (
         exploded.groupBy("key")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
         .filter("size > 1")
     )
-    members = stage(
-        banded.select(F.explode("bands").alias("key"), "id").join(buckets, "key"), "members"
-    )
+    bands = texts.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
+    members = stage(bands.join(buckets, "key"), "members")
     # One link per document first: to the smallest document that any of its buckets holds.
     lowest = members.groupBy("id").agg(F.min("low").alias("end"))
-    tested = stage(_close_signatures(_pairs(lowest), described, like), "close")
-    full = _sets(docs, members.select("id"), like)
+    tested = stage(_close_signatures(_pairs(lowest), texts, like), "close")
+    single = own.groupBy("id", "version").count().filter("count > 1").isEmpty()
+    needed = texts.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    full = _sets(docs, needed.select("node", "id", "version"), single, like)
     links = _confirmed(tested, full, like)
     labels = components(links)
     # What is left are buckets over several components: first their two ends, then all across.
     half = stage(_open(members, labels), "open")
-    ends = stage(_to_ends(half, described, like).join(tested, ["a", "b"], "left_anti"), "close")
+    ends = stage(_to_ends(half, texts, like).join(tested, ["a", "b"], "left_anti"), "close")
     labels = _joined(labels, _confirmed(ends, full, like))
     rest = stage(_open(members, labels), "open")
-    labels = _joined(labels, _across(rest, described, full, like))
-    discard(banded, members, full, tested, links, half, ends, rest)
-    named = first.join(labels, first["id"] == labels["node"], "left").select(
-        "fingerprint", F.coalesce("component", "id").alias("component")
-    )
-    return (
-        described.select("id", "n_shingles", "fingerprint")
-        .join(named, "fingerprint", "left")
-        .select(
-            "id",
-            "n_shingles",
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"),
-        )
-    )
+    labels = _joined(labels, _across(rest, texts, full, like))
+    discard(members, full, tested, links, half, ends, rest)
+    named = texts.select("fingerprint", "id", "version", "node").join(labels, "node", "left")
+    named = stage(named.select("fingerprint", "id", "version", F.coalesce("component", "node").alias("class")), "classes")
+    least = named.groupBy("class").agg(F.min(F.struct("id", "version")).alias("component"))
+    out = stage(named.join(least, "class").drop("class"), "text-classes")
+    discard(texts, labels, named)
+    return out
+
+
+def _names(described: DataFrame, texts: DataFrame) -> DataFrame:
+    """``of, component``: every id that has words and the smallest id it reaches, where an id that
+    repeats with several texts joins their components."""
+    own = described.filter("id IS NOT NULL AND n_shingles > 0").select("id", "fingerprint").distinct()
+    named = own.join(texts.select("fingerprint", F.col("component.id").alias("name")), "fingerprint")
+    named = stage(named.select("id", "name").distinct(), "named")
+    several = named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    bridges = stage(named.join(several, "id", "left_semi").select(F.col("id").alias("a"), F.col("name").alias("b")), "bridges")
+    if not bridges.isEmpty():
+        joined = components(bridges).select(F.col("node").alias("name"), "component")
+        named = named.join(joined, "name", "left").select("id", F.coalesce("component", "name").alias("name")).distinct()
+    return named.select(F.col("id").alias("of"), F.col("name").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -346,23 +369,43 @@ def near_duplicates(documents: DataFrame, like: Likeness = Likeness()) -> DataFr
     ``kept`` marks the smallest id of each component.  Null, blank and empty texts have an empty
     set and are linked with nothing.  Rows without an id are linked with nothing, have a null
     component and are kept.  Rows that repeat an id are versions of one document: they share a
-    component whatever their texts.  An empty table gives an empty result; further columns are
-    ignored, whatever their names.
+    component whatever their texts, and what is near to any of them is reachable from all.  An empty
+    table gives an empty result; further columns are ignored, whatever their names.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = classes(docs, like)
+    described = stage(describe(docs, like), "described")
+    names = _names(described, text_classes(docs, described, like))
+    found = described.select("id", "n_shingles").join(names, F.col("id") == F.col("of"), "left")
+    component = F.coalesce("component", "id")
     return found.select(
         F.col("id").alias("doc_id"),
         "n_shingles",
-        F.col("component").alias("component_id"),
-        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
 
 
 def keep_one(documents: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """``documents`` without the near copies: of each component the document with the smallest id,
-    once, in all its columns.  Rows without an id stay."""
-    removed = near_duplicates(documents, like).filter("NOT kept").select("doc_id").distinct()
-    kept = documents.join(removed, "doc_id", "left_anti").select(*documents.columns)
-    named = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id IS NULL"))
+    """``documents`` without the near copies, in all their columns: of the texts that links join, one
+    row with the smallest id stays, of several such texts the one of least hash.
+
+    Texts count here, not ids: an id that repeats with unlike texts may stay once for each.  Rows
+    that repeat id and text stay once, by the least hash over all columns.  Rows without words stay
+    once for each id, rows without an id always.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    described = stage(describe(docs, like), "described")
+    texts = text_classes(docs, described, like)
+    rows = described.filter("id IS NOT NULL")
+    near = rows.join(texts.select("fingerprint", "component"), "fingerprint")
+    copies = near.filter(F.col("component") != F.struct("id", "version")).select("id", "version")
+    version = F.coalesce(F.xxhash64("text"), F.lit(0))
+    gone = copies.select(F.col("id").alias("_gone"), F.col("version").alias("_version")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_gone")) & (version == F.col("_version"))
+    kept = documents.join(gone, same, "left_anti")
+    if rows.groupBy("id", "version").count().filter("count > 1").isEmpty():
+        return kept
+    row = F.struct("*")
+    named = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), version.alias("_version"), row.alias("_row"))
+    one = F.min_by("_row", F.xxhash64("_row")).alias("_row")
+    return named.groupBy("_id", "_version").agg(one).select("_row.*").unionByName(kept.filter("doc_id IS NULL"))

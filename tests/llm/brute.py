@@ -17,7 +17,7 @@ def shingles(text, width):
 
 
 def classes(rows, width, percent=80):
-    """``{doc_id: component}`` by comparing all pairs."""
+    """``{doc_id: component}`` by comparing all pairs of rows; rows of one id are one document."""
     sets = [(i, shingles(t, width)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 

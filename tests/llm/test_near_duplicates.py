@@ -69,7 +69,35 @@ def test_null_and_repeated_ids(spark):
     ]
     kept = nd.keep_one(table(spark, rows))
     assert kept.columns == ["doc_id", "text", "id", "kept", "component_id"]
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 3, 7]
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [
+        (-1, ""), (-1, text), (3, text), (3, "other words here"), (7, ""),
+    ]
+
+
+def test_versions_of_an_id_join_their_texts(spark):
+    a, b = "one two three four five six", "quite other words than those before"
+    rows = [(2, a), (5, a), (5, b), (9, b), (9, None), (11, b), (11, "third text of words that stand alone")]
+    found = nd.near_duplicates(table(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(2, 2, True), (5, 2, False), (9, 2, False), (11, 2, False)}
+    kept = sorted((r.doc_id, r.text or "") for r in nd.keep_one(table(spark, rows)).collect())
+    assert kept == [(2, a), (5, b), (9, ""), (11, "third text of words that stand alone")]
+
+
+def test_random_versions_as_all_pairs(spark):
+    rng = random.Random(12)
+    rows = [(i if rng.random() < 0.8 else rng.randrange(40), t) for i, t in clusters(7)]
+    rows += rows[:9]
+    found = nd.near_duplicates(table(spark, rows), nd.Likeness(words=2)).collect()
+    expected = classes(rows, 2)
+    assert all(r.component_id == expected[r.doc_id] for r in found) and len(found) == len(rows)
+    # Every text that goes is near to one that stays; no two that stay are near to each other.
+    kept = [(r.doc_id, r.text) for r in nd.keep_one(table(spark, rows), nd.Likeness(words=2)).collect()]
+    numbered = classes(list(enumerate(t for _, t in rows)), 2)
+    groups = {}
+    for at, (_, text) in enumerate(rows):
+        groups.setdefault(numbered[at], set()).add(text)
+    staying = [text for _, text in kept if shingles(text, 2)]
+    assert sorted(min(g & set(staying)) for g in groups.values() if shingles(min(g, key=str), 2)) == sorted(staying)
 
 
 def test_empty_and_long(spark):
