@@ -47,23 +47,28 @@ OUT_ROWS = 5000
 class Rules:
     """Windows have ``width`` tokens, of which at least five in eight are literal.  A document holds
     an item if matching windows on one alignment cover ``covered`` of its tokens, or all of a
-    shorter item.  Items of fewer than ``shortest`` tokens are not looked for.  If ``verbatim``,
-    windows of equal words, whatever their case, match with any number of literal tokens.  Values
-    must correspond one to one over the whole alignment or, if ``stretches``, over windows that
-    follow each other on it and cover as much."""
+    shorter item.  If ``verbatim``, windows of equal words, whatever their case, match with any
+    number of literal tokens; an item of fewer than ``shortest`` tokens is looked for only so, as a
+    whole.  Values must correspond one to one over the whole alignment or, if ``stretches``, over
+    windows that follow each other on it and cover as much.
+
+    A window of more than ``common`` different items (as the instruction that opens them all) is no
+    evidence for any of them: an item must be covered by its other windows or, if these hold too few
+    of its tokens, be there as a whole."""
 
     width: int = 8
     covered: int = 13
     shortest: int = 4
-    verbatim: bool = False
-    stretches: bool = False
+    verbatim: bool = True
+    stretches: bool = True
+    common: int = 5
 
     def literal(self, width: int) -> int:
         return -(-width * 5 // 8)
 
 
 # What the registered query and the pipeline look for.
-WHOLE = Rules(verbatim=True, stretches=True)
+WHOLE = Rules()
 
 
 def token(word: str) -> tuple[int, str]:
@@ -182,31 +187,40 @@ class Template:
 
 
 def benchmark_windows(items: DataFrame, rules: Rules) -> DataFrame:
-    """``window, item_id, item_at, width, item_tokens, item_slots`` of all items.
+    """``window, item_id, item, same, item_at, width, item_tokens, item_slots`` of all items; ``item``
+    numbers them and ``same`` is a hash of their words.
 
     A short item is one window of its own length.  As an item may stand inside a sentence of a
     document, its first word is taken both as the start of a sentence and as a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
+        import xxhash
+        from pyspark import TaskContext
+
+        lexicon, number = Lexicon(), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lexicon.trim()
-                seen = set()
+                seen, number = set(), number + 1
                 for starts in (True, False):
                     template = Template(text or "", lexicon, starts)
-                    if len(template) < rules.shortest:
+                    if not len(template):
                         continue
                     width = min(rules.width, len(template))
+                    same_words = xxhash.xxh3_64_intdigest(template.lexicon.words[template.codes].tobytes())
                     places, hashes = (x.tolist() for x in template.windows(width, rules))
+                    if len(template) < rules.shortest:
+                        places, hashes = [], []
                     if rules.verbatim:
                         same = template.verbatim(width).tolist()
                         places, hashes = places + list(range(len(same))), hashes + same
                     for at, window in zip(places, hashes):
                         if (at, window) not in seen:
                             seen.add((at, window))
-                            rows.append((window, item, at, width, len(template), template.slots(at, width)))
+                            rows.append(
+                                (window, item, number, same_words, at, width, len(template), template.slots(at, width))
+                            )
             yield _batch(rows, WINDOW_FIELDS)
 
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, WINDOWS)
@@ -252,10 +266,10 @@ def document_windows(
 
 
 STRINGS = pa.list_(pa.string())
-WINDOWS = "window long, item_id long, item_at int, width int, item_tokens int, item_slots array<string>"
+WINDOWS = "window long, item_id long, item long, same long, item_at int, width int, item_tokens int, item_slots array<string>"
 WINDOW_FIELDS = (
-    ("window", pa.uint64()), ("item_id", pa.int64()), ("item_at", pa.int32()), ("width", pa.int32()),
-    ("item_tokens", pa.int32()), ("item_slots", STRINGS),
+    ("window", pa.uint64()), ("item_id", pa.int64()), ("item", pa.int64()), ("same", pa.uint64()),
+    ("item_at", pa.int32()), ("width", pa.int32()), ("item_tokens", pa.int32()), ("item_slots", STRINGS),
 )
 FOUND = "window long, doc_id long, print long, doc_at int, width int, doc_slots array<string>"
 FOUND_FIELDS = (
@@ -320,7 +334,7 @@ def longest_stretch(places: list[tuple[int, int, list[tuple[str, str]]]]) -> tup
     return best
 
 
-def best_stretches(aligned: DataFrame, rules: Rules) -> DataFrame:
+def best_stretches(aligned: DataFrame) -> DataFrame:
     """``doc_id, print, item_id, covered, changed, slots`` of alignments with a long enough stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,14 +346,37 @@ def best_stretches(aligned: DataFrame, rules: Rules) -> DataFrame:
                     for w in row["windows"]
                 ]
                 covered, kept, slots = longest_stretch(windows)
-                if covered >= min(rules.covered, row["item_tokens"]):
+                if covered >= row["required"]:
                     rows.append((row["doc_id"], row["print"], row["item_id"], covered, -kept, slots))
             yield _batch(rows, HELD_FIELDS)
 
-    narrow = aligned.select("doc_id", "print", "item_id", "item_tokens", "windows")
+    narrow = aligned.select("doc_id", "print", "item_id", "required", "windows")
     return narrow.mapInArrow(run, HELD)
 
 
+def _tokens(windows: Column) -> Column:
+    """How many tokens of their item some windows cover."""
+    places = F.transform(windows, lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))
+    return F.size(F.array_distinct(F.flatten(places)))
+
+
+def evidence(windows: DataFrame, rules: Rules) -> DataFrame:
+    """The windows that count, each with ``required``, how many tokens of its item must be covered.
+
+    An item's own windows count.  Where they hold fewer tokens than are required, all of its windows
+    do, and the item must be there as a whole."""
+    held = windows.groupBy("window", "width").agg(F.count_distinct("same").alias("texts"))
+    tagged = windows.join(held, ["window", "width"]).withColumn("shared", F.col("texts") > rules.common)
+    least = F.least(F.lit(rules.covered), F.col("item_tokens"))
+    own = F.collect_set(F.when(~F.col("shared"), F.struct("item_at", "width"))).alias("own")
+    # An item's windows are as many as its tokens.
+    crowded = tagged.groupBy("item", "item_tokens").agg(own).filter(_tokens(F.col("own")) < least)
+    marked = tagged.join(crowded.select("item", F.lit(True).alias("crowded")), "item", "left")
+    marked = marked.fillna(False, ["crowded"]).filter("crowded OR NOT shared")
+    required = F.when(F.col("crowded"), F.col("item_tokens")).otherwise(least)
+    return marked.withColumn("required", required).drop("texts", "shared", "crowded")
+
+
 def text_print(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -353,7 +390,7 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
     both are reported once.  Null, empty and wordless texts hold nothing and are held by nothing; an
     item without an id is reported as null.  Further columns are ignored.
     """
-    windows = stage(benchmark_windows(items, rules), "windows")
+    windows = stage(evidence(stage(benchmark_windows(items, rules), "item-windows"), rules), "windows")
     # Both lists have a bound: one entry per filter bucket, and one per width up to rules.width.
     bucket = F.shiftrightunsigned("window", 64 - FILTER_BITS).alias("bucket")
     buckets = windows.select(bucket).distinct().toPandas()["bucket"].to_numpy()
@@ -369,18 +406,13 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
     matched = found.join(windows, ["window", "width"]).withColumn("pairs", pairs)
     # A group is no larger than its item.
     aligned = matched.groupBy(
-        "doc_id", "print", "item_id", "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("shift")
+        "doc_id", "print", "item", "item_id", "required", (F.col("doc_at") - F.col("item_at")).alias("shift")
     ).agg(
         F.collect_set(F.struct("item_at", "width", "pairs")).alias("windows")
     )
-    tokens = F.flatten(
-        F.transform("windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))
-    )
-    aligned = aligned.withColumn("covered", F.size(F.array_distinct(tokens))).filter(
-        F.col("covered") >= F.least(F.lit(rules.covered), F.col("item_tokens"))
-    )
+    aligned = aligned.withColumn("covered", _tokens(F.col("windows"))).filter("covered >= required")
     if rules.stretches:
-        held = best_stretches(aligned, rules)
+        held = best_stretches(aligned)
     else:
         held = (
             aligned.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))

@@ -30,14 +30,83 @@ def tokens(text, starts=True):
     return out
 
 
-def brute(rows, bench, rules=Rules()):
+def held_by(bench, rules):
+    """Of each window, the texts that have it: by template and by words."""
+    found = {}
+    for _, text in bench:
+        for starts in (True, False):
+            own = tokens(text, starts)
+            width = min(rules.width, len(own))
+            for a in range(len(own) - width + 1) if own else ():
+                for window in windows_at(own, a, width, rules, len(own)):
+                    found.setdefault(window, set()).add(tuple(v.casefold() for _, v in own))
+    return found
+
+
+def windows_at(own, a, width, rules, size):
+    part = own[a : a + width]
+    out = [("words", *(v.casefold() for _, v in part))]
+    if sum(k == LITERAL for k, _ in part) >= rules.literal(width) and size >= rules.shortest:
+        out.append(("shape", *(v if k == LITERAL else k for k, v in part)))
+    return out
+
+
+def best_part(places, pairs_of):
+    """The most tokens that a run of windows with values in correspondence covers."""
+    best = 0
+    for a in range(len(places)):
+        for b in range(a + 1, len(places) + 1):
+            pairs = {p for w in places[a:b] for p in pairs_of(w)}
+            if len({p[0] for p in pairs}) == len(pairs) == len({p[1] for p in pairs}):
+                best = max(best, len({t for at, width, _ in places[a:b] for t in range(at, at + width)}))
+    return best
+
+
+def brute_whole(rows, bench, rules=Rules()):
+    """``{(doc, item): covered}``, comparing every window of every document and item."""
+    texts_of, found = held_by(bench, rules), {}
+    for item, text in bench:
+        both = [tokens(text, starts) for starts in (True, False)]
+        size = len(both[0])
+        if not size:
+            continue
+        width, least = min(rules.width, size), min(rules.covered, size)
+        places = {
+            (a, window): own for own in both for a in range(size - width + 1) for window in windows_at(own, a, width, rules, size)
+        }
+        mine = {k: own for k, own in places.items() if len(texts_of[k[1]]) <= rules.common}
+        if len({t for a, _ in mine for t in range(a, a + width)}) < least:
+            mine, least = places, size
+        for doc, body in rows:
+            other = tokens(body)
+            for shift in range(-size + 1, len(other)):
+                matched = []
+                for (a, window), own in mine.items():
+                    if a + shift < 0 or a + shift + width > len(other):
+                        continue
+                    if window in windows_at(other, a + shift, width, rules, size):
+                        pairs = [] if window[0] == "words" else list(zip(own[a : a + width], other[a + shift : a + shift + width]))
+                        pairs = tuple((x[1].casefold(), y[1].casefold()) for x, y in pairs if x[0] != LITERAL)
+                        if window[0] == "words":
+                            pairs = tuple((v.casefold(), v.casefold()) for k, v in own[a : a + width] if k != LITERAL)
+                        matched.append((a, width, pairs))
+                covered = best_part(sorted(set(matched)), lambda w: w[2])
+                if covered >= least:
+                    found[doc, item] = max(covered, found.get((doc, item), 0))
+    return found
+
+
+OLD = Rules(verbatim=False, stretches=False, common=1 << 30)
+
+
+def brute(rows, bench, rules=OLD):
     """Compare every window of every document with every window of every item."""
     found = {}
     for item, text in bench:
         for starts in (True, False):
             own = tokens(text, starts)
             width = min(rules.width, len(own))
-            if len(own) < rules.shortest:
+            if not own:
                 continue
             shape = [k if k != LITERAL else v for k, v in own]
             for doc, body in rows:
@@ -79,7 +148,9 @@ BENCH = [
 ]
 
 
-def test_like_comparing_all_windows(spark):
+@pytest.mark.parametrize("rules, compare", [(OLD, None), (Rules(), None), (Rules(common=1), None)])
+def test_like_comparing_all_windows(spark, rules, compare):
+    compare = brute if rules is OLD else brute_whole
     rng = random.Random(5)
     words = ["of", "the", "blue", "river", "Anna", "12", "kg", "stone.", "ran", "—"]
     filler = lambda n: " ".join(rng.choices(words, k=n))
@@ -91,8 +162,8 @@ def test_like_comparing_all_windows(spark):
         if i % 4 == 0 and part:
             part[rng.randrange(len(part))] = "edited"
         rows.append((i, f"{filler(rng.randrange(0, 9))} {' '.join(part)} {filler(5)}"))
-    found = templates.leaks(docs(spark, rows).repartition(3), items(spark, bench)).collect()
-    assert {(r.doc_id, r.item_id): r.covered for r in found} == brute(rows, bench)
+    found = templates.leaks(docs(spark, rows).repartition(3), items(spark, bench), rules).collect()
+    assert {(r.doc_id, r.item_id): r.covered for r in found} == compare(rows, bench, rules)
     assert len(found) > 30
 
 
@@ -108,7 +179,7 @@ def test_like_comparing_all_windows(spark):
     ],
 )
 def test_slots(spark, text, held):
-    found = templates.leaks(docs(spark, [(1, text)]), items(spark, BENCH)).collect()
+    found = templates.leaks(docs(spark, [(1, text)]), items(spark, BENCH), OLD).collect()
     assert [(r.item_id, r.changed) for r in found] == ([] if held is None else [(1, held)])
 
 
@@ -197,3 +268,23 @@ def test_one_clash_leaves_the_rest(spark):
     short = [(1, "All 7 of us ate 8 eggs as we sat by the sea then")]  # every long enough stretch clashes
     bench = [(8, "All 5 of us ate 5 eggs as we sat by the sea then")]
     assert templates.leaks(docs(spark, short), items(spark, bench), templates.WHOLE).count() == 0
+
+
+def test_an_instruction_of_many_items_is_no_evidence(spark):
+    opening = "Read the following question with care and choose the one answer that fits it best of all"
+    rng = random.Random(1)
+    ends = [" ".join(f"w{rng.randrange(500)}" for _ in range(12)) for _ in range(50)]
+    bench = [(i, f"{opening} {end}") for i, end in enumerate(ends)] + [(60 + i, opening) for i in range(2)]
+    rows = [(1, f"Some words first. {opening} and then things that nobody asked about at all"), (2, f"So: {opening} {ends[7]} ok")]
+    rows += [(3, f"nothing {ends[9]} of it"), (4, "Some words that are in no item whatever one may look for")]
+    found = templates.leaks(docs(spark, rows), items(spark, bench[:50])).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2, 7)}
+    # The bare instruction is an item of its own here, and there as a whole.
+    found = templates.leaks(docs(spark, rows), items(spark, bench)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2, 7), (1, 60), (1, 61), (2, 60), (2, 61)}
+
+
+def test_short_items_are_found_as_a_whole(spark):
+    rows = [(1, "x solve this now y"), (2, "Solve THIS, now!"), (3, "solve this later"), (4, "now this solve")]
+    found = templates.leaks(docs(spark, rows), items(spark, [(1, "solve this now"), (2, "?"), (3, "")])).collect()
+    assert sorted((r.doc_id, r.item_id, r.covered) for r in found) == [(1, 1, 3), (2, 1, 3)]
