@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20  # code points handled at once; n-grams across a chunk's end are not counted
+CHUNK = 1 << 20  # code points handled at once
 FOLDS = 5
 
 Counter = Callable[[str], np.ndarray]
@@ -32,8 +32,11 @@ def code_points(text: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def count_grams(points: np.ndarray, orders: int, buckets: int) -> np.ndarray:
-    """Counts of the 1- to ``orders``-grams of ``points``, hashed to a power of two of buckets."""
+def count_grams(points: np.ndarray, orders: int, buckets: int, before: int = 0) -> np.ndarray:
+    """Counts of the 1- to ``orders``-grams of ``points``, hashed to a power of two of buckets.
+
+    The first ``before`` points were counted with the chunk they end; n-grams inside of them are not
+    counted again."""
     total = np.zeros(buckets, np.int64)
     shift = np.uint32(32 - (buckets.bit_length() - 1))
     own = points.astype(np.uint32)
@@ -43,7 +46,7 @@ def count_grams(points: np.ndarray, orders: int, buckets: int) -> np.ndarray:
             break
         hashed = hashed[: len(own) - order + 1] * np.uint32(0x01000193) + own[order - 1 :] + np.uint32(order)
         mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x9E3779B1)
-        total += np.bincount(mixed >> shift, minlength=buckets)
+        total += np.bincount(mixed[max(0, before - order + 1) :] >> shift, minlength=buckets)
     return total
 
 

@@ -65,12 +65,16 @@ class Model:
 def letter_grams(text: str) -> np.ndarray:
     """n-gram counts of the letters of ``text``, blanks between words; all zero without a letter."""
     total = np.zeros(BUCKETS, np.int64)
+    tail, after_letter = np.zeros(0, np.uint32), False
     for points in grams.code_points(text.lower()):
         is_letter = grams.letters()[points]
-        if is_letter.any():
-            kept = is_letter.copy()
-            kept[1:] |= is_letter[:-1]  # the first of several other characters stays, as a blank
-            total += grams.count_grams(np.where(is_letter, points, BLANK)[kept], ORDERS, BUCKETS)
+        kept = is_letter.copy()
+        kept[1:] |= is_letter[:-1]  # the first of several other characters stays, as a blank
+        kept[0] |= after_letter
+        after_letter = is_letter[-1]
+        own = np.concatenate([tail, np.where(is_letter, points, BLANK)[kept]])
+        total += grams.count_grams(own, ORDERS, BUCKETS, len(tail))
+        tail = own[max(0, len(own) - ORDERS + 1) :]
     return total
 
 
@@ -143,6 +147,7 @@ def learn(documents: DataFrame, how: Training = Training()) -> Model | None:
     )
     counted = usable.groupBy("lang").agg(F.count("*").alias("n"))
     counts = counted.orderBy(F.desc("n"), "lang").limit(how.languages).collect()
+    sizes = documents.sparkSession.createDataFrame([tuple(r) for r in counts], counted.schema)
     labels = sorted(r["lang"] for r in counts)
     if not labels:
         return None
@@ -150,9 +155,16 @@ def learn(documents: DataFrame, how: Training = Training()) -> Model | None:
     inverse = grams.inverse_frequencies(frequencies, total)
     share = max(1, how.sample // len(labels))
     drawn = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    # Ids whose hash is far above the share of their language never reach the ranking.
+    expected = F.lit(2.0 * share + 200) / F.col("n")
+    low = F.xxhash64("doc_id").alias("draw")
+    near = F.col("draw").cast("double") <= (expected - 0.5) * 2.0**64
     ids = (
-        usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
-        .filter(F.col("lang").isin(labels))
+        usable.filter(F.col("lang").isin(labels))
+        .select("doc_id", "lang", low)
+        .distinct()
+        .join(F.broadcast(sizes), "lang")
+        .filter(near)
         .withColumn("at", F.row_number().over(drawn))
         .filter(F.col("at") <= share)
         .select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "draw")

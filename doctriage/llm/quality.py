@@ -81,8 +81,11 @@ def shapes() -> np.ndarray:
 def look(text: str) -> np.ndarray:
     """Counts of the shape n-grams of ``text`` and of its repeated words."""
     total = np.zeros(SIZE, np.int64)
+    tail = np.zeros(0, np.uint32)
     for points in grams.code_points(text):
-        total[:BUCKETS] += grams.count_grams(shapes()[points], ORDERS, BUCKETS)
+        own = np.concatenate([tail, shapes()[points]])
+        total[:BUCKETS] += grams.count_grams(own, ORDERS, BUCKETS, len(tail))
+        tail = own[max(0, len(own) - ORDERS + 1) :]
     words = text.split()
     total[BUCKETS] = sum(map(eq, words, words[1:]))
     total[BUCKETS + 1] = sum(map(eq, words, words[2:]))
@@ -118,12 +121,14 @@ def principal_axes(rows: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
 def learn(documents: DataFrame, labels: DataFrame, how: Voting = Voting()) -> Model | None:
     """Fit on labelled documents outside fold 0; None without any.
 
-    ``labels`` has ``doc_id, quality``; an id labelled several times votes with the mean.
+    ``labels`` has ``doc_id, quality``; an id labelled several times votes with the mean, one with
+    several texts by the text of least hash, and one without a document takes no place in the sample.
     Document frequencies cover all documents.
     """
     fold = grams.fold(F.col("doc_id"))
     chosen = (
         labels.filter((fold != 0) & F.col("quality").isNotNull())
+        .join(documents.select("doc_id"), "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.avg("quality").alias("label"))
         .orderBy(F.xxhash64("id"), "id")
@@ -133,8 +138,8 @@ def learn(documents: DataFrame, labels: DataFrame, how: Voting = Voting()) -> Mo
     inverse = grams.inverse_frequencies(frequencies, total)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).drop("doc_id")
-    rows = rows.select("id", "label", "text")
-    rows = rows.dropDuplicates(["id"])
+    one = F.min(F.struct(F.xxhash64("text").alias("print"), "text")).alias("one")
+    rows = rows.groupBy("id", "label").agg(one).select("id", "label", "one.text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -155,3 +155,24 @@ def test_repeated_ids_are_sampled_once(spark):
     found = language.drawn_texts(usable, ids).collect()
     assert sorted((r.id, r.label, r.draw) for r in found) == [(3, "fr", 2), (100, "en", 1), (100, "fr", 1)]
     assert {(r.id, r.text, r.label) for r in found} <= set(rows)
+
+
+def test_chunks_count_like_the_whole_text(monkeypatch):
+    texts = ["The quick, brown fox -- jumps! 12 times Über   die Mauer. " * 3, "a", "", "--", "ab 1 cd", "x" * 20]
+    whole = [(language.letter_grams(t), quality.look(t)) for t in texts]
+    for size in (1, 2, 7):
+        monkeypatch.setattr(grams, "CHUNK", size)
+        for text, (letters, looks) in zip(texts, whole):
+            assert (language.letter_grams(text) == letters).all() and (quality.look(text) == looks).all()
+
+
+def test_scores_do_not_depend_on_the_order_of_versions(spark):
+    rows = [(i, f"Words of text {j} here. " * (i % 5 + j), "en") for i in range(40) for j in (1, 3)]
+    rows += [(100 + i, "## $$ " * (i % 5 + j), "x") for i in range(40) for j in (1, 2)]
+    marks = [(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(40)] + [(900 + i, 0, 0) for i in range(50)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    runs = [
+        sorted(map(tuple, quality.score(table(spark, own).repartition(n), labels).collect()), key=str)
+        for own, n in ((rows, 2), (rows[::-1], 7))
+    ]
+    assert runs[0] == runs[1]
