@@ -42,9 +42,9 @@ def row_key(documents: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(text)))
 
 
-def narrow(documents: DataFrame, targets: Targets) -> DataFrame:
+def narrow(documents: DataFrame, targets: Targets, *further: Column) -> DataFrame:
     """``key, doc_id, domain, lang, source, n_tokens`` of every row; tokens are runs of anything but
-    blanks and controls 9 to 13."""
+    blanks and controls 9 to 13.  ``further`` columns follow."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit(MISSING))
     return documents.select(
         row_key(documents).alias("key"),
@@ -53,6 +53,7 @@ def narrow(documents: DataFrame, targets: Targets) -> DataFrame:
         named(F.col("lang")).alias("lang"),
         named(F.col("source")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+        *further,
     )
 
 
@@ -188,9 +189,24 @@ def choose(documents: DataFrame, targets: Targets, share: tuple[int, int]) -> Da
 
 def mix(documents: DataFrame, targets: Targets, share: tuple[int, int]) -> DataFrame:
     """The selected documents in all their columns, once per epoch, with ``epoch`` (a column of that
-    name is replaced).  Rows that repeat an id are selected together."""
-    chosen = choose(documents, targets, share).select(F.col("key").alias("_key"), F.col("epoch").alias("_epoch"))
-    chosen = chosen.distinct()
+    name is replaced).
+
+    Rows of one leaf that repeat an id stand next to each other in its order, the shorter first.
+    Where a leaf reaches its tokens among them, only so many as it needs are taken: of equally long
+    ones those of least hash over all columns.  At most one such group of a leaf is split.
+    """
+    group = ["key", *LEVELS, "n_tokens"]
+    chosen = stage(choose(documents, targets, share).groupBy(*group, "epoch").agg(F.count("*").alias("taken")), "chosen")
+    sizes = narrow(documents, targets).groupBy(*group).agg(F.count("*").alias("held"))
+    # Groups of which an epoch takes a part have their rows numbered; all others need no order.
+    split = chosen.join(sizes, group).filter("taken < held").select(*group, "epoch").distinct()
+    wanted = chosen.join(split.withColumn("split", F.lit(True)), [*group, "epoch"], "left")
+    wanted = stage(wanted.fillna(False, ["split"]), "wanted")
     rest = documents.drop("epoch")
-    joined = rest.join(chosen, row_key(documents) == F.col("_key"))
-    return joined.select(*rest.columns, F.col("_epoch").alias("epoch"))
+    row = F.struct(*[F.col(c) for c in rest.columns]).alias("row")
+    keyed = narrow(documents, targets, row)
+    whole = keyed.join(wanted.filter("NOT split"), group).select("row", "epoch")
+    queue = Window.partitionBy(*group, "epoch").orderBy(F.xxhash64("row"))
+    partly = keyed.join(wanted.filter("split"), group).withColumn("at", F.row_number().over(queue))
+    found = whole.unionByName(partly.filter("at <= taken").select("row", "epoch"))
+    return found.select("row.*", "epoch")

@@ -54,3 +54,24 @@ def test_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and set(docs.columns) < set(out.columns)
+
+
+def test_repeated_ids_stay_within_the_budget(spark):
+    rows = [(7, f"w{i % 3} " * (5 + i % 2), "en", "a1") for i in range(200)]
+    rows += [(1000 + i, "w " * 6, "en", "a1") for i in range(200)]
+    chosen = mixing.choose(table(spark, rows), targets(1), (1, 2))
+    mixed = mixing.mix(table(spark, rows), targets(1), (1, 2)).collect()
+    tokens = [r.n_tokens for r in chosen.collect()]
+    assert sorted(len(r.text.split()) for r in mixed) == sorted(tokens)
+    assert sum(tokens) < 1150 + 6
+    again = mixing.mix(table(spark, rows[::-1]).repartition(5), targets(1), (1, 2)).collect()
+    assert sorted(again, key=str) == sorted(mixed, key=str)
+
+
+def test_rows_of_one_id_in_several_leaves(spark):
+    rows = [(1, "w " * 10, "en", s) for s in ("a1", "a2", "b1")] + [(None, "w " * 10, None, "a1")] * 3
+    chosen = mixing.choose(table(spark, rows), targets(), (3, 2)).collect()
+    mixed = mixing.mix(table(spark, rows), targets(), (3, 2)).collect()
+    assert sorted((r.epoch, r.source, r.n_tokens) for r in chosen) == sorted(
+        (r.epoch, r.source, len(r.text.split())) for r in mixed
+    )
