@@ -20,21 +20,33 @@ def counter_bucket(document_type: Column, status: Column) -> Column:
     return chain.when(status == "duplicate", F.lit("duplicates")).otherwise(F.lit("failed"))
 
 
+def _counter_sums() -> list[Column]:
+    names = [*TYPE_COUNTERS.values(), "duplicates", "failed"]
+    return [F.count("*").alias("total"), *[F.count_if(F.col("bucket") == name).alias(name) for name in names]]
+
+
+def _summary_sums() -> list[Column]:
+    success = F.count_if(F.col("status") == "success")
+    return [F.count("*").alias("total"), success.alias("success"), (F.count("*") - success).alias("failed")]
+
+
+def _bucketed(records: DataFrame) -> DataFrame:
+    return records.select(counter_bucket(F.col("document_type"), F.col("status")).alias("bucket"), "status")
+
+
 def counters(records: DataFrame) -> DataFrame:
     """One row: ``total`` and one column per counter."""
-    names = [*TYPE_COUNTERS.values(), "duplicates", "failed"]
-    bucketed = records.select(counter_bucket(F.col("document_type"), F.col("status")).alias("bucket"))
-    return bucketed.agg(
-        F.count("*").alias("total"), *[F.count_if(F.col("bucket") == name).alias(name) for name in names]
-    )
+    return _bucketed(records).agg(*_counter_sums())
 
 
 def batch_summary(records: DataFrame) -> DataFrame:
-    success = F.count_if(F.col("status") == "success")
-    return records.agg(
-        F.count("*").alias("total"),
-        success.alias("success"),
-        (F.count("*") - success).alias("failed"),
+    return records.agg(*_summary_sums())
+
+
+def totals(records: DataFrame) -> DataFrame:
+    """Both of the above as the structs ``counters`` and ``batch`` of one row; rows add up by field."""
+    return _bucketed(records).agg(
+        F.struct(*_counter_sums()).alias("counters"), F.struct(*_summary_sums()).alias("batch")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,14 +145,33 @@ def triage(
 
 
 def triage_facts(
-    facts: DataFrame, settings: Settings, registry: DataFrame | None, occupied: DataFrame | None
+    facts: DataFrame,
+    settings: Settings,
+    registry: DataFrame | None,
+    occupied: DataFrame | None,
+    taken: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
+    """Results from facts.  ``taken`` looks planned names up at the sink (``destination, final_name``
+    of those it holds); rows that asked for one of them are named anew, until no planned name is."""
     if "arrival_seq" not in facts.columns:
         facts = arrival_order(stage(facts, "unordered-facts"))
     facts = stage(facts, "facts")
     decided = decide(facts, settings, registry).drop("prompt", "_answer", "ml_label", "ml_confidence")
-    named = assign_names(stage(decided, "decisions"), occupied)
-    return named.select(*RESULT_SCHEMA.names)
+    decided = stage(decided, "decisions")
+    named = assign_names(decided, occupied).select(*RESULT_SCHEMA.names)
+    attempt = 0
+    while taken is not None:
+        named, attempt = stage(named, "named"), attempt + 1
+        clashes = stage(taken(named, attempt).distinct(), "taken")
+        # Only files that no run has put there clash, so this ends at once in most runs.
+        if clashes.join(named, ["destination", "final_name"], "left_semi").isEmpty():
+            break
+        found = clashes.select("destination", F.col("final_name").alias("file_name"), F.lit(0).cast("long").alias("last"))
+        if occupied is not None:
+            found = found.unionByName(occupied.select("destination", "file_name", F.col("last").cast("long").alias("last")))
+        occupied = found.groupBy("destination", "file_name").agg(F.max("last").alias("last"))
+        named = assign_names(decided, occupied).select(*RESULT_SCHEMA.names)
+    return named
 
 
 def read_texts(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
@@ -173,6 +192,7 @@ def triage_folder(
     occupied: DataFrame | None = None,
     listing: DataFrame | None = None,
     handled: DataFrame | None = None,
+    taken: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Triage of every regular file directly in a folder; empty for an empty folder.
 
@@ -186,7 +206,7 @@ def triage_folder(
         facts = facts_per_content(files, settings)
     else:
         facts = file_facts(read_texts(files, settings.parsers), settings)
-    return triage_facts(facts, settings, registry, occupied)
+    return triage_facts(facts, settings, registry, occupied, taken)
 
 
 def facts_per_content(files: DataFrame, settings: Settings) -> DataFrame:

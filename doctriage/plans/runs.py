@@ -1,9 +1,15 @@
 """Runs that keep their state under one root folder: results, sorted files and the log.
 
-``root/results/run=<id>`` holds one row per file and run, ``root/log`` the reports and
-``root/documents`` the copied files.  A run learns from the earlier results which files were
-handled, which contents were registered and which names were given.  Ids of runs start with the
-time, so ``(run, arrival_seq)`` orders all results.
+``root/results/run=<id>`` holds one row per file and run, ``root/totals/run=<id>`` the counts of a
+run, and ``root/documents`` the copied files.  The log is made from the results.  A run learns from the earlier results which files were handled,
+which contents were registered and which names were given.  Ids of runs start with the time, so
+``(run, arrival_seq)`` orders all results.
+
+``root/journal/run=<id>`` is there while a run is open.  The plan (what each file is, where it goes and
+how it is called) is written there before the first copy; the journal is deleted after the results
+are whole.  The next run first finishes what it finds open: without a whole plan nothing was copied
+and the files are new again; with one, the copies are redone from the plan, which leaves those that
+are there as they are, and the results are written again.
 """
 
 from __future__ import annotations
@@ -14,24 +20,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
+from doctriage import fixed
 from doctriage.operators import metrics
 from doctriage.operators.naming import name_state
 from doctriage.operators.reports import log_lines, recent_results, report_rows
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage_folder, verified
-from doctriage.session import job_stages, path_exists, stage
-from doctriage.sinks.files import copy_files, sink_listing
-from doctriage.sinks.logs import append_log, read_log
+from doctriage.session import child_names, delete_path, job_stages, path_exists, stage
+from doctriage.sinks.files import copy_files, folder_listing, held_files
+from doctriage.sinks.logs import log_or_notice
 from doctriage.sources.files import list_folder
 
+LOOK_UPS = 3  # rounds of looking planned names up before the folders are listed
 HANDLED = "path string, modificationTime timestamp, length long"
 
 
+def open_runs(spark: SparkSession, root: str) -> list[str]:
+    """Names of the runs that were begun and not closed; one at most, unless journals were copied."""
+    return sorted(child for child in child_names(spark, f"{root}/journal") if child.startswith("run="))
+
+
 def _stored(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
+    """Columns of the stored results of all closed runs."""
+    empty = spark.createDataFrame([], schema)
     if not path_exists(spark, f"{root}/results"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/results").select(*spark.createDataFrame([], schema).columns)
+        return empty
+    fields = [field for field in empty.schema.fields if field.name != "run"]
+    stored = spark.read.schema(StructType([*fields, StructField("run", StringType())])).parquet(f"{root}/results")
+    unfinished = [name.removeprefix("run=") for name in open_runs(spark, root)]
+    return stored.filter(~F.col("run").isin(unfinished)).select(*empty.columns)
 
 
 def results(spark: SparkSession, root: str) -> DataFrame:
@@ -51,16 +69,18 @@ def run_folder(
     settings: Settings,
     listing: DataFrame | None = None,
 ) -> DataFrame:
-    """Triage a folder, copy its files to their places, verify, log; returns the new results.
+    """Triage a folder, copy its files to their places, verify; returns the new results.
 
     The sources stay where they are: removing them is left to the owner of the folder, after the
     results show what arrived.  A file that an earlier run handled (same path, time and length) is
     left out.  Names that the destinations hold already are not given again, whoever put them
-    there; what arrived is read from the destinations, by name and length.  Only one run at a time
-    may write to a root.
+    there; what arrived is looked up at the destinations, by name and length.  A run that died is
+    finished first; its results are then results of an earlier run.  Only one run at a time may write
+    to a root.
     """
     started = time.time()
-    path = f"{root}/results/run={int(started * 1e6):016d}-{uuid.uuid4().hex}"
+    recover(spark, root)
+    run = f"run={int(started * 1e6):016d}-{uuid.uuid4().hex}"
     past = results(spark, root)
     with job_stages(spark):
         listed = list_folder(spark, folder) if listing is None else listing
@@ -70,22 +90,55 @@ def run_folder(
         if new.isEmpty():
             return past.limit(0)
         registry = past.filter("registered").select("md5")
-        there = stage(sink_listing(spark, root), "sink").select(
-            "destination", F.col("final_name").alias("file_name"), F.lit(0).cast("long").alias("last")
-        )
         occupied = name_state(past).select("destination", "file_name", F.col("last").cast("long").alias("last"))
-        occupied = occupied.unionByName(there).groupBy("destination", "file_name").agg(F.max("last").alias("last"))
-        planned = stage(triage_folder(spark, folder, settings, registry, occupied, new), "planned")
-        copied = stage(copy_files(planned, root), "manifest").filter("copied")
-        whole = planned.select("path", "length").join(copied, "path")
-        arrived = whole.join(sink_listing(spark, root), ["destination", "final_name", "length"])
-        done = verified(planned, arrived.select("destination", "final_name"))
+        occupied = occupied.groupBy("destination", "file_name").agg(F.max("last").alias("last"))
+
+        def taken(named: DataFrame, attempt: int) -> DataFrame:
+            if attempt <= LOOK_UPS:
+                return held_files(named, root).select("destination", "final_name")
+            # Foreign files follow one another: list the folders this run writes to.
+            touched = named.filter("destination IS NOT NULL").select("destination").distinct()
+            return folder_listing(touched, root).select("destination", "final_name")
+
+        planned = triage_folder(spark, folder, settings, registry, occupied, new, taken=taken)
         times = new.select("path", "modificationTime")
-        done.select(*RESULT_SCHEMA.names).join(times, "path").write.parquet(path)
-    done = spark.read.schema(RESULT_SCHEMA).parquet(path)
-    seconds = F.lit(round(time.time() - started, 2))
-    append_log(report_rows(done, seconds, F.current_timestamp()), f"{root}/log")
-    return done
+        plan = planned.join(times, "path")
+        plan.write.parquet(f"{root}/journal/{run}/plan")
+    finish(spark, root, run, started)
+    return spark.read.schema(RESULT_SCHEMA).parquet(f"{root}/results/{run}")
+
+
+def recover(spark: SparkSession, root: str) -> list[str]:
+    """Finish or drop every run that was begun and not closed; returns those that were finished."""
+    return [run for run in open_runs(spark, root) if finish(spark, root, run, time.time())]
+
+
+def finish(spark: SparkSession, root: str, run: str, started: float) -> bool:
+    """Carry out the plan of a run and close it; every step may be repeated.
+
+    Without a whole plan the run is dropped: nothing was copied for it."""
+    journal, stored = f"{root}/journal/{run}", f"{root}/results/{run}"
+    planned = path_exists(spark, f"{journal}/plan/_SUCCESS")
+    if planned and not path_exists(spark, f"{stored}/_SUCCESS"):
+        with job_stages(spark):
+            plan = spark.read.parquet(f"{journal}/plan")
+            copied = stage(copy_files(plan, root, f"{journal}/parts"), "manifest").filter("copied")
+            whole = plan.join(copied.select("path"), "path", "left_semi")
+            arrived = whole.join(held_files(whole, root), ["destination", "final_name", "length"])
+            done = verified(plan, stage(arrived.select("destination", "final_name"), "arrived"))
+            rows = done.select(
+                *RESULT_SCHEMA.names,
+                "modificationTime",
+                F.lit(round(time.time() - started, 2)).alias("time_taken"),
+                F.current_timestamp().alias("reported_at"),
+            )
+            rows.write.mode("overwrite").parquet(stored)
+    if planned and not path_exists(spark, f"{root}/totals/{run}/_SUCCESS"):
+        done = spark.read.schema(RESULT_SCHEMA).parquet(stored)
+        both = metrics.totals(done)
+        both.write.mode("overwrite").parquet(f"{root}/totals/{run}")
+    delete_path(spark, journal)
+    return planned
 
 
 def watch(
@@ -105,23 +158,45 @@ def watch(
     return writer.trigger(processingTime=every).start()
 
 
-def recent(spark: SparkSession, root: str) -> DataFrame:
-    """The newest results over all runs, with the clock time of their run."""
+def closed_runs(spark: SparkSession, root: str) -> list[str]:
+    """Names of the closed runs, newest first."""
+    unfinished = set(open_runs(spark, root))
+    names = child_names(spark, f"{root}/results")
+    return sorted((n for n in names if n.startswith("run=") and n not in unfinished), reverse=True)
+
+
+def recent(spark: SparkSession, root: str, count: int = fixed.RECENT_RESULTS) -> DataFrame:
+    """The newest results over all runs, with the clock time of their run.
+
+    Runs are opened from the newest on, twice as many each time, until they hold ``count`` rows."""
     schema = StructType([*RESULT_SCHEMA.fields, StructField("run", StringType())])
+    names, opened, stored = closed_runs(spark, root), 0, spark.createDataFrame([], schema)
+    while opened < len(names):
+        opened = min(len(names), max(1, 2 * opened))
+        reader = spark.read.schema(schema).option("basePath", f"{root}/results")
+        stored = reader.parquet(*[f"{root}/results/{name}" for name in names[:opened]])
+        if stored.limit(count).count() >= count:
+            break
     began = F.timestamp_micros(F.substring("run", 1, 16).cast("long"))
-    stored = _stored(spark, root, schema).withColumn("moment", began)
-    return recent_results(stored, ["run", "arrival_seq"], "moment").drop("moment")
+    return recent_results(stored.withColumn("moment", began), ["run", "arrival_seq"], "moment", count).drop("moment")
 
 
 def summary(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Counters and batch totals over all runs."""
-    everything = results(spark, root)
-    return metrics.counters(everything), metrics.batch_summary(everything)
+    """Counters and batch totals over all runs, from the one row that each run stored of them."""
+    names = closed_runs(spark, root)
+    if not names:
+        nothing = results(spark, root)
+        return metrics.counters(nothing), metrics.batch_summary(nothing)
+    stored = spark.read.parquet(*[f"{root}/totals/{name}" for name in names])
+    sums = lambda part: [F.sum(F.col(f"{part}.{c}")).alias(c) for c in stored.schema[part].dataType.names]
+    return stored.agg(*sums("counters")), stored.agg(*sums("batch"))
 
 
 def log(spark: SparkSession, root: str) -> DataFrame:
     """The reports of all runs, in order of the runs and of the arrivals in each."""
-    if not path_exists(spark, f"{root}/log"):
-        return read_log(spark, f"{root}/log")
-    lines = log_lines(spark.read.parquet(f"{root}/log"), "reported_at")
-    return lines.orderBy("reported_at", "seq").select("seq", "entry")
+    schema = StructType(
+        [*RESULT_SCHEMA.fields, StructField("time_taken", DoubleType()), StructField("reported_at", TimestampType())]
+    )
+    report = report_rows(_stored(spark, root, schema), F.col("time_taken"), F.col("reported_at"))
+    lines = log_lines(report, "reported_at").orderBy("reported_at", "seq").select("seq", "entry")
+    return log_or_notice(lines)

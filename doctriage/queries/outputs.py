@@ -219,7 +219,7 @@ SELECT 'user' || user_id || '.txt' AS filename, event_id AS seq, event_type AS s
 """
 )
 def keyed_items(spark, folder) -> DataFrame:
-    """Items put in two writes, compacted to a snapshot."""
+    """Items put in two writes, merged into one run."""
     path = f"{shared_folder(spark)}/items/{uuid.uuid4().hex}"
     items = table(spark, folder, "events").select(
         F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".txt")).alias("filename"),
@@ -228,8 +228,8 @@ def keyed_items(spark, folder) -> DataFrame:
     )
     logs.put_items(items.filter("status <> 'view'"), f"{path}/log")
     logs.put_items(items.filter("status = 'view'"), f"{path}/log")
-    logs.compact_items(spark, f"{path}/log", f"{path}/snapshot")
-    return spark.read.parquet(f"{path}/snapshot")
+    logs.compact_items(spark, f"{path}/log")
+    return logs.read_items(spark, f"{path}/log")
 
 
 @query(

@@ -54,6 +54,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly in a folder of few entries, as a folder of open runs."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(target)] if files.exists(target) else []
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()

@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 from doctriage.operators.routing import destination_key
 from doctriage.session import stage
 from doctriage.sinks.logs import latest_per_key
-from doctriage.sources.files import list_folder
+from doctriage.sources.files import list_folder, list_folders, qualified
 from doctriage.sources.store import open_store
 
 MANIFEST_SCHEMA = "path string, destination string, final_name string, copied boolean"
 
 
-def copy_files(plan: DataFrame, root: str) -> DataFrame:
+def copy_files(plan: DataFrame, root: str, parts: str | None = None) -> DataFrame:
     """Copy each planned file to ``root/destination/final_name`` and report what was copied.
 
     ``plan`` has ``path, destination, final_name``.  Executors stream the bytes from store to
     store, so no content passes through a shuffle.  Nothing at the target is replaced: a file with
     the same bytes counts as copied, which makes a repeated task harmless, and any other file leaves
-    the row uncopied.  Bytes are written under a name of their own and then moved, so a file that is
-    there is whole.  What cannot be read or written fails its row, not the run.
+    the row uncopied.  Bytes are written to the folder ``parts`` (on the store of ``root``) and then
+    moved, so a file that is there is whole; what a killed task leaves goes with that folder.  What
+    cannot be read or written fails its row, not the run.
     """
+    parts = parts or f"{root}/parts"
 
     def copy(batches):
-        import shutil
-        import uuid
-
         from pyarrow import fs
 
         sink, base = open_store(root)
+        _, spare = open_store(parts)
         made = set()
 
         def same(source, inner, target):
@@ -47,16 +47,13 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
             target = f"{base}/{folder}/{name}"
             try:
                 source, inner = open_store(path)
-                if folder not in made:
-                    sink.create_dir(f"{base}/{folder}", recursive=True)
-                    made.add(folder)
+                for place in (spare, f"{base}/{folder}"):
+                    if place not in made:
+                        sink.create_dir(place, recursive=True)
+                        made.add(place)
                 if sink.get_file_info(target).type != fs.FileType.NotFound:
                     return same(source, inner, target)
-                partial = f"{base}/{folder}/.{uuid.uuid4().hex}.part"
-                with source.open_input_stream(inner) as reader:
-                    with sink.open_output_stream(partial) as writer:
-                        shutil.copyfileobj(reader, writer, 1 << 20)
-                sink.move(partial, target)
+                _write(source, inner, sink, spare, target)
                 return True
             except (OSError, ValueError):
                 return False
@@ -77,73 +74,107 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
     return moved.select("path", "destination", "final_name").mapInPandas(copy, MANIFEST_SCHEMA)
 
 
-def move_objects(plan: DataFrame, root: str) -> DataFrame:
-    """Move ``path`` to ``root/dest_key``; returns ``seq, moved`` for each row of ``plan``.
+def _write(source, inner: str, sink, spare: str, target: str) -> None:
+    """Stream a file into the folder ``spare`` and move it to ``target``; nothing stays if it fails."""
+    import shutil
+    import uuid
+
+    partial = f"{spare}/{uuid.uuid4().hex}"
+    try:
+        with source.open_input_stream(inner) as reader:
+            with sink.open_output_stream(partial) as writer:
+                shutil.copyfileobj(reader, writer, 1 << 20)
+        sink.move(partial, target)
+    except OSError:
+        try:
+            sink.delete_file(partial)
+        except OSError:
+            pass
+        raise
+
 
-    Later rows (by ``seq``) replace earlier ones of the same key, so only the last is copied.  The
-    sources of a key are removed once its copy is known to be whole; where it failed, they stay.
-    Both steps may be repeated by a lost task.
+def held_files(plan: DataFrame, root: str) -> DataFrame:
+    """``destination, final_name, length`` of the planned files that ``root`` holds.
+
+    Each planned name is looked up by a task, so the cost follows the plan and not the sink.
     """
 
-    def copied(sources, targets):
-        import shutil
-        import uuid
+    def look(batches):
+        from pyarrow import fs
 
         sink, base = open_store(root)
-        for source_path, key in zip(sources, targets):
-            target = f"{base}/{key}"
-            folder = target.rpartition("/")[0]
-            partial = f"{folder}/.{uuid.uuid4().hex}.part"
-            try:
-                source, inner = open_store(source_path)
-                sink.create_dir(folder, recursive=True)
-                with source.open_input_stream(inner) as reader:
-                    with sink.open_output_stream(partial) as writer:
-                        shutil.copyfileobj(reader, writer, 1 << 20)
-                sink.move(partial, target)
-                yield True
-            except OSError:
-                try:
-                    sink.delete_file(partial)
-                except OSError:
-                    pass
-                yield False
+        for batch in batches:
+            targets = [f"{base}/{folder}/{name}" for folder, name in zip(batch["destination"], batch["final_name"])]
+            found = sink.get_file_info(targets) if targets else []
+            there = [info.type != fs.FileType.NotFound for info in found]
+            lengths = [info.size if info.type == fs.FileType.File else None for info in found]
+            frame = pd.DataFrame({"destination": batch["destination"], "final_name": batch["final_name"]})
+            yield frame.assign(length=pd.array(lengths, "Int64"))[there]
+
+    moved = plan.filter(F.col("destination").isNotNull()).select("destination", "final_name")
+    return moved.mapInPandas(look, "destination string, final_name string, length long")
 
-    def removed(sources):
-        for source_path in sources:
-            try:
-                source, inner = open_store(source_path)
-                source.delete_file(inner)
-                yield True
-            except FileNotFoundError:
-                yield True  # another event named the same object, or the task is repeated
-            except OSError:
-                yield False
+
+def copy_objects(plan: DataFrame, root: str, parts: str | None = None) -> DataFrame:
+    """Copy ``path`` to ``root/dest_key``; returns ``seq, copied`` for each row of ``plan``.
+
+    Later rows (by ``seq``) replace earlier ones of the same key, so only the last is copied, and the
+    others count as copied with it.  The step may be repeated while the sources are there.
+    """
+    parts = parts or f"{root}/parts"
 
     def copy(batches):
+        sink, base = open_store(root)
+        _, spare = open_store(parts)
+        sink.create_dir(spare, recursive=True)
         for batch in batches:
-            done = list(copied(batch["path"], batch["dest_key"]))
+            done = []
+            for path, key in zip(batch["path"], batch["dest_key"]):
+                target = f"{base}/{key}"
+                try:
+                    source, inner = open_store(path)
+                    sink.create_dir(target.rpartition("/")[0], recursive=True)
+                    _write(source, inner, sink, spare, target)
+                    done.append(True)
+                except OSError:
+                    done.append(False)
             yield pd.DataFrame({"dest_key": batch["dest_key"], "copied": done})
 
+    last = latest_per_key(plan.select("dest_key", "path", "seq"), "dest_key", "seq")
+    there = stage(last.mapInPandas(copy, "dest_key string, copied boolean"), "copied")
+    return plan.join(there, "dest_key").select("seq", "copied")
+
+
+def remove_objects(plan: DataFrame) -> DataFrame:
+    """Remove the sources ``path`` of ``plan``; returns ``path, removed``.  May be repeated: what is
+    gone already counts as removed."""
+
     def remove(batches):
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "removed": list(removed(batch["path"]))})
+            done = []
+            for path in batch["path"]:
+                try:
+                    source, inner = open_store(path)
+                    source.delete_file(inner)
+                    done.append(True)
+                except FileNotFoundError:
+                    done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pd.DataFrame({"path": batch["path"], "removed": done})
 
-    last = plan.groupBy("dest_key").agg(F.max_by("path", "seq").alias("path"))
-    there = stage(last.mapInPandas(copy, "dest_key string, copied boolean"), "copied").filter("copied")
-    whole = plan.join(there, "dest_key").select("seq", "path")
-    gone = stage(whole.select("path").distinct().mapInPandas(remove, "path string, removed boolean"), "removed")
-    return whole.join(gone, "path").select("seq", F.col("removed").alias("moved"))
+    return plan.select("path").distinct().mapInPandas(remove, "path string, removed boolean")
 
 
-def sink_listing(spark: SparkSession, root: str) -> DataFrame:
-    """``destination, final_name, length`` of every file below ``root/documents``."""
-    place = F.regexp_extract("path", r"/(documents(?:/[^/]+)*)/[^/]+$", 1)
-    # The root may itself lie below a folder of that name.
-    inside = F.substr("path", F.locate("/documents/", F.col("path"), len(root.rstrip("/").split(":")[-1])))
-    listed = list_folder(spark, f"{root}/documents", below=True).withColumn("path", inside)
+def folder_listing(destinations: DataFrame, root: str) -> DataFrame:
+    """``destination, final_name`` of all files in some ``destination`` folders, listed by the tasks."""
+    base = qualified(destinations.sparkSession, root)
+    folders = destinations.select(F.concat(F.lit(f"{base}/"), "destination").alias("path"))
+    listed = list_folders(folders.repartition("path")).filter("NOT is_folder")
+    inside = F.substr("path", F.lit(len(base) + 2))
     return listed.select(
-        place.alias("destination"), F.regexp_extract("path", r"[^/]*$", 0).alias("final_name"), "length"
+        F.regexp_replace(inside, "/[^/]*$", "").alias("destination"),
+        F.regexp_extract("path", "[^/]*$", 0).alias("final_name"),
     )
 
 

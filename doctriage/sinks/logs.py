@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.operators.reports import log_lines
-from doctriage.session import path_exists
+from doctriage.session import child_names, delete_path, path_exists
+
+MERGE_RUNS = 8
 
 
 def append_log(report: DataFrame, path: str) -> None:
@@ -37,22 +42,89 @@ def log_or_notice(entries: DataFrame) -> DataFrame:
 
 
 def latest_per_key(items: DataFrame, key: str | list[str], order: str | Column) -> DataFrame:
-    """Last write wins.  A partial aggregate keeps one candidate per key and task, so a key
-    with many writes sends few rows through the shuffle; each task sorts its own rows by key."""
+    """Last write wins.  Each task keeps one row per key before the shuffle (a window that only
+    numbers rows and keeps the first becomes a limit per group), so a key with many writes sends few."""
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [name for name in items.columns if name not in keys]
-    newest = F.max_by(F.struct(*rest), order if isinstance(order, Column) else F.col(order))
-    return items.groupBy(*keys).agg(newest.alias("_item")).select(*keys, "_item.*").select(*items.columns)
+    newest = Window.partitionBy(*keys).orderBy((order if isinstance(order, Column) else F.col(order)).desc_nulls_last())
+    return items.withColumn("_place", F.row_number().over(newest)).filter("_place = 1").drop("_place")
 
 
-def put_items(items: DataFrame, path: str) -> None:
-    items.write.mode("append").parquet(path)
+# ---- a keyed log in merged tiers ---------------------------------------------------------
+#
+# ``path/tier=<n>/run=<first>[..<last>]`` holds one put (tier 0) or the merged state of several
+# adjoining runs of the tier below.  A read takes the latest row per key of all runs, so a row that
+# two runs hold, as between a merge and the deletion of what it merged, changes nothing.
 
 
-def read_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq") -> DataFrame:
-    return latest_per_key(spark.read.parquet(path), key, order)
+def _runs(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """Names of the whole runs of each tier, in order; ``MERGE_RUNS`` or so for each of few tiers."""
+    tiers = sorted(int(name.removeprefix("tier=")) for name in child_names(spark, path) if name.startswith("tier="))
+    whole = lambda tier, name: path_exists(spark, f"{path}/tier={tier}/{name}/_SUCCESS")
+    return {tier: sorted(n for n in child_names(spark, f"{path}/tier={tier}") if whole(tier, n)) for tier in tiers}
+
+
+def _ends(name: str) -> tuple[str, str]:
+    first, _, last = name.removeprefix("run=").partition("..")
+    return first, last or first
+
+
+def has_run(spark: SparkSession, path: str, run: str) -> bool:
+    return path_exists(spark, f"{path}/tier=0/{run}/_SUCCESS")
+
 
+def put_items(
+    items: DataFrame, path: str, run: str | None = None, key: str = "filename", order: str = "seq", fan: int = MERGE_RUNS
+) -> None:
+    """Add items to the log at ``path``; a ``run`` that is put again replaces itself.
 
-def compact_items(spark: SparkSession, path: str, snapshot: str, key: str = "filename", order: str = "seq") -> None:
-    """Write the current state to a new snapshot folder; the log itself is left as it is."""
-    read_items(spark, path, key, order).write.mode("errorifexists").parquet(snapshot)
+    Names of runs start with their time.  After ``fan`` runs of a tier they are merged into one of the
+    next, so a row is rewritten once per tier and the number of files stays bounded."""
+    run = run or f"run={time.time_ns() // 1000:016d}-{uuid.uuid4().hex}"
+    items.write.mode("overwrite").parquet(f"{path}/tier=0/{run}")
+    merge_items(items.sparkSession, path, key, order, fan)
+
+
+def merge_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq", fan: int = MERGE_RUNS) -> None:
+    """Merge every tier that has ``fan`` runs.  What a merge replaces is deleted by the next one, when
+    readers that began before it are done; a merge that was stopped is simply made again."""
+    tier = 0
+    while True:
+        runs = _runs(spark, path)
+        above = [_ends(name) for name in runs.get(tier + 1, [])]
+        covered = [n for n in runs.get(tier, []) if any(a <= _ends(n)[0] and _ends(n)[1] <= b for a, b in above)]
+        single = [n for n in runs.get(tier, []) if n not in covered]
+        if len(single) < fan:
+            if tier >= max(runs, default=0):
+                return
+            tier += 1
+            continue
+        for name in covered:
+            delete_path(spark, f"{path}/tier={tier}/{name}")
+        merged = latest_per_key(_read(spark, path, [(tier, name) for name in single]), key, order)
+        ends = f"run={_ends(single[0])[0]}..{_ends(single[-1])[1]}"
+        merged.write.mode("overwrite").parquet(f"{path}/tier={tier + 1}/{ends}")
+        tier += 1
+
+
+def _read(spark: SparkSession, path: str, runs: list[tuple[int, str]]) -> DataFrame:
+    """The rows of some runs."""
+    return spark.read.parquet(*[f"{path}/tier={tier}/{name}" for tier, name in runs])
+
+
+def read_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq") -> DataFrame:
+    """The latest item of each key, from all runs of all tiers."""
+    runs = [(tier, name) for tier, names in _runs(spark, path).items() for name in names]
+    return latest_per_key(_read(spark, path, runs), key, order)
+
+
+def compact_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq") -> None:
+    """Merge all runs into one of the highest tier, which later reads take instead of them."""
+    runs = _runs(spark, path)
+    every = [(tier, name) for tier, names in runs.items() for name in names]
+    if len(every) < 2:
+        return
+    first, last = min(_ends(n)[0] for _, n in every), max(_ends(n)[1] for _, n in every)
+    top = f"{path}/tier={max(runs) + 1}/run={first}..{last}"
+    latest_per_key(_read(spark, path, every), key, order).write.mode("overwrite").parquet(top)
+    for tier, name in every:
+        delete_path(spark, f"{path}/tier={tier}/{name}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import uuid
+from functools import reduce
 from itertools import islice
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctriage.functions.paths import base_name, file_ext
-from doctriage.session import stages_folder
+from doctriage.session import stage
 from doctriage.sources.store import open_store
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary, md5 string"
@@ -43,35 +43,79 @@ def with_names(files: DataFrame) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark's readers report it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _entries(folder: str):
+    """``path, millis, length, is_folder`` of what lies directly in a folder; nothing if it is gone.
+
+    Links to files count as files; links to folders are not followed.
+    """
+    import os
+
+    from pyarrow import fs
+
+    store, inner = open_store(folder)
+    base = folder.rstrip("/")
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            found = os.scandir(inner)
+        except (FileNotFoundError, NotADirectoryError):
+            return
+        with found:
+            for entry in found:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield f"{base}/{entry.name}", 0, 0, True
+                    elif entry.is_file():
+                        status = entry.stat()
+                        yield f"{base}/{entry.name}", status.st_mtime_ns // 1_000_000, status.st_size, False
+                except FileNotFoundError:
+                    continue
+        return
+    for info in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        if info.type == fs.FileType.Directory:
+            yield f"{base}/{info.base_name}", 0, 0, True
+        elif info.type == fs.FileType.File:
+            yield f"{base}/{info.base_name}", (info.mtime_ns or 0) // 1_000_000, info.size, False
+
+
+ENTRIES = "path string, millis long, length long, is_folder boolean"
+
+
+def list_folders(folders: DataFrame) -> DataFrame:
+    """The entries directly in each of ``folders`` (``path``), listed by the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch["path"]:
+                entries = _entries(folder)
+                while chunk := list(islice(entries, LISTING_CHUNK)):
+                    yield pd.DataFrame(chunk, columns=["path", "millis", "length", "is_folder"])
+
+    return folders.select("path").mapInPandas(run, ENTRIES)
+
+
 def list_folder(spark: SparkSession, folder: str, below: bool = False) -> DataFrame:
     """Regular files directly in ``folder`` (or anywhere ``below`` it), hidden and empty ones
     included; none if there is no such folder.
 
-    One folder is listed by one call chain whoever makes it.  The entries are taken in chunks
-    and appended to a table in the shared folder, so the driver holds one chunk at a time.
+    Folders are rows: one round lists all folders of one depth, each by a task, and the folders it
+    finds are the next round's.  No name passes through the driver; each round is a written table, so
+    the listing does not change while it is used.
     """
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def entries():
-        if not files.exists(root):
-            return
-        remote = files.listFiles(root, True) if below else files.listStatusIterator(root)
-        while remote.hasNext():
-            status = remote.next()
-            if status.isFile():
-                yield status.getPath().toString(), status.getModificationTime(), status.getLen()
-
-    path = f"{stages_folder(spark)}/listing-{uuid.uuid4().hex}"
-    fields = "path string, millis long, length long"
-    spark.createDataFrame([], fields).write.parquet(path)
-    remaining = entries()
-    while chunk := list(islice(remaining, LISTING_CHUNK)):
-        spark.createDataFrame(chunk, fields).write.mode("append").parquet(path)
-    return spark.read.schema(fields).parquet(path).select(
-        "path", F.timestamp_millis("millis").alias("modificationTime"), "length"
-    )
+    frontier = spark.createDataFrame([(qualified(spark, folder),)], "path string")
+    levels = [stage(list_folders(frontier), "listing")]
+    while below:
+        frontier = levels[-1].filter("is_folder")
+        if frontier.isEmpty():
+            break
+        levels.append(stage(list_folders(frontier.repartition("path")), "listing"))
+    found = reduce(DataFrame.unionByName, levels).filter("NOT is_folder")
+    return found.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
 
 
 def fetch(
