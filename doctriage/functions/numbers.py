@@ -39,7 +39,26 @@ def fixed_point(value: Column, digits: int = 1) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    return value.cast("double").cast("string")
+    """A text that reads back as the same double: plain from 10^-4 up to 10^16, beyond that with an
+    exponent of two digits or more.  The digits are Spark's, whose own text has exponents from 10^7 on."""
+    number = value.cast("double")
+    text, size = number.cast("string"), F.abs(number)
+
+    def plain(digits: int) -> Column:
+        long = F.rtrim(text.try_cast(f"decimal(38,{digits})").cast("string"), F.lit("0"))
+        return F.when(F.endswith(long, F.lit(".")), F.concat(long, F.lit("0"))).otherwise(long)
+
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), "[.]0$", "")
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (
+        F.when(F.isnan(number), "nan")
+        .when(size == float("inf"), F.when(number < 0, "-inf").otherwise("inf"))
+        .when((size >= 1e16) | ((size > 0) & (size < 1e-4)), F.concat(mantissa, exponent))
+        .when(size >= 1e7, plain(10))
+        .when((size > 0) & (size < 1e-3), plain(22))
+        .otherwise(text)
+    )
 
 
 def lookup(key: Column, table: Mapping[str, str], default: str) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doctriage import fixed
+from doctriage.operators import features
+from doctriage.operators.model import TextModel
+
 
 def accuracy(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     hit = F.when(F.col(label) == F.col(predicted), 1.0).otherwise(0.0)
@@ -76,3 +80,34 @@ def score_expected(predictions: DataFrame, expected: str = "expected", predicted
         F.count_if(ok).alias("correct"),
         F.count("*").alias("total"),
     )
+
+
+def largest_gradient(fitted: TextModel, samples: DataFrame, inverse_regularisation: float = fixed.INVERSE_REGULARISATION) -> DataFrame:
+    """One row ``gradient``: the largest entry of the gradient of the penalised loss on ``text, label``.
+
+    It is zero at the optimum.  Each sample adds its residuals to its terms; the sums are partial
+    aggregates, and no more rows than the vocabulary has terms are joined with the weights.
+    """
+    spark, classes = samples.sparkSession, range(len(fitted.labels))
+    rows = samples.count()
+    scored = fitted.score(samples.select("text", "label"))
+    counted = features.with_counts(scored.select("label", "probabilities", "text"), fitted.vectorizer)
+    weights = features.tfidf_weights(F.col("term_ids"), F.col("term_counts"), fitted.idf)
+    counted = counted.withColumn("weights", weights).withColumn("norm", features.unit_length(F.col("weights")))
+    wrong = [
+        (F.get("probabilities", F.lit(k)) - (F.col("label") == name).cast("double")).alias(f"r{k}")
+        for k, name in enumerate(fitted.labels)
+    ]
+    residuals = counted.select("*", *wrong)
+    # The last term stands for the intercepts, which are not penalised.
+    cells = F.concat(
+        F.arrays_zip(F.col("term_ids").alias("term"), F.transform("weights", lambda w: w / F.col("norm")).alias("x")),
+        F.array(F.struct(F.lit(len(fitted.idf)).alias("term"), F.lit(1.0).alias("x"))),
+    )
+    each = residuals.select(*[f"r{k}" for k in classes], F.inline(cells))
+    sums = each.groupBy("term").agg(*[F.sum(F.col("x") * F.col(f"r{k}")).alias(f"s{k}") for k in classes])
+    pull = [[*(row[t] for row in fitted.coefficients)] for t in range(len(fitted.idf))] + [[0.0] * len(fitted.labels)]
+    table = spark.createDataFrame([(t, *row) for t, row in enumerate(pull)], "term int, " + ", ".join(f"w{k} double" for k in classes))
+    joined = table.join(sums, "term", "left")
+    entries = [F.abs(F.coalesce(f"s{k}", F.lit(0.0)) / rows + F.col(f"w{k}") / (inverse_regularisation * rows)) for k in classes]
+    return joined.agg(F.max(F.greatest(*entries)).alias("gradient"))

@@ -37,6 +37,11 @@ def is_sample(text: Column, min_chars: int = fixed.MIN_SAMPLE_CHARS) -> Column:
     return F.length(py_strip(text)) > min_chars
 
 
+def enough_samples(count: Column, minimum: int = fixed.MIN_SAMPLES) -> Column:
+    """Whether so many samples suffice for training."""
+    return count >= minimum
+
+
 def require_samples(count: int, minimum: int = fixed.MIN_SAMPLES) -> None:
     if count < minimum:
         raise ValueError(f"not enough data to train: {count} samples, need {minimum}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -357,25 +358,30 @@ exported AS (
 )"""
 
 
-def exported(spark, folder) -> str:
-    """Write every document as a file of its own, on the executors; returns the folder."""
-    place = f"{shared_folder(spark)}/exports/{uuid.uuid4().hex}"
+def exported(spark, folder, place: str | None = None, chosen=None) -> str:
+    """Write every (or every ``chosen``) document as a file of its own, on the executors; returns the
+    folder."""
+    place = place or f"{shared_folder(spark)}/exports/{uuid.uuid4().hex}"
     number = F.col("doc_id")
     name = F.concat(
         pick(CARE, number % len(CARE)), F.lit(" "), number.cast("string"),
         pick(CARE_TYPES, number % len(CARE_TYPES)),
     )
-    files = table(spark, folder, "documents").select(
+    rows = table(spark, folder, "documents")
+    files = (rows if chosen is None else rows.filter(chosen)).select(
         name.alias("name"), F.when(number % 11 == 0, "").otherwise(F.col("text")).alias("content")
     )
 
     def write(batches):
         store, base = open_store(place)
-        store.create_dir(base, recursive=True)
+        for folder in (base, f"{base}-parts"):
+            store.create_dir(folder, recursive=True)
         for batch in batches:
             for file_name, content in zip(batch["name"], batch["content"]):
-                with store.open_output_stream(f"{base}/{file_name}") as stream:
+                # A file appears with all its bytes, as a watcher may be looking.
+                with store.open_output_stream(f"{base}-parts/{file_name}") as stream:
                     stream.write((content or "").encode("utf-8"))
+                store.move(f"{base}-parts/{file_name}", f"{base}/{file_name}")
             yield batch[["name"]]
 
     files.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
@@ -389,8 +395,7 @@ def folder_scan(spark, folder) -> DataFrame:
     return files.select("file_name", "file_ext", "length", "md5")
 
 
-@query(
-    f"""
+SORTED_SQL = f"""
 WITH {EXPORTED_SQL}, outcomes AS (
     SELECT *, CASE WHEN length = 0 THEN 'rejected'
                    WHEN file_ext NOT IN ({SUPPORTED}) THEN 'unsupported'
@@ -404,10 +409,10 @@ WITH {EXPORTED_SQL}, outcomes AS (
 )
 SELECT file_name, outcome, outcome AS status, destination,
        CASE WHEN destination IS NOT NULL THEN file_name END AS final_name,
-       CASE WHEN destination IS NOT NULL THEN md5 END AS sink_md5, CAST(0 AS BIGINT) AS handled_again
-FROM placed
-"""
-)
+       CASE WHEN destination IS NOT NULL THEN md5 END AS sink_md5"""
+
+
+@query(f"{SORTED_SQL}, CAST(0 AS BIGINT) AS handled_again FROM placed")
 def folder_run(spark, folder) -> DataFrame:
     """The exported files sorted: triage, copy, verify, log; then once more, which handles none.
 
@@ -423,3 +428,26 @@ def folder_run(spark, folder) -> DataFrame:
         "file_name", "outcome", "status", "destination", "final_name", "sink_md5",
         F.lit(again).cast("long").alias("handled_again"),
     )
+
+
+@query(f"{SORTED_SQL} FROM placed")
+def watched_folder(spark, folder) -> DataFrame:
+    """Half of the files lie there when the watcher starts, the others come while it runs."""
+    root, uploads = (f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}" for name in ("runs", "exports"))
+    exported(spark, folder, uploads, F.col("doc_id") % 2 == 0)
+    watcher = runs.watch(spark, uploads, root, local.Settings(), every="1 second")
+    wanted = table(spark, folder, "documents").count()
+    try:
+        # What waits here is the query, not the watcher.
+        while watcher.isActive and not runs.results(spark, root).count():
+            time.sleep(0.5)
+        exported(spark, folder, uploads, F.col("doc_id") % 2 == 1)
+        while watcher.isActive and runs.results(spark, root).count() < wanted:
+            time.sleep(0.5)
+    finally:
+        watcher.stop()
+    sunk = fetch(list_folder(spark, f"{root}/documents", below=True))
+    sunk = sunk.select(base_name(F.col("path")).alias("final_name"), F.col("md5").alias("sink_md5"))
+    return runs.results(spark, root).join(sunk, "final_name", "left").select(
+        "file_name", "outcome", "status", "destination", "final_name", "sink_md5"
+    )

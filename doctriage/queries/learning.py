@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctriage.functions.text import py_strip
-from doctriage.operators import evaluation, fallback, features, model, routing
+from doctriage.operators import evaluation, fallback, features, model, routing, validation
 from doctriage.operators.validation import is_confident
 from doctriage.plans import training
 from doctriage.queries.registry import pick, query, sql_list, sql_round, sql_strip, table
@@ -329,14 +330,18 @@ def trained_predictions(spark, folder) -> DataFrame:
     f"""
 WITH {SPLIT_SQL}
 SELECT CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label, count(*) AS held_out, count(*) AS support,
-       TRUE AS sums_to_one, TRUE AS same_after_load
+       TRUE AS sums_to_one, TRUE AS same_after_load, TRUE AS at_the_optimum, TRUE AS better_than_guessing
 FROM split s JOIN labels USING (doc_id) WHERE s.is_test GROUP BY quality
 """
 )
 def training_checks(spark, folder) -> DataFrame:
-    """Per label what was held out and reported, and whether the loaded model predicts the same."""
+    """Per label what was held out and reported; whether the loaded model predicts the same, whether the
+    fit has reached the optimum of its loss, and whether that is below the loss of the labels' shares."""
     path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
-    trained = training.train(labelled_documents(spark, folder), path, stop_words=STOP_WORDS)
+    labelled = labelled_documents(spark, folder).select("doc_id", "text", "label")
+    trained = training.train(labelled, path, stop_words=STOP_WORDS, tolerance=1e-10)
+    fitted_on, _ = model.split_samples(labelled)
+    gradient = evaluation.largest_gradient(trained.model, fitted_on).first()["gradient"]
     held_out = trained.predictions.select("doc_id", "text", "label", F.col("predicted").alias("before"))
     again = training.predict(model.load(spark, path), held_out)
     total = F.aggregate("probabilities", F.lit(0.0), lambda acc, x: acc + x)
@@ -345,7 +350,30 @@ def training_checks(spark, folder) -> DataFrame:
         F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
         F.bool_and(F.col("predicted") == F.col("before")).alias("same_after_load"),
     )
-    return per_label.join(trained.report.select(F.col("name").alias("label"), "support"), "label")
+    scored = trained.model.score(fitted_on)
+    names = F.array(*[F.lit(name) for name in trained.model.labels])
+    own = F.get("probabilities", F.array_position(names, F.col("label")).cast("int") - 1)
+    loss = scored.agg(F.avg(-F.log(own))).first()[0]
+    shares = fitted_on.groupBy("label").count().agg(F.collect_list("count")).first()[0]  # a number per label
+    guessing = -sum(n / sum(shares) * math.log(n / sum(shares)) for n in shares)
+    return per_label.join(trained.report.select(F.col("name").alias("label"), "support"), "label").select(
+        "*", F.lit(gradient < 1e-6).alias("at_the_optimum"), F.lit(loss < guessing).alias("better_than_guessing")
+    )
+
+
+@query(
+    """
+SELECT size, part, count(*) AS n, count(*) >= 10 AS enough FROM (
+    SELECT unnest([9, 10]) AS size, doc_id FROM documents
+), LATERAL (SELECT CAST(doc_id // size AS BIGINT) AS part) GROUP BY size, part
+"""
+)
+def minimum_samples(spark, folder) -> DataFrame:
+    """Groups of nine and of ten samples: ten are enough for training."""
+    sizes = F.explode(F.array(F.lit(9), F.lit(10))).alias("size")
+    samples = documents(spark, folder).select("doc_id", sizes)
+    groups = samples.groupBy("size", F.floor(F.col("doc_id") / F.col("size")).cast("long").alias("part"))
+    return groups.agg(F.count("*").alias("n")).withColumn("enough", validation.enough_samples(F.col("n")))
 
 
 @query()

@@ -64,3 +64,14 @@ def test_display_values(spark):
         numbers.fixed_point(F.lit(2.25)).alias("f"),
     ).first()
     assert tuple(row) == ("x", "d", "d", "2024-05-06 07:08:09", 1.5, "2.2")
+
+
+def test_number_text_is_as_python_prints(spark):
+    rng = random.Random(2)
+    values = [0.0, -0.0, 1.0, 1e7, 1e15, 123456789.125, 1e16, 1.5e16, 1e-3, 1e-4, 1.25e-4, 1e-5, -3e-10, float("nan"), float("inf"), float("-inf")]
+    drawn = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-12, 22) for _ in range(300)]
+    table = spark.createDataFrame([(v,) for v in values + drawn], "v double")
+    got = [r[0] for r in table.select(numbers.number_text(F.col("v"))).collect()]
+    assert got[: len(values)] == [repr(v) for v in values]
+    for text_, value in zip(got[len(values) :], drawn):
+        assert float(text_) == value and ("e" in text_) == ("e" in repr(value)), (text_, value)
