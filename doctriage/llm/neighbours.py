@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+BLOCK_BYTES = 4 * 1024 * 1024
 STRIPE_BYTES = 16 * 1024 * 1024
 SLACK = 1e-6
 # Products of int8 codes are whole numbers that single precision holds exactly up to this length.
@@ -43,7 +44,7 @@ def usable(vector: Column) -> Column:
 
 def pack(rows: DataFrame) -> DataFrame:
     """Pack ``id, vector`` (double components) into blocks of at most ``BLOCK_ROWS`` equally long
-    vectors, where they lie: nothing is shuffled."""
+    vectors and ``BLOCK_BYTES`` (one vector at least), where they lie: nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -57,8 +58,9 @@ def pack(rows: DataFrame) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
             for length in np.unique(lengths):
                 own = np.flatnonzero(lengths == length)
-                for at in range(0, len(own), BLOCK_ROWS):
-                    part = own[at : at + BLOCK_ROWS]
+                height = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * int(length))))
+                for at in range(0, len(own), height):
+                    part = own[at : at + height]
                     block = values[starts[part][:, None] + np.arange(length)]
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -128,6 +130,17 @@ class Heaps:
             heapq.heapreplace(heap, item)
 
 
+def k_best(queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's ``k`` best pairs, an id once; ties go to the smaller id."""
+    order = np.lexsort((-scores, ids, queries))
+    asked, named = queries[order], ids[order]
+    first = np.append(True, (asked[1:] != asked[:-1]) | (named[1:] != named[:-1]))
+    order = order[first]
+    order = order[np.lexsort((ids[order], -scores[order], queries[order]))]
+    _, starts, counts = np.unique(queries[order], return_index=True, return_counts=True)
+    return order[np.arange(len(order)) - np.repeat(starts, counts) < k]
+
+
 def search_tile(queries: Quantised, rows: Quantised, heaps: Heaps) -> None:
     """Offer every row of one candidate block to the heaps of one query block."""
     near = (queries.codes @ rows.codes.T).astype(np.float64)
@@ -144,8 +157,10 @@ def search_tile(queries: Quantised, rows: Quantised, heaps: Heaps) -> None:
     found, at = np.nonzero((near + margin >= floor[:, None]) & ~own)
     for first in range(0, len(found), 1 << 16):
         q, c = found[first : first + (1 << 16)], at[first : first + (1 << 16)]
-        scores = cosines(queries.vectors[q], rows.vectors[c])
-        for query, score, candidate in zip(q.tolist(), scores.tolist(), rows.ids[c].tolist()):
+        scores, ids = cosines(queries.vectors[q], rows.vectors[c]), rows.ids[c]
+        # Many equal vectors survive the bounds together; only k of them can enter a heap.
+        best = k_best(q, scores, ids, k)
+        for query, score, candidate in zip(q[best].tolist(), scores[best].tolist(), ids[best].tolist()):
             heaps.push(query, score, candidate)
 
 
@@ -171,8 +186,8 @@ def nearest(
     take no part.  Ties go to the smaller id.  Rows that repeat an id count once, with their best
     score.  An empty table gives an empty result; further columns are ignored.
 
-    A tile holds ``stripe_bytes`` of candidates and of queries at most, apart from one block, so
-    memory does not grow with the table.
+    A tile holds about ``stripe_bytes`` of candidates and of queries (blocks are dealt to stripes by
+    hash), so memory does not grow with the table.
     """
     spark = vectors.sparkSession
     rows = vectors.select(

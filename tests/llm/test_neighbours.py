@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from doctriage.llm.neighbours import nearest
+from doctriage.llm.neighbours import k_best, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, rank string"
 
@@ -61,3 +61,24 @@ def test_large_components(spark):
     rows = [(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [1e-38, 1e-38])]
     got = nearest(table(spark, rows), F.col("vec_id") == 0, 2).collect()
     assert [r.vec_id for r in got] == [1, 2]
+
+
+def test_only_k_pairs_of_a_query_reach_its_heap():
+    rng = np.random.default_rng(5)
+    queries = np.sort(rng.integers(0, 7, 400))
+    scores, ids = rng.integers(0, 4, 400) / 4.0, rng.integers(0, 90, 400)
+    wanted = set()
+    for q in range(7):
+        own = {}
+        for s, i in zip(scores[queries == q], ids[queries == q]):
+            own[i] = max(own.get(i, -1.0), s)
+        wanted |= {(q, s, i) for i, s in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:5]}
+    best = k_best(queries, scores, ids, 5)
+    assert len(best) == len(wanted) and set(zip(queries[best], scores[best], ids[best])) == wanted
+
+
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else rng.normal(size=3).tolist()) for i in range(600)]
+    got = found(nearest(table(spark, rows).repartition(3), F.col("vec_id") % 5 == 0, 5))
+    assert got == expected(rows, 5)
