@@ -17,22 +17,47 @@ def entry_key(list_name: Column, kind: Column, value: Column) -> Column:
     return F.concat_ws("\t", kind, value, list_name)
 
 
+def entry_value(kind: Column, value: Column) -> Column:
+    """The entry's value written as captures are, so that capitals, ``www.``, schemes, default ports
+    and closing slashes do not matter; a domain may begin with ``.`` or ``*.``.  Null where it can
+    cover no capture: no host, parameters, or a path where a host or domain is asked for."""
+    bare = F.when(kind == DOMAIN, F.regexp_replace(F.trim(value), r"^(\*?\.)+", "")).otherwise(value)
+    address = canonical_url(bare)
+    plain = F.when(~address.contains("?"), address)
+    return F.when((kind == PREFIX) | (path_of(plain) == ""), plain)
+
+
+def flaw() -> Column:
+    """Why an entry is not used, null where it is."""
+    known = lambda name, values: F.coalesce(F.col(name).isin(*values), F.lit(False))
+    return (
+        F.when(F.col("list_name").isNull(), "no list")
+        .when(~known("kind", RANKS), "unknown kind")
+        .when(F.col("value").isNull(), "no value")
+        .when(entry_value(F.col("kind"), F.col("value")).isNull(), "covers no address")
+        .when(~known("action", ("add", "remove")), "unknown action")
+        .when(F.col("dated").isNull(), "no date")
+    )
+
+
+def unused(entries: DataFrame) -> DataFrame:
+    """The rows of ``entries`` that no interval is made of, with a ``flaw`` saying why."""
+    return entries.withColumn("flaw", flaw()).filter("flaw IS NOT NULL")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals ``list_name, kind, value, allow, category, valid_from, valid_to`` of dated
     ``entries`` (``entry_id, list_name, kind, value, action, allow, category, dated``).
 
     An ``add`` holds until the next entry of the same list, kind and value, whatever its action;
     ``valid_to`` is exclusive and null while nothing follows.  Of entries at one moment the one
-    with the largest id holds.  Entries lacking list, known kind, value, known action or date are
-    not used.
+    with the largest id holds.  Values are compared and returned as ``entry_value`` writes them.
+    Entries lacking list, known kind, value, known action or date are not used; ``unused`` names them.
     """
-    used = entries.filter(
-        F.col("list_name").isNotNull()
-        & F.col("kind").isin(*RANKS)
-        & F.col("value").isNotNull()
-        & F.col("action").isin("add", "remove")
-        & F.col("dated").isNotNull()
-    ).select("entry_id", "list_name", "kind", "value", "action", "allow", "category", "dated")
+    value = entry_value(F.col("kind"), F.col("value")).alias("value")
+    used = entries.filter(flaw().isNull()).select(
+        "entry_id", "list_name", "kind", value, "action", "allow", "category", "dated"
+    )
     # Walked from the latest entry to the earliest, so the state carried is the next one's date.
     backwards = (
         used.withColumn("key", entry_key(F.col("list_name"), F.col("kind"), F.col("value")))
@@ -56,8 +81,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def lookup_values(canonical: Column, labels: int, depth: int) -> Column:
-    """``kind, value, size`` of all entries that would cover a URL: its host, the domains of two to
-    ``labels`` labels it lies in, and its path prefixes of one to ``depth`` segments."""
+    """``kind, value, size`` of all entries that would cover a URL: its host, the domains of one to
+    ``labels`` labels it lies in, and its path prefixes of none to ``depth`` segments."""
     host, path = host_of(canonical), path_of(canonical)
     names = F.split(host, r"\.")
     steps = F.split(F.regexp_replace(path, "^/", ""), "/")
@@ -66,7 +91,7 @@ def lookup_values(canonical: Column, labels: int, depth: int) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("value"), size.cast("int").alias("size"))
 
     domains = F.transform(
-        F.filter(F.sequence(F.lit(2), F.lit(max(2, labels))), lambda n: n <= F.size(names)),
+        F.filter(F.sequence(F.lit(1), F.lit(max(1, labels))), lambda n: n <= F.size(names)),
         lambda n: value(DOMAIN, F.array_join(F.slice(names, -n, n), "."), n),
     )
     prefixes = F.transform(
@@ -77,7 +102,8 @@ def lookup_values(canonical: Column, labels: int, depth: int) -> Column:
             PREFIX, F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")), n
         ),
     )
-    return F.concat(F.array(value(HOST, host, F.lit(0))), domains, prefixes)
+    whole = F.array(value(HOST, host, F.lit(0)), value(PREFIX, host, F.lit(0)))
+    return F.concat(whole, domains, prefixes)
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -86,7 +112,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``active`` counts the entries that cover the URL at its fetch time.  The most specific one
     decides: a path prefix before the host before a domain, longer before shorter, allowing before
-    blocking, then the smaller list name; it is named in the last columns.  Rows without URL, host
+    blocking, then the smaller list name; it is named in the last columns.  Entries are spelled as
+    ``entry_value`` allows; those that cannot be used are left out (``unused``).  Rows without URL, host
     or time, and rows that no entry covers, are not blocked.  Repeated rows are judged alike.
     Further columns are ignored; empty tables are fine on either side.
     """

@@ -49,6 +49,11 @@ def test_canonical_urls(spark):
         "https://example.com/a/b?a=1&b=2": "example.com/a/b?a=1&b=2",
         "//example.com": "example.com",
         "example.com/?ref=1": "example.com",
+        "http://example.com:443/a": "example.com:443/a",
+        "https://example.com:80/a": "example.com:80/a",
+        "https://example.com:443/a": "example.com/a",
+        "example.com:443/a": "example.com/a",
+        "ftp://example.com:80/a": "example.com:80/a",
         "https:///path": None,
         "": None,
         None: None,
@@ -160,3 +165,32 @@ def test_lists(spark):
     ]
     assert url_lists.judge(table.limit(0), lists).count() == 0
     assert not any(r.blocked for r in url_lists.judge(table, lists.limit(0)).collect())
+
+
+def test_entries_as_people_write_them(spark):
+    written = [
+        ("prefix", "HTTP://www.Example.com:80/ads/"), ("host", "www.Shop.example"), ("domain", "zip"),
+        ("domain", "*.wild.org"), ("prefix", "whole.org/"), ("host", "https://deep.org/x"), ("prefix", "asks.org/?a=1"),
+        ("host", "http://"), ("mask", "mask.org"), ("host", None), (None, "none.org"),
+    ]
+    rows = [(i, "l", kind, value, "add", False, "c", at(0), "k", 1) for i, (kind, value) in enumerate(written)]
+    rows += [(20, "l", "host", "late.org", "add", False, "c", None, "k", 1), (21, None, "host", "a.org", "add", False, "c", at(0), "k", 1)]
+    rows += [(22, "l", "host", "late.org", "drop", False, "c", at(0), "k", 1)]
+    # Written otherwise, but the same entry: it ends the first one.
+    rows += [(23, "l", "domain", ".Gone.org", "add", False, "c", at(0), "k", 1), (24, "l", "domain", "gone.org", "remove", False, "c", at(1), "k", 1)]
+    entries = spark.createDataFrame(rows, ENTRIES)
+    urls = [
+        "http://example.com/ads/1", "https://example.com/adsense", "http://shop.example", "http://a.zip/x", "http://zip",
+        "http://x.wild.org", "http://whole.org/any/page?q=1", "http://deep.org/x", "http://asks.org/?a=1", "http://gone.org", "http://late.org",
+    ]
+    table = spark.createDataFrame([(i, u, at(5)) for i, u in enumerate(urls)], "capture_id long, url string, fetched_at timestamp")
+    blocked = {r.url: r.value for r in url_lists.judge(table, entries).collect() if r.blocked}
+    assert blocked == {
+        "http://example.com/ads/1": "example.com/ads", "http://shop.example": "shop.example", "http://a.zip/x": "zip",
+        "http://zip": "zip", "http://x.wild.org": "wild.org", "http://whole.org/any/page?q=1": "whole.org",
+    }
+    flaws = {r.entry_id: r.flaw for r in url_lists.unused(entries).collect()}
+    assert flaws == {
+        5: "covers no address", 6: "covers no address", 7: "covers no address", 8: "unknown kind", 9: "no value",
+        10: "unknown kind", 20: "no date", 21: "no list", 22: "unknown action",
+    }
