@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctriage.llm.asof import carry_forward
+from doctriage.llm.personal_data import let
 from doctriage.llm.urls import canonical_url, host_of, path_of
 
 # Kinds of entries, from the least to the most specific.
@@ -22,9 +23,13 @@ def entry_value(kind: Column, value: Column) -> Column:
     and closing slashes do not matter; a domain may begin with ``.`` or ``*.``.  Null where it can
     cover no capture: no host, parameters, or a path where a host or domain is asked for."""
     bare = F.when(kind == DOMAIN, F.regexp_replace(F.trim(value), r"^(\*?\.)+", "")).otherwise(value)
-    address = canonical_url(bare)
-    plain = F.when(~address.contains("?"), address)
-    return F.when((kind == PREFIX) | (path_of(plain) == ""), plain)
+    # The address is computed once, however often it is asked for.
+    return let(
+        canonical_url(bare),
+        lambda address: F.when(
+            ~address.contains("?") & ((kind == PREFIX) | (path_of(address) == "")), address
+        ),
+    )
 
 
 def flaw() -> Column:
