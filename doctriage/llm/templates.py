@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ UNITS = frozenset(
 )
 
 LITERAL, NUMBER, NAME, UNIT, QUANTITY, DROPPED = range(6)
+KIND_HASHES = [xxhash.xxh3_64_intdigest(b"\0%d" % kind) for kind in range(6)]
 NUMBER_FORM = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*")
 QUANTITY_FORM = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([a-z/%€$£]+)")
 EDGES = "\"'`.,;:!?()[]{}<>*_~|«»“”‘’…-–—#&"
@@ -76,6 +78,8 @@ def token(word: str) -> tuple[int, str]:
     core = word.strip(EDGES).lower()
     if not core:
         return (UNIT, word) if word in UNITS else (DROPPED, "")
+    if core[0].isalpha():
+        return (UNIT if core in UNITS else LITERAL), core
     if NUMBER_FORM.fullmatch(core):
         return NUMBER, core
     if core in UNITS:
@@ -92,38 +96,59 @@ def is_capitalised(word: str) -> bool:
 
 
 class Lexicon(dict):
-    """Words by number, with what a template needs to know of each in arrays."""
+    """Words by number, with what a template needs to know of each in arrays.
+
+    In most corpora most of the different words are new ones, so a new word only joins lists, which
+    ``settle`` moves to the arrays at once for all new words of a text."""
+
+    FIELDS = (("hashes", np.uint64), ("words", np.uint64), ("kinds", np.int8), ("capital", bool), ("ends", bool))
 
     def __init__(self) -> None:
         super().__init__()
         self.values: list[str] = []
-        self.hashes = np.zeros(1 << 12, np.uint64)
-        self.words = np.zeros(1 << 12, np.uint64)
-        self.kinds = np.zeros(1 << 12, np.int8)
-        self.capital = np.zeros(1 << 12, bool)
-        self.ends = np.zeros(1 << 12, bool)
+        self.settled = 0
+        for name, kind in self.FIELDS:
+            setattr(self, name, np.zeros(1 << 12, kind))
+        self.new = tuple([] for _ in self.FIELDS)
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         at = self[word] = len(self.values)
-        if at == len(self.kinds):
-            for name in ("hashes", "words", "kinds", "capital", "ends"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        kind, value = token(word)
+        if word.isalpha():
+            # Nothing to strip, no number, no end of a sentence.
+            value, ends = word.lower(), False
+            kind = UNIT if value in UNITS else LITERAL
+            capital = kind == LITERAL and len(word) > 1 and word[0].isupper() and word[1:].islower()
+        else:
+            kind, value = token(word)
+            capital = kind == LITERAL and is_capitalised(word)
+            ends = word.rstrip("\"')]}»”’").endswith(SENTENCE_END)
         self.values.append(value)
-        self.kinds[at] = kind
-        self.hashes[at] = xxhash.xxh3_64_intdigest(value if kind == LITERAL else b"\0%d" % kind)
-        self.words[at] = xxhash.xxh3_64_intdigest("\1" + value.casefold())
-        self.capital[at] = kind == LITERAL and is_capitalised(word)
-        self.ends[at] = word.rstrip("\"')]}»”’").endswith(SENTENCE_END)
+        hashes, words, kinds, capitals, all_ends = self.new
+        hashes.append(xxhash.xxh3_64_intdigest(value) if kind == LITERAL else KIND_HASHES[kind])
+        words.append(xxhash.xxh3_64_intdigest("\1" + value.casefold()))
+        kinds.append(kind)
+        capitals.append(capital)
+        all_ends.append(ends)
         return at
 
+    def settle(self) -> None:
+        count = len(self.values)
+        if count == self.settled:
+            return
+        for (name, kind), new in zip(self.FIELDS, self.new):
+            array = getattr(self, name)
+            if count > len(array):
+                array = np.concatenate([array, np.zeros(max(count, 2 * len(array)) - len(array), kind)])
+                setattr(self, name, array)
+            array[self.settled : count] = np.array(new, kind)
+            new.clear()
+        self.settled = count
+
     def trim(self) -> None:
         if len(self) > MEMO_WORDS:
             self.clear()
             self.values.clear()
+            self.settled = 0
 
 
 def _window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -144,10 +169,9 @@ class Template:
     text itself starts one if ``starts``."""
 
     def __init__(self, text: str, lexicon: Lexicon, starts: bool = True):
-        import xxhash
-
         words = text.split()
         codes = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
+        lexicon.settle()
         ends = lexicon.ends[codes]
         opens = np.concatenate([[starts], ends[:-1]]) if len(words) else np.zeros(0, bool)
         kinds = lexicon.kinds[codes].copy()
@@ -155,7 +179,7 @@ class Template:
         kept = kinds != DROPPED
         self.kinds, self.codes, self.lexicon = kinds[kept], codes[kept], lexicon
         self.hashes = lexicon.hashes[self.codes].copy()
-        self.hashes[self.kinds == NAME] = xxhash.xxh3_64_intdigest(b"\0%d" % NAME)
+        self.hashes[self.kinds == NAME] = KIND_HASHES[NAME]
         self.literal = np.concatenate([[0], np.cumsum(self.kinds == LITERAL)])
 
     def __len__(self) -> int:
@@ -194,7 +218,6 @@ def benchmark_windows(items: DataFrame, rules: Rules) -> DataFrame:
     document, its first word is taken both as the start of a sentence and as a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
         lexicon, number = Lexicon(), TaskContext.get().partitionId() << 33
