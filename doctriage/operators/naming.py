@@ -136,6 +136,13 @@ def name_state(results: DataFrame) -> DataFrame:
     return moved.select("destination", "file_name", F.col("name_number").alias("last"))
 
 
+def name_family(destination: Column, file_name: Column) -> Column:
+    """The same for a name, the name it is a number of, and all numbered copies of either: what is
+    known of one family is all that naming its members needs."""
+    root = F.regexp_replace(stem(file_name), _SUFFIXES, "")
+    return join_path(destination, F.concat(root, raw_ext(file_name)))
+
+
 def _keyed(names: DataFrame) -> DataFrame:
     return names.withColumn("_key", join_path(F.col("destination"), F.col("file_name")))
 

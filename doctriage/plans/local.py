@@ -44,6 +44,10 @@ class Settings:
     parse_contents_once: bool | None = None
 
 
+# A table of the past, or a function that looks up what it knows of the rows at hand.
+Known = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
 def content_facts(files: DataFrame, settings: Settings) -> DataFrame:
     """Replace ``text`` by what follows from it: readable, label, confidence, prompt.
 
@@ -147,17 +151,22 @@ def triage(
 def triage_facts(
     facts: DataFrame,
     settings: Settings,
-    registry: DataFrame | None,
-    occupied: DataFrame | None,
+    registry: Known,
+    occupied: Known,
     taken: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Results from facts.  ``taken`` looks planned names up at the sink (``destination, final_name``
+    """Results from facts.  ``registry`` and ``occupied`` may be functions that return what is known of
+    the contents and names of the rows they are given.  ``taken`` looks planned names up at the sink (``destination, final_name``
     of those it holds); rows that asked for one of them are named anew, until no planned name is."""
     if "arrival_seq" not in facts.columns:
         facts = arrival_order(stage(facts, "unordered-facts"))
     facts = stage(facts, "facts")
+    if callable(registry):
+        registry = registry(facts)
     decided = decide(facts, settings, registry).drop("prompt", "_answer", "ml_label", "ml_confidence")
     decided = stage(decided, "decisions")
+    if callable(occupied):
+        occupied = occupied(decided)
     named = assign_names(decided, occupied).select(*RESULT_SCHEMA.names)
     attempt = 0
     while taken is not None:
@@ -188,8 +197,8 @@ def triage_folder(
     spark: SparkSession,
     folder: str,
     settings: Settings,
-    registry: DataFrame | None = None,
-    occupied: DataFrame | None = None,
+    registry: Known = None,
+    occupied: Known = None,
     listing: DataFrame | None = None,
     handled: DataFrame | None = None,
     taken: Callable[[DataFrame, int], DataFrame] | None = None,

@@ -1,9 +1,13 @@
 """Runs that keep their state under one root folder: results, sorted files and the log.
 
 ``root/results/run=<id>`` holds one row per file and run, ``root/totals/run=<id>`` the counts of a
-run, and ``root/documents`` the copied files.  The log is made from the results.  A run learns from the earlier results which files were handled,
-which contents were registered and which names were given.  Ids of runs start with the time, so
-``(run, arrival_seq)`` orders all results.
+run, and ``root/documents`` the copied files.  The log is made from the results.  Ids of runs start with the
+time, so ``(run, arrival_seq)`` orders all results.
+
+What a run must know of the past stands in ``root/state``, in hash buckets: the files that were handled
+(by path), the contents that were registered (by fingerprint) and the names that were given (by family
+of names).  A run opens the buckets of the files it finds, so its cost follows them and not the
+history.  Every run adds its own rows before it is closed; they follow from its results.
 
 ``root/journal/run=<id>`` is there while a run is open.  The plan (what each file is, where it goes and
 how it is called) is written there before the first copy; the journal is deleted after the results
@@ -24,16 +28,22 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType, T
 
 from doctriage import fixed
 from doctriage.operators import metrics
-from doctriage.operators.naming import name_state
+from doctriage.operators.naming import name_family, name_state
 from doctriage.operators.reports import log_lines, recent_results, report_rows
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage_folder, verified
 from doctriage.session import child_names, delete_path, job_stages, path_exists, stage
 from doctriage.sinks.files import copy_files, folder_listing, held_files
 from doctriage.sinks.logs import log_or_notice
+from doctriage.sinks.state import bucket, has_state, put_state, read_state
 from doctriage.sources.files import list_folder
 
+# Key, value that is kept per key, and columns of each kind of state.
+STATE = {
+    "handled": (("path", "modificationTime", "length"), None, "path string, modificationTime timestamp, length long"),
+    "registry": (("md5",), None, "md5 string"),
+    "names": (("destination", "file_name"), "last", "destination string, file_name string, last long"),
+}
 LOOK_UPS = 3  # rounds of looking planned names up before the folders are listed
-HANDLED = "path string, modificationTime timestamp, length long"
 
 
 def open_runs(spark: SparkSession, root: str) -> list[str]:
@@ -57,9 +67,37 @@ def results(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, root, RESULT_SCHEMA)
 
 
-def handled_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, modificationTime, length`` of all files that earlier runs have triaged."""
-    return _stored(spark, root, HANDLED)
+def bucketed(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows with the bucket that holds what is known of them."""
+    columns = {"handled": [F.col("path")], "registry": [F.col("md5")]}
+    key = columns.get(kind) or [name_family(F.col("destination"), F.col("file_name"))]
+    return rows.withColumn("bucket", bucket(*key))
+
+
+def known(rows: DataFrame, root: str, kind: str) -> DataFrame:
+    """What earlier runs know of the given files, contents or names, and of others in their buckets."""
+    return read_state(rows.sparkSession, f"{root}/state/{kind}", STATE[kind][2], bucketed(rows, kind))
+
+
+def _add_state(spark: SparkSession, root: str, run: str, done: DataFrame) -> None:
+    """Add what follows from results to the state, under the name of a run."""
+    rows = {
+        "handled": done.select("path", "modificationTime", "length"),
+        "registry": done.filter("registered").select("md5"),
+        "names": name_state(done).withColumn("last", F.col("last").cast("long")),
+    }
+    for kind, (key, value, _) in STATE.items():
+        put_state(bucketed(rows[kind], kind), f"{root}/state/{kind}", run, key, value)
+
+
+def _results_with_times() -> StructType:
+    return StructType([*RESULT_SCHEMA.fields, StructField("modificationTime", TimestampType())])
+
+
+def _make_state(spark: SparkSession, root: str) -> None:
+    """Make the state of a root whose runs did not keep any."""
+    if closed_runs(spark, root) and not all(has_state(spark, f"{root}/state/{kind}") for kind in STATE):
+        _add_state(spark, root, "run=0", _stored(spark, root, _results_with_times()))
 
 
 def run_folder(
@@ -81,17 +119,20 @@ def run_folder(
     started = time.time()
     recover(spark, root)
     run = f"run={int(started * 1e6):016d}-{uuid.uuid4().hex}"
-    past = results(spark, root)
     with job_stages(spark):
         listed = list_folder(spark, folder) if listing is None else listing
         listed = listed.select("path", "modificationTime", "length")
-        handled = handled_files(spark, root)
-        new = stage(listed.join(handled, listed.columns, "left_anti"), "listing")
+        listed = stage(listed, "listed")
+        new = stage(listed.join(known(listed, root, "handled"), listed.columns, "left_anti"), "listing")
         if new.isEmpty():
-            return past.limit(0)
-        registry = past.filter("registered").select("md5")
-        occupied = name_state(past).select("destination", "file_name", F.col("last").cast("long").alias("last"))
-        occupied = occupied.groupBy("destination", "file_name").agg(F.max("last").alias("last"))
+            return spark.createDataFrame([], RESULT_SCHEMA)
+
+        def registry(facts: DataFrame) -> DataFrame:
+            return known(facts.filter("length > 0"), root, "registry")
+
+        def occupied(decided: DataFrame) -> DataFrame:
+            names = known(decided.filter("destination IS NOT NULL"), root, "names")
+            return names.groupBy("destination", "file_name").agg(F.max("last").alias("last"))
 
         def taken(named: DataFrame, attempt: int) -> DataFrame:
             if attempt <= LOOK_UPS:
@@ -110,6 +151,7 @@ def run_folder(
 
 def recover(spark: SparkSession, root: str) -> list[str]:
     """Finish or drop every run that was begun and not closed; returns those that were finished."""
+    _make_state(spark, root)
     return [run for run in open_runs(spark, root) if finish(spark, root, run, time.time())]
 
 
@@ -137,6 +179,8 @@ def finish(spark: SparkSession, root: str, run: str, started: float) -> bool:
         done = spark.read.schema(RESULT_SCHEMA).parquet(stored)
         both = metrics.totals(done)
         both.write.mode("overwrite").parquet(f"{root}/totals/{run}")
+    if planned:
+        _add_state(spark, root, run, spark.read.schema(_results_with_times()).parquet(stored))
     delete_path(spark, journal)
     return planned
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def latest_per_key(items: DataFrame, key: str | list[str], order: str | Column)
 # two runs hold, as between a merge and the deletion of what it merged, changes nothing.
 
 
-def _runs(spark: SparkSession, path: str) -> dict[int, list[str]]:
+def whole_runs(spark: SparkSession, path: str) -> dict[int, list[str]]:
     """Names of the whole runs of each tier, in order; ``MERGE_RUNS`` or so for each of few tiers."""
     tiers = sorted(int(name.removeprefix("tier=")) for name in child_names(spark, path) if name.startswith("tier="))
     whole = lambda tier, name: path_exists(spark, f"{path}/tier={tier}/{name}/_SUCCESS")
@@ -85,11 +86,22 @@ def put_items(
 
 
 def merge_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq", fan: int = MERGE_RUNS) -> None:
-    """Merge every tier that has ``fan`` runs.  What a merge replaces is deleted by the next one, when
-    readers that began before it are done; a merge that was stopped is simply made again."""
+    """Merge every tier that has ``fan`` runs."""
+
+    def merge(folders: list[str], target: str) -> None:
+        latest_per_key(spark.read.parquet(*folders), key, order).write.mode("overwrite").parquet(target)
+
+    merge_tiers(spark, path, merge, fan)
+
+
+def merge_tiers(spark: SparkSession, path: str, merge: Callable[[list[str], str], None], fan: int = MERGE_RUNS) -> None:
+    """Have ``merge`` write the runs of every tier that has ``fan`` of them as one run of the next.
+
+    What a merge replaces is deleted by the next one, when readers that began before it are done; a
+    merge that was stopped is simply made again."""
     tier = 0
     while True:
-        runs = _runs(spark, path)
+        runs = whole_runs(spark, path)
         above = [_ends(name) for name in runs.get(tier + 1, [])]
         covered = [n for n in runs.get(tier, []) if any(a <= _ends(n)[0] and _ends(n)[1] <= b for a, b in above)]
         single = [n for n in runs.get(tier, []) if n not in covered]
@@ -100,9 +112,8 @@ def merge_items(spark: SparkSession, path: str, key: str = "filename", order: st
             continue
         for name in covered:
             delete_path(spark, f"{path}/tier={tier}/{name}")
-        merged = latest_per_key(_read(spark, path, [(tier, name) for name in single]), key, order)
         ends = f"run={_ends(single[0])[0]}..{_ends(single[-1])[1]}"
-        merged.write.mode("overwrite").parquet(f"{path}/tier={tier + 1}/{ends}")
+        merge([f"{path}/tier={tier}/{name}" for name in single], f"{path}/tier={tier + 1}/{ends}")
         tier += 1
 
 
@@ -113,13 +124,13 @@ def _read(spark: SparkSession, path: str, runs: list[tuple[int, str]]) -> DataFr
 
 def read_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq") -> DataFrame:
     """The latest item of each key, from all runs of all tiers."""
-    runs = [(tier, name) for tier, names in _runs(spark, path).items() for name in names]
+    runs = [(tier, name) for tier, names in whole_runs(spark, path).items() for name in names]
     return latest_per_key(_read(spark, path, runs), key, order)
 
 
 def compact_items(spark: SparkSession, path: str, key: str = "filename", order: str = "seq") -> None:
     """Merge all runs into one of the highest tier, which later reads take instead of them."""
-    runs = _runs(spark, path)
+    runs = whole_runs(spark, path)
     every = [(tier, name) for tier, names in runs.items() for name in names]
     if len(every) < 2:
         return
