@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import takewhile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.sql import Column, DataFrame
@@ -15,6 +19,8 @@ from doctriage import fixed
 from doctriage.session import stage
 
 PRUNING_WORDS = 20_000
+# Rows whose n-grams are tallied at once; a key of three words and a row fit in 63 bits.
+TALLIED_ROWS = 10_000
 
 
 def default_stop_words() -> list[str]:
@@ -65,6 +71,12 @@ def term_counts(
     are dropped before the shuffle.  Without this, the shuffle would carry nearly every 2- and
     3-gram of the corpus.  When too many words reach the floor all n-grams are counted.
     """
+    return _terms(words, size, pruning_words).select("term", "n")
+
+
+def _terms(words: DataFrame, size: int, pruning_words: int = PRUNING_WORDS) -> DataFrame:
+    """The rows of ``term_counts`` with ``df``, the number of documents that hold the term; null where
+    all n-grams were counted."""
     words = words.select("words")
     counts = stage(
         _each("words", words).groupBy("term").agg(F.count("*").alias("n")), "word-counts"
@@ -74,13 +86,59 @@ def term_counts(
     if floor["found"] == size and floor["floor"] > 1:
         frequent = counts.filter(F.col("n") >= floor["floor"]).limit(pruning_words + 1).collect()
         if len(frequent) <= pruning_words:
-            words = words.select(_blank_others("words", [row["term"] for row in frequent]).alias("words"))
-    # A blanked word leaves an empty gram or a leading, trailing or doubled blank.
-    term = F.col("term")
-    grams = _each("grams", with_grams(words)).filter(
-        (term != "") & ~term.startswith(" ") & ~term.endswith(" ") & ~term.contains("  ")
-    )
-    return grams.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size)
+            grams = _frequent_grams(words, sorted(row["term"] for row in frequent), floor["floor"])
+            return grams.orderBy(F.desc("n"), "term").limit(size)
+    grams = _each("grams", with_grams(words)).groupBy("term").agg(F.count("*").alias("n"))
+    return grams.withColumn("df", F.lit(None).cast("long")).orderBy(F.desc("n"), "term").limit(size)
+
+
+def _frequent_grams(words: DataFrame, kept: Sequence[str], floor: int) -> DataFrame:
+    """``term, n, df`` of the n-grams of ``kept`` words that occur ``floor`` times or more.
+
+    Each Arrow batch is tallied by numbers for the words before its rows are shuffled."""
+    base = len(kept) + 1
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(kept, pa.string())
+        for batch in batches:
+            for first in range(0, batch.num_rows, TALLIED_ROWS):
+                ids, rows = _word_ids(batch.column(0).slice(first, TALLIED_ROWS), known)
+                cells = [key * TALLIED_ROWS + rows[at] for at, key in _gram_keys(ids, rows, base)]
+                cells, n = np.unique(np.concatenate(cells), return_counts=True)
+                keys, starts, df = np.unique(cells // TALLIED_ROWS, return_index=True, return_counts=True)
+                n = np.add.reduceat(n, starts) if len(n) else n
+                columns = [pa.array(values, pa.int64()) for values in (keys, n, df)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "df"])
+
+    tallied = words.mapInArrow(tally, "key long, n long, df long")
+    tallied = tallied.groupBy("key").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    names = F.from_json(F.lit(json.dumps(list(kept))), "array<string>")
+    places = [base**power for power in reversed(range(fixed.MAX_NGRAM))]
+    parts = [F.get(names, F.expr(f"CAST(key div {place} % {base} - 1 AS INT)")) for place in places]
+    return tallied.filter(F.col("n") >= floor).select(F.concat_ws(" ", *parts).alias("term"), "n", "df")
+
+
+def _word_ids(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per word of a batch its number among ``known`` (from 1; 0: none of them) and its row."""
+    found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0)
+    rows = np.repeat(np.arange(len(lists)), sizes.to_numpy(zero_copy_only=False))
+    return found.to_numpy(zero_copy_only=False).astype(np.int64) + 1, rows
+
+
+def _gram_keys(ids: np.ndarray, rows: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per length of n-grams, where those of known words start, and their keys: the numbers of their
+    words as digits to ``base``, with zeros for what a shorter one lacks."""
+    at = np.flatnonzero(ids)
+    key = ids[at]
+    for length in range(1, fixed.MAX_NGRAM + 1):
+        if length > 1:
+            end = at + (length - 1)
+            inside = end < len(ids)
+            at, key, end = at[inside], key[inside], end[inside]
+            whole = (ids[end] > 0) & (rows[end] == rows[at])
+            at, key = at[whole], key[whole] * base + ids[end[whole]]
+        yield at, key * base ** (fixed.MAX_NGRAM - length)
 
 
 def _each(array: str, rows: DataFrame, name: str = "term") -> DataFrame:
@@ -89,35 +147,56 @@ def _each(array: str, rows: DataFrame, name: str = "term") -> DataFrame:
     return rows.select(F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
-def _blank_others(words: str, kept: Sequence[str]) -> Column:
-    """The word array with every word outside ``kept`` emptied (one hash-set probe per word)."""
-    listed = ", ".join(f"'{word}'" for word in kept)
-    return F.expr(f"transform({words}, word -> if(word IN ({listed}), word, ''))")
-
-
-def fit_vocabulary(words: DataFrame, size: int = fixed.MAX_FEATURES) -> list[str]:
-    """The selected terms on the driver; ``size`` bounds what is collected."""
-    return [row["term"] for row in term_counts(words, size).collect()]
-
-
 def with_counts(docs: DataFrame, stages: PipelineModel, source: str = "text") -> DataFrame:
     """Replace ``source`` by ``term_ids array<int>`` and ``term_counts array<double>``.
 
-    ``stages`` start at ``text`` or at ``words``.  They work row by row in the JVM, so counting
-    needs no shuffle.
+    ``stages`` start at ``text`` or at ``words``.  Words are made row by row in the JVM; terms are
+    counted by Arrow batches of word arrays.  Neither needs a shuffle.
     """
     columns = [name for name in docs.columns if name != source]
-    kept = F.struct(*columns) if columns else F.struct(F.lit(0).alias("_none"))
+    # Other names, so that none meets a column of the stages; what nobody reads is not carried along.
+    kept = [F.col(name).alias(f"_doc{i}") for i, name in enumerate(columns)]
     start = "words" if source == "words" else "text"
-    work = docs.select(kept.alias("_doc"), F.col(source).alias(start))
-    counted = stages.transform(work).select("_doc", F.unwrap_udt("counts").alias("_counts"))
+    work = docs.select(*kept, F.col(source).alias(start))
+    tokenizing = PipelineModel(list(takewhile(lambda s: not isinstance(s, NGram), stages.stages)))
+    count = F.arrow_udf(_term_counter(stages.stages[-1].vocabulary), _COUNTS)
+    counted = tokenizing.transform(work).withColumn("_counts", count(F.col("words")))
     return counted.select(
-        *[F.col(f"_doc.{name}") for name in columns],
+        *[F.col(f"_doc{i}").alias(name) for i, name in enumerate(columns)],
         F.col("_counts.indices").alias("term_ids"),
         F.col("_counts.values").alias("term_counts"),
     )
 
 
+_COUNTS = "indices array<int>, values array<double>"
+
+
+def _term_counter(vocabulary: Sequence[str]):
+    """Term counts of word arrays, as the count vectorizer of that vocabulary gives them."""
+    terms = [term.split(" ") for term in vocabulary]
+    words = sorted({word for term in terms for word in term})
+    number, base, size = {word: i for i, word in enumerate(words, 1)}, len(words) + 1, len(terms)
+    digits = [[number[word] for word in term] + [0] * (fixed.MAX_NGRAM - len(term)) for term in terms]
+    own = np.array(digits, np.int64) @ np.array([base**power for power in reversed(range(fixed.MAX_NGRAM))], np.int64)
+    term_of = np.argsort(own)
+    keys = own[term_of]
+
+    def count(lists: pa.Array) -> pa.Array:
+        ids, rows = _word_ids(lists, pa.array(words, pa.string()))
+        cells = []
+        for at, key in _gram_keys(ids, rows, base):
+            spot = np.minimum(np.searchsorted(keys, key), size - 1)
+            hit = keys[spot] == key
+            cells.append(rows[at[hit]] * size + term_of[spot[hit]])
+        found, n = np.unique(np.concatenate(cells), return_counts=True)
+        starts = pa.array(np.searchsorted(found, np.arange(len(lists) + 1) * size), pa.int32())
+        indices = pa.ListArray.from_arrays(starts, pa.array(found % size, pa.int32()))
+        values = pa.ListArray.from_arrays(starts, pa.array(n, pa.float64()))
+        return pa.StructArray.from_arrays([indices, values], ["indices", "values"])
+
+    return count
+
+
 def number_array(values: Sequence[float]) -> Column:
     """A long array literal; folded once instead of built from thousands of literals."""
     return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
@@ -172,15 +251,19 @@ def fit_vectorizer(
 def fit_on_words(
     words: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES
 ) -> Vectorizer:
-    vocabulary = fit_vocabulary(words, size)
+    documents = words.count()
+    found = _terms(words, size).withColumn("idf", smoothed_idf(F.lit(documents), F.col("df"))).collect()
+    vocabulary = [row["term"] for row in found]
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="counts")
     from_words = PipelineModel([*gram_stages(), counter])
-    counted = with_counts(words.select("words"), from_words, "words")
+    idf = [row["idf"] for row in found]
+    if None in idf:
+        idf = fit_idf(with_counts(words.select("words"), from_words, "words"), len(vocabulary))
     return Vectorizer(
         stages=PipelineModel([*word_stages(stop_words), *from_words.stages]),
         word_stages=from_words,
         vocabulary=vocabulary,
-        idf=fit_idf(counted, len(vocabulary)),
+        idf=idf,
     )
 
 

@@ -61,17 +61,23 @@ def content_facts(files: DataFrame, settings: Settings) -> DataFrame:
         nothing = {"prompt": "string", "ml_label": "string", "ml_confidence": "double"}
         facts = facts.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
         return facts.drop("text", "content")
-    scored = settings.model.score(
-        facts.withColumn("_scored", F.when(classifiable, F.col("text"))), "_scored"
+    # The prompt is made before scoring, so that nothing behind it asks for texts and contents.
+    asked = facts.withColumns(
+        {
+            "_scored": F.when(classifiable, F.col("text")),
+            "prompt": F.when(classifiable, second.prompt(F.col("text"))),
+            "_classifiable": classifiable,
+        }
     )
-    unsure = classifiable & ~is_confident(F.col("ml_confidence"), settings.threshold)
+    scored = settings.model.score(asked.drop("text", "content"), "_scored")
+    unsure = F.col("_classifiable") & ~is_confident(F.col("ml_confidence"), settings.threshold)
     return scored.withColumns(
         {
-            "prompt": F.when(unsure, second.prompt(F.col("text"))),
-            "ml_label": F.when(classifiable, F.col("ml_label")),
-            "ml_confidence": F.when(classifiable, F.col("ml_confidence")),
+            "prompt": F.when(unsure, F.col("prompt")),
+            "ml_label": F.when(F.col("_classifiable"), F.col("ml_label")),
+            "ml_confidence": F.when(F.col("_classifiable"), F.col("ml_confidence")),
         }
-    ).drop("probabilities", "_scored", "text", "content")
+    ).drop("probabilities", "_scored", "_classifiable")
 
 
 def file_facts(files: DataFrame, settings: Settings) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from doctriage.operators import features, model
 from doctriage.operators.evaluation import class_report
 from doctriage.plans import training
+from doctriage.plans.local import Settings, content_facts
 from doctriage.sources.samples import read_samples
 
 TOPICS = {
@@ -46,6 +47,42 @@ def test_pruned_vocabulary_is_exact(spark, pruning_words):
     assert [tuple(r) for r in got] == expected
 
 
+def test_terms_are_counted_like_the_count_vectorizer(spark):
+    texts = ["b a b a c", "", None, "a", "c c c c", "b\u00e9 zz a_1 b\u00e9 zz a_1 b\u00e9", "Aa bb! Aa; bb cc", "cc Aa"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "words long, text string").repartition(2)
+    fitted = features.fit_vectorizer(docs, ["bb"], 9)
+    assert 0 < len(fitted.vocabulary) <= 9 and "b\u00e9 zz" in fitted.vocabulary
+    counted = features.with_counts(docs, fitted.stages)
+    got = {r.words: (r.term_ids, r.term_counts) for r in counted.collect()}
+    terms = fitted.stages.transform(docs.select(F.col("words").alias("id"), "text"))
+    own = {r.id: (r.counts.indices.tolist(), r.counts.values.tolist()) for r in terms.select("id", "counts").collect()}
+    assert got == own
+    assert fitted.idf == pytest.approx(features.fit_idf(counted, len(fitted.vocabulary)))
+
+
+def test_document_frequencies_come_with_the_counts(spark):
+    """One pass over the words gives both; documents of one batch and of several partitions."""
+    rows = [(["aa", "bb", "aa", "bb"],), (["bb", "aa"],), ([],), (["aa", "cc", "bb"],)] * 50
+    words = spark.createDataFrame(rows, "words array<string>").repartition(3)
+    got = {r.term: (r.n, r.df) for r in features._terms(words, 3).collect()}
+    assert got == {"aa": (200, 150), "bb": (200, 150), "bb aa": (100, 100)} or got == {
+        "aa": (200, 150), "bb": (200, 150), "aa bb": (100, 50)
+    }
+
+
+def test_scoring_carries_no_contents(spark):
+    """What no later step needs is not handed past the scoring."""
+    fitted = model.fit(samples(spark), stop_words=[])
+    files = spark.createDataFrame(
+        [("f.txt", ".txt", "text of a file", "content of a file")], "file_name string, file_ext string, text string, content string"
+    )
+    facts = content_facts(files, Settings(model=fitted))
+    assert set(facts.columns) == {"file_name", "file_ext", "readable", "prompt", "ml_label", "ml_confidence"}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("ArrowEvalPython")]
+    assert "content" not in above and "_scored" not in above and "struct" not in above
+
+
 def test_solution_has_no_gradient(spark):
     """At the optimum of mean loss + |w|^2 / (2 C n) all derivatives vanish."""
     train = samples(spark)
