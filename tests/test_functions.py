@@ -25,6 +25,15 @@ def test_strip(spark):
     assert column(spark, values, "string", text.py_strip(F.col("v"))) == [(v.strip(),) for v in values]
 
 
+def test_strip_reads_the_ends_only(spark):
+    """No pattern is tried along the text; every character str.strip() knows goes."""
+    blanks = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isspace())
+    values = [blanks + "a" + blanks + "b" + blanks[::-1], blanks, "x\n", None]
+    assert column(spark, values, "string", text.py_strip(F.col("v"))) == [(v and v.strip(),) for v in values]
+    plan = spark.range(1).select(text.py_strip(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan()
+    assert "regexp" not in plan.toString()
+
+
 def test_round_half_even(spark):
     rng = random.Random(3)
     values = [rng.randint(0, 200000) / 100 * rng.choice([1, 0.5, 0.25]) for _ in range(3000)]
