@@ -353,15 +353,18 @@ def cloud_job(spark, folder) -> DataFrame:
     def write(batches):
         store, place = open_store(base)
         for batch in batches:
-            for bucket, key, name, blocked, text in batch.drop(columns="seq").itertuples(index=False):
-                store.create_dir(f"{place}/store/{bucket}/{key}".rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{place}/store/{bucket}/{key}") as stream:
-                    stream.write((text or "").encode("utf-8"))
-                if blocked:
+            # Row by row out of the Arrow batch: the texts of a batch are there once.
+            for bucket, key, name, blocked, text in zip(*(batch[column] for column in shown)):
+                target = f"{place}/store/{bucket}/{key}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as stream:
+                    stream.write((text.as_py() or "").encode("utf-8"))
+                if blocked.as_py():
                     store.create_dir(f"{place}/organised/unknown/{name}", recursive=True)
-            yield batch[["seq"]]
+            yield batch.select(["seq"])
 
-    objects.mapInPandas(write, "seq long").write.format("noop").mode("overwrite").save()
+    shown = ("bucket", "key", "filename", "blocked", "text")
+    objects.mapInArrow(write, "seq long").write.format("noop").mode("overwrite").save()
     events = objects.select("seq", "bucket", "key", "filename")
     done = cloud.run_events(spark, events, f"{base}/store", base)
     left = list_folder(spark, f"{base}/store", below=True).select(

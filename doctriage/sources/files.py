@@ -16,7 +16,7 @@ from doctriage.sources.store import open_store
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary, md5 string"
 LISTING_CHUNK = 50_000
-FETCH_BYTES = 64 * 1024 * 1024
+FETCH_BYTES = 16 * 1024 * 1024
 # A row cannot hold a file of any size; above this only the fingerprint is taken.
 CONTENT_BYTES = 1024 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
