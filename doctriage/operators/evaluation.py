@@ -101,7 +101,7 @@ def largest_gradient(fitted: TextModel, samples: DataFrame, inverse_regularisati
     residuals = counted.select("*", *wrong)
     # The last term stands for the intercepts, which are not penalised.
     cells = F.concat(
-        F.arrays_zip(F.col("term_ids").alias("term"), F.transform("weights", lambda w: w / F.col("norm")).alias("x")),
+        F.arrays_zip(F.col("term_ids").alias("term"), features.scaled(F.col("weights"), F.col("norm")).alias("x")),
         F.array(F.struct(F.lit(len(fitted.idf)).alias("term"), F.lit(1.0).alias("x"))),
     )
     each = residuals.select(*[f"r{k}" for k in classes], F.inline(cells))

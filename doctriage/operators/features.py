@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,9 @@ from doctriage.session import stage
 PRUNING_WORDS = 20_000
 # Rows whose n-grams are tallied at once; a key of three words and a row fit in 63 bits.
 TALLIED_ROWS = 10_000
+PART_BYTES = 16 * 1024 * 1024
+# What is between words, for Arrow's kernels; ``TOKEN_PATTERN`` says the same to the JVM.
+NO_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def default_stop_words() -> list[str]:
@@ -62,47 +64,67 @@ def with_grams(docs: DataFrame, words: str = "words") -> DataFrame:
 
 
 def term_counts(
-    words: DataFrame, size: int = fixed.MAX_FEATURES, pruning_words: int = PRUNING_WORDS
+    docs: DataFrame, size: int = fixed.MAX_FEATURES, pruning_words: int = PRUNING_WORDS, stop_words: Sequence[str] = ()
 ) -> DataFrame:
-    """The ``size`` most frequent terms of ``words`` as ``term, n``, by count, then by term.
+    """The ``size`` most frequent terms of ``text`` without the stop words, or of ``words``, as
+    ``term, n``, by count, then by term.
 
     An n-gram is at most as frequent as each of its words.  So the count of the ``size``-th most
     frequent single word is a floor for every selected term, and n-grams holding a rarer word
     are dropped before the shuffle.  Without this, the shuffle would carry nearly every 2- and
     3-gram of the corpus.  When too many words reach the floor all n-grams are counted.
     """
-    return _terms(words, size, pruning_words).select("term", "n")
+    return _terms(docs, size, pruning_words, stop_words).select("term", "n")
 
 
-def _terms(words: DataFrame, size: int, pruning_words: int = PRUNING_WORDS) -> DataFrame:
+def _terms(
+    docs: DataFrame, size: int, pruning_words: int = PRUNING_WORDS, stop_words: Sequence[str] = ()
+) -> DataFrame:
     """The rows of ``term_counts`` with ``df``, the number of documents that hold the term; null where
     all n-grams were counted."""
-    words = words.select("words")
-    counts = stage(
-        _each("words", words).groupBy("term").agg(F.count("*").alias("n")), "word-counts"
-    )
+    has_words = "words" in docs.columns
+    docs = docs.select("words") if has_words else docs.select(valid_text("text").alias("text"))
+    counts = stage(_word_counts(docs, stop_words), "word-counts")
     top = counts.orderBy(F.desc("n"), "term").limit(size)
     floor = top.agg(F.count("*").alias("found"), F.min("n").alias("floor")).first()
     if floor["found"] == size and floor["floor"] > 1:
         frequent = counts.filter(F.col("n") >= floor["floor"]).limit(pruning_words + 1).collect()
         if len(frequent) <= pruning_words:
-            grams = _frequent_grams(words, sorted(row["term"] for row in frequent), floor["floor"])
+            grams = _frequent_grams(docs, sorted(row["term"] for row in frequent), floor["floor"], stop_words)
             return grams.orderBy(F.desc("n"), "term").limit(size)
+    words = docs if has_words else with_words(docs, stop_words).select("words")
     grams = _each("grams", with_grams(words)).groupBy("term").agg(F.count("*").alias("n"))
     return grams.withColumn("df", F.lit(None).cast("long")).orderBy(F.desc("n"), "term").limit(size)
 
 
-def _frequent_grams(words: DataFrame, kept: Sequence[str], floor: int) -> DataFrame:
+def valid_text(text: str) -> Column:
+    """A text column as the Arrow kernels need it: bytes that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(F.col(text))
+
+
+def _word_counts(docs: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """``term, n`` of all words, counted by Arrow batches before they are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                words, _, kept = _words(part, stop_words)
+                found = words.filter(pa.array(kept)).drop_null().value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["term", "n"])
+
+    return docs.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _frequent_grams(docs: DataFrame, kept: Sequence[str], floor: int, stop_words: Sequence[str]) -> DataFrame:
     """``term, n, df`` of the n-grams of ``kept`` words that occur ``floor`` times or more.
 
     Each Arrow batch is tallied by numbers for the words before its rows are shuffled."""
     base = len(kept) + 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(kept, pa.string())
         for batch in batches:
-            for first in range(0, batch.num_rows, TALLIED_ROWS):
-                ids, rows = _word_ids(batch.column(0).slice(first, TALLIED_ROWS), known)
+            for part in slices(batch.column(0)):
+                ids, rows = _word_ids(part, kept, stop_words)
                 cells = [key * TALLIED_ROWS + rows[at] for at, key in _gram_keys(ids, rows, base)]
                 cells, n = np.unique(np.concatenate(cells), return_counts=True)
                 keys, starts, df = np.unique(cells // TALLIED_ROWS, return_index=True, return_counts=True)
@@ -110,7 +132,7 @@ def _frequent_grams(words: DataFrame, kept: Sequence[str], floor: int) -> DataFr
                 columns = [pa.array(values, pa.int64()) for values in (keys, n, df)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n", "df"])
 
-    tallied = words.mapInArrow(tally, "key long, n long, df long")
+    tallied = docs.mapInArrow(tally, "key long, n long, df long")
     tallied = tallied.groupBy("key").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     names = F.from_json(F.lit(json.dumps(list(kept))), "array<string>")
     places = [base**power for power in reversed(range(fixed.MAX_NGRAM))]
@@ -118,12 +140,38 @@ def _frequent_grams(words: DataFrame, kept: Sequence[str], floor: int) -> DataFr
     return tallied.filter(F.col("n") >= floor).select(F.concat_ws(" ", *parts).alias("term"), "n", "df")
 
 
-def _word_ids(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per word of a batch its number among ``known`` (from 1; 0: none of them) and its row."""
-    found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1)
-    sizes = pc.fill_null(pc.list_value_length(lists), 0)
-    rows = np.repeat(np.arange(len(lists)), sizes.to_numpy(zero_copy_only=False))
-    return found.to_numpy(zero_copy_only=False).astype(np.int64) + 1, rows
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A column in consecutive parts of few rows and about ``PART_BYTES``."""
+    step = max(1, min(TALLIED_ROWS, PART_BYTES * len(column) // max(1, column.nbytes)))
+    for first in range(0, max(1, len(column)), step):
+        yield column.slice(first, step)
+
+
+def _words(column: pa.Array, stop_words: Sequence[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts, or of word arrays, one after another, their rows, and which of them count:
+    of texts those of two or more characters that are no stop words, as ``word_stages`` makes them."""
+    if isinstance(column, pa.ListArray):
+        words, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0)
+        kept = np.ones(len(words), bool)
+    else:
+        texts = pc.fill_null(column, "")
+        lower = pc.utf8_lower(texts)
+        # The letters whose small form is two characters or depends on what is around them.
+        special = pc.match_substring_regex(texts, "[\u0130\u03a3]")
+        if pc.any(special).as_py():
+            lower = pc.replace_with_mask(lower, special, pa.array([t.lower() for t in texts.filter(special).to_pylist()], lower.type))
+        split = pc.split_pattern(pc.replace_substring_regex(lower, NO_WORD, " "), " ")
+        words, sizes = split.flatten(), pc.list_value_length(split)
+        stopped = pc.is_in(words, value_set=pa.array(stop_words, words.type))
+        kept = pc.and_not(pc.greater(pc.utf8_length(words), 1), stopped).to_numpy(zero_copy_only=False)
+    return words, np.repeat(np.arange(len(column)), sizes.to_numpy(zero_copy_only=False)), kept
+
+
+def _word_ids(column: pa.Array, known: Sequence[str], stop_words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per word of texts or word arrays its number among ``known`` (from 1; 0: none of them) and its row."""
+    words, rows, kept = _words(column, stop_words)
+    found = pc.fill_null(pc.index_in(words, value_set=pa.array(known, words.type)), -1)
+    return found.to_numpy(zero_copy_only=False)[kept].astype(np.int64) + 1, rows[kept]
 
 
 def _gram_keys(ids: np.ndarray, rows: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,22 +195,20 @@ def _each(array: str, rows: DataFrame, name: str = "term") -> DataFrame:
     return rows.select(F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
+def stop_words_of(stages: PipelineModel) -> list[str]:
+    return next((list(s.getStopWords()) for s in stages.stages if isinstance(s, StopWordsRemover)), [])
+
+
 def with_counts(docs: DataFrame, stages: PipelineModel, source: str = "text") -> DataFrame:
     """Replace ``source`` by ``term_ids array<int>`` and ``term_counts array<double>``.
 
-    ``stages`` start at ``text`` or at ``words``.  Words are made row by row in the JVM; terms are
-    counted by Arrow batches of word arrays.  Neither needs a shuffle.
+    ``stages`` are those of a ``Vectorizer``; their terms are counted by Arrow batches of texts, as the
+    stages would do it row by row.  This needs no shuffle.
     """
-    columns = [name for name in docs.columns if name != source]
-    # Other names, so that none meets a column of the stages; what nobody reads is not carried along.
-    kept = [F.col(name).alias(f"_doc{i}") for i, name in enumerate(columns)]
-    start = "words" if source == "words" else "text"
-    work = docs.select(*kept, F.col(source).alias(start))
-    tokenizing = PipelineModel(list(takewhile(lambda s: not isinstance(s, NGram), stages.stages)))
-    count = F.arrow_udf(_term_counter(stages.stages[-1].vocabulary), _COUNTS)
-    counted = tokenizing.transform(work).withColumn("_counts", count(F.col("words")))
+    count = F.arrow_udf(_term_counter(stages.stages[-1].vocabulary, stop_words_of(stages)), _COUNTS)
+    counted = docs.withColumn("_counts", count(valid_text(source)))
     return counted.select(
-        *[F.col(f"_doc{i}").alias(name) for i, name in enumerate(columns)],
+        *[name for name in docs.columns if name != source],
         F.col("_counts.indices").alias("term_ids"),
         F.col("_counts.values").alias("term_counts"),
     )
@@ -171,8 +217,9 @@ def with_counts(docs: DataFrame, stages: PipelineModel, source: str = "text") ->
 _COUNTS = "indices array<int>, values array<double>"
 
 
-def _term_counter(vocabulary: Sequence[str]):
-    """Term counts of word arrays, as the count vectorizer of that vocabulary gives them."""
+def term_finder(vocabulary: Sequence[str], stop_words: Sequence[str]):
+    """A function of a few texts that gives the cells of their term table as ``rows, term ids, counts``,
+    by row and term, as the count vectorizer of that vocabulary fills it."""
     terms = [term.split(" ") for term in vocabulary]
     words = sorted({word for term in terms for word in term})
     number, base, size = {word: i for i, word in enumerate(words, 1)}, len(words) + 1, len(terms)
@@ -181,16 +228,30 @@ def _term_counter(vocabulary: Sequence[str]):
     term_of = np.argsort(own)
     keys = own[term_of]
 
-    def count(lists: pa.Array) -> pa.Array:
-        ids, rows = _word_ids(lists, pa.array(words, pa.string()))
+    def find(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, rows = _word_ids(texts, words, stop_words)
         cells = []
         for at, key in _gram_keys(ids, rows, base):
             spot = np.minimum(np.searchsorted(keys, key), size - 1)
             hit = keys[spot] == key
             cells.append(rows[at[hit]] * size + term_of[spot[hit]])
         found, n = np.unique(np.concatenate(cells), return_counts=True)
-        starts = pa.array(np.searchsorted(found, np.arange(len(lists) + 1) * size), pa.int32())
-        indices = pa.ListArray.from_arrays(starts, pa.array(found % size, pa.int32()))
+        return found // size, found % size, n
+
+    return find
+
+
+def _term_counter(vocabulary: Sequence[str], stop_words: Sequence[str]):
+    """The cells of texts as arrays of each row."""
+    find = term_finder(vocabulary, stop_words)
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([count_part(part) for part in slices(texts)])
+
+    def count_part(texts: pa.Array) -> pa.Array:
+        rows, terms, n = find(texts)
+        starts = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)), pa.int32())
+        indices = pa.ListArray.from_arrays(starts, pa.array(terms, pa.int32()))
         values = pa.ListArray.from_arrays(starts, pa.array(n, pa.float64()))
         return pa.StructArray.from_arrays([indices, values], ["indices", "values"])
 
@@ -214,6 +275,12 @@ def unit_length(weights: Column) -> Column:
     return F.when(squares > 0, F.sqrt(squares)).otherwise(F.lit(1.0))
 
 
+def scaled(weights: Column, norm: Column) -> Column:
+    """Weights over their norm.  As an argument the norm is computed once for a row; in the body of a
+    lambda, where the optimizer may put its whole expression, once for each weight."""
+    return F.zip_with(weights, F.array_repeat(norm, F.size(weights)), lambda w, n: w / n)
+
+
 def smoothed_idf(documents: Column, frequency: Column) -> Column:
     return F.log((documents + 1) / (frequency + 1)) + 1.0
 
@@ -233,38 +300,23 @@ class Vectorizer:
     idf: list[float]
 
 
-def staged_words(docs: DataFrame, stop_words: Sequence[str], text: str = "text") -> DataFrame:
-    """``docs`` with ``words`` in place of the text, written once.
-
-    Fitting passes over the words several times; tokenizing is by far its most expensive step.
-    """
-    return stage(with_words(docs, stop_words, text).drop(text), "words")
-
-
 def fit_vectorizer(
     docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
 ) -> Vectorizer:
-    words = staged_words(docs.select(F.col(text).alias("text")), stop_words)
-    return fit_on_words(words, stop_words, size)
-
-
-def fit_on_words(
-    words: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES
-) -> Vectorizer:
-    documents = words.count()
-    found = _terms(words, size).withColumn("idf", smoothed_idf(F.lit(documents), F.col("df"))).collect()
+    """Vocabulary and IDF of ``docs``, which are read several times: splitting texts into words again costs
+    less than writing the words."""
+    docs = docs.select(F.col(text).alias("text"))
+    documents = docs.count()
+    terms = _terms(docs, size, stop_words=stop_words)
+    found = terms.withColumn("idf", smoothed_idf(F.lit(documents), F.col("df"))).collect()
     vocabulary = [row["term"] for row in found]
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="counts")
     from_words = PipelineModel([*gram_stages(), counter])
+    stages = PipelineModel([*word_stages(stop_words), *from_words.stages])
     idf = [row["idf"] for row in found]
     if None in idf:
-        idf = fit_idf(with_counts(words.select("words"), from_words, "words"), len(vocabulary))
-    return Vectorizer(
-        stages=PipelineModel([*word_stages(stop_words), *from_words.stages]),
-        word_stages=from_words,
-        vocabulary=vocabulary,
-        idf=idf,
-    )
+        idf = fit_idf(with_counts(docs, stages), len(vocabulary))
+    return Vectorizer(stages=stages, word_stages=from_words, vocabulary=vocabulary, idf=idf)
 
 
 def long_weights(vectorizer: Vectorizer, counted: DataFrame) -> DataFrame:
@@ -288,10 +340,8 @@ def long_weights(vectorizer: Vectorizer, counted: DataFrame) -> DataFrame:
 def tfidf(
     docs: DataFrame, stop_words: Sequence[str], size: int = fixed.MAX_FEATURES, text: str = "text"
 ) -> DataFrame:
-    """Fit on ``docs`` and return their own TF-IDF table; their texts are tokenized once."""
-    words = staged_words(docs, stop_words, text)
-    vectorizer = fit_on_words(words, stop_words, size)
-    return long_weights(vectorizer, with_counts(words, vectorizer.word_stages, "words"))
+    """Fit on ``docs`` and return their own TF-IDF table."""
+    return tfidf_of(fit_vectorizer(docs, stop_words, size, text), docs, text)
 
 
 def tfidf_of(vectorizer: Vectorizer, docs: DataFrame, text: str = "text") -> DataFrame:

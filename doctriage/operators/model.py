@@ -7,16 +7,20 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from doctriage import fixed
 from doctriage.functions.numbers import round_half_even
 from doctriage.operators import features
-from doctriage.session import path_bytes, path_exists, stages_folder
+from doctriage.session import path_bytes, path_exists, stage, stages_folder
 
 VECTOR_BYTES_PER_TASK = 16 * 1024 * 1024
 
@@ -39,30 +43,35 @@ class TextModel:
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add ``ml_label``, ``ml_confidence`` (0-100, unrounded) and ``probabilities``.
 
-        Row by row in the JVM: documents are neither shuffled nor sent to Python.
+        Row by row, without a shuffle: Arrow batches of texts give the margins, the JVM the rest.
         """
-        columns = docs.columns
-        scored = docs.withColumn("_model_text", F.col(text))
-        counted = features.with_counts(scored, self.vectorizer, "_model_text")
-        weighted = counted.withColumn(
-            "_weights",
-            features.tfidf_weights(F.col("term_ids"), F.col("term_counts"), self.idf),
-        ).withColumn("_norm", features.unit_length(F.col("_weights")))
-        margins = F.array(
-            *[
-                F.lit(intercept) + _dot(F.col("term_ids"), F.col("_weights"), row) / F.col("_norm")
-                for row, intercept in zip(self.coefficients, self.intercepts)
-            ]
-        )
-        return with_prediction(weighted.withColumn("_margins", margins), "_margins", self.labels).select(
-            *columns, "ml_label", "ml_confidence", "probabilities"
+        margins = F.arrow_udf(self._margins(), "array<double>")
+        scored = docs.withColumn("_margins", margins(features.valid_text(text)))
+        return with_prediction(scored, "_margins", self.labels).select(
+            *docs.columns, "ml_label", "ml_confidence", "probabilities"
         )
 
+    def _margins(self):
+        """A function that gives texts the margins of their classes; in the JVM these would be interpreted
+        lambdas, and the optimizer puts some into others, so that weights are made over and over."""
+        find = features.term_finder(self.vectorizer.stages[-1].vocabulary, features.stop_words_of(self.vectorizer))
+        idf, tables, intercepts = np.array(self.idf), np.array(self.coefficients), list(self.intercepts)
+
+        def of_part(texts: pa.Array) -> np.ndarray:
+            rows, terms, counts = find(texts)
+            weights = (np.log(counts) + 1.0) * idf[terms]
+            # Sums in the order of the terms, whatever else is in the batch.
+            total = lambda values: np.bincount(rows, values, len(texts))
+            norm = np.sqrt(total(weights * weights))
+            norm[norm == 0] = 1.0
+            return np.column_stack([b + total(weights * row[terms]) / norm for row, b in zip(tables, intercepts)])
+
+        def margins(texts: pa.Array) -> pa.Array:
+            values = np.concatenate([of_part(part) for part in features.slices(texts)])
+            starts = np.arange(len(texts) + 1) * len(intercepts)
+            return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.ravel()))
 
-def _dot(term_ids: Column, weights: Column, row: Sequence[float]) -> Column:
-    table = features.number_array(row)
-    products = F.zip_with(term_ids, weights, lambda i, w: w * F.get(table, i))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+        return margins
 
 
 def with_prediction(scored: DataFrame, margins: str, labels: Sequence[str]) -> DataFrame:
@@ -114,10 +123,10 @@ def fit(
     """
     spark = samples.sparkSession
     words = list(features.default_stop_words() if stop_words is None else stop_words)
-    tokenized = features.staged_words(samples.select("label", "text"), words)
-    vectorizer = features.fit_on_words(tokenized, words, size)
-    labels = sorted(row["label"] for row in tokenized.select("label").distinct().collect())
-    counted = features.with_counts(tokenized, vectorizer.word_stages, "words")
+    samples = stage(samples.select("label", "text"), "samples")
+    vectorizer = features.fit_vectorizer(samples, words, size)
+    labels = sorted(row["label"] for row in samples.select("label").distinct().collect())
+    counted = features.with_counts(samples, vectorizer.stages)
     train = _sparse_vectors(spark, counted, vectorizer.idf, labels)
     rows = train.count()
     solver = LogisticRegression(
@@ -146,19 +155,23 @@ def fit(
 def _sparse_vectors(
     spark: SparkSession, counted: DataFrame, idf: Sequence[float], labels: Sequence[str]
 ) -> DataFrame:
-    """Unit-length TF-IDF rows as ``label, features`` through Spark's libsvm source."""
+    """Unit-length TF-IDF rows as ``label, features``, written once as the columns a vector consists of."""
     weighted = counted.withColumn(
         "_weights", features.tfidf_weights(F.col("term_ids"), F.col("term_counts"), idf)
     ).withColumn("_norm", features.unit_length(F.col("_weights")))
-    cells = F.zip_with(
-        "term_ids", "_weights", lambda i, w: F.concat_ws(":", (i + 1).cast("string"), (w / F.col("_norm")).cast("string"))
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),  # sparse
+        F.lit(len(idf)).alias("size"),
+        F.col("term_ids").alias("indices"),
+        features.scaled(F.col("_weights"), F.col("_norm")).alias("values"),
     )
     position = F.array_position(F.array(*[F.lit(name) for name in labels]), F.col("label")) - 1
     path = f"{stages_folder(spark)}/vectors-{uuid.uuid4().hex}"
-    weighted.select(F.concat_ws(" ", position.cast("string"), F.array_join(cells, " "))).write.text(path)
+    weighted.select(position.cast("double").alias("label"), vector.alias("features")).write.parquet(path)
     # The solver runs one job per step: tasks below this share would cost more than they compute.
     tasks = math.ceil(path_bytes(spark, path) / VECTOR_BYTES_PER_TASK)
-    return spark.read.format("libsvm").option("numFeatures", str(len(idf))).load(path).coalesce(max(1, tasks))
+    schema = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    return spark.read.schema(schema).parquet(path).coalesce(max(1, tasks))
 
 
 def save(model: TextModel, path: str) -> None:

@@ -71,8 +71,7 @@ def ngram_lists(spark, folder) -> DataFrame:
 
 @query(f"WITH {VOCABULARY_SQL} SELECT term, n FROM vocabulary")
 def vocabulary(spark, folder) -> DataFrame:
-    words = features.staged_words(documents(spark, folder).select("text"), STOP_WORDS)
-    return features.term_counts(words, MAX_TERMS)
+    return features.term_counts(documents(spark, folder).select("text"), MAX_TERMS, stop_words=STOP_WORDS)
 
 
 @query(f"WITH {WEIGHTS_SQL} SELECT doc_id, term, tf, round(idf, 6) AS idf, round(weight, 6) AS weight FROM weights")

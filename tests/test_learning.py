@@ -1,6 +1,7 @@
 """Vocabulary pruning, the fitted classifier, persistence and guards."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -145,3 +146,44 @@ def test_empty_text_scores_intercepts(spark):
     fitted = model.fit(samples(spark), stop_words=[], tolerance=1e-10)
     row = fitted.score(spark.createDataFrame([("",), ("!!",)], "text string")).collect()
     assert row[0].probabilities == row[1].probabilities
+
+
+def test_words_of_arrow_batches_are_those_of_the_tokenizer(spark):
+    """Letters with unusual small forms, digits of other scripts, bytes that are no UTF-8, stop words."""
+    texts = ["İstanbul İki", "ΟΔΟΣ ΣΑΣ Σ", "a_1 x² ١٢ ½¾", "naïve café—the 中文 \U0001d400\U0001d401", "", None, "THE the _ __ a b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    docs = docs.unionByName(spark.range(1).select(F.expr("cast(unhex('6161FF6262') as string)").alias("text")))
+    rows = features.with_words(docs, ["the"]).select("words").collect()
+    expected = Counter(word for row in rows for word in row.words)
+    got = features._word_counts(docs.select(features.valid_text("text").alias("text")), ["the"]).collect()
+    assert {r.term: r.n for r in got} == expected and expected["aa"] == 1
+
+
+def test_a_long_document_costs_its_norm_once(spark):
+    """The norm of a row is no part of a lambda, which would compute it for each weight."""
+    weights = F.expr("transform(sequence(3, 4 + cast(id as int)), x -> cast(x as double))")
+    normed = spark.range(1).select(weights.alias("w")).withColumn("norm", features.unit_length(F.col("w")))
+    scaled = normed.select(features.scaled(F.col("w"), F.col("norm")).alias("x"))
+    assert scaled.first().x == [0.6, 0.8]
+    plan = scaled._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"lambda \S+ / lambda \S+", plan) and "/ CASE" not in plan
+
+
+def test_margins_follow_weights_and_coefficients(spark):
+    """The scores are those of the TF-IDF table and the coefficients, whatever shares a batch."""
+    fitted = model.fit(samples(spark), stop_words=["the"])
+    docs = samples(spark, 5, seed=3).withColumn("doc_id", F.monotonically_increasing_id()).drop("label")
+    vocabulary = fitted.vectorizer.stages[-1].vocabulary
+    table = features.tfidf_of(features.Vectorizer(fitted.vectorizer, None, vocabulary, fitted.idf), docs).collect()
+    places, margins = {term: i for i, term in enumerate(vocabulary)}, {}
+    for r in table:
+        own = margins.setdefault(r.doc_id, list(fitted.intercepts))
+        for k, row in enumerate(fitted.coefficients):
+            own[k] += r.weight * row[places[r.term]]
+    whole = {r.doc_id: r for r in fitted.score(docs).collect()}
+    for doc, own in margins.items():
+        shares = np.exp(np.array(own) - max(own))
+        assert whole[doc].probabilities == pytest.approx((shares / shares.sum()).tolist())
+        assert whole[doc].ml_label == fitted.labels[int(np.argmax(own))]
+    alone = fitted.score(docs.repartition(7)).collect()
+    assert {r.doc_id: r.probabilities for r in alone} == {d: r.probabilities for d, r in whole.items()}
