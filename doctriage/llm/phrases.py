@@ -89,16 +89,11 @@ def _least_within(keys: np.ndarray, reach: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[reach - 1 : reach - 1 + count])
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, parsing: Parsing) -> tuple[np.ndarray, ...]:
-    """The string starts of joined texts, as runs under one trigger: ``first, count, inner``.
-
-    ``ends`` are the ends of the texts; strings stay inside their text.  Where no trigger is within
-    reach, the least hash of all places stands in for it.  Equal strings stand under the same place
-    of theirs, so the ``inner`` hashes of their runs are equal.
-    """
+def _triggered(data: np.ndarray, ends: np.ndarray, parsing: Parsing) -> tuple:
+    """The runs of ``stretches`` as ``first, count``, the place of each one's trigger, and the hashes."""
     nothing = np.empty(0, np.int64)
     if len(data) < parsing.length:
-        return nothing, nothing, nothing
+        return nothing, nothing, nothing, None
     rolling = Rolling(data)
     keys = rolling.every(parsing.trigger)
     places = np.arange(len(keys), dtype=WORD)
@@ -110,11 +105,28 @@ def stretches(data: np.ndarray, ends: np.ndarray, parsing: Parsing) -> tuple[np.
     end_of = np.repeat(ends, lengths)[: len(under)]
     starts = np.flatnonzero(np.arange(len(under)) + parsing.length <= end_of)
     if not len(starts):
-        return nothing, nothing, nothing
+        return nothing, nothing, nothing, None
     under, text = under[starts], end_of[starts]
     new = np.flatnonzero(np.r_[True, (under[1:] != under[:-1]) | (text[1:] != text[:-1])])
-    count = np.diff(np.r_[new, len(starts)])
-    return starts[new], count, rolling.at(under[new], parsing.inner)
+    return starts[new], np.diff(np.r_[new, len(starts)]), under[new], rolling
+
+
+def stretches(data: np.ndarray, ends: np.ndarray, parsing: Parsing) -> tuple[np.ndarray, ...]:
+    """The string starts of joined texts, as runs under one trigger: ``first, count, inner``.
+
+    ``ends`` are the ends of the texts; strings stay inside their text.  Where no trigger is within
+    reach, the least hash of all places stands in for it.  Equal strings stand under the same place
+    of theirs, so the ``inner`` hashes of their runs are equal.
+    """
+    first, count, under, rolling = _triggered(data, ends, parsing)
+    return first, count, rolling.at(under, parsing.inner) if len(first) else under
+
+
+def leads(texts: list[bytes], parsing: Parsing) -> list[int]:
+    """Where the trigger stands in each of ``texts`` that hold one run of strings and nothing else."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    first, _, under, _ = _triggered(np.frombuffer(b"".join(texts), np.uint8), ends, parsing)
+    return (under - first).tolist()
 
 
 def _refined(ranks: np.ndarray, following: np.ndarray) -> np.ndarray:

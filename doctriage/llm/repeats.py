@@ -12,19 +12,21 @@
    its inner hash, where the dictionary's and the parse's suffix arrays give the corpus order; equal
    strings are neighbours in it.
 5. Inner hashes with very many distinct contexts (the edge of a passage in a third of all documents)
-   are no group for one task: their strings are hashed one by one and counted by a shuffle.
+   are no group for one task.  Steps 2 and 3 are done again with runs of fewer strings, down to single
+   ones: what all strings of such a run contain and what they contain together are hashed with 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctriage.llm.phrases import PIECE_BYTES, Parsing, repeated_starts, stretches
+from doctriage.llm.phrases import PIECE_BYTES, Parsing, leads, repeated_starts, stretches
 from doctriage.session import discard, stage
 
 GROUP_CONTEXTS = 2000
@@ -159,19 +161,38 @@ def _ordered(contexts: DataFrame, parsing: Parsing) -> DataFrame:
     return dealt.mapInArrow(run, SPAN)
 
 
-def _counted(contexts: DataFrame, parsing: Parsing) -> DataFrame:
-    """Spans of repeated strings, by counting the strings of contexts that are too many for a task."""
+SPLIT = "row long, at long, starts int, lead int, copies long, context binary, block binary, whole binary"
+# Distances to the trigger that a piece of a crowded context spans, round by round.
+BLOCKS = (8, 1)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _blocks(pieces: DataFrame, parsing: Parsing, width: int) -> DataFrame:
+    """Pieces cut where the distance of a string to its trigger crosses a multiple of ``width``:
+    ``block`` is the hash of the bytes that all strings at the distances of a block contain, ``whole`` that
+    of all bytes of a piece.  Whole contexts come without ``lead``, where the trigger stands."""
+    given = ["row", "at", "starts", "copies", "context", *(["lead"] if "lead" in pieces.columns else [])]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("row", "at", "starts", "copies", "context")]
-            rows = []
-            for name, at, count, copies, text in zip(*columns):
-                for i in range(count):
-                    digest = xxhash.xxh3_128_digest(text[i : i + parsing.length])
-                    rows.append((name, at + i, copies, digest))
+            if not batch.num_rows:
+                continue
+            rows, columns = [], [column.to_pylist() for column in batch.columns]
+            if len(columns) < 6:
+                columns.append(leads(columns[4], parsing))
+            for row, at, starts, copies, text, lead in zip(*columns):
+                begin = 0
+                while begin < starts:
+                    block = (lead - begin) // width
+                    low, high = block * width, min((block + 1) * width, parsing.reach) - 1
+                    stop = min(starts, lead - low + 1)
+                    whole = text[begin : stop + parsing.length - 1]
+                    common = text[lead - low : lead - high + parsing.length]
+                    own = (row, at + begin, stop - begin, lead - begin, copies, whole)
+                    rows.append((*own, digest(common, seed=block), digest(whole, seed=lead - begin)))
+                    begin = stop
                 if len(rows) >= OUT_ROWS:
                     yield frame(rows)
                     rows = []
@@ -179,21 +200,41 @@ def _counted(contexts: DataFrame, parsing: Parsing) -> DataFrame:
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pa.RecordBatch:
-        both = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_pydict(
-            {
-                "row": pa.array([r[0] for r in rows], pa.int64()),
-                "start": pa.array([r[1] for r in rows], pa.int64()),
-                "copies": pa.array([r[2] for r in rows], pa.int64()),
-                "high": pa.array(both[:, 0]),
-                "low": pa.array(both[:, 1]),
-            }
-        )
-
-    found = contexts.filter("many").mapInArrow(strings, "row long, start long, copies long, high long, low long")
-    again = found.groupBy("high", "low").agg(F.sum("copies").alias("n")).filter("n > 1")
-    single = found.filter("copies = 1").join(again, ["high", "low"], "left_semi")
-    return single.select("row", "start", (F.col("start") + parsing.length).alias("stop"))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SPLIT_SCHEMA.types)], SPLIT_SCHEMA.names)
+
+    return pieces.select(*given).mapInArrow(cut, SPLIT)
+
+
+SPLIT_SCHEMA = pa.schema(
+    [("row", pa.int64()), ("at", pa.int64()), ("starts", pa.int32()), ("lead", pa.int32()), ("copies", pa.int64()),
+     ("context", pa.binary()), ("block", pa.binary()), ("whole", pa.binary())]
+)
+
+
+def _halved(contexts: DataFrame, parsing: Parsing) -> DataFrame | None:
+    """Spans of repeated strings of contexts that are too many for a task.
+
+    The step from texts to runs is done again with fewer strings to a run, round by round: a piece whose
+    block nobody shares is done, pieces that are whole copies of others are repeated, and one piece for each
+    distinct whole goes on where a block still holds a whole of its own.  So a context costs the few
+    pieces in which it departs from others, not all of its strings."""
+    pieces, spans = contexts.filter("many"), []
+    if pieces.isEmpty():
+        return None
+    for width in BLOCKS:
+        cut = stage(_blocks(pieces, parsing, width), "pieces")
+        item = F.struct("row", "at", "starts", "lead")
+        wholes = cut.groupBy("block", "whole").agg(F.sum("copies").alias("copies"), F.min(item).alias("first"))
+        wholes = stage(wholes, "wholes")
+        shared = wholes.filter("copies > 1").select("block", "whole")
+        again = cut.filter("copies = 1").join(shared, ["block", "whole"], "left_semi")
+        stop = F.col("at") + F.col("starts") + (parsing.length - 1)
+        spans.append(again.select("row", F.col("at").alias("start"), stop.alias("stop")))
+        open_blocks = wholes.groupBy("block").agg(F.min("copies").alias("least"), F.count("*").alias("size"))
+        open_blocks = open_blocks.filter("least = 1 AND size > 1").select("block")
+        left = wholes.join(open_blocks, "block", "left_semi").select("copies", "first.*")
+        pieces = left.join(cut.select("row", "at", "starts", "lead", "context"), ["row", "at", "starts", "lead"])
+    return reduce(DataFrame.unionByName, spans)
 
 
 def repeated_spans(
@@ -216,7 +257,9 @@ def repeated_spans(
     groups = groups.filter("least = 1").select("inner", (F.col("size") > group).alias("many"))
     wanted = contexts.join(groups, "inner").select("inner", "copies", "many", "first.*")
     bytes_of = stage(_contexts(rows, wanted, parsing), "context-bytes")
-    return copied.unionByName(_ordered(bytes_of, parsing)).unionByName(_counted(bytes_of, parsing))
+    spans = copied.unionByName(_ordered(bytes_of, parsing))
+    crowded = _halved(bytes_of, parsing)
+    return spans if crowded is None else spans.unionByName(crowded)
 
 
 REMOVED = "doc_id {id}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary"
@@ -241,7 +284,7 @@ def remove_repeats(
     table gives an empty result; further columns are ignored.
 
     Strings are compared byte by byte in corpus order; copies of whole contexts are told by two
-    64-bit hashes of different bytes, and strings of crowded groups by one of 128 bits.
+    64-bit hashes of different bytes, and pieces of crowded groups by one of 128 bits.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))

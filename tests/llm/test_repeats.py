@@ -3,6 +3,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from doctriage.llm import repeats
 from doctriage.llm.phrases import Parsing, dictionary_order, repeated_starts, stretches
 from doctriage.llm.repeats import remove_repeats
 
@@ -106,3 +109,24 @@ def test_null_empty_and_repeated_rows(spark):
     rows = remove_repeats(table, SMALL).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in rows), key=str)
     assert got == sorted([(None, 26, 26, b""), (7, 26, 26, b""), (7, 26, 26, b""), (8, 0, 0, b""), (9, 0, 0, b"")], key=str)
+
+
+def test_crowded_contexts_make_few_rows(spark, monkeypatch):
+    """A context of a crowded group costs the pieces in which it departs from others, not each string."""
+    numbers = random.Random(4)
+    make = lambda n: bytes(numbers.choice(b"abcdefghij ") for _ in range(n))
+    passage, made, staged = make(500), {}, repeats.stage
+
+    def counting(df, name):
+        out = staged(df, name)
+        if name in ("pieces", "context-bytes"):
+            rows = out.filter("many") if "many" in out.columns else out
+            made.setdefault(name, []).append(rows.agg(F.count("*"), F.sum("starts")).first())
+        return out
+
+    monkeypatch.setattr(repeats, "stage", counting)
+    texts = [make(150) + passage + make(150) for _ in range(40)]
+    assert found(spark, texts, Parsing(), group=5) == brute(texts, 200)
+    (contexts, strings), pieces = made["context-bytes"][0], [rows for rows, _ in made["pieces"]]
+    assert contexts >= 40 and strings > 20 * contexts
+    assert len(pieces) == 2 and max(pieces) < strings / 2
