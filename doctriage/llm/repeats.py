@@ -211,7 +211,7 @@ SPLIT_SCHEMA = pa.schema(
 )
 
 
-def _halved(contexts: DataFrame, parsing: Parsing) -> DataFrame | None:
+def _crowded(contexts: DataFrame, parsing: Parsing) -> DataFrame | None:
     """Spans of repeated strings of contexts that are too many for a task.
 
     The step from texts to runs is done again with fewer strings to a run, round by round: a piece whose
@@ -258,7 +258,7 @@ def repeated_spans(
     wanted = contexts.join(groups, "inner").select("inner", "copies", "many", "first.*")
     bytes_of = stage(_contexts(rows, wanted, parsing), "context-bytes")
     spans = copied.unionByName(_ordered(bytes_of, parsing))
-    crowded = _halved(bytes_of, parsing)
+    crowded = _crowded(bytes_of, parsing)
     return spans if crowded is None else spans.unionByName(crowded)
 
 
