@@ -19,7 +19,7 @@ from doctriage.operators.routing import outcome, registerable, verify_arrival, w
 from doctriage.operators.skew import join_facts
 from doctriage.operators.validation import check_file, is_confident, is_non_document
 from doctriage.session import stage
-from doctriage.sources.files import arrival_order, fetch, list_folder, read_folder, with_names
+from doctriage.sources.files import arrival_order, dealt, fetch, list_folder, read_folder, with_names
 
 RESULT_SCHEMA = StructType()
 for _name in (
@@ -239,7 +239,7 @@ def facts_per_content(files: DataFrame, settings: Settings) -> DataFrame:
         .agg(F.min(F.struct("path", "modificationTime", "length")).alias("first"), F.count("*").alias("copies")),
         "contents",
     )
-    texts = extract_text(with_names(fetch(contents.select("first.*"))), settings.parsers)
+    texts = extract_text(with_names(fetch(dealt(contents.select("first.*")))), settings.parsers)
     learned = content_facts(texts.select("path", "file_ext", "text"), settings).drop("file_ext")
     by_content = contents.select("_content", "copies", F.col("first.path").alias("path")).join(
         stage(learned, "content-facts"), "path"

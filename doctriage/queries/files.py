@@ -19,7 +19,7 @@ from doctriage.queries.registry import (
     FILES_SQL, SUPPORTED, files_view, files_with_text, pick, query, sql_ext, sql_list, sql_round, sql_strip, table,
 )
 from doctriage.session import shared_folder, stage
-from doctriage.sources.files import fetch, list_folder, read_folder, with_names
+from doctriage.sources.files import list_folder, read_fingerprints, read_folder, with_names
 from doctriage.sources.store import open_store
 
 # The given texts are far below 50 MiB, so the query lowers the limit to reach the warning.
@@ -374,14 +374,16 @@ def exported(spark, folder, place: str | None = None, chosen=None) -> str:
 
     def write(batches):
         store, base = open_store(place)
-        for folder in (base, f"{base}-parts"):
+        # A folder of its own for each task: in one the tasks would wait for each other at every name.
+        own = f"{base}-parts/{uuid.uuid4().hex}"
+        for folder in (base, own):
             store.create_dir(folder, recursive=True)
         for batch in batches:
             for file_name, content in zip(batch["name"], batch["content"]):
                 # A file appears with all its bytes, as a watcher may be looking.
-                with store.open_output_stream(f"{base}-parts/{file_name}") as stream:
+                with store.open_output_stream(f"{own}/{file_name}") as stream:
                     stream.write((content or "").encode("utf-8"))
-                store.move(f"{base}-parts/{file_name}", f"{base}/{file_name}")
+                store.move(f"{own}/{file_name}", f"{base}/{file_name}")
             yield batch[["name"]]
 
     files.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
@@ -423,7 +425,8 @@ def folder_run(spark, folder) -> DataFrame:
     done = runs.run_folder(spark, uploads, root, local.Settings())
     again = runs.run_folder(spark, uploads, root, local.Settings()).count()
     listed = list_folder(spark, f"{root}/documents", below=True)
-    sunk = fetch(listed).select(base_name(F.col("path")).alias("final_name"), F.col("md5").alias("sink_md5"))
+    sunk = read_fingerprints(listed)
+    sunk = sunk.select(base_name(F.col("path")).alias("final_name"), F.col("md5").alias("sink_md5"))
     return done.join(sunk, "final_name", "left").select(
         "file_name", "outcome", "status", "destination", "final_name", "sink_md5",
         F.lit(again).cast("long").alias("handled_again"),
@@ -446,7 +449,7 @@ def watched_folder(spark, folder) -> DataFrame:
             time.sleep(0.5)
     finally:
         watcher.stop()
-    sunk = fetch(list_folder(spark, f"{root}/documents", below=True))
+    sunk = read_fingerprints(list_folder(spark, f"{root}/documents", below=True))
     sunk = sunk.select(base_name(F.col("path")).alias("final_name"), F.col("md5").alias("sink_md5"))
     return runs.results(spark, root).join(sunk, "final_name", "left").select(
         "file_name", "outcome", "status", "destination", "final_name", "sink_md5"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from doctriage.operators.routing import destination_key
 from doctriage.session import stage
 from doctriage.sinks.logs import latest_per_key
-from doctriage.sources.files import list_folder, list_folders, qualified
+from doctriage.sources.files import dealt, list_folder, list_folders, qualified
 from doctriage.sources.store import open_store
 
 MANIFEST_SCHEMA = "path string, destination string, final_name string, copied boolean"
@@ -22,8 +24,10 @@ def copy_files(plan: DataFrame, root: str, parts: str | None = None) -> DataFram
     store, so no content passes through a shuffle.  Nothing at the target is replaced: a file with
     the same bytes counts as copied, which makes a repeated task harmless, and any other file leaves
     the row uncopied.  Bytes are written to the folder ``parts`` (on the store of ``root``) and then
-    moved, so a file that is there is whole; what a killed task leaves goes with that folder.  What
-    cannot be read or written fails its row, not the run.
+    moved, so a file that is there is whole; what a killed task leaves goes with that folder.  Each
+    task has a folder of its own in it: in one folder the tasks would wait for each other at every
+    name.  What cannot be read or written fails its row, not the run.  The plan is ``dealt`` out by the
+    files behind it, so pass a stored one.
     """
     parts = parts or f"{root}/parts"
 
@@ -31,7 +35,7 @@ def copy_files(plan: DataFrame, root: str, parts: str | None = None) -> DataFram
         from pyarrow import fs
 
         sink, base = open_store(root)
-        _, spare = open_store(parts)
+        _, spare = open_store(f"{parts}/{uuid.uuid4().hex}")
         made = set()
 
         def same(source, inner, target):
@@ -70,14 +74,13 @@ def copy_files(plan: DataFrame, root: str, parts: str | None = None) -> DataFram
                 }
             )
 
-    moved = plan.filter(F.col("destination").isNotNull())
+    moved = dealt(plan.filter(F.col("destination").isNotNull()))
     return moved.select("path", "destination", "final_name").mapInPandas(copy, MANIFEST_SCHEMA)
 
 
 def _write(source, inner: str, sink, spare: str, target: str) -> None:
     """Stream a file into the folder ``spare`` and move it to ``target``; nothing stays if it fails."""
     import shutil
-    import uuid
 
     partial = f"{spare}/{uuid.uuid4().hex}"
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 from functools import reduce
 from itertools import islice
@@ -20,6 +21,8 @@ FETCH_BYTES = 16 * 1024 * 1024
 # A row cannot hold a file of any size; above this only the fingerprint is taken.
 CONTENT_BYTES = 1024 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
+TASK_FILES = 20_000
+PIECE_BYTES = 1024 * 1024
 
 
 def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
@@ -28,12 +31,29 @@ def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = No
     Empty files and names starting with ``_`` or ``.`` count too, which Spark's file source leaves
     out, so the files are read by a ``listing`` (``path, modificationTime, length``; for instance a
     storage inventory) or, without one, by a listing of the folder.  Only the narrow listing is
-    dealt out, about ``TASK_BYTES`` of content a task.  Files gone meanwhile are left out.
+    ``dealt`` out.  Files gone meanwhile are left out.
     """
     listed = list_folder(spark, folder) if listing is None else listing
-    files, size = listed.agg(F.count("*"), F.sum("length")).first()
-    tasks = max(1, math.ceil((size or 0) / TASK_BYTES), min(files, spark.sparkContext.defaultParallelism))
-    return fetch(listed.repartition(tasks, "path")).filter(F.col("length").isNotNull())
+    return fetch(dealt(listed)).filter(F.col("length").isNotNull())
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """Deal rows that stand for files (``path`` and maybe ``length``) out for work on the files: about
+    ``TASK_BYTES`` of content and ``TASK_FILES`` files a task at most, and equally many tasks for each core.
+
+    A listing or a plan is narrow, so it comes in as few partitions as its own bytes ask for, often one.
+    It is counted here, so pass stored rows.
+    """
+    size = F.sum("length") if "length" in files.columns else F.lit(None)
+    count, size = files.agg(F.count("*"), size).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    rounds = math.ceil(max((size or 0) / TASK_BYTES, count / TASK_FILES, 1) / cores)
+    return files.repartition(max(1, min(count, rounds * cores)), "path")
+
+
+def read_fingerprints(listed: DataFrame) -> DataFrame:
+    """``path, md5`` of the listed files, taken from their bytes, which stay in the tasks."""
+    return fetch(dealt(listed), content_bytes=0).select("path", "md5")
 
 
 def with_names(files: DataFrame) -> DataFrame:
@@ -134,14 +154,16 @@ def fetch(
         try:
             store, inner = open_store(path)
             with store.open_input_stream(inner) as stream:
-                content = stream.read(content_bytes + 1)
-                digest, size = hashlib.md5(content), len(content)
-                if size > content_bytes:
-                    content = None
-                    while piece := stream.read(1 << 20):
-                        digest.update(piece)
-                        size += len(piece)
-                return size, content, digest.hexdigest()
+                # Read in pieces: a read makes room for all it asks for, however small the file is.
+                digest, size, kept = hashlib.md5(), 0, io.BytesIO()
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+                    size += len(piece)
+                    if size > content_bytes:
+                        kept = None
+                    else:
+                        kept.write(piece)
+                return size, None if kept is None else kept.getvalue(), digest.hexdigest()
         except FileNotFoundError:
             return None, None, None
 

@@ -10,7 +10,8 @@ from doctriage.operators import model
 from doctriage.plans import local, runs
 from doctriage.session import job_stages, path_exists, stage
 from doctriage.sinks.files import copy_files
-from doctriage.sources.files import fetch, list_folder
+from doctriage.sources import files as files_source
+from doctriage.sources.files import dealt, fetch, list_folder, read_fingerprints
 
 
 def test_later_run_knows_contents_and_names(spark, tmp_path):
@@ -127,3 +128,50 @@ def test_large_file_is_fingerprinted_and_jobs_leave_no_stages(spark, tmp_path):
         path = stage(spark.range(3), "kept")._staged_at
         assert path_exists(spark, path)
     assert not path_exists(spark, path)
+
+
+def test_work_on_files_is_dealt_out_by_files(spark, tmp_path, monkeypatch):
+    contents = {f"{i}.bin": bytes([i]) * i for i in range(24)}
+    uploads = write(tmp_path / "in", list(contents.items()))
+    listed = stage(list_folder(spark, uploads).coalesce(1), "one-part")
+    cores = spark.sparkContext.defaultParallelism
+    # A narrow listing is one partition; the work behind it is not.
+    assert listed.rdd.getNumPartitions() == 1
+    assert dealt(listed).rdd.getNumPartitions() == cores
+    assert dealt(listed.limit(3)).rdd.getNumPartitions() == 3
+    prints = read_fingerprints(listed)
+    assert prints.rdd.getNumPartitions() == cores
+    got = {r.path.rsplit("/", 1)[1]: r.md5 for r in prints.collect()}
+    assert got == {name: hashlib.md5(content).hexdigest() for name, content in contents.items()}
+    monkeypatch.setattr(files_source, "TASK_FILES", 2)
+    assert dealt(listed).rdd.getNumPartitions() == cores * -(-12 // cores)
+    monkeypatch.setattr(files_source, "TASK_BYTES", 4)
+    assert dealt(listed).rdd.getNumPartitions() == len(contents)
+    assert dealt(listed.select("path")).rdd.getNumPartitions() == cores * -(-12 // cores)
+
+
+def test_copies_are_dealt_out_and_tasks_have_folders_of_their_own(spark, tmp_path):
+    names = [f"{i}.bin" for i in range(24)]
+    uploads = write(tmp_path / "in", [(name, name.encode()) for name in names])
+    rows = [(f"file:{uploads}/{name}", "documents", name) for name in names]
+    plan = stage(spark.createDataFrame(rows, "path string, destination string, final_name string").coalesce(1), "plan")
+    copies = copy_files(plan, str(tmp_path / "root"), str(tmp_path / "parts"))
+    tasks = copies.rdd.getNumPartitions()
+    assert tasks == spark.sparkContext.defaultParallelism
+    assert {(r.final_name, r.copied) for r in copies.collect()} == {(name, True) for name in names}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "root/documents").iterdir()} == {n: n.encode() for n in names}
+    spare = list((tmp_path / "parts").iterdir())
+    assert 1 < len(spare) <= tasks and not any(list(own.iterdir()) for own in spare)
+
+
+def test_contents_of_several_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files_source, "PIECE_BYTES", 7)
+    contents = {f"{size}.bin": bytes(range(size)) for size in (0, 1, 6, 7, 8, 14, 20, 21, 22, 60)}
+    listed = list_folder(spark, write(tmp_path / "in", list(contents.items())))
+    for most in (0, 20, 21, 1000):
+        got = {r.path.rsplit("/", 1)[1]: r for r in fetch(listed, content_bytes=most).collect()}
+        assert got.keys() == contents.keys()
+        for name, content in contents.items():
+            row = got[name]
+            assert (row.length, row.md5) == (len(content), hashlib.md5(content).hexdigest())
+            assert row.content is None if len(content) > most else bytes(row.content) == content
