@@ -31,7 +31,7 @@ from doctriage.operators import metrics
 from doctriage.operators.naming import name_family, name_state
 from doctriage.operators.reports import log_lines, recent_results, report_rows
 from doctriage.plans.local import RESULT_SCHEMA, Settings, triage_folder, verified
-from doctriage.session import child_names, delete_path, job_stages, path_exists, stage
+from doctriage.session import child_names, delete_path, empty, job_stages, path_exists, stage
 from doctriage.sinks.files import copy_files, folder_listing, held_files
 from doctriage.sinks.logs import log_or_notice
 from doctriage.sinks.state import bucket, has_state, put_state, read_state
@@ -53,13 +53,13 @@ def open_runs(spark: SparkSession, root: str) -> list[str]:
 
 def _stored(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
     """Columns of the stored results of all closed runs."""
-    empty = spark.createDataFrame([], schema)
+    nothing = empty(spark, schema)
     if not path_exists(spark, f"{root}/results"):
-        return empty
-    fields = [field for field in empty.schema.fields if field.name != "run"]
+        return nothing
+    fields = [field for field in nothing.schema.fields if field.name != "run"]
     stored = spark.read.schema(StructType([*fields, StructField("run", StringType())])).parquet(f"{root}/results")
     unfinished = [name.removeprefix("run=") for name in open_runs(spark, root)]
-    return stored.filter(~F.col("run").isin(unfinished)).select(*empty.columns)
+    return stored.filter(~F.col("run").isin(unfinished)).select(*nothing.columns)
 
 
 def results(spark: SparkSession, root: str) -> DataFrame:
@@ -125,7 +125,7 @@ def run_folder(
         listed = stage(listed, "listed")
         new = stage(listed.join(known(listed, root, "handled"), listed.columns, "left_anti"), "listing")
         if new.isEmpty():
-            return spark.createDataFrame([], RESULT_SCHEMA)
+            return empty(spark, RESULT_SCHEMA)
 
         def registry(facts: DataFrame) -> DataFrame:
             return known(facts.filter("length > 0"), root, "registry")
@@ -214,7 +214,7 @@ def recent(spark: SparkSession, root: str, count: int = fixed.RECENT_RESULTS) ->
 
     Runs are opened from the newest on, twice as many each time, until they hold ``count`` rows."""
     schema = StructType([*RESULT_SCHEMA.fields, StructField("run", StringType())])
-    names, opened, stored = closed_runs(spark, root), 0, spark.createDataFrame([], schema)
+    names, opened, stored = closed_runs(spark, root), 0, empty(spark, schema)
     while opened < len(names):
         opened = min(len(names), max(1, 2 * opened))
         reader = spark.read.schema(schema).option("basePath", f"{root}/results")

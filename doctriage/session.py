@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _JOB_FOLDER: ContextVar[str | None] = ContextVar("job_folder", default=None)
@@ -66,6 +68,14 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
+def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """No rows.  The optimizer sees that and leaves out what would be joined with them; an empty list would
+    be read by Python workers in every join."""
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in fields]
+    return spark.range(1).select(*nothing).filter(F.lit(False))
+
+
 def stages_folder(spark: SparkSession) -> str:
     return _JOB_FOLDER.get() or f"{shared_folder(spark)}/stages"
 

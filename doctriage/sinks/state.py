@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.session import child_names
+from doctriage.session import child_names, empty
 from doctriage.sinks.logs import MERGE_RUNS, has_run, merge_tiers, whole_runs
 
 BUCKETS = 128
@@ -59,7 +59,7 @@ def read_state(spark: SparkSession, path: str, schema: str, wanted: DataFrame) -
             held = {child for child in child_names(spark, folder) if child.startswith("bucket=")}
             paths += [folder] if held and held <= names else [f"{folder}/{name}" for name in sorted(held & names)]
     if not paths:
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
 

@@ -127,7 +127,7 @@ def list_folder(spark: SparkSession, folder: str, below: bool = False) -> DataFr
     finds are the next round's.  No name passes through the driver; each round is a written table, so
     the listing does not change while it is used.
     """
-    frontier = spark.createDataFrame([(qualified(spark, folder),)], "path string")
+    frontier = spark.range(0, 1, 1, 1).select(F.lit(qualified(spark, folder)).alias("path"))
     levels = [stage(list_folders(frontier), "listing")]
     while below:
         frontier = levels[-1].filter("is_folder")

@@ -88,3 +88,15 @@ def test_runs_by_buckets_equal_runs_that_read_all_results(spark, tmp_path, monke
         assert all(count <= 3 * len(names) for count in files)
         opened.clear()
     assert child_names(spark, f"{root}/state") and runs.results(spark, root).count() == len(texts)
+
+
+def test_tables_without_rows_need_no_tasks(spark, tmp_path):
+    known = state.read_state(spark, str(tmp_path / "state"), SCHEMA, rows(spark, [("a", 0)]))
+    assert known.isEmpty() and known.dtypes == [("name", "string"), ("last", "bigint")]
+    given = spark.range(5).select(F.col("id").cast("string").alias("name"))
+    joined = given.join(known, "name", "left_anti")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "ExistingRDD" not in plan
+    assert {r["name"] for r in joined.collect()} == set("01234")
+    stored = runs.results(spark, str(tmp_path / "none"))
+    assert stored.isEmpty() and stored.schema.names == local.RESULT_SCHEMA.names
