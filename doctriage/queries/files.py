@@ -439,13 +439,18 @@ def watched_folder(spark, folder) -> DataFrame:
     root, uploads = (f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}" for name in ("runs", "exports"))
     exported(spark, folder, uploads, F.col("doc_id") % 2 == 0)
     watcher = runs.watch(spark, uploads, root, local.Settings(), every="1 second")
-    wanted = table(spark, folder, "documents").count()
+    # Rows of one doc_id are one file, which may be handled more than once if it is written again.
+    wanted = table(spark, folder, "documents").agg(F.count_distinct("doc_id")).first()[0]
+
+    def whole(found: DataFrame) -> bool:
+        return found.count() >= wanted and found.select("path").distinct().count() >= wanted
+
     try:
         # What waits here is the query, not the watcher.
         while watcher.isActive and not runs.results(spark, root).count():
             time.sleep(0.5)
         exported(spark, folder, uploads, F.col("doc_id") % 2 == 1)
-        while watcher.isActive and runs.results(spark, root).count() < wanted:
+        while watcher.isActive and not whole(runs.results(spark, root)):
             time.sleep(0.5)
     finally:
         watcher.stop()

@@ -8,6 +8,7 @@ from test_triage import GOOD, FixedModel, by_name, write
 from doctriage.__main__ import main
 from doctriage.operators import model
 from doctriage.plans import local, runs
+from doctriage.queries import QUERIES
 from doctriage.session import job_stages, path_exists, stage
 from doctriage.sinks.files import copy_files
 from doctriage.sources import files as files_source
@@ -175,3 +176,13 @@ def test_contents_of_several_pieces(spark, tmp_path, monkeypatch):
             row = got[name]
             assert (row.length, row.md5) == (len(content), hashlib.md5(content).hexdigest())
             assert row.content is None if len(content) > most else bytes(row.content) == content
+
+
+def test_the_watched_folder_ends_where_documents_repeat(spark, tmp_path):
+    rows = [(i, "some readable text %d" % i) for i in (*range(1, 9), 1, 2, 2, 7)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    # Some files that are written twice would count for those that are still to come.
+    made.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["watched_folder"](spark, str(tmp_path)).collect()
+    assert len({r.file_name for r in got}) == 8
+    assert {r.outcome for r in got} <= {"unsupported", "unreadable", "error"}
